@@ -25,6 +25,8 @@ SOURCE_WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST_EPOCHS = 2.0
 KEY_BINS = 4096
+#: Rows of source budgets that are broadcast, of about a hundred bytes each.
+MOST_SENT = 100_000
 #: Weight of a document by its label `quality`; without a label 1.
 QUALITY = {1: 2.0, 0: 0.5}
 
@@ -75,7 +77,9 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
     ends = ends.where(F.col("upto") > F.col("rest")).groupBy("s.source").agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("before"))).alias("cut"))
     budgets = budgets.alias("s").join(ends.alias("e"), F.col("s.source").eqNullSafe(F.col("e.source")), "left")
     budgets = budgets.select(F.col("s.source").alias("of"), "source_size", "target", "epochs", "rest", F.coalesce(F.col("cut.bin"), F.lit(KEY_BINS + 1)).alias("cut"), F.coalesce(F.col("cut.before"), F.lit(0)).alias("before"))
-    placed = keyed.join(budgets, F.col("source").eqNullSafe(F.col("of")))
+    budgets = written(budgets)
+    # The join follows the hot source unless the budgets are few enough to send; beyond that, skewed joins are split at run time.
+    placed = keyed.join(F.broadcast(budgets) if budgets.count() <= MOST_SENT else budgets, F.col("source").eqNullSafe(F.col("of")))
     clear = placed.where(F.col("bin") != F.col("cut")).withColumn("chosen", (F.col("bin") < F.col("cut")).cast("int"))
     ahead = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     last = placed.where(F.col("bin") == F.col("cut")).withColumn("ahead", F.col("before") + ahead)

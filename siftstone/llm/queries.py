@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, quotes, secrets, tiff
+from . import mixing, quotes, secrets, simhash, tiff
 
-QUERIES = {"op3_quotes": quotes.op3, "op7_tiff": tiff.op7, "op9_mixing": mixing.op9, "op10_secrets": secrets.op10}
+QUERIES = {"op3_quotes": quotes.op3, "op6_simhash": simhash.op6, "op7_tiff": tiff.op7, "op9_mixing": mixing.op9, "op10_secrets": secrets.op10}
 ORACLE = {"op9_mixing": mixing.SQL}
