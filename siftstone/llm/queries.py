@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, quotes, secrets, simhash, tiff
+from . import mixing, quotes, repeats, secrets, simhash, tiff
 
-QUERIES = {"op3_quotes": quotes.op3, "op6_simhash": simhash.op6, "op7_tiff": tiff.op7, "op9_mixing": mixing.op9, "op10_secrets": secrets.op10}
-ORACLE = {"op9_mixing": mixing.SQL}
+QUERIES = {"op3_quotes": quotes.op3, "op4_repeats": repeats.op4, "op6_simhash": simhash.op6, "op7_tiff": tiff.op7, "op9_mixing": mixing.op9, "op10_secrets": secrets.op10}
+ORACLE = {"op4_repeats": repeats.SQL, "op9_mixing": mixing.SQL}
