@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, quotes, repeats, secrets, simhash, tiff
+from . import contexttree, mixing, quotes, repeats, secrets, simhash, tiff, toxicity
 
-QUERIES = {"op3_quotes": quotes.op3, "op4_repeats": repeats.op4, "op6_simhash": simhash.op6, "op7_tiff": tiff.op7, "op9_mixing": mixing.op9, "op10_secrets": secrets.op10}
+QUERIES = {
+    "op1_toxicity": toxicity.op1,
+    "op2_contexttree": contexttree.op2,
+    "op3_quotes": quotes.op3,
+    "op4_repeats": repeats.op4,
+    "op6_simhash": simhash.op6,
+    "op7_tiff": tiff.op7,
+    "op9_mixing": mixing.op9,
+    "op10_secrets": secrets.op10,
+}
 ORACLE = {"op4_repeats": repeats.SQL, "op9_mixing": mixing.SQL}
