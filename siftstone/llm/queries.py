@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import contexttree, mixing, quotes, repeats, secrets, simhash, tiff, toxicity
+from . import contexttree, languages, mixing, quotes, repeats, secrets, simhash, tiff, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
     "op2_contexttree": contexttree.op2,
     "op3_quotes": quotes.op3,
     "op4_repeats": repeats.op4,
+    "op5_languages": languages.op5,
     "op6_simhash": simhash.op6,
     "op7_tiff": tiff.op7,
     "op9_mixing": mixing.op9,
