@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import contexttree, languages, mixing, quotes, repeats, secrets, simhash, tiff, toxicity
+from . import contexttree, decontaminate, languages, mixing, quotes, repeats, secrets, simhash, tiff, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_languages": languages.op5,
     "op6_simhash": simhash.op6,
     "op7_tiff": tiff.op7,
+    "op8_decontaminate": decontaminate.op8,
     "op9_mixing": mixing.op9,
     "op10_secrets": secrets.op10,
 }
