@@ -32,7 +32,8 @@ TRAIN_DOCS = 6000
 PREFIXES = (5, 6, 7, 8)
 FOLDS, HELD_OUT = 5, 0
 STEPS, RATE, PENALTY = 300, 0.3, 2e-4
-LEAST_DOCS = 2
+#: Words take part in training if at least so many documents have them, and if they lean to one side by so many standard deviations.
+LEAST_DOCS, SCREEN = 2, 1.0
 
 LETTERS = np.zeros(256, dtype=bool)
 LETTERS[97:123] = LETTERS[128:] = True
@@ -74,34 +75,42 @@ class Model:
         return -np.expm1(out), -np.expm1(harmless), begin, sent_at
 
 
-def fit(buckets: np.ndarray, word_at: np.ndarray, sent_at: np.ndarray, toxic: np.ndarray) -> Model:
-    """Weights and base from hashed words, their sentences and documents, and the documents' labels."""
+def fit(docs: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> Model:
+    """Weights and base from each document's hashed words and the numbers of them in its sentences, and the documents' labels."""
     n = len(toxic)
     share = (toxic.sum() + 0.5) / (n + 1.0)
-    per_doc = max(1.0, len(word_at) / max(1, n))
+    per_doc = max(1.0, sum(len(sizes) for _, sizes in docs) / max(1, n))
     base = float(np.log(np.expm1(-np.log1p(-share) / per_doc)))
     if not n or not toxic.any() or toxic.all():
         return Model(np.zeros(BUCKETS), base)
-    sent_doc = np.repeat(np.arange(n), np.diff(sent_at))
-    word_sent = np.repeat(np.arange(len(word_at) - 1), np.diff(word_at))
     # Words by the documents that have them.
-    pairs = np.unique(buckets * n + sent_doc[word_sent])
-    of, doc = pairs // n, pairs % n
-    seen = np.bincount(of, minlength=BUCKETS)
-    bad = np.bincount(of, weights=toxic[doc], minlength=BUCKETS)
-    known = np.flatnonzero(seen >= LEAST_DOCS)
-    place = np.full(BUCKETS, -1)
+    seen, bad = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for (buckets, _), t in zip(docs, toxic, strict=True):
+        own = np.unique(buckets)
+        seen[own] += 1
+        bad[own] += t
+    spread = np.sqrt(seen * share * (1 - share))
+    known = np.flatnonzero((seen >= LEAST_DOCS) & (np.abs(bad - seen * share) > SCREEN * spread))
+    place = np.full(BUCKETS, -1, dtype=np.int32)
     place[known] = np.arange(len(known))
     rate = toxic.sum()
     odds = np.log((bad[known] + 0.1 * share) / (rate + 0.1)) - np.log((seen[known] - bad[known] + 0.1 * (1 - share)) / (n - rate + 0.1))
     # Only words that lean clearly to one side start with a weight.
-    sure = np.abs(bad[known] - seen[known] * share) > 2.5 * np.sqrt(seen[known] * share * (1 - share))
+    sure = np.abs(bad[known] - seen[known] * share) > 2.5 * spread[known]
     w = np.where(sure, np.clip(odds, -3, 6), 0.0)
-    keep = place[buckets] >= 0
-    at, sent = place[buckets[keep]], word_sent[keep]
+    # Of all words only the known ones are kept, with their sentences.
+    at, sent, first = [], [], 0
+    for buckets, sizes in docs:
+        own = place[buckets]
+        keep = own >= 0
+        at.append(own[keep])
+        sent.append(np.repeat(np.arange(first, first + len(sizes), dtype=np.int32), sizes)[keep])
+        first += len(sizes)
+    at, sent = np.concatenate(at), np.concatenate(sent)
+    sent_doc = np.repeat(np.arange(n, dtype=np.int32), [len(sizes) for _, sizes in docs])
     m1, m2, v1, v2 = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, STEPS + 1):
-        z = base + np.bincount(sent, weights=w[at], minlength=len(word_at) - 1)
+        z = base + np.bincount(sent, weights=w[at], minlength=first)
         harmless = np.bincount(sent_doc, weights=-np.logaddexp(0.0, z), minlength=n)
         p = np.clip(-np.expm1(harmless), 1e-9, 1 - 1e-9)
         # d loss / d z of a sentence: its share of what the noisy-or got wrong.
@@ -138,12 +147,11 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Model:
 
         return work
 
-    rows = per_batch(chosen, make, "doc_id long, toxic int, buckets array<int>, sizes array<int>").toArrow().sort_by("doc_id")
-    if not rows.num_rows:
-        return fit(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0))
-    flat = lambda name: rows[name].combine_chunks().flatten().to_numpy().astype(np.int64)
-    sizes = rows["sizes"].combine_chunks()
-    return fit(flat("buckets"), np.r_[0, np.cumsum(flat("sizes"))], np.r_[0, np.cumsum(sizes.value_lengths().to_numpy())], rows["toxic"].to_numpy().astype(float))
+    rows = per_batch(chosen, make, "doc_id long, toxic int, buckets array<int>, sizes array<int>").toArrow().combine_chunks()
+    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
+    buckets, sizes = (rows[c].chunk(0) if rows.num_rows else None for c in ("buckets", "sizes"))
+    own = lambda column, i: column.values[column.offsets[i].as_py() : column.offsets[i + 1].as_py()].to_numpy()
+    return fit([(own(buckets, i), own(sizes, i)) for i in order.tolist()], rows["toxic"].to_numpy().astype(float)[order])
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())]))
