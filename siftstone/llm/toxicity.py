@@ -10,7 +10,7 @@ Training takes at most TRAIN_DOCS labelled documents, those with the lowest hash
 hashed words the driver fits in memory. Everything else runs over all documents. Labels, language, source and id are no
 inputs of a score.
 
-Defined cases: a null or empty text, or one without words, has one sentence without words and thus the model's base
+Defined cases: a null or empty text has one sentence without words and thus the model's base
 score; a null label, or a label without a document, isn't learned from; several labels of a document count as toxic if
 one does; without any toxic or any harmless document to learn from all weights are zero and the base score is the share
 of toxic ones; repeated rows score alike; an empty table gives no rows; other columns pass through `score` unread.
