@@ -20,17 +20,18 @@ an empty table gives no rows. Columns other than id and text are not read.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components
-from .shared import MAX_ID, free_name, per_batch, table, with_columns, written
+from .shared import MAX_ID, free_name, table, with_columns, written
 from .textcols import LOWER, Sequences, U, buffers, mixed, slices, word_hashes, words
 
 RADIUS, SHINGLE = 2, 3
@@ -41,6 +42,8 @@ STAGE_RADIUS, STAGE_LETTERS, STAGE_SHINGLE, SIMILARITY = 4, 4, 5, 0.8
 #: Shingle fingerprints of texts that similar differ in about ten bits, those of unrelated texts in 32.
 STAGE_WIDE = 18
 FEW_TEXTS = 2_000_000
+#: Documents of a class that are judged at a time, and tasks over which the others of a class are spread.
+STAGE_HEADS, STAGE_SALTS = 128, 64
 
 LETTERS = np.zeros(256, dtype=bool)
 LETTERS[97:123] = LETTERS[128:] = True
@@ -261,26 +264,47 @@ def op6(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similarity(a: pa.Array, b: pa.Array, k: int = STAGE_SHINGLE) -> list[float]:
-    """Jaccard similarity of the sets of k-word shingles of each pair of texts, in lower case; shorter texts are one shingle."""
-
-    def sets(texts):
-        data, offsets = buffers(texts)
-        low = LOWER[data]
-        starts, ends, before = words(low, offsets)
-        seq, out = Sequences(word_hashes(low, starts, ends)), []
-        for s, e in zip(before[:-1].tolist(), before[1:].tolist(), strict=True):
-            first = np.arange(s, max(e - k + 1, min(s + 1, e)))
-            out.append(np.unique(seq.of(first, np.minimum(first + k, e))))
-        return out
-
-    out = []
-    for x, y in zip(sets(a), sets(b), strict=True):
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        out.append(both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0)
+def shingle_sets(texts: pa.Array, k: int = STAGE_SHINGLE) -> list[np.ndarray]:
+    """The set of hashes of k-word shingles of each text, in lower case and in order; a shorter text is one shingle."""
+    data, offsets = buffers(texts)
+    low = LOWER[data]
+    starts, ends, before = words(low, offsets)
+    seq, out = Sequences(word_hashes(low, starts, ends)), []
+    for s, e in zip(before[:-1].tolist(), before[1:].tolist(), strict=True):
+        first = np.arange(s, max(e - k + 1, min(s + 1, e)))
+        out.append(np.unique(seq.of(first, np.minimum(first + k, e))))
     return out
 
 
+class Heads:
+    """Shingle sets with postings, to tell whether a set has a Jaccard similarity of SIMILARITY and more to any of them."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets], dtype=np.int64)
+        keys, of = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.of = keys[order], of[order]
+
+    def has_similar(self, own: np.ndarray) -> bool:
+        if not len(own):
+            return bool((self.sizes == 0).any())
+        begin, end = np.searchsorted(self.keys, own), np.searchsorted(self.keys, own, "right")
+        size = end - begin
+        hits = np.repeat(begin - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+        both = np.bincount(self.of[hits], minlength=len(self.sizes))
+        return bool((both >= SIMILARITY * (self.sizes + len(own) - both) - 1e-9).any())
+
+
+def first_ones(texts: pa.Array) -> np.ndarray:
+    """Which texts aren't similar to any text before them that isn't so itself."""
+    sets, heads, out = shingle_sets(texts), [], []
+    for own in sets:
+        out.append(not heads or not Heads(heads).has_similar(own))
+        if out[-1]:
+            heads.append(own)
+    return np.array(out, dtype=bool)
+
+
 def _text_links(texts: DataFrame, column: str, m: int) -> DataFrame:
     """Links (a, b) between texts, by their signs, whose fingerprints in this column are near and whose shingle fingerprints aren't far."""
     prints = written(texts.groupBy(F.col(column).alias("fp"), F.col("fp3").alias("other")).agg(F.min("_st").alias("node")))
@@ -289,11 +313,11 @@ def _text_links(texts: DataFrame, column: str, m: int) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with one of each group of near copies: of the documents whose five-word shingles have a similarity of 0.8 and more
-    with the first one (smallest id) of their class, only that one stays.
+    """docs with one of each group of near copies: in order of ids, a document goes if its five-word shingles have a similarity
+    of 0.8 and more with those of an earlier document of its class that stays.
 
     Candidates are the classes that two fingerprints of longer words, with hashes of their own, link, if the fingerprints of
-    their shingles agree enough; documents of a class that aren't similar to its first one are judged again among themselves until none is left. Of repeated rows, one stays.
+    their shingles agree enough; documents of a class that aren't similar to any of its first ones are judged again among themselves until none is left. Of repeated rows, one stays.
     """
     number, sign = F.coalesce(F.col("doc_id"), F.lit(MAX_ID)), F.xxhash64(F.coalesce("text", F.lit("")))
     bodies = docs.select(number.alias("_sd"), sign.alias("_st"), "text")
@@ -308,27 +332,33 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     open_ = written(texts.join(roots.select(F.col("node").alias("_st"), F.col("root").alias("class")), "_st").select("class", "_sd", "_st"))
     dropped = []
     if not open_.isEmpty():
-        open_ = written(open_.join(bodies, ["_sd", "_st"]).select("class", "_sd", "_st", F.coalesce("text", F.lit("")).alias("text")))
-    while not open_.isEmpty():
-        heads = open_.groupBy("class").agg(F.min(F.struct("_sd", "_st")).alias("head"), F.count("*").alias("k")).where("k > 1")
-        first = heads.join(open_.withColumnRenamed("class", "c"), (F.col("c") == F.col("class")) & (F.col("head._sd") == F.col("_sd")) & (F.col("head._st") == F.col("_st")))
-        first = first.groupBy("class", "head").agg(F.min("text").alias("head_text"))
-        pairs = open_.join(first, "class").where((F.col("_sd") != F.col("head._sd")) | (F.col("_st") != F.col("head._st"))).drop("head")
+        open_ = written(open_.join(bodies.dropDuplicates(["_sd", "_st"]), ["_sd", "_st"]).select("class", "_sd", "_st", F.coalesce("text", F.lit("")).alias("text")))
+    kind = "class long, _sd long, _st long, text string, stays boolean"
 
-        def make():
-            def work(batch):
-                texts_, heads_ = batch.column(3), batch.column(4)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([s >= SIMILARITY for s in similarity(texts_, heads_)], pa.bool_())], names=["class", "_sd", "_st", "text", "same"])
+    def among(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("_sd", "ascending"), ("_st", "ascending")]).combine_chunks()
+        return rows.append_column("stays", pa.array(first_ones(rows["text"].combine_chunks())))
 
-            return work
+    def against(rows: pa.Table, heads: pa.Table) -> pa.Table:
+        known = Heads(shingle_sets(heads["text"].combine_chunks())) if heads.num_rows else None
+        stays = [known is None or not known.has_similar(x) for x in shingle_sets(rows["text"].combine_chunks())] if rows.num_rows else []
+        return rows.drop_columns("salt").append_column("stays", pa.array(stays, pa.bool_()))
 
-        judged = written(per_batch(pairs.select("class", "_sd", "_st", "text", "head_text"), make, "class long, _sd long, _st long, text string, same boolean"))
-        dropped.append(judged.where("same").select("_sd", "_st"))
-        open_ = judged.where("not same").drop("same")
+    # Of each class the first STAGE_HEADS documents are judged among themselves, then all others against those that stay.
+    while not open_.isEmpty():
+        rank = F.row_number().over(Window.partitionBy("class").orderBy("_sd", "_st"))
+        first = written(open_.withColumn("rank", rank).where(F.col("rank") <= STAGE_HEADS).drop("rank").groupBy("class").applyInArrow(among, kind))
+        others = open_.join(first.select("class", "_sd", "_st"), ["class", "_sd", "_st"], "left_anti").withColumn("salt", F.pmod("_st", F.lit(STAGE_SALTS)))
+        # A large class meets its heads in many tasks; they are sent to those where it has documents.
+        others = written(others.select("class", "_sd", "_st", "text", "salt"))
+        heads = others.select(F.col("class").alias("of"), F.col("salt").alias("at")).distinct().join(first.where("stays").select(F.col("class").alias("of"), F.col("text").alias("text")), "of")
+        rest = written(others.groupBy("class", "salt").cogroup(heads.groupBy("of", "at")).applyInArrow(against, kind))
+        dropped += [part.where("not stays").select("_sd", "_st") for part in (first, rest)]
+        open_ = rest.where("stays").drop("stays")
     # What stays: the first document of each text, unless it was found similar.
     keep = texts.select("_sd", "_st")
-    for part in dropped:
-        keep = keep.join(part, ["_sd", "_st"], "left_anti")
+    if dropped:
+        keep = keep.join(reduce(DataFrame.unionByName, dropped), ["_sd", "_st"], "left_anti")
     sd, st = free_name(docs, "_sd"), free_name(docs, "_st")
     keyed = docs.withColumns({sd: number, st: sign})
     kept = keyed.join(keep.select(F.col("_sd").alias(sd), F.col("_st").alias(st)), [sd, st], "left_semi")

@@ -97,3 +97,26 @@ def test_stage_keeps_one_of_each_group(spark, odd, empty):
     assert simhash.stage(spark, empty, "").count() == 0
     left = simhash.stage(spark, odd, "")
     assert sorted((r.doc_id for r in left.collect()), key=str) == sorted([1, 2, 5, 6, None, 9, 10], key=str)
+
+
+@pytest.mark.parametrize("heads", [128, 3])
+def test_stage_against_greedy_by_hand(spark, monkeypatch, heads):
+    """Copies of all degrees of noise: those of 0.8 and more to an earlier document that stays go, all others stay, however many are judged at a time."""
+    monkeypatch.setattr(simhash, "STAGE_HEADS", heads)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randrange(4, 9)))
+    base = [word() for _ in range(300)]
+    rows = []
+    for i in range(40):
+        now = list(base)
+        for _ in range(i % 14):
+            now[rng.randrange(len(now))] = word()
+        rows.append((i, " ".join(now)))
+    kept = []
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(296)} for i, t in rows}
+    for i, _ in rows:
+        if all(len(sets[i] & sets[h]) < 0.8 * len(sets[i] | sets[h]) for h in kept):
+            kept.append(i)
+    got = simhash.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(r.doc_id for r in got) == kept
+    assert 3 < len(kept) < 35
