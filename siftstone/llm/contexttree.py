@@ -40,6 +40,8 @@ BLOCK_BYTES = 40 << 20
 FOLDS, HELD_OUT = 7, 2
 #: Entries that a task counts before it adds equal ones up, and grams of which a task makes subtrees at a time.
 HELD_ENTRIES, CHUNK = 4 << 20, 1 << 20
+#: Bytes that are counted at a time: larger pieces repeat more.
+PIECE = 1 << 21
 #: Never part of UTF-8.
 END = 255
 GRAM, WORD = 0, 1
@@ -178,7 +180,7 @@ def _counts(docs: DataFrame) -> DataFrame:
             for block in np.unique(blocks).tolist():
                 for off in (False, True):
                     data, offsets = buffers(batch.column(2).filter(pa.array((blocks == block) & (out == off))))
-                    for i, j in slices(offsets):
+                    for i, j in slices(offsets, PIECE):
                         part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                         low = LOWER[part]
                         starts, ends, _ = words(low, at)
@@ -284,7 +286,7 @@ def code_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         out = []
         for batch in texts.combine_chunks().to_batches():
             data, offsets = buffers(batch.column(batch.schema.get_field_index("text")))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, PIECE):
                 part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 n = np.arange(j - i + 1)
                 score = summed(length[by_gram.find(grams(part, at))], at + n)

@@ -18,7 +18,7 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 #: Bytes that are worked on at a time: temporary arrays stay near the processor's caches. A longer text is a slice of its own.
-SLICE = 1 << 21
+SLICE = 1 << 19
 
 _BYTE = U(0x9E3779B97F4A7C15)  # odd multipliers of the polynomials over bytes and over words
 _WORD = U(0xD6E8FEB86659FD93)
