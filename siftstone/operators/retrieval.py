@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftstone.functions.text import tokens
+from siftstone.functions.text import let, tokens
 
 K1, B = 1.5, 0.75
 
@@ -74,7 +74,7 @@ def dense(queries: DataFrame, corpus: DataFrame, query_id: str, query_vector: st
     A stated set of queries against all rows: vectors are brought to length 1 once, each task meets all queries of the
     broadcast side, and only k rows per query leave it.
     """
-    unit = lambda v: F.transform(v, lambda x: x.cast("double") / F.sqrt(dot(v, v)))
+    unit = lambda v: let(F.sqrt(dot(v, v)), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0)))
     asked = queries.select(F.col(query_id).alias("query_id"), unit(F.col(query_vector)).alias("q"))
     rows = corpus.select(F.col(id_col).alias("id"), unit(F.col(vector_col)).alias("v"))
     scored = rows.join(F.broadcast(asked), F.size("q") == F.size("v")).select("query_id", "id", F.coalesce(F.nanvl(dot(F.col("q"), F.col("v")), F.lit(0.0)), F.lit(0.0)).alias("score"))

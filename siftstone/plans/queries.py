@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from siftstone.functions.text import ANSWER_STOPWORDS, SEARCH_STOPWORDS, tokens
 from siftstone.operators import campaigns, chunking, cleaning, clinical, datasets, dosing, guidance, mapping, retrieval, scoring, telemetry
-from siftstone.sources import stores
+from siftstone.sources import documents, stores
 from siftstone.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -544,13 +544,7 @@ def _(t):
 @query("src22_listing", "SELECT p_name AS object_name, p_partkey FROM part ORDER BY p_name, p_partkey OFFSET 20 LIMIT 30")
 def _(t):
     rows = t("part").select(F.concat_ws("\x01", F.col("p_name"), F.lpad(F.col("p_partkey").cast("string"), 12, "0")).alias("object_name"), "p_partkey", "p_name")
-    return stores_page(rows).select(F.col("p_name").alias("object_name"), "p_partkey")
-
-
-def stores_page(rows: DataFrame) -> DataFrame:
-    from siftstone.sources.documents import page_of_list
-
-    return page_of_list(rows, 20, 30)[0]
+    return documents.page_of_list(rows, 20, 30)[0].select(F.col("p_name").alias("object_name"), "p_partkey")
 
 
 @query("src24_current_versions", "SELECT user_id AS name, event_id AS version_id, event_type AS payload FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1 AND event_id % 5 <> 0")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Kinds of files that are read, and the content types of names.
 SUFFIXES = ("txt", "md", "pdf")
@@ -21,7 +22,7 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return files.where(F.lower("path").rlike(rf"\.({'|'.join(SUFFIXES)})$"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decoded(content: pd.Series) -> pd.Series:
     return content.map(lambda b: b.decode("utf-8", "ignore"))
 
