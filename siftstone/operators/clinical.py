@@ -66,3 +66,27 @@ def summary(findings: DataFrame) -> DataFrame:
     labels = lambda *kinds: F.transform(F.sort_array(F.collect_list(F.when(F.col("status").isin(*kinds), F.struct("key", "label")))), lambda x: x["label"])
     out = findings.groupBy("patient_id").agg(keys("low", "high").alias("abnormal"), keys("informational").alias("informational"), keys("unknown").alias("unknown"), labels("low", "high").alias("bad"), F.slice(labels("low", "high", "normal", "informational"), 1, 3).alias("some"))
     return out.select("patient_id", "abnormal", "informational", "unknown", F.when(F.size("bad") > 0, F.col("bad")).otherwise(F.col("some")).alias("relevant_terms"))
+
+
+# To which group a finding belongs; the first one that has its key.
+CLUSTERS = {
+    "HF severity and congestion": "bnp nt_pro_bnp ef lvef nyha edema rales orthopnea jugularvein_01 hepatomegaly",
+    "Cardio-renal and electrolyte safety": "crea creatinine urea bun egfr cysc cystatin_c potassium sodium kidney_disease",
+    "Rhythm and conduction": "heartrate heart_rate pulse qrs qrsduur afib_bl bundeltakblok pm_rhythm_ecg pacemaker_bl sbp dbp bpsyst bpdiast",
+    "Anemia and iron status": "ferritin hemoglobin hb haemoglobin hematocrit haematocrit transferrin",
+    "Inflammation and injury": "crp hscrp hs_crp il6 il_6 c_reactive_protein hstnt hs_tnt troponin",
+    "Glycemic and cardiometabolic risk": "glucose hba1c cholesterol chol ldl hdl triglycerides diabetes",
+    "Volume and nutritional context": "bmi weight",
+}
+BY_LABEL = {"Cardio-renal and electrolyte safety": "creatin", "Inflammation and injury": "reactive protein"}
+
+
+def cluster(key: Column, label: Column) -> Column:
+    """The group of a finding by its key, or by a word of its label."""
+    out = F.lit("Other findings")
+    for name, keys in reversed(CLUSTERS.items()):
+        fits = F.lower(key).isin(keys.split())
+        if name in BY_LABEL:
+            fits = fits | F.contains(F.lower(F.coalesce(label, F.lit(""))), F.lit(BY_LABEL[name]))
+        out = F.when(fits, name).otherwise(out)
+    return out

@@ -49,3 +49,91 @@ def visible(recommendations: DataFrame, priorities: DataFrame, limit: int = 3) -
     action = F.array_position(F.array(*map(F.lit, SHOWN)), F.col("action"))
     kept = recommendations.where(F.col("eligible") & F.col("grounded") & F.col("action").isin(*SHOWN)).join(priorities, "family", "left")
     return top(kept, ["request_id"], [action, F.col("priority").asc_nulls_last(), F.col("drug")], limit).drop("priority")
+
+
+_NUMBER = r"(\d+(?:\.\d+)?)"
+
+
+def agent_line(contexts: DataFrame, agents: DataFrame) -> DataFrame:
+    """(request_id, agent, line): the first line of a request's contexts (request_id, ord, snippet) that names the agent; if none does, all snippets."""
+    cut = contexts.select("request_id", "ord", F.posexplode(F.split("snippet", r"\r?\n", -1)).alias("at", "line"))
+    met = cut.join(agents, "request_id").where(F.contains(F.lower("line"), F.replace(F.lower("agent"), F.lit("_"), F.lit(" "))))
+    first = met.groupBy("request_id", "agent").agg(F.trim(F.min_by("line", F.struct("ord", "at"))).alias("line"))
+    every = contexts.groupBy("request_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "snippet"))), lambda x: x["snippet"]), "\n").alias("all"))
+    return agents.join(first, ["request_id", "agent"], "left").join(every, "request_id", "left").select("request_id", "agent", F.coalesce("line", "all", F.lit("")).alias("line"))
+
+
+def shown_number(value: Column) -> Column:
+    """Whole numbers without decimals."""
+    return F.when(value == F.floor(value), F.floor(value).cast("string")).otherwise(value.cast("string"))
+
+
+def labelled_dose(line: Column, label: str) -> Column:
+    """(text, value, frequency) of `label 5 mg o.d.`; fields are null where the line has none."""
+    pattern = rf"(?i){label}\s+{_NUMBER}\s*mg\s*([a-z.]+)"
+    value, times = F.nullif(F.regexp_extract(line, pattern, 1), F.lit("")).try_cast("double"), F.lower(F.nullif(F.regexp_extract(line, pattern, 2), F.lit("")))
+    return F.struct(F.concat(shown_number(value), F.lit(" mg "), times).alias("text"), value.alias("value"), times.alias("frequency"))
+
+
+def target_dose(line: Column) -> Column:
+    """(text, value, frequency) of `target dose 5 mg` or of a range, whose larger end is the value."""
+    pattern = rf"(?i)target dose\s+{_NUMBER}(?:\s*[–-]\s*{_NUMBER})?\s*mg\s*([a-z.]+)"
+    part = lambda i: F.nullif(F.regexp_extract(line, pattern, i), F.lit(""))
+    low = part(1).try_cast("double")
+    high, times = F.coalesce(part(2).try_cast("double"), low), F.lower(part(3))
+    text = F.when(low == high, shown_number(low)).otherwise(F.concat(shown_number(low), F.lit("-"), shown_number(high)))
+    return F.struct(F.concat(text, F.lit(" mg "), times).alias("text"), F.greatest(low, high).alias("value"), times.alias("frequency"))
+
+
+def combined_dose(line: Column, label: str) -> Column:
+    """(text, value, frequency) of `label 24/26 mg b.i.d.`; the value is the leading number."""
+    pattern = rf"(?i){label}\s+(\d+)/(\d+)\s*mg\s*([a-z.]+)"
+    part = lambda i: F.nullif(F.regexp_extract(line, pattern, i), F.lit(""))
+    return F.struct(F.concat(part(1), F.lit("/"), part(2), F.lit(" mg "), F.lower(part(3))).alias("text"), part(1).try_cast("double").alias("value"), F.lower(part(3)).alias("frequency"))
+
+
+def dose_range(line: Column, label: str) -> Column:
+    """(text, low, high) of `label 20-40 mg`, taken daily."""
+    pattern = rf"(?i){label}\s*{_NUMBER}\s*[–-]?\s*{_NUMBER}?\s*mg"
+    part = lambda i: F.nullif(F.regexp_extract(line, pattern, i), F.lit("")).try_cast("double")
+    low = part(1)
+    high = F.coalesce(part(2), low)
+    text = F.when(low == high, shown_number(low)).otherwise(F.concat(shown_number(low), F.lit("-"), shown_number(high)))
+    return F.struct(F.concat(text, F.lit(" mg daily")).alias("text"), low.alias("low"), high.alias("high"))
+
+
+def crossed(potassium: Column, creatinine: Column, egfr: Column, over_potassium: Column, over_creatinine: Column, under_egfr: Column) -> Column:
+    """Is any threshold crossed? Missing values and thresholds never are."""
+    return F.coalesce(potassium > over_potassium, F.lit(False)) | F.coalesce(creatinine > over_creatinine, F.lit(False)) | F.coalesce(egfr < under_egfr, F.lit(False))
+
+
+def mra_actions(patients: DataFrame) -> DataFrame:
+    """patients with action, dose and status of the MRA family, by an ordered list of rules.
+
+    Columns read: potassium, creatinine, egfr, current (the dose taken, null or 0: none), start_dose, target_dose (texts),
+    target_value, grounded, and thresholds stop_/caution_ with potassium, creatinine, egfr.
+    """
+    c = F.col
+    stop = crossed(c("potassium"), c("creatinine"), c("egfr"), *(c(f"stop_{n}") for n in ("potassium", "creatinine", "egfr")))
+    care = crossed(c("potassium"), c("creatinine"), c("egfr"), *(c(f"caution_{n}") for n in ("potassium", "creatinine", "egfr")))
+    for name in ("potassium", "creatinine"):
+        care = care | near_upper(c(name), c(f"caution_{name}"), c(f"stop_{name}"), MARGINS[name])
+    care = care | near_lower(c("egfr"), c("caution_egfr"), c("stop_egfr"), MARGINS["egfr"])
+    taken = F.coalesce(c("current") != 0, F.lit(False))
+    known = c("grounded") & c("start_dose").isNotNull()
+    below = F.coalesce(c("current") + 0.001 < c("target_value"), F.lit(False))
+    best = F.coalesce("target_dose", "start_dose")
+    rules = [
+        (~known, "not_grounded", None, "ungrounded"),
+        (stop & taken, "stop", None, "contraindicated"),
+        (stop, "avoid_start", None, "contraindicated"),
+        (care & taken, "reduce", c("start_dose"), "caution"),
+        (care, "avoid_start", None, "caution"),
+        (~taken, "start", c("start_dose"), "eligible"),
+        (below, "increase", best, "eligible"),
+        (F.lit(True), "maintain", best, "at_target"),
+    ]
+    out = F.lit(None).cast("struct<action:string,dose:string,status:string>")
+    for cond, action, dose, state in reversed(rules):
+        out = F.when(cond, F.struct(F.lit(action).alias("action"), (F.lit(None).cast("string") if dose is None else dose).alias("dose"), F.lit(state).alias("status"))).otherwise(out)
+    return patients.withColumn("_mra", out).select(*patients.columns, "_mra.*")

@@ -38,3 +38,54 @@ def best_sentences(questions: DataFrame, contexts: DataFrame, limit: int = 3) ->
     order = [F.col("overlap").desc(), F.length("sentence").desc(), F.col("ord"), F.col("at")]
     ranked = top(first_of(said, ["query_id", "sentence"], order), ["query_id"], order, limit)
     return ranked.where("rank = 1 OR overlap > 0").select("query_id", "sentence", "overlap", "rank")
+
+
+# Words of answers that name an action, beginnings of those that say they don't know, and phrases of generic ones.
+ACTIONS = "monitor|review|assess|reassess|trend|follow-up|follow up|evaluate|check|prioritize|seek|consider|tolerance|contributors".split("|")
+UNKNOWN = ("based on the provided context, i don't know", "based on the provided context i don't know", "i can't give a grounded answer from the provided context", "i cannot give a grounded answer from the provided context")
+GENERIC = ("the main value abnormalities point to a clinically relevant pattern", "interpreted as a whole rather than marker by marker", "use the retrieved guidance to prioritize the most abnormal findings first", "review these results together with symptoms", "key missing context that could change the recommendation")
+
+
+def actionable(answer: Column) -> Column:
+    """Does an answer name an action?"""
+    low = F.lower(F.coalesce(answer, F.lit("")))
+    return F.exists(F.array(*map(F.lit, ACTIONS)), lambda x: F.contains(low, x))
+
+
+def says_unknown(answer: Column) -> Column:
+    low = F.regexp_replace(F.trim(F.lower(F.coalesce(answer, F.lit("")))), r"\s+", " ")
+    return F.exists(F.array(*map(F.lit, UNKNOWN)), lambda x: F.startswith(low, x))
+
+
+def generic(answer: Column) -> Column:
+    """Has an answer two or more of the generic phrases?"""
+    low = F.lower(F.coalesce(answer, F.lit("")))
+    return F.size(F.filter(F.array(*map(F.lit, GENERIC)), lambda x: F.contains(low, x))) >= 2
+
+
+def judged_contexts(questions: DataFrame, contexts: DataFrame, least: int = 3) -> DataFrame:
+    """(query_id, n, hits, reasons, sufficient, confidence): do a question's contexts (query_id, title, snippet) cover it?
+
+    questions (query_id, text, profile_terms). A context is a hit if it shares a word with the question, or else names one
+    of the profile's terms.
+    """
+    q = questions.select("query_id", terms(F.col("text"), SEARCH_STOPWORDS).alias("q"), F.coalesce("profile_terms", F.array().cast("array<string>")).alias("p"))
+    said = F.lower(F.concat_ws(" ", "title", "snippet"))
+    c = contexts.select("query_id", said.alias("said"), terms(said, SEARCH_STOPWORDS).alias("words"))
+    met = q.join(c, "query_id", "left").withColumn("hit", F.arrays_overlap("q", "words") | F.exists("p", lambda t: F.contains(F.col("said"), F.lower(t))))
+    per = met.groupBy("query_id").agg(F.count("said").alias("n"), F.count_if("hit").alias("hits"))
+    few, none = F.when(F.col("n") < least, "too_few_context_chunks"), F.when(F.col("hits") == 0, "no_clear_query_term_overlap")
+    out = per.withColumn("reasons", F.array_compact(F.array(few, none)))
+    bad = F.size("reasons")
+    confidence = F.when(bad > 1, "low").when(bad == 1, "medium").when(F.col("n") >= max(3, least), "high").otherwise("medium")
+    return out.withColumns({"sufficient": bad == 0, "confidence": confidence})
+
+
+def ranked_contexts(questions: DataFrame, contexts: DataFrame, limit: int) -> DataFrame:
+    """(query_id, ord, score, rank): contexts by shared words and, at one and a half, profile terms; those without score only if nothing else is there."""
+    q = questions.select("query_id", terms(F.col("text"), SEARCH_STOPWORDS).alias("q"), F.coalesce("profile_terms", F.array().cast("array<string>")).alias("p"))
+    said = F.lower(F.concat_ws(" ", "title", "snippet"))
+    c = contexts.select("query_id", "ord", said.alias("said"), terms(said, SEARCH_STOPWORDS).alias("words")).join(q, "query_id")
+    score = F.size(F.array_intersect("q", "words")) + 1.5 * F.size(F.filter("p", lambda t: F.contains(F.col("said"), F.lower(t))))
+    ranked = top(c.select("query_id", "ord", score.alias("score")), ["query_id"], [F.col("score").desc(), F.col("ord")], limit)
+    return ranked.where("score > 0 OR rank = 1")

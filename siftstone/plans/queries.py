@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftstone.functions.text import ANSWER_STOPWORDS, SEARCH_STOPWORDS, tokens
-from siftstone.operators import campaigns, chunking, cleaning, clinical, datasets, dosing, guidance, mapping, retrieval, scoring, telemetry
+from siftstone.operators import campaigns, chunking, cleaning, clinical, datasets, dosing, guidance, indexing, mapping, retrieval, scoring, telemetry
 from siftstone.sources import documents, stores
 from siftstone.streaming import jobs
 
@@ -474,6 +474,55 @@ def _(t):
     return guidance.best_sentences(t("benchmark").select(F.col("item_id").alias("query_id"), "text"), contexts)
 
 
+@query("cli08_clusters", f"WITH {_PROFILE} SELECT patient_id, key, CASE key WHEN 'hb' THEN 'Anemia and iron status' WHEN 'eGFR' THEN 'Cardio-renal and electrolyte safety' ELSE 'Other findings' END AS cluster FROM f WHERE status IN ('low', 'high')")
+def _(t):
+    return _profile(t).where(F.col("status").isin("low", "high")).select("patient_id", "key", clinical.cluster(F.col("key"), F.col("label")).alias("cluster"))
+
+
+@query("dos08_dose_texts", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) || '-' || CAST(p_size + 5 AS VARCHAR) ELSE CAST(p_size AS VARCHAR) END || ' mg o.d.' AS target, CASE WHEN p_size % 2 = 0 THEN p_size + 5 ELSE p_size END::DOUBLE AS value, CAST(p_size AS VARCHAR) || '.5 mg b.i.d.' AS start, CAST(p_size AS VARCHAR) || '/51 mg b.i.d.' AS combined, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) || '-' || CAST(p_size + 5 AS VARCHAR) ELSE CAST(p_size AS VARCHAR) END || ' mg daily' AS loop FROM part")
+def _(t):
+    s, more = F.col("p_size").cast("string"), (F.col("p_size") + 5).cast("string")
+    both = F.when(F.col("p_size") % 2 == 0, F.concat(s, F.lit(" – "), more)).otherwise(s)
+    line = F.concat(F.lit("Start: starting dose "), s, F.lit(".5 mg b.i.d., Target Dose  "), both, F.lit(" mg o.d.; main dose "), s, F.lit("/51 mg B.i.d. usual dose "), both, F.lit(" mg"))
+    return t("part").select("p_partkey", dosing.target_dose(line)["text"].alias("target"), dosing.target_dose(line)["value"].alias("value"), dosing.labelled_dose(line, "starting dose")["text"].alias("start"), dosing.combined_dose(line, "main dose")["text"].alias("combined"), dosing.dose_range(line, "usual dose")["text"].alias("loop"))
+
+
+@query("dos11_mra_actions", "WITH p AS (SELECT c_custkey, 3 + (c_custkey % 31) / 10 AS k, 30 + c_custkey % 40 AS e, c_custkey % 3 * 25 AS d, c_custkey % 11 <> 0 AS known FROM customer) SELECT c_custkey, CASE WHEN NOT known THEN 'not_grounded' WHEN (k > 6.0 OR e < 20) THEN CASE WHEN d <> 0 THEN 'stop' ELSE 'avoid_start' END WHEN k > 5.5 OR k >= 5.5 - 0.2 OR e < 30 OR e <= 30 + 5 THEN CASE WHEN d <> 0 THEN 'reduce' ELSE 'avoid_start' END WHEN d = 0 THEN 'start' WHEN d < 50 THEN 'increase' ELSE 'maintain' END AS action FROM p")
+def _(t):
+    k = F.col("c_custkey")
+    num = lambda x: F.lit(x).cast("double")
+    patients = t("customer").select(
+        k, (3 + (k % 31) / 10).alias("potassium"), F.lit(None).cast("double").alias("creatinine"), (30 + k % 40).cast("double").alias("egfr"), (k % 3 * 25).cast("double").alias("current"), F.lit("25 mg o.d.").alias("start_dose"), F.lit("50 mg o.d.").alias("target_dose"), num(50).alias("target_value"), (k % 11 != 0).alias("grounded"),
+        num(6.0).alias("stop_potassium"), num(5.5).alias("caution_potassium"), num(3.5).alias("stop_creatinine"), num(2.5).alias("caution_creatinine"), num(20).alias("stop_egfr"), num(30).alias("caution_egfr"),
+    )
+    return dosing.mra_actions(patients).select("c_custkey", "action")
+
+
+@query("gui12_answer_predicates", f"SELECT conv_id, turn, len(list_filter({_list(guidance.ACTIONS)}, lambda x: contains(lower(coalesce(text, '')), x))) > 0 AS actionable FROM conversations")
+def _(t):
+    return t("conversations").select("conv_id", "turn", guidance.actionable(F.col("text")).alias("actionable"))
+
+
+def _asked(t) -> tuple[DataFrame, DataFrame]:
+    contexts = _bm25(t, 5).join(t("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("snippet"), F.col("lang").alias("title")), "id").select("query_id", F.col("rank").alias("ord"), "title", "snippet")
+    return t("benchmark").select(F.col("item_id").alias("query_id"), "text", F.array(F.substring("text", 1, 6)).alias("profile_terms")), contexts
+
+
+@query("ret13_context_judgement")
+def _(t):
+    return guidance.judged_contexts(*_asked(t))
+
+
+@query("ret14_context_ranking")
+def _(t):
+    return guidance.ranked_contexts(*_asked(t), 3)
+
+
+@query("src11_index_chunks")
+def _(t):
+    return indexing.indexed(indexing.prepared(_sources(t), "basic", "naive", 2000, 0))
+
+
 # --- Datasets and mapping ---
 
 

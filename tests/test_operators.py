@@ -242,3 +242,37 @@ def test_point_ids(spark):
 
     for name in ("a-chunk-0", "ä", ""):
         assert one(spark, stores.point_id(F.col("t")), t=name) == str(uuid.uuid5(uuid.NAMESPACE_URL, name))
+
+
+def test_dose_lines(spark):
+    line = F.lit("Bisoprolol: starting dose 1.25 mg o.d., target dose 5–10 mg O.D.; loop starting dose 20-40 mg; target dose 97/103 mg b.i.d.")
+    got = spark.range(1).select(dosing.labelled_dose(line, "starting dose").alias("a"), dosing.target_dose(line).alias("b"), dosing.combined_dose(line, "target dose").alias("c"), dosing.dose_range(line, "loop starting dose").alias("d"), dosing.labelled_dose(line, "none").alias("e")).first()
+    assert tuple(got.a) == ("1.25 mg o.d.", 1.25, "o.d.") and tuple(got.b) == ("5-10 mg o.d.", 10.0, "o.d.")
+    assert tuple(got.c) == ("97/103 mg b.i.d.", 97.0, "b.i.d.") and tuple(got.d) == ("20-40 mg daily", 20.0, 40.0) and tuple(got.e) == (None, None, None)
+    contexts = spark.createDataFrame([(1, 0, "Intro\nBeta: 1 mg"), (1, 1, "beta again"), (2, 0, "x"), (2, 1, "y")], "request_id long, ord int, snippet string")
+    agents = spark.createDataFrame([(1, "beta"), (2, "beta"), (3, "beta")], "request_id long, agent string")
+    assert rows(dosing.agent_line(contexts, agents), "request_id", "line") == [(1, "Beta: 1 mg"), (2, "x\ny"), (3, "")]
+
+
+def test_judging_and_ranking(spark):
+    q = spark.createDataFrame([(1, "potassium dose", ["eGFR"]), (2, "else", None)], "query_id long, text string, profile_terms array<string>")
+    c = spark.createDataFrame([(1, 0, "T", "nothing"), (1, 1, "Potassium", "dose of egfr"), (1, 2, None, "egfr low")], "query_id long, ord int, title string, snippet string")
+    got = {r.query_id: r for r in guidance.judged_contexts(q, c).collect()}
+    assert (got[1].n, got[1].hits, got[1].sufficient, got[1].confidence) == (3, 2, True, "high")
+    assert got[2].reasons == ["too_few_context_chunks", "no_clear_query_term_overlap"] and got[2].confidence == "low"
+    assert rows(guidance.ranked_contexts(q, c, 3), "rank", "ord", "score") == [(1, 1, 3.5), (2, 2, 1.5)]
+    assert one(spark, guidance.says_unknown(F.col("t")), t="Based on the  provided context, I don't know.") and not one(spark, guidance.generic(F.col("t")), t="Review these results together with symptoms")
+
+
+def test_index(spark):
+    from siftstone.operators import indexing
+
+    docs = spark.createDataFrame([("a", "heart failure dose"), ("b", " "), ("c", "the of")], "source_id string, text string")
+    index = indexing.indexed(indexing.prepared(docs))
+    got = {r.source_id: r.embedding for r in index.collect()}
+    assert set(got) == {"a", "c"} and sum(x * x for x in got["a"]) == pytest.approx(1) and not any(got["c"])
+    assert indexing.index_model(index) == "hashed-256"
+    with pytest.raises(ValueError, match="empty"):
+        indexing.index_model(index.limit(0))
+    with pytest.raises(ValueError, match="several"):
+        indexing.index_model(index.unionByName(index.withColumn("embedding_model", F.lit("other"))))
