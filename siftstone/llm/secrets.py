@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import free_name, table, with_columns
+from .shared import free_name, small_batches, table, with_columns
 from .textcols import SLICE, buffers, slices
 
 
@@ -297,6 +297,7 @@ def redact(df: DataFrame, text_col: str = "text", mask: str = "<SECRET>") -> Dat
 
         return work
 
+    small_batches(df.sparkSession)
     at, names = df.columns.index(text_col), df.columns
 
     def run(batches):

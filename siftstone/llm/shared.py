@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_ID = 2**63 - 1
+#: Rows of an Arrow batch. Documents are wide: Spark's default of 10,000 makes batches of tens of megabytes, several copies of which are held at a time.
+BATCH_SETTING, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,9 +54,17 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Has the session make batches of BATCH_ROWS, unless it was given another size than Spark's default."""
+    if spark.conf.get(BATCH_SETTING, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+
+
 def per_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str | T.StructType) -> DataFrame:
     """df.mapInArrow; make() runs once in a task and returns what turns a batch into batches."""
 
+    small_batches(df.sparkSession)
+
     def run(batches):
         work = make()
         for batch in batches:
@@ -66,6 +76,7 @@ def per_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
 
 def with_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[], Callable[[pa.Array], list[pa.Array]]]) -> DataFrame:
     """df with columns added that are computed from its text column, in Arrow batches; all other columns pass through."""
+    small_batches(df.sparkSession)
     at = df.columns.index(text)
     names = [*df.columns, *(f.name for f in fields)]
 
