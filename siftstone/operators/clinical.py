@@ -90,3 +90,16 @@ def cluster(key: Column, label: Column) -> Column:
             fits = fits | F.contains(F.lower(F.coalesce(label, F.lit(""))), F.lit(BY_LABEL[name]))
         out = F.when(fits, name).otherwise(out)
     return out
+
+
+# Keys that speak for a field.
+CARDIAC = "bnp nt_pro_bnp ef lvef nyha edema rales orthopnea jugularvein_01 hepatomegaly qrsduur heart_rate heartrate bpsyst bpdiast sbp dbp afib_bl bundeltakblok pm_rhythm_ecg pacemaker_bl valvhd ischaemic hist_mi cabg angina01 dosebb_prev rasdose_prev dosespiro_prev loop_dose_prev sglt2dose_prev arnidose_prev potassium sodium crea creatinine urea cysc cystatin_c hstnt hscrp hs_crp crp il6 il_6"
+GLYCEMIC = "glucose hba1c diabetes"
+RENAL = "crea creatinine urea cysc cystatin_c kidney_disease potassium sodium"
+
+
+def specialty(keys: Column, heart_failure_context: Column) -> Column:
+    """heart_failure, metabolic, renal or general, by how many of a patient's distinct keys speak for each; contexts about heart failure count as three."""
+    n = lambda names: F.size(F.array_intersect(keys, F.array(*map(F.lit, names.split()))))
+    cardiac = n(CARDIAC) + F.when(heart_failure_context, 3).otherwise(0)
+    return F.when(cardiac >= F.greatest(n(GLYCEMIC) + 1, n(RENAL), F.lit(2)), "heart_failure").when(n(GLYCEMIC) >= 2, "metabolic").when(n(RENAL) >= 2, "renal").otherwise("general")

@@ -63,3 +63,16 @@ def problems(cases: DataFrame, required: list[str], key: str = "case_id", answer
     if size is not None:
         out.append(cases.agg(F.count("*").alias("n")).where(F.col("n") != size).select(F.lit(None).cast("string").alias("case"), F.format_string("%d cases, not %d", F.col("n"), F.lit(size)).alias("problem")))
     return reduce(DataFrame.unionByName, out)
+
+
+def appended(old: DataFrame, new: DataFrame, key: str, order: str, prefix: str = "case") -> DataFrame:
+    """old and new rows; new ones whose ids are taken, by old rows or by new ones before them, get the next free numbers after all ids of the form prefix-number."""
+    line = Window.partitionBy(key).orderBy(order)
+    taken = old.select(key).distinct().withColumn("_taken", F.lit(True))
+    marked = new.join(taken, key, "left").withColumn("_again", F.col("_taken").isNotNull() | (F.row_number().over(line) > 1))
+    number = F.regexp_extract(F.col(key), rf"^{prefix}-(\d+)$", 1).try_cast("long")
+    last = old.select(key).unionByName(new.select(key)).agg(F.coalesce(F.max(number), F.lit(0)).alias("_last"))
+    # Only the rows that need one are numbered.
+    place = F.row_number().over(Window.orderBy(order))
+    renamed = marked.where("_again").withColumn("_n", place).crossJoin(F.broadcast(last)).withColumn(key, F.concat(F.lit(f"{prefix}-"), F.lpad((F.col("_last") + F.col("_n")).cast("string"), 3, "0")))
+    return old.unionByName(marked.where("NOT _again").select(old.columns)).unionByName(renamed.select(old.columns))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .retrieval import first_of, top
@@ -137,3 +137,21 @@ def mra_actions(patients: DataFrame) -> DataFrame:
     for cond, action, dose, state in reversed(rules):
         out = F.when(cond, F.struct(F.lit(action).alias("action"), (F.lit(None).cast("string") if dose is None else dose).alias("dose"), F.lit(state).alias("status"))).otherwise(out)
     return patients.withColumn("_mra", out).select(*patients.columns, "_mra.*")
+
+
+def cautions(recommendations: DataFrame) -> DataFrame:
+    """Per request: recommendations that are contraindicated or need care, in order of their families, and the agents that were assumed."""
+    careful = F.col("status").isin("contraindicated", "caution") & F.col("note").isNotNull()
+    return recommendations.groupBy("request_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.when(careful, F.struct("family", "drug", "note")))), lambda x: F.concat(x["drug"], F.lit(": "), x["note"])).alias("cautions"),
+        F.array_sort(F.collect_set(F.when(F.col("assumed"), F.col("drug")))).alias("assumed_agents"),
+    )
+
+
+def grounded_contexts(contexts: DataFrame, evidence: DataFrame, most: int = 12) -> DataFrame:
+    """The contexts (request_id, ord, chunk_id) that evidence (request_id, at, chunk_id) names, in its order, at most `most`; for a request without any, its first ones."""
+    at = evidence.groupBy("request_id", "chunk_id").agg(F.min("at").alias("_at"))
+    marked = contexts.join(at, ["request_id", "chunk_id"], "left")
+    named = F.max(F.col("_at").isNotNull()).over(Window.partitionBy("request_id"))
+    kept = marked.withColumn("_named", named).where(F.col("_at").isNotNull() | ~F.col("_named"))
+    return top(kept, ["request_id"], [F.col("_at").asc_nulls_last(), F.col("ord")], most).drop("_at", "_named")

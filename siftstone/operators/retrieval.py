@@ -137,3 +137,14 @@ def contexts(payloads: DataFrame) -> DataFrame:
 def distinct_contexts(items: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first of equal contexts (source_id, chunk_id, snippet) within keys, in a stated order; null equals null."""
     return first_of(items, [*keys, "source_id", "chunk_id", "snippet"], order)
+
+
+def until_sufficient(hits: DataFrame, judged: DataFrame, keys: list[str]) -> DataFrame:
+    """Contexts of a request's queries up to the first one whose contexts so far suffice, each context once.
+
+    hits (request_id, query_index, rank, and keys that identify a context); judged (request_id, query_index, sufficient).
+    All queries are run; which of them count is decided afterwards, so no request waits for its own last query.
+    """
+    stop = judged.where("sufficient").groupBy("request_id").agg(F.min("query_index").alias("_stop"))
+    kept = hits.join(stop, "request_id", "left").where(F.col("_stop").isNull() | (F.col("query_index") <= F.col("_stop"))).drop("_stop")
+    return first_of(kept, ["request_id", *keys], [F.col("query_index"), F.col("rank")])

@@ -190,3 +190,21 @@ def ingestion_summary(chunks: DataFrame, documents_found: int | None = None) ->
     docs = F.count("*") if documents_found is None else F.lit(documents_found)
     of = per.agg(F.count("*").alias("document_count"), *(F.coalesce(f("n"), F.lit(0)).cast("double").alias(f"{n}_chunks_per_document") for n, f in (("average", F.avg), ("min", F.min), ("max", F.max))), F.when(docs > 0, F.count_if(F.col("pages") > 0) / docs).otherwise(0.0).alias("page_coverage_ratio"))
     return length.crossJoin(of)
+
+
+def summarised(cases: DataFrame, keys: list[str], means: list[str], rates: dict[str, Column], among: dict[str, Column] | None = None) -> DataFrame:
+    """Averages and rates of cases, per keys or over all. Nulls aren't counted, and without any value the average is 0.
+
+    rates: by name a condition whose share of all cases is given; among: by name of an average or a rate the cases that it is taken over.
+    """
+    of = lambda n, x: F.when((among or {})[n], x) if n in (among or {}) else x
+    zero = F.lit(0.0)
+    averages = [F.coalesce(F.avg(of(n, F.col(n).cast("double"))), zero).alias(n) for n in means]
+    shares = [F.coalesce(F.avg(of(n, F.when(c, 1.0).otherwise(0.0))), zero).alias(n) for n, c in rates.items()]
+    return cases.groupBy(*keys).agg(F.count("*").alias("case_count"), *averages, *shares)
+
+
+def metric_rows(summaries: DataFrame, key: str, names: dict[str, str], seconds: tuple[str, ...] = ()) -> DataFrame:
+    """(key, metric, value): columns by their metrics' names, nulls as 0, those in seconds as milliseconds."""
+    value = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * (1000.0 if c in seconds else 1.0)
+    return summaries.select(key, *(value(c).alias(m) for c, m in names.items())).unpivot([key], [F.col(f"`{m}`") for m in names.values()], "metric", "value")

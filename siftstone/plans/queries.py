@@ -291,9 +291,15 @@ def _(t):
     return _rounded(scoring.stage_latencies(stages), "name", "stages", "completed_count")
 
 
-@query("sco11_summary", "SELECT l_returnflag, count(*) AS cases, round(avg(CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0.0 END), 6) AS success_rate, round(coalesce(avg(CASE WHEN l_tax > 0 THEN l_quantity END), 0), 6) AS average_quantity FROM lineitem GROUP BY 1")
+@query("sco11_summary", "SELECT l_returnflag, count(*) AS case_count, round(coalesce(avg(CASE WHEN l_tax > 0 THEN l_quantity END), 0), 6) AS l_quantity, round(avg(CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0.0 END), 6) AS strict_success_rate FROM lineitem GROUP BY 1")
 def _(t):
-    return t("lineitem").groupBy("l_returnflag").agg(F.count("*").alias("cases"), F.round(F.avg(F.when(F.col("l_discount") > 0.05, 1.0).otherwise(0.0)), 6).alias("success_rate"), F.round(F.coalesce(F.avg(F.when(F.col("l_tax") > 0, F.col("l_quantity"))), F.lit(0.0)), 6).alias("average_quantity"))
+    out = scoring.summarised(t("lineitem"), ["l_returnflag"], ["l_quantity"], {"strict_success_rate": F.col("l_discount") > 0.05}, {"l_quantity": F.col("l_tax") > 0})
+    return out.select("l_returnflag", "case_count", F.round("l_quantity", 6).alias("l_quantity"), F.round("strict_success_rate", 6).alias("strict_success_rate"))
+
+
+@query("sco12_metric_rows", "SELECT p_partkey, unnest(['retrieval.size', 'api.price_ms']) AS metric, unnest([coalesce(p_size, 0)::DOUBLE, round(p_retailprice * 1000, 4)]) AS value FROM part")
+def _(t):
+    return scoring.metric_rows(t("part"), "p_partkey", {"p_size": "retrieval.size", "p_retailprice": "api.price_ms"}, ("p_retailprice",)).withColumn("value", F.round("value", 4))
 
 
 @query("sco13_ingestion_summary", r"WITH r AS (SELECT source AS doc, len(regexp_extract_all(coalesce(text, ''), '[^\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+')) AS words FROM documents), p AS (SELECT coalesce(doc, 'unknown') AS doc, count(*) AS n FROM r GROUP BY 1) SELECT (SELECT count(*) FROM r) AS chunk_count, (SELECT round(avg(words), 6) FROM r) AS average_chunk_length, (SELECT median(words)::DOUBLE FROM r) AS median_chunk_length, (SELECT max(words)::DOUBLE FROM r) AS max_chunk_length, count(*) AS document_count, round(avg(n), 6) AS average_chunks_per_document, max(n)::DOUBLE AS max_chunks_per_document FROM p")
@@ -523,9 +529,44 @@ def _(t):
     return indexing.indexed(indexing.prepared(_sources(t), "basic", "naive", 2000, 0))
 
 
+@query("cli09_specialty", "SELECT c_custkey AS patient_id, CASE WHEN c_custkey % 3 = 0 THEN 'heart_failure' WHEN c_custkey % 3 = 1 THEN CASE WHEN c_custkey % 2 = 0 THEN 'heart_failure' ELSE 'metabolic' END ELSE 'general' END AS specialty FROM customer")
+def _(t):
+    k = F.col("c_custkey")
+    keys = F.when(k % 3 == 0, F.array(F.lit("ef"), F.lit("potassium"))).when(k % 3 == 1, F.array(F.lit("glucose"), F.lit("hba1c"))).otherwise(F.array(F.lit("age")))
+    return t("customer").select(k.alias("patient_id"), clinical.specialty(keys, (k % 3 == 1) & (k % 2 == 0)).alias("specialty"))
+
+
+@query("dos14_grounded_contexts", "WITH c AS (SELECT o_custkey AS request_id, o_orderkey AS ord, CASE WHEN o_orderstatus = 'P' THEN o_totalprice END AS pos, max(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey) AS named FROM orders) SELECT request_id, ord, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY pos NULLS LAST, ord) AS rank FROM c WHERE pos IS NOT NULL OR named = 0) WHERE rank <= 12")
+def _(t):
+    contexts = t("orders").select(F.col("o_custkey").alias("request_id"), F.col("o_orderkey").alias("ord"), F.col("o_orderkey").cast("string").alias("chunk_id"))
+    evidence = t("orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("request_id"), F.col("o_totalprice").alias("at"), F.col("o_orderkey").cast("string").alias("chunk_id"))
+    return dosing.grounded_contexts(contexts, evidence).select("request_id", "ord", "rank")
+
+
+@query("ret15_until_sufficient", "WITH s AS (SELECT l_orderkey, min(l_linenumber) AS stop FROM lineitem WHERE l_quantity > 40 GROUP BY 1), k AS (SELECT l.l_orderkey AS request_id, l_linenumber AS query_index, l_suppkey AS chunk_id, row_number() OVER (PARTITION BY l.l_orderkey, l_suppkey ORDER BY l_linenumber, l_partkey) AS r FROM lineitem l LEFT JOIN s USING (l_orderkey) WHERE stop IS NULL OR l_linenumber <= stop) SELECT request_id, query_index, chunk_id FROM k WHERE r = 1")
+def _(t):
+    hits = t("lineitem").select(F.col("l_orderkey").alias("request_id"), F.col("l_linenumber").alias("query_index"), F.col("l_partkey").alias("rank"), F.col("l_suppkey").alias("chunk_id"))
+    judged = t("lineitem").select(F.col("l_orderkey").alias("request_id"), F.col("l_linenumber").alias("query_index"), (F.col("l_quantity") > 40).alias("sufficient"))
+    return retrieval.until_sufficient(hits, judged, ["chunk_id"]).select("request_id", "query_index", "chunk_id")
+
+
 # --- Datasets and mapping ---
 
 
+@query("map10_labels", "WITH m AS (SELECT o_custkey AS case_id, o_orderkey AS rank, (o_orderkey % 9) / 10 AS c, o_totalprice > 100000 AS s FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY case_id, s ORDER BY rank) AS pos FROM m) SELECT case_id, rank, CASE WHEN s THEN CASE WHEN c > 0.6 THEN 'direct_evidence' ELSE 'partial_direct_evidence' END WHEN c >= 0.5 THEN 'supporting' WHEN c >= 0.25 THEN 'tangential' ELSE 'irrelevant' END AS label FROM r WHERE s OR pos <= 2")
+def _(t):
+    ranked = t("orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("rank"), (F.col("o_orderkey") % 9 / 10).alias("multiset_coverage"), "o_totalprice")
+    return mapping.labelled(ranked, F.col("o_totalprice") > 100000, F.col("multiset_coverage") > 0.6, 2).select("case_id", "rank", "label")
+
+
+@query("ds10_appended", "SELECT 'case-' || lpad(CAST(s_suppkey AS VARCHAR), 3, '0') AS case_id, s_name FROM supplier UNION ALL SELECT 'case-' || lpad(CAST(m + row_number() OVER (ORDER BY s_name) AS VARCHAR), 3, '0'), s_name FROM supplier, (SELECT max(s_suppkey) AS m FROM supplier) WHERE s_suppkey % 2 = 0 UNION ALL SELECT 'other-' || s_suppkey, s_name FROM supplier WHERE s_suppkey % 2 = 1")
+def _(t):
+    name = F.concat(F.lit("case-"), F.lpad(F.col("s_suppkey").cast("string"), 3, "0"))
+    old = t("supplier").select(name.alias("case_id"), "s_name")
+    new = t("supplier").select(F.when(F.col("s_suppkey") % 2 == 0, name).otherwise(F.concat(F.lit("other-"), F.col("s_suppkey"))).alias("case_id"), "s_name")
+    return datasets.appended(old, new, "case_id", "s_name")
+
+
 @query("ds01_passages")
 def _(t):
     return datasets.passages(t("documents").select(F.col("source").alias("source_id"), F.col("doc_id").alias("page_number"), "text"))
