@@ -114,18 +114,19 @@ def quick_shingle_fingerprints(data: np.ndarray, offsets: np.ndarray, k: int = S
     return _majority(Sequences(word_hashes(low, starts, ends)).of(first, first + np.repeat(np.minimum(number, k), count)), at)
 
 
-def fingerprints(df: DataFrame, text_col: str = "text", how=shingle_fingerprints, out: str = "fp") -> DataFrame:
-    """df with a column of fingerprints as signed longs."""
+def fingerprints(df: DataFrame, text_col: str = "text", **hows) -> DataFrame:
+    """df with columns of fingerprints as signed longs, by name how each is made. All are made in one pass, by one Python worker."""
 
     def make():
         def work(texts):
             data, offsets = buffers(texts)
-            parts = [how(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in slices(offsets)]
-            return [pa.array((np.concatenate(parts) if parts else np.zeros(0, np.uint64)).view(np.int64))]
+            parts = [[how(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for how in hows.values()] for i, j in slices(offsets)]
+            columns = [np.concatenate(x) for x in zip(*parts, strict=True)] or [np.zeros(0, np.uint64)] * len(hows)
+            return [pa.array(c.view(np.int64)) for c in columns]
 
         return work
 
-    return with_columns(df, text_col, [T.StructField(out, T.LongType())], make)
+    return with_columns(df, text_col, [T.StructField(n, T.LongType()) for n in hows], make)
 
 
 def _bounds(m: int) -> list[tuple[int, int]]:
@@ -255,7 +256,7 @@ def classes(prints: DataFrame, radius: int = RADIUS, m: int = SEGMENTS, limit: i
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how=shingle_fingerprints, radius: int = RADIUS, m: int = SEGMENTS) -> DataFrame:
     """One row per document: doc_id, fp, component_id."""
-    prints = written(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", how).select("doc_id", "fp"))
+    prints = written(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", fp=how).select("doc_id", "fp"))
     return prints.join(classes(prints, radius, m).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
@@ -321,9 +322,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     number, sign = F.coalesce(F.col("doc_id"), F.lit(MAX_ID)), F.xxhash64(F.coalesce("text", F.lit("")))
     bodies = docs.select(number.alias("_sd"), sign.alias("_st"), "text")
-    prints = fingerprints(bodies, "text", word_fingerprints, "fp1")
-    prints = fingerprints(fingerprints(prints, "text", other_fingerprints, "fp2"), "text", quick_shingle_fingerprints, "fp3")
-    prints = written(prints.drop("text"))
+    prints = written(fingerprints(bodies, "text", fp1=word_fingerprints, fp2=other_fingerprints, fp3=quick_shingle_fingerprints).drop("text"))
     # One row per text: all its further documents are copies.
     texts = written(prints.groupBy("_st").agg(F.min("_sd").alias("_sd"), F.min("fp1").alias("fp1"), F.min("fp2").alias("fp2"), F.min("fp3").alias("fp3")))
     # Shorter segments make fewer and larger keys; the links are the same either way.
