@@ -31,17 +31,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import per_batch, remainder, table, written
+from .shared import remainder, small_batches, table, written
 from .textcols import LOWER, Lookup, U, buffers, counted, merged, slices, summed, word_hashes, words
 
 DEPTH = 5
 KEY_DEPTH = 2
-BLOCK_BYTES = 40 << 20
+BLOCK_BYTES = 32 << 20
 FOLDS, HELD_OUT = 7, 2
 #: Entries that a task counts before it adds equal ones up, and grams of which a task makes subtrees at a time.
 HELD_ENTRIES, CHUNK = 4 << 20, 1 << 20
 #: Bytes that are counted at a time: larger pieces repeat more.
-PIECE = 1 << 21
+PIECE = 1 << 20
 #: Never part of UTF-8.
 END = 255
 GRAM, WORD = 0, 1
@@ -260,7 +260,7 @@ def code_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     learns: a condition on docs' columns, true for documents to learn from; all by default.
     """
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     held = ~F.coalesce(learns, F.lit(False)) if learns is not None else F.lit(False)
     keyed = docs.select(F.col(id_col).alias("id"), held.alias("held"), text.alias("text"))
@@ -286,7 +286,7 @@ def code_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         out = []
         for batch in texts.combine_chunks().to_batches():
             data, offsets = buffers(batch.column(batch.schema.get_field_index("text")))
-            for i, j in slices(offsets, PIECE):
+            for i, j in slices(offsets):
                 part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 n = np.arange(j - i + 1)
                 score = summed(length[by_gram.find(grams(part, at))], at + n)
