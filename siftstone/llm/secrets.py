@@ -8,7 +8,7 @@ so the outcome is that of the sequential scan. Only texts in which a rule was re
 rule's own expression, which gives the exact spans.
 
 Base rules: `assign`, `access` and `hex`, leftmost non-overlapping each, with a least length; further rules: `github`,
-`slack`, `jwt` and `pem`. Offsets are code points, the end exclusive.
+`slack`, `jwt` and `pem`, which spans the whole key. Offsets are code points, the end exclusive.
 
 Defined cases: a null or empty text has no spans; repeated rows give repeated results; ties in start go by the order
 of the rules; an empty table gives no rows; columns other than id and text pass by unread.
@@ -48,6 +48,12 @@ class Rule:
 #: Letters in either case.
 _NAMES = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
 _ASSIGN = rf"""({_NAMES})["']?\x20*[:=]\x20*["']?"""
+#: A private key: its header, lines such as DEK-Info, base64 to the footer; where that is missing, all runs and lines of base64 that follow.
+_GAP, _CODE, _KIND = r"""(?:[\s>#*|"',]|\\[nrt])""", r"[A-Za-z0-9+/=]", r"[A-Z ]{0,20}PRIVATE KEY-----"
+_INFO = rf"(?:{_GAP}*+(?:[A-Z][A-Za-z]*-[A-Za-z-]+|Comment|Version): [^\r\n\\]*+)*+"
+_WHOLE = rf"{_INFO}(?:{_GAP}|{_CODE})*+-----END {_KIND}"
+_TORN = rf"(?:{_INFO}(?:{_GAP}*+{_CODE}{{16,}}+)++(?:{_GAP}++{_CODE}++[ \t]*+(?=[\r\n\\]|\Z))*+)?"
+_PEM = rf"-----BEGIN {_KIND}(?:{_WHOLE}|{_TORN})"
 RULES = (
     Rule("assign", _ASSIGN + r"([A-Za-z0-9+/_.=-]+)", _ASSIGN + r"[A-Za-z0-9+/_.=-]{4}", 2, 12, base=True),
     Rule("access", r"AKIA[A-Z0-9]+", r"AKIA[A-Z0-9]{14}", 0, 18, base=True),
@@ -55,7 +61,7 @@ RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{30,}", r"gh[pousr]_"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", r"xox[abprs]-"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*", r"eyJ"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", r"-----BEGIN "),
+    Rule("pem", _PEM, r"-----BEGIN "),
 )
 #: Never part of UTF-8; stands between texts and leads back to the start.
 BREAK = 255

@@ -1,5 +1,9 @@
+import random
+import string
+
 import hypothesis.strategies as st
 import numpy as np
+import pytest
 from hypothesis import given, settings
 
 from siftstone.llm import secrets
@@ -40,3 +44,21 @@ def test_odd_rows(spark, odd, empty):
     clean = {r.key: r.text for r in secrets.redact(odd).collect()}
     assert clean["k8"] == "<SECRET> and <SECRET>" and clean["k2"] is None and clean["k9"] == "one"
     assert secrets.find_secrets(empty).count() == secrets.redact(empty).count() == 0
+
+
+@pytest.mark.parametrize("footer", [True, False])
+@pytest.mark.parametrize(("kind", "info", "join"), [("RSA ", "", "\n"), ("", "", "\r\n"), ("ENCRYPTED ", "", "\\n"), ("OPENSSH ", "", "\n> "), ("EC ", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n", "\n"), ("DSA ", "", " ")])
+def test_redact_leaves_no_part_of_a_private_key(spark, kind, info, join, footer):
+    rng = random.Random(4)
+    lines = ["".join(rng.choices(string.ascii_letters + string.digits + "+/", k=64)) for _ in range(12)] + ["Qx7/" * 5 + "a9=="]
+    end = [f"-----END {kind}PRIVATE KEY-----"] if footer else []
+    key = join.join([f"-----BEGIN {kind}PRIVATE KEY-----", *(info + x if not i else x for i, x in enumerate(lines)), *end])
+    rows = [(1, f"Our key: {key}\nPlease, keep it safe."), (2, key), (3, "The line -----BEGIN RSA PRIVATE KEY----- opens a key, as it should.")]
+    clean = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert clean == {1: "Our key: <SECRET>\nPlease, keep it safe.", 2: "<SECRET>", 3: "The line <SECRET> opens a key, as it should."}
+    assert [(s, e) for s, k, e in secrets.spans(key, (1 << len(secrets.RULES)) - 1) if secrets.RULES[k].name == "pem"] == [(0, len(key))]
+
+
+def test_a_torn_key_goes_to_its_short_last_line():
+    text = "-----BEGIN RSA PRIVATE KEY-----\n" + ("Ab3+" * 16 + "\n") * 3 + "Zz9=\nBest wishes, A."
+    assert text[secrets.spans(text, 64)[0][2] :] == "\nBest wishes, A."
