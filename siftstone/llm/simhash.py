@@ -31,24 +31,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components
-from .shared import MAX_ID, free_name, table, with_columns, written
+from .shared import MAX_ID, free_name, small_batches, table, with_columns, written
 from .textcols import LOWER, Sequences, U, buffers, mixed, slices, word_hashes, words
 
 RADIUS, SHINGLE = 2, 3
 SEGMENTS = 5
 KEY_LIMIT = 2048
-#: Of the pipeline's stage: words of this many bytes at least, and the similarity of five-word shingles.
-STAGE_RADIUS, STAGE_LETTERS, STAGE_SHINGLE, SIMILARITY = 4, 4, 5, 0.8
-#: Shingle fingerprints of texts that similar differ in about ten bits, those of unrelated texts in 32.
-STAGE_WIDE = 18
-FEW_TEXTS = 2_000_000
+#: Of the pipeline's stage: the words of a shingle, and the similarity of shingle sets from which texts are near copies.
+STAGE_SHINGLE, SIMILARITY = 5, 0.8
+#: Common shingles come last in prefixes: those that STAGE_OFTEN texts and more have of one in STAGE_SAMPLE, at most MOST_COMMON.
+#: They only set the order, so which ones are known changes no result.
+STAGE_SAMPLE, STAGE_OFTEN, MOST_COMMON = 16, 16, 500_000
+#: Texts with one shingle in their prefixes that are compared as pairs; more are linked to the first.
+STAGE_PAIRS = 512
 #: Documents of a class that are judged at a time, and tasks over which the others of a class are spread.
 STAGE_HEADS, STAGE_SALTS = 128, 64
 
-LETTERS = np.zeros(256, dtype=bool)
-LETTERS[97:123] = LETTERS[128:] = True
-
-
 def _majority(hashes: np.ndarray, pointers: np.ndarray) -> np.ndarray:
     """The fingerprint of each range of hashes; 0 where it is empty."""
     out = np.zeros(len(pointers) - 1, dtype=np.uint64)
@@ -84,36 +82,6 @@ def shingle_fingerprints(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE
     return _majority(hashes, at)
 
 
-def word_fingerprints(data: np.ndarray, offsets: np.ndarray, least: int = STAGE_LETTERS, hashed=word_hashes) -> np.ndarray:
-    """Features: words of letters, of least bytes and more; in a text without such words, all its words."""
-    low = LOWER[data]
-    starts, ends, before = words(low, offsets, LETTERS)
-    long = ends - starts >= least
-    at = np.r_[0, np.cumsum(long)][before]
-    out = _majority(hashed(low, starts[long], ends[long]), at)
-    bare = np.flatnonzero(at[1:] == at[:-1])
-    if len(bare):
-        starts, ends, before = words(low, offsets)
-        out[bare] = _majority(hashed(low, starts, ends), before)[bare]
-    return out
-
-
-def other_fingerprints(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """word_fingerprints with hashes that don't depend on those."""
-    return word_fingerprints(data, offsets, hashed=lambda *x: mixed(word_hashes(*x) + U(0x2545F4914F6CDD1D)))
-
-
-def quick_shingle_fingerprints(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> np.ndarray:
-    """Like shingle_fingerprints, with polynomial hashes of the words instead of XXH64."""
-    low = LOWER[data]
-    starts, ends, before = words(low, offsets)
-    number = np.diff(before)
-    count = np.where(number >= k, number - k + 1, np.minimum(number, 1))
-    at = np.r_[0, np.cumsum(count)]
-    first = np.repeat(before[:-1] - at[:-1], count) + np.arange(at[-1])
-    return _majority(Sequences(word_hashes(low, starts, ends)).of(first, first + np.repeat(np.minimum(number, k), count)), at)
-
-
 def fingerprints(df: DataFrame, text_col: str = "text", **hows) -> DataFrame:
     """df with columns of fingerprints as signed longs, by name how each is made. All are made in one pass, by one Python worker."""
 
@@ -306,28 +274,202 @@ def first_ones(texts: pa.Array) -> np.ndarray:
     return np.array(out, dtype=bool)
 
 
-def _text_links(texts: DataFrame, column: str, m: int) -> DataFrame:
-    """Links (a, b) between texts, by their signs, whose fingerprints in this column are near and whose shingle fingerprints aren't far."""
-    prints = written(texts.groupBy(F.col(column).alias("fp"), F.col("fp3").alias("other")).agg(F.min("_st").alias("node")))
-    equal = texts.join(prints, (F.col(column) == F.col("fp")) & (F.col("fp3") == F.col("other"))).where("_st <> node").select(F.col("_st").alias("a"), F.col("node").alias("b"))
-    return equal.unionByName(links(prints, STAGE_RADIUS, m, wide=STAGE_WIDE))
+def _prefix(n):
+    """How many shingles of n, in any order that all texts share, hold one that a text of SIMILARITY or more also has among its own first ones."""
+    return n - np.ceil(SIMILARITY * n - 1e-9).astype(np.int64) + 1
+
+
+def _may_be_similar(n, m, differ):
+    """Whether sets of n and m shingles, of which at least differ are in one only, can reach SIMILARITY."""
+    return (np.minimum(n, m) >= SIMILARITY * np.maximum(n, m) - 1e-9) & ((1 + SIMILARITY) * differ <= (1 - SIMILARITY) * (n + m) + 1e-9)
+
+
+def _sketch(own: np.ndarray) -> bytes:
+    """For each residue of the hashes whether an odd number of them has it; a power of two of bits, as many as hashes at least.
+
+    Sketches of two sets differ in no more bits than there are hashes in one set only.
+    """
+    size = max(64, 1 << max(0, len(own) - 1).bit_length())
+    return np.packbits(np.bincount((own & U(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").tobytes()
+
+
+def _apart(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ, the longer one folded to the length of the other."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    short, long, bits = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * len(b)
+    while bits > 8 * len(a):
+        bits //= 2
+        long = long >> bits ^ long & (1 << bits) - 1
+    return (short ^ long).bit_count()
+
+
+#: Rows of the candidate search, by kind: a shingle in a prefix (x: shingle, y: text, z: its place and the number of shingles),
+#: one that is common (x, y), a link to judge without further look (x, y: texts), a pair (x < y), a sketch (x: text, y: number of shingles).
+_RARE, _COMMON, _LINK, _PAIR, _SKETCH = range(5)
+_ROWS = "kind int, x long, y long, z long, sketch binary"
+
+
+def _rows(parts: list[tuple]) -> pa.RecordBatch:
+    """One batch of (kind, x, y, z or None, sketches or None)."""
+    size = [len(x) for _, x, *_ in parts]
+    column = lambda k: np.concatenate([np.zeros(0, np.int64), *(np.zeros(n, np.int64) if p[k] is None else np.ascontiguousarray(p[k]).view(np.int64) for p, n in zip(parts, size, strict=True))])
+    sketches = pa.chunked_array([pa.array([None] * n if p[4] is None else p[4], pa.binary()) for p, n in zip(parts, size, strict=True)], pa.binary()).combine_chunks()
+    kinds = np.repeat(np.array([p[0] for p in parts], np.int32), size)
+    return pa.RecordBatch.from_arrays([pa.array(kinds), *(pa.array(column(k)) for k in (1, 2, 3)), sketches], names=["kind", "x", "y", "z", "sketch"])
+
+
+def _to_first(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys with the smallest node of each, and distinct links of the other nodes to it."""
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    first = np.repeat(node[at], np.diff(np.r_[at, len(key)]))
+    own = first != node
+    pairs = np.unique(np.c_[first[own], node[own]], axis=0)
+    return key[at], node[at], pairs[:, 0], pairs[:, 1]
+
+
+def common_shingles(bodies: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most common shingles of the texts of a sample, in order of their hashes, and how many texts of the sample have each."""
+
+    def run(batches):
+        for batch in batches:
+            sets = shingle_sets(batch["text"])
+            sign = np.repeat(batch["_st"].to_numpy(), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)), pa.array(sign)], names=["x", "st"])
+
+    some = bodies.where(F.pmod("_st", F.lit(STAGE_SAMPLE)) == 0).select("_st", "text").dropDuplicates(["_st"])
+    counts = some.mapInArrow(run, "x long, st long").groupBy("x").count().where(F.col("count") >= STAGE_OFTEN)
+    found = counts.orderBy(F.desc("count"), "x").limit(MOST_COMMON).toArrow()
+    key, count = found["x"].to_numpy().view(np.uint64), found["count"].to_numpy()
+    order = np.argsort(key)
+    return key[order], count[order]
+
+
+def _posted(common: tuple[np.ndarray, np.ndarray]):
+    """Texts (_st, text) into rows of their prefixes and sketches. Of a common shingle, the texts of a batch are linked to the first of them, which alone is posted."""
+    keys, counts = common
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            signs, fresh = batch["_st"].to_pylist(), []
+            for i, s in enumerate(signs):
+                if s not in seen:
+                    seen.add(s)
+                    fresh.append(i)
+            if not fresh:
+                continue
+            sets = shingle_sets(batch["text"].take(pa.array(fresh)))
+            node = np.array([signs[i] for i in fresh], dtype=np.int64)
+            size = np.array([len(x) for x in sets], dtype=np.int64)
+            # Texts without words are one: they share a key that no shingle has but by chance.
+            rare, hot = [], []
+            for own, n in zip(sets, _prefix(size).tolist(), strict=True):
+                if not len(own):
+                    own, n = np.zeros(1, np.uint64), 1
+                often = np.zeros(len(own), np.int64)
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                    often = np.where(keys[at] == own, counts[at], 0)
+                first = own[np.argsort(often, kind="stable")[:n]] if often.any() else own[:n]
+                cut = min(n, int(np.count_nonzero(often == 0)))
+                rare.append(first[:cut])
+                hot.append(first[cut:])
+            long = np.array([len(x) for x in rare])
+            place = np.concatenate([np.arange(n) for n in long])
+            key, first, a, b = _to_first(np.concatenate(hot).view(np.int64), np.repeat(node, [len(x) for x in hot]))
+            yield _rows([
+                (_RARE, np.concatenate(rare), np.repeat(node, long), np.repeat(size, long) << 32 | place, None),
+                (_COMMON, key, first, None, None),
+                (_LINK, a, b, None, None),
+                (_SKETCH, node, size, None, [_sketch(x) for x in sets]),
+            ])
+
+    return run
+
+
+def _paired(batches):
+    """Rows of prefixes, sorted by kind, shingle and text, into pairs and links; links and sketches pass."""
+    held = None
+    for batch in batches:
+        now = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+        kind, x = now["kind"].to_numpy(), now["x"].to_numpy()
+        last = len(kind) and int(np.flatnonzero((kind != kind[-1]) | (x != x[-1]))[-1] + 1) if len(kind) and ((kind != kind[-1]) | (x != x[-1])).any() else 0
+        yield _pairs_of(now.slice(0, last))
+        held = now.slice(last).combine_chunks()
+        held = held.to_batches()[0] if held.num_rows else None
+    if held is not None:
+        yield _pairs_of(pa.Table.from_batches([held]))
+
+
+def _pairs_of(rows: pa.Table) -> pa.RecordBatch:
+    kind, x, y, z = (rows[c].to_numpy() for c in ("kind", "x", "y", "z"))
+    passing = np.flatnonzero(kind == _LINK), np.flatnonzero(kind == _SKETCH)
+    parts = [(_LINK, x[passing[0]], y[passing[0]], None, None), (_SKETCH, x[passing[1]], y[passing[1]], None, rows["sketch"].combine_chunks().take(pa.array(passing[1])))]
+    common = kind == _COMMON
+    parts.append((_LINK, *_to_first(x[common], y[common])[2:], None, None))
+    rare = np.flatnonzero(kind == _RARE)
+    rare = rare[np.r_[True, (x[rare][1:] != x[rare][:-1]) | (y[rare][1:] != y[rare][:-1])]] if len(rare) else rare
+    key, node, size, place = x[rare], y[rare], z[rare] >> 32, z[rare] & 0xFFFFFFFF
+    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    number = np.diff(np.r_[at, len(key)])
+    two = at[number == 2]
+    left, right = [two], [two + 1]
+    for s, n in zip(at[number > 2].tolist(), number[number > 2].tolist(), strict=True):
+        if n > STAGE_PAIRS:
+            parts.append((_LINK, np.full(n - 1, node[s]), node[s + 1 : s + n], None, None))
+        else:
+            i, j = np.triu_indices(n, 1)
+            # The shingles before the first that two texts share are in one of them only.
+            ok = _may_be_similar(size[s + i], size[s + j], place[s + i] + place[s + j])
+            left.append(s + i[ok])
+            right.append(s + j[ok])
+    left, right = np.concatenate(left), np.concatenate(right)
+    ok = _may_be_similar(size[left], size[right], place[left] + place[right])
+    pairs = np.unique(np.c_[node[left[ok]], node[right[ok]]], axis=0)
+    parts.append((_PAIR, pairs[:, 0], pairs[:, 1], None, None))
+    return _rows(parts)
+
+
+def _verified(batches):
+    """Pairs (a, n, own, b, m, other) with sketches into the links (a, b) of those that may be similar."""
+    for batch in batches:
+        apart = np.array([_apart(p, q) for p, q in zip(batch["own"].to_pylist(), batch["other"].to_pylist(), strict=True)], dtype=np.int64)
+        ok = _may_be_similar(batch["n"].to_numpy(), batch["m"].to_numpy(), apart)
+        yield pa.RecordBatch.from_arrays([batch[c].filter(pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
+
+
+def text_links(bodies: DataFrame) -> DataFrame:
+    """Links (a, b) between the texts of (_st, text), by their signs, that connect all pairs of SIMILARITY and more.
+
+    Exact prefix filter: of shingle sets in one order, two that similar share a shingle among their first ones. Pairs that
+    share one are held to what their places, sizes and sketches allow, none of which leaves out a similar pair.
+    """
+    small_batches(bodies.sparkSession)
+    posted = bodies.select("_st", "text").mapInArrow(_posted(common_shingles(bodies)), _ROWS)
+    found = written(posted.repartition("kind", "x").sortWithinPartitions("kind", "x", "y").mapInArrow(_paired, _ROWS))
+    pairs = written(found.where(F.col("kind") == _PAIR).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    # Copies of a text in several tasks have equal sketches.
+    sketches = found.where(F.col("kind") == _SKETCH).groupBy("x").agg(F.first("y").alias("n"), F.first("sketch").alias("own"))
+    rows = pairs.join(sketches.withColumnRenamed("x", "a"), "a").join(sketches.select(F.col("x").alias("b"), F.col("n").alias("m"), F.col("own").alias("other")), "b")
+    near = rows.mapInArrow(_verified, "a long, b long")
+    return near.unionByName(found.where(F.col("kind") == _LINK).select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with one of each group of near copies: in order of ids, a document goes if its five-word shingles have a similarity
     of 0.8 and more with those of an earlier document of its class that stays.
 
-    Candidates are the classes that two fingerprints of longer words, with hashes of their own, link, if the fingerprints of
-    their shingles agree enough; documents of a class that aren't similar to any of its first ones are judged again among themselves until none is left. Of repeated rows, one stays.
+    Classes are components of links that connect every pair of that similarity (text_links); documents of a class that aren't
+    similar to any of its first ones are judged again among themselves until none is left. Of repeated rows, one stays.
     """
     number, sign = F.coalesce(F.col("doc_id"), F.lit(MAX_ID)), F.xxhash64(F.coalesce("text", F.lit("")))
     bodies = docs.select(number.alias("_sd"), sign.alias("_st"), "text")
-    prints = written(fingerprints(bodies, "text", fp1=word_fingerprints, fp2=other_fingerprints, fp3=quick_shingle_fingerprints).drop("text"))
+    prints = bodies.select("_sd", "_st")
     # One row per text: all its further documents are copies.
-    texts = written(prints.groupBy("_st").agg(F.min("_sd").alias("_sd"), F.min("fp1").alias("fp1"), F.min("fp2").alias("fp2"), F.min("fp3").alias("fp3")))
-    # Shorter segments make fewer and larger keys; the links are the same either way.
-    m = 2 * STAGE_RADIUS + 1 if texts.count() < FEW_TEXTS else STAGE_RADIUS + 1
-    roots = components(_text_links(texts, "fp1", m).unionByName(_text_links(texts, "fp2", m)))
+    texts = written(prints.groupBy("_st").agg(F.min("_sd").alias("_sd")))
+    roots = components(text_links(bodies.withColumn("text", F.coalesce("text", F.lit("")))))
     open_ = written(texts.join(roots.select(F.col("node").alias("_st"), F.col("root").alias("class")), "_st").select("class", "_sd", "_st"))
     dropped = []
     if not open_.isEmpty():

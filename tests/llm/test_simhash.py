@@ -5,6 +5,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from siftstone.llm import graph, simhash
 
@@ -120,3 +121,45 @@ def test_stage_against_greedy_by_hand(spark, monkeypatch, heads):
     got = simhash.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted(r.doc_id for r in got) == kept
     assert 3 < len(kept) < 35
+
+
+@pytest.mark.parametrize("common", [False, True])
+def test_stage_finds_cut_extended_and_prefixed_copies(spark, monkeypatch, common):
+    """Every pair of 0.8 and more counts, however the copy was made, whether its shingles are rare or common."""
+    if common:
+        monkeypatch.setattr(simhash, "STAGE_SAMPLE", 1)
+        monkeypatch.setattr(simhash, "STAGE_OFTEN", 2)
+        monkeypatch.setattr(simhash, "STAGE_PAIRS", 2)
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randrange(2, 9)))
+    license_ = [word() for _ in range(40)]
+    rows = []
+    for g in range(40):
+        words = [word() for _ in range(rng.choice([6, 30, 120, 500]))] + license_ * (g % 3 == 0)
+        more = [word() for _ in range(len(words))]
+        part = rng.choice([0.05, 0.12, 0.17, 0.19, 0.22, 0.3])
+        n = int(part * len(words))
+        for text in (words, words[: len(words) - n], words[n:], words + more[:n], more[:n] + words, words[:9] + more[:n] + words[9:]):
+            rows.append((len(rows), " ".join(text)))
+    rng.shuffle(rows)
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t in rows}
+    near = [(a, b) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = docs.select(F.xxhash64("text").alias("_st"), "text")
+    sign = {r.doc_id: r.st for r in docs.select("doc_id", F.xxhash64("text").alias("st")).collect()}
+    top = joined([(r.a, r.b) for r in simhash.text_links(keyed).collect()], sign.values())
+    assert len(near) > 100 and all(top[sign[a]] == top[sign[b]] for a, b in near)
+    kept = []
+    for i in sorted(sets):
+        if all(len(sets[i] & sets[h]) < 0.8 * len(sets[i] | sets[h]) for h in kept):
+            kept.append(i)
+    assert sorted(r.doc_id for r in simhash.stage(spark, docs, "").collect()) == kept
+
+
+def test_sketches_differ_in_no_more_bits_than_sets():
+    rng = np.random.default_rng(2)
+    for n in (1, 60, 65, 250, 260, 1000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        for new in (0, 1, n // 8, n // 2):
+            b = np.unique(np.r_[a[new:], rng.integers(0, 2**63, new + n // 20).astype(np.uint64)])
+            assert simhash._apart(simhash._sketch(a), simhash._sketch(b)) <= len(np.setxor1d(a, b))
