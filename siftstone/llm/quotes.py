@@ -3,11 +3,12 @@
 A line that begins with `>` marks (spaces between them allowed) is quoted at as many levels as it has marks; neighbouring
 lines of one level are a passage. A quoted passage is looked up by the hash of its normalised text (no marks, lower case,
 single spaces) among the passages that messages of the same conversation say themselves (level 0) at an earlier turn, and
-so are its single lines, for partial quotations. The message replied to is the one from which most quoted characters of
+so are its paragraphs (split at blank lines) and single lines, for partial quotations; it is linked if any of these is. The message replied to is the one from which most quoted characters of
 the lowest linked level come; ties go to the earliest turn. The first message that says a passage counts as its author.
 
-Reply order: a thread starts with a message that quotes nobody known; its replies carry the thread's root and their
-depth, so ordering by conversation, root and turn gives each thread with every message after the one it answers.
+Reply order: a thread starts with a message that quotes nobody known; its replies carry the thread's root, their depth
+and their path, the turns from the root to themselves, so ordering by conversation and path gives each thread with every
+message right after the one it answers and the earlier replies to that.
 
 Both sides of the join are reduced to one row per passage and conversation first, so repeated phrases cost no pairs.
 Depths come by pointer doubling: as many joins as the logarithm of the longest chain of replies.
@@ -51,23 +52,24 @@ def _parsed(messages: DataFrame) -> DataFrame:
 
 
 def _hashed(passages):
-    """For each passage: level and the hash and length of the whole and, if it has several lines, of each line; no empty ones."""
+    """For each passage: its number, level and the hash and length of the whole and, if there are several, of each paragraph and line; no empty ones."""
+    paragraphs = lambda p: F.transform(F.split(F.array_join(p["lines"], "\n"), r"\n\s*\n", -1), _normal)
     return F.flatten(
         F.transform(
             passages,
-            lambda p: F.transform(
+            lambda p, n: F.transform(
                 F.filter(
-                    F.array_distinct(F.concat(F.array(_normal(F.array_join(p["lines"], " "))), F.transform(p["lines"], _normal))),
+                    F.array_distinct(F.concat(F.array(_normal(F.array_join(p["lines"], " "))), paragraphs(p), F.transform(p["lines"], _normal))),
                     lambda t: t != "",
                 ),
-                lambda t, k: F.struct(p["level"].alias("level"), F.md5(t).alias("hash"), F.length(t).alias("chars"), (k == 0).alias("whole")),
+                lambda t: F.struct(n.alias("passage"), p["level"].alias("level"), F.md5(t).alias("hash"), F.length(t).alias("chars")),
             ),
         )
     )
 
 
 def link_quotations(messages: DataFrame) -> DataFrame:
-    """One row per message: conv_id, turn, role, n_quotes, max_level, n_linked, reply_to, thread_root, depth, text without quotes."""
+    """One row per message: conv_id, turn, role, n_quotes, max_level, n_linked, reply_to, thread_root, depth, path, text without quotes."""
     read = messages.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
     parsed = _parsed(read)
     own, quoted = F.filter("passages", lambda p: p["level"] == 0), F.filter("passages", lambda p: (p["level"] > 0) & (_normal(F.array_join(p["lines"], " ")) != ""))
@@ -82,22 +84,22 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     says = parsed.select("conv_id", "turn", F.explode("says").alias("s")).groupBy("conv_id", F.col("s.hash").alias("hash")).agg(F.min("turn").alias("first"))
     said = wanted.join(says, ["conv_id", "hash"])
     linked = quotes.withColumn("hash", F.col("q.hash")).join(said, ["conv_id", "hash"]).where(F.col("first") < F.col("turn"))
-    by_source = linked.groupBy("row", "q.level", "first").agg(F.sum("q.chars").alias("chars"), F.count_if("q.whole").alias("whole"))
-    best = by_source.groupBy("row").agg(F.sum("whole").alias("n_linked"), F.min(F.struct("level", -F.col("chars"), "first")).alias("best"))
+    by_source = linked.groupBy("row", "q.level", "first").agg(F.sum("q.chars").alias("chars"), F.collect_set("q.passage").alias("passages"))
+    best = by_source.groupBy("row").agg(F.size(F.array_distinct(F.flatten(F.collect_list("passages")))).cast("long").alias("n_linked"), F.min(F.struct("level", -F.col("chars"), "first")).alias("best"))
     replies = parsed.drop("says", "quotes").join(best.select("row", "n_linked", F.col("best.first").alias("reply_to")), "row", "left")
-    replies = written(replies.withColumn("n_linked", F.coalesce("n_linked", F.lit(0))))
+    replies = written(replies.withColumn("n_linked", F.coalesce("n_linked", F.lit(0).cast("long"))))
     # Pointer doubling over the replies alone: each round every message looks one jump twice as long.
     edges = replies.where("reply_to IS NOT NULL").groupBy("conv_id", "turn").agg(F.min("reply_to").alias("up"))
-    edges = written(edges.withColumn("steps", F.lit(1)))
+    edges = written(edges.withColumn("steps", F.lit(1)).withColumn("path", F.array("turn")))
     while True:
-        above = edges.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"))
-        jumped = written(edges.join(above, ["conv_id", "up"], "left").select("conv_id", "turn", F.coalesce("next", "up").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("next").isNotNull().alias("moved")))
+        above = edges.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"), F.col("path").alias("before"))
+        jumped = written(edges.join(above, ["conv_id", "up"], "left").select("conv_id", "turn", F.coalesce("next", "up").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.when(F.col("next").isNull(), F.col("path")).otherwise(F.concat("before", "path")).alias("path"), F.col("next").isNotNull().alias("moved")))
         edges = jumped.drop("moved")
         if jumped.where("moved").isEmpty():
             break
-    roots = edges.select("conv_id", "turn", F.col("up").alias("root"), "steps")
+    roots = edges.select("conv_id", "turn", F.col("up").alias("root"), "steps", F.concat(F.array("up"), "path").alias("path"))
     out = replies.join(roots, ["conv_id", "turn"], "left")
-    return out.select("conv_id", "turn", "role", "n_quotes", "max_level", "n_linked", "reply_to", F.coalesce("root", "turn").alias("thread_root"), F.coalesce("steps", F.lit(0)).alias("depth"), "text")
+    return out.select("conv_id", "turn", "role", "n_quotes", "max_level", "n_linked", "reply_to", F.coalesce("root", "turn").alias("thread_root"), F.coalesce("steps", F.lit(0)).alias("depth"), F.coalesce("path", F.array("turn")).alias("path"), "text")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -30,3 +30,20 @@ def test_odd_rows(spark):
     assert len(got) == len(rows)
     assert [r.reply_to for r in got if r.turn == 4] == [3] and all(r.reply_to is None for r in got if r.conv_id is None or r.turn is None)
     assert quotes.link_quotations(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_paragraphs_lines_and_paths(spark):
+    rows = [
+        (1, 0, "user", "Para one line1\nline2\n\nPara two\nhas more\nand ends"),
+        (1, 1, "bot", "> Para one line1 line2\nYes."),
+        (1, 2, "bot", "> Para two\n> has more\nNo."),
+        (1, 3, "user", "> Yes.\nSure?"),
+        (1, 4, "bot", "> nobody said so\n>\n> Sure?\nIt is."),
+        (1, 5, "user", "Something else."),
+    ]
+    df = quotes.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r.turn: r for r in df.collect()}
+    assert [got[t].reply_to for t in range(6)] == [None, 0, 0, 1, 3, None]
+    assert [got[t].n_linked for t in range(6)] == [0, 1, 1, 1, 1, 0]
+    assert [got[t].path for t in range(6)] == [[0], [0, 1], [0, 2], [0, 1, 3], [0, 1, 3, 4], [5]]
+    assert [r.turn for r in df.orderBy("conv_id", "path").collect()] == [0, 1, 3, 4, 2, 5]
