@@ -1,25 +1,21 @@
 """Secret scans with one combined deterministic automaton.
 
-The rules' regular expressions become one non-deterministic automaton over bytes; subset construction and minimisation
-turn it into a transition array, in which a state knows every rule whose shortest form ends there. A single pass over
-the bytes scans all rules at once: the text is cut into segments that step side by side as one array, each from the
-start state; a segment whose true entry state is another one is stepped again until it meets the states it had before,
-so the outcome is that of the sequential scan. Only texts in which a rule was reached are then searched with that
-rule's own expression, which gives the exact spans.
-
-Base rules: `assign`, `access` and `hex`, leftmost non-overlapping each, with a least length; further rules: `github`,
-`slack`, `jwt` and `pem`, which spans the whole key. Offsets are code points, the end exclusive.
-
-Defined cases: a null or empty text has no spans; repeated rows give repeated results; ties in start go by the order
-of the rules; an empty table gives no rows; columns other than id and text pass by unread.
+All rules' regular expressions become one automaton that reads the bytes from the last to the first (automata.compiled):
+subset construction and minimisation turn them into a transition array, and one pass over the bytes finds for all rules at
+once every byte at which a match begins. A second automaton of the same rules, read forwards, is followed from those bytes
+to the end of the longest match. Spans are what the automata's states say; no other matcher is involved.
+
+A rule's matches are leftmost, longest and don't overlap; those whose `counted` part is too short are dropped afterwards,
+so they still take up their place. Base rules: `assign`, `access` and `hex`; further rules: `github`, `slack`, `jwt` and
+`pem`, which spans the whole key. Offsets are code points, the end exclusive.
+
+Defined cases: a null or empty text has no spans; a text of any length is scanned whole, in one pass; repeated rows give
+repeated results; ties in start go by the order of the rules; an empty table gives no rows; columns other than id and
+text pass by unread, and one that has the name of the new column makes that get an underscore.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
-import re._constants as sre
-import re._parser as sre_parse
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,235 +24,104 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .automata import BREAK, Automaton, Walker, backwards, compiled, parsed, reached
 from .shared import free_name, small_batches, table, with_columns
 from .textcols import SLICE, buffers, slices
 
 
 @dataclass(frozen=True)
 class Rule:
-    """full finds candidates, of which those with `group` of at least `least` characters count; `short` matches within each that counts."""
+    """full: what matches. begins: what stands at the begin of every match, its shortest form or less. counted: what comes before the part that needs `least` characters."""
 
     name: str
     full: str
-    short: str
-    group: int = 0
+    begins: str
+    counted: str | None = None
     least: int = 0
-    flags: int = re.ASCII
     base: bool = False
 
 
 #: Letters in either case.
 _NAMES = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
 _ASSIGN = rf"""({_NAMES})["']?\x20*[:=]\x20*["']?"""
-#: A private key: its header, lines such as DEK-Info, base64 to the footer; where that is missing, all runs and lines of base64 that follow.
-_GAP, _CODE, _KIND = r"""(?:[\s>#*|"',]|\\[nrt])""", r"[A-Za-z0-9+/=]", r"[A-Z ]{0,20}PRIVATE KEY-----"
-_INFO = rf"(?:{_GAP}*+(?:[A-Z][A-Za-z]*-[A-Za-z-]+|Comment|Version): [^\r\n\\]*+)*+"
-_WHOLE = rf"{_INFO}(?:{_GAP}|{_CODE})*+-----END {_KIND}"
-_TORN = rf"(?:{_INFO}(?:{_GAP}*+{_CODE}{{16,}}+)++(?:{_GAP}++{_CODE}++[ \t]*+(?=[\r\n\\]|\Z))*+)?"
-_PEM = rf"-----BEGIN {_KIND}(?:{_WHOLE}|{_TORN})"
+_VALUE = r"[A-Za-z0-9+/_.=-]"
+#: A private key: its header, lines such as DEK-Info, base64 to the footer; where that is missing, all runs of base64 that follow and one shorter line of it.
+_GAP, _CODE = r"""(?:[\s>#*|"',]|\\[nrt])""", r"[A-Za-z0-9+/=]"
+_BEGIN, _END = r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"-----END [A-Z ]*PRIVATE KEY-----"
+_INFO = rf"(?:{_GAP}*(?:[A-Z][A-Za-z]*-[A-Za-z-]+|Comment|Version): [^\r\n\\]*)*"
+_LAST = rf"{_GAP}+{_CODE}+[ \t]*[\r\n\\\xff]"
+_PEM = rf"{_BEGIN}(?:{_INFO}(?:{_GAP}|{_CODE})*{_END}|(?:{_INFO}{_GAP}*{_CODE}{{16,}}(?:{_GAP}+{_CODE}{{16,}})*(?:{_LAST})?)?)"
 RULES = (
-    Rule("assign", _ASSIGN + r"([A-Za-z0-9+/_.=-]+)", _ASSIGN + r"[A-Za-z0-9+/_.=-]{4}", 2, 12, base=True),
-    Rule("access", r"AKIA[A-Z0-9]+", r"AKIA[A-Z0-9]{14}", 0, 18, base=True),
-    Rule("hex", r"[0-9a-f]+", r"[0-9a-f]{16}", 0, 16, base=True),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{30,}", r"gh[pousr]_"),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", r"xox[abprs]-"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*", r"eyJ"),
-    Rule("pem", _PEM, r"-----BEGIN "),
+    Rule("assign", rf"{_ASSIGN}{_VALUE}+", _ASSIGN + _VALUE, _ASSIGN, 12, base=True),
+    # Their parts have no other match inside, so the least length can be part of the expression.
+    Rule("access", r"AKIA[A-Z0-9]{14,}", r"AKIA[A-Z0-9]", base=True),
+    Rule("hex", r"[0-9a-f]{16,}", r"[0-9a-f]{16}", base=True),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{30,}", r"gh[pousr]_[A-Za-z0-9]"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", r"xox[abprs]-[A-Za-z0-9-]"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.", "", 28),
+    Rule("pem", _PEM, _BEGIN),
 )
-#: Never part of UTF-8; stands between texts and leads back to the start.
-BREAK = 255
-
-
-class _Nfa:
-    """States with byte-set edges and empty edges."""
-
-    def __init__(self):
-        self.edges: list[list[tuple[frozenset[int], int]]] = []
-        self.empty: list[list[int]] = []
-
-    def state(self) -> int:
-        self.edges.append([])
-        self.empty.append([])
-        return len(self.edges) - 1
-
-    def add(self, tree, at: int) -> int:
-        """Adds a parsed expression that begins in state `at`; its final state."""
-        for op, arg in tree:
-            if op is sre.LITERAL:
-                at = self._step(at, frozenset([arg]))
-            elif op is sre.IN:
-                at = self._step(at, _set(arg))
-            elif op is sre.SUBPATTERN:
-                at = self.add(arg[-1], at)
-            elif op is sre.BRANCH:
-                end = self.state()
-                for choice in arg[1]:
-                    self.empty[self.add(choice, at)].append(end)
-                at = end
-            elif op is sre.MAX_REPEAT:
-                low, high, body = arg
-                for _ in range(low):
-                    at = self.add(body, at)
-                if high is sre.MAXREPEAT:
-                    loop = self.state()
-                    self.empty[at].append(loop)
-                    self.empty[self.add(body, loop)].append(loop)
-                    at = loop
-                else:
-                    end = self.state()
-                    for _ in range(high - low):
-                        self.empty[at].append(end)
-                        at = self.add(body, at)
-                    self.empty[at].append(end)
-                    at = end
-            else:
-                raise ValueError(f"a rule uses {op}, which isn't supported")
-        return at
-
-    def _step(self, at: int, on: frozenset[int]) -> int:
-        to = self.state()
-        self.edges[at].append((on, to))
-        return to
-
-    def closed(self, states) -> frozenset[int]:
-        seen, todo = set(states), list(states)
-        while todo:
-            for to in self.empty[todo.pop()]:
-                if to not in seen:
-                    seen.add(to)
-                    todo.append(to)
-        return frozenset(seen)
-
-
-def _set(items) -> frozenset[int]:
-    out: set[int] = set()
-    for op, arg in items:
-        if op is sre.LITERAL:
-            out.add(arg)
-        elif op is sre.RANGE:
-            out.update(range(arg[0], arg[1] + 1))
-        else:
-            raise ValueError(f"a rule's set uses {op}, which isn't supported")
-    return frozenset(out)
-
-
-@dataclass(frozen=True)
-class Automaton:
-    """next[state + kind[byte]] is the next state; states are multiples of the number of byte kinds, and those from `reached` on end rules."""
-
-    kind: np.ndarray
-    next: np.ndarray
-    width: int
-    reached: int
-    rules: np.ndarray
-
-
-def compiled(shorts: list[str]) -> Automaton:
-    nfa = _Nfa()
-    start = nfa.state()
-    ends = {nfa.add(sre_parse.parse(x), start): i for i, x in enumerate(shorts)}
-    # Bytes that every edge treats alike are one kind.
-    sets = sorted({on for edges in nfa.edges for on, _ in edges}, key=sorted)
-    signs: dict[tuple, int] = {}
-    kind = np.array([signs.setdefault(tuple(b in s for s in sets), len(signs)) for b in range(256)], dtype=np.uint8)
-    sample = {k: b for b, k in reversed(list(enumerate(kind.tolist())))}
-    width = len(signs)
-    # Subset construction; the start state stays in every subset, so a match may begin anywhere.
-    begin = nfa.closed([start])
-    at, todo, rows = {begin: 0}, [begin], []
-    for subset in todo:
-        row = []
-        for k in range(width):
-            to = nfa.closed({start, *(t for s in subset for on, t in nfa.edges[s] if sample[k] in on)})
-            if to not in at:
-                at[to] = len(at)
-                todo.append(to)
-            row.append(at[to])
-        rows.append(row)
-    step = np.array(rows, dtype=np.int64)
-    masks = np.array([sum(1 << ends[s] for s in subset if s in ends) for subset in todo], dtype=np.int64)
-    # Minimisation: states fall into classes by the rules they end, and the classes are split until their successors agree.
-    classes, n = np.unique(masks, return_inverse=True)[1], 0
-    while classes.max() + 1 != n:
-        n = classes.max() + 1
-        classes = np.unique(np.c_[classes, classes[step]], axis=0, return_inverse=True)[1].ravel()
-    first = np.unique(classes, return_index=True)[1]
-    # Order: the start state first, states that end rules last.
-    order = sorted(range(n), key=lambda c: (masks[first[c]] > 0, c != classes[0]))
-    place = np.empty(n, dtype=np.int64)
-    place[order] = np.arange(n)
-    table_ = place[classes[step[first[order]]]] * width
-    rules = masks[first[order]]
-    return Automaton(kind, table_.astype(np.int32).ravel(), width, int(np.count_nonzero(rules == 0)) * width, rules)
-
-
-def reached(a: Automaton, data: np.ndarray, length: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the bytes at which rules are reached, and a bit mask of the rules, as a scan from the first byte to the last finds them."""
-    lanes = -(-len(data) // length)
-    kinds = np.full(lanes * length, a.kind[BREAK], dtype=np.int32)
-    kinds[: len(data)] = a.kind[data]
-    kinds = np.ascontiguousarray(kinds.reshape(lanes, length).T)
-    states = np.empty((length, lanes), dtype=np.int32)
-    now = np.zeros(lanes, dtype=np.int32)
-    for i in range(length):
-        now = np.take(a.next, now + kinds[i], out=states[i], mode="clip")
-    changed = np.flatnonzero(states[length - 1, : lanes - 1])
-    while len(changed):
-        # These segments ended in another state than the one after them was entered with; that one starts again until it meets the path it had.
-        lane = changed + 1
-        now = states[length - 1, changed]
-        for i in range(length):
-            if not len(lane):
-                break
-            now = a.next[now + kinds[i, lane]]
-            new = now != states[i, lane]
-            lane, now = lane[new], now[new]
-            states[i, lane] = now
-        changed = lane[lane < lanes - 1]
-    step, lane = np.nonzero(states >= a.reached)
-    at = lane * length + step
-    keep = at < len(data)
-    return at[keep], a.rules[states[step[keep], lane[keep]] // a.width]
-
-
-def spans(text: str, rules: int) -> list[tuple[int, int, int]]:
-    """(start, rule, end) of the rules in the bit mask, in order."""
-    out = []
-    for i, rule in enumerate(RULES):
-        if rules >> i & 1:
-            out += [(m.start(), i, m.end()) for m in re.finditer(rule.full, text, rule.flags) if len(m[rule.group]) >= rule.least]
-    return sorted(out)
-
-
-def automaton() -> Automaton:
-    """That of all rules; compiled once in the driver, and sent to the tasks as an array of about a megabyte."""
-    if not _AUTOMATON:
-        _AUTOMATON.append(compiled([r.short for r in RULES]))
-    return _AUTOMATON[0]
-
-
-def scanner(machine: Automaton):
-    """Turns an Arrow array of texts into the spans of those that have any, by position."""
-
-    def scan(texts: pa.Array) -> dict[int, list[tuple[int, int, int]]]:
+#: What a match of `pem` without a footer has read beyond its last base64 character.
+_AFTER = b" \t\r\n\\\xff"
+
+
+class Scanner:
+    """Turns an Arrow array of texts into the spans (start, rule, end) of those that have any, by position."""
+
+    def __init__(self, machines: tuple[Automaton, Automaton]):
+        self.begins, self.walk = machines[0], Walker(machines[1])
+
+    def places(self, stream: np.ndarray) -> list[tuple[int, int, int]]:
+        """(start, rule, end) in the bytes."""
+        where, masks = reached(self.begins, np.ascontiguousarray(stream[::-1]))
+        where = len(stream) - 1 - where
+        order = np.argsort(where, kind="stable")
+        where, masks, data, out = where[order], masks[order], stream.tobytes(), []
+        for i, rule in enumerate(RULES):
+            at = where[masks >> i & 1 > 0]
+            k = 0
+            while k < len(at):
+                start = int(at[k])
+                end = self.walk.end(data, start, 1 << i)
+                if end < 0:
+                    k += 1
+                    continue
+                k = int(np.searchsorted(at, end))
+                if rule.name == "pem":
+                    end = start + len(data[start:end].rstrip(_AFTER))
+                before = self.walk.end(data, start, 1 << len(RULES) + i) if rule.counted else start
+                if end - before >= rule.least:
+                    out.append((start, i, end))
+        return sorted(out)
+
+    def __call__(self, texts: pa.Array) -> dict[int, list[tuple[int, int, int]]]:
         data, offsets = buffers(texts)
-        out = {}
+        out: dict[int, list[tuple[int, int, int]]] = {}
         for i, j in slices(offsets, SLICE):
             part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             stream = np.insert(part, at[1:], BREAK)
-            where, masks = reached(machine, stream)
+            found = self.places(stream)
+            if not found:
+                continue
             # A break follows every text, so text t begins t bytes later than before.
-            docs = np.searchsorted(at + np.arange(len(at)), where, "right") - 1
-            for d in np.unique(docs):
-                mask = int(np.bitwise_or.reduce(masks[docs == d]))
-                if found := spans(bytes(part[at[d] : at[d + 1]]).decode(), mask):
-                    out[i + int(d)] = found
+            begin = at + np.arange(len(at))
+            # Code points before each byte.
+            chars = np.r_[0, np.cumsum((stream & 0xC0) != 0x80)]
+            for start, rule, end in found:
+                d = int(np.searchsorted(begin, start, "right")) - 1
+                out.setdefault(i + d, []).append((int(chars[start] - chars[begin[d]]), rule, int(chars[end] - chars[begin[d]])))
         return out
 
-    return scan
 
+def automata() -> tuple[Automaton, Automaton]:
+    """Those of all rules; compiled once in the driver and sent to the tasks, less than a megabyte each."""
+    if not _AUTOMATA:
+        heads = [parsed(r.counted or r.begins) for r in RULES]
+        _AUTOMATA.append((compiled([backwards(parsed(r.begins)) for r in RULES], True), compiled([parsed(r.full) for r in RULES] + heads, False)))
+    return _AUTOMATA[0]
 
-_AUTOMATON: list[Automaton] = []
+
+_AUTOMATA: list[tuple[Automaton, Automaton]] = []
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
@@ -264,10 +129,10 @@ _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end
 def find_secrets(df: DataFrame, text_col: str = "text", out: str = "secrets") -> DataFrame:
     """df with a column of the spans of secrets: array of (kind, start, end), by start, then rule."""
 
-    machine = automaton()
+    machines = automata()
 
     def make():
-        scan = scanner(machine)
+        scan = Scanner(machines)
 
         def work(texts):
             found = scan(texts)
@@ -282,10 +147,10 @@ def find_secrets(df: DataFrame, text_col: str = "text", out: str = "secrets") ->
 def redact(df: DataFrame, text_col: str = "text", mask: str = "<SECRET>") -> DataFrame:
     """df with every secret in its text replaced by a mask; overlapping spans become one. The schema stays."""
 
-    machine = automaton()
+    machines = automata()
 
     def make():
-        scan = scanner(machine)
+        scan = Scanner(machines)
 
         def work(texts):
             found, values = scan(texts), texts
@@ -328,11 +193,3 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with secrets masked; n_chars, where there is one, follows the new text."""
     out = redact(docs.select(docs.columns))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
-
-
-def brute_force(text: str | None) -> tuple[int, int, int, str, str]:
-    """What op10 gives for a text, by running every rule over it."""
-    found = spans(text or "", (1 << len(RULES)) - 1)
-    named = [(RULES[k], f"{RULES[k].name}:{s}:{e}") for s, k, e in found]
-    base = ",".join(x for r, x in named if r.base)
-    return (*(sum(r.name == k for r, _ in named) for k in ("assign", "access", "hex")), hashlib.sha256(base.encode()).hexdigest(), ",".join(x for _, x in named))
