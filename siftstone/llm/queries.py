@@ -16,4 +16,4 @@ QUERIES = {
     "op9_mixing": mixing.op9,
     "op10_secrets": secrets.op10,
 }
-ORACLE = {"op4_repeats": repeats.SQL, "op9_mixing": mixing.SQL}
+ORACLE = {"op3_quotes": quotes.SQL, "op4_repeats": repeats.SQL, "op9_mixing": mixing.SQL}
