@@ -21,22 +21,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """The folder that all executors share; a temporary one only where the session names none and has no executors elsewhere, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="siftstone-"))
+    return _own[0]
 
 
 _own: list[str] = []
+_made: set[str] = set()
 
 
-def _own_dir() -> str:
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="siftstone-"))
-    return _own[0]
+def scratch(spark: SparkSession) -> str:
+    """The application's own folder in the shared one; it goes when the driver ends."""
+    path = f"{shared_dir(spark)}/siftstone/{spark.sparkContext.applicationId}"
+    if path not in _made:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+        _made.add(path)
+    return path
 
 
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, lineage cut, safe when executors are lost."""
-    path = f"{shared_dir(df.sparkSession)}/siftstone/{uuid.uuid4().hex}"
+    path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

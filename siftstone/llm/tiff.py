@@ -2,12 +2,14 @@
 
 Reading walks the chain of image directories in either byte order, decodes strips or tiles that are stored plainly or
 with PackBits, LZW or deflate, undoes the horizontal predictor and gives the samples row by row. Samples have 8 or 16
-bits. A file that breaks these rules gives one row with page -1 and the reason, so a damaged file never ends a job.
+bits. A file that breaks these rules, or claims more samples than its bytes can hold, gives one row with page -1 and the
+reason, so a damaged file never ends a job.
 
 Writing makes one page of 8-bit grey samples, in strips.
 
-Defined cases: a null or empty file gives a row with page -1; a null text counts as empty; equal texts give equal files;
-repeated rows give repeated results; an empty table gives no rows; only the named columns are read.
+Defined cases: a null or empty file gives a row with page -1; a null text counts as empty, a text of any length is stored
+whole; equal texts give equal files; repeated rows give repeated results; an empty table gives no rows; only the named
+columns are read, and others that have the names of new ones make those get underscores.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 
 UNIT = 576
 ROWS_PER_STRIP = 64
+#: Bytes that one byte of a file can stand for at most; LZW, whose strings have up to 4,000 bytes for 12 bits, reaches most.
+MOST_RATIO = 2800
 
 
 def packbits(data: bytes) -> bytes:
@@ -214,14 +218,21 @@ def _page(file: bytes, fields: dict[int, tuple], order: str) -> tuple[int, int,
     if bits not in (8, 16) or one(PLANAR, 1) != 1 or one(COMPRESSION, 1) not in UNPACK:
         raise ValueError("samples or compression of another kind")
     kind, unpack = np.dtype(f"{order}u{bits // 8}"), UNPACK[one(COMPRESSION, 1)]
+    # No compression here makes more than MOST_RATIO bytes of one, so larger pages can't be in the file.
+    if min(width, height, channels) < 1 or width * height * channels * kind.itemsize > MOST_RATIO * len(file):
+        raise ValueError("the header claims more samples than the file can hold")
     tiled = TILES in fields
     wide = one(TILE_WIDTH) if tiled else width
     tall = one(TILE_HEIGHT) if tiled else min(one(ROWS, height), height)
     out = np.zeros((height, width, channels), kind.newbyteorder("="))
     across = -(-width // wide)
+    if len(fields[TILES if tiled else STRIPS]) != across * -(-height // tall):
+        raise ValueError("the strips or tiles don't make up the page")
     for k, (place, size) in enumerate(zip(fields[TILES if tiled else STRIPS], fields[TILE_BYTES if tiled else STRIP_BYTES], strict=True)):
         top, left = k // across * tall, k % across * wide
         rows = tall if tiled else min(tall, height - top)
+        if rows < 1 or rows * wide * channels * kind.itemsize > MOST_RATIO * len(file):
+            raise ValueError("a strip or tile has another place or size than the page allows")
         data = unpack(file[place : place + size], rows * wide * channels * kind.itemsize)
         block = np.frombuffer(data, kind).reshape(rows, wide, channels)
         if one(PREDICTOR, 1) == 2:
@@ -250,7 +261,7 @@ def decode_pages(df: DataFrame, media: str) -> DataFrame:
                     for n, (width, height, bits, samples) in enumerate(read(file.as_py() or b""), 1):
                         rows.append((n - 1, width, height, bits, samples, None))
                         source.append(i)
-                except (ValueError, KeyError, struct.error, zlib.error, IndexError, TypeError) as e:
+                except (ValueError, KeyError, struct.error, zlib.error, IndexError, TypeError, MemoryError, OverflowError, ZeroDivisionError) as e:
                     rows.append((-1, None, None, None, None, f"after {n} pages: {e}"))
                     source.append(i)
             taken = pa.array(source, pa.int64())
@@ -298,7 +309,9 @@ def op7(spark, sf_dir: str) -> DataFrame:
     def make():
         def work(samples):
             data = [x.as_py() for x in samples]
-            return [pa.array([zlib.crc32(x[-32:]) for x in data], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in data]), pa.array([describe(x, UNIT) for x in data])]
+            # A page in error has no samples.
+            told = lambda f: [None if x is None else f(x) for x in data]
+            return [pa.array(told(lambda x: zlib.crc32(x[-32:])), pa.int64()), pa.array(told(lambda x: hashlib.sha256(x).hexdigest()), pa.string()), pa.array(told(lambda x: describe(x, UNIT)), pa.string())]
 
         return work
 

@@ -6,29 +6,30 @@ words' beginnings of PREFIXES bytes, which carry over to other forms of a word;
 through the noisy-or, by proximal gradient steps whose L1 penalty leaves most words without weight. The sentences that
 score at least 0.5 are located in the text.
 
-Training takes at most TRAIN_DOCS labelled documents, those with the lowest hash of their id: a bounded sample, whose
-hashed words the driver fits in memory. Everything else runs over all documents. Labels, language, source and id are no
-inputs of a score.
+Training takes at most TRAIN_DOCS labelled documents of at most TRAIN_BYTES together, those with the lowest hash of their
+id: a bounded sample. Tasks count in how many of them each word is, and send the driver only words that lean to one side.
+Everything else runs over all documents. Labels, language, source and id are no inputs of a score.
 
-Defined cases: a null or empty text has one sentence without words and thus the model's base
+Defined cases: a text of any length is scored whole; of sentences that score alike each is located; a null or empty text has one sentence without words and thus the model's base
 score; a null label, or a label without a document, isn't learned from; several labels of a document count as toxic if
 one does; without any toxic or any harmless document to learn from all weights are zero and the base score is the share
-of toxic ones; repeated rows score alike; an empty table gives no rows; other columns pass through `score` unread.
+of toxic ones; repeated rows score alike; an empty table gives no rows; other columns pass through `score` unread, and where they have the names of its own columns
+those get underscores.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import free_name, per_batch, remainder, table, with_columns
+from .shared import free_name, per_batch, remainder, table, with_columns, written
 from .textcols import LOWER, U, buffers, mixed, slices, word_hashes, words
 
 BUCKETS = 1 << 18
-TRAIN_DOCS = 6000
+TRAIN_DOCS, TRAIN_BYTES = 6000, 64 << 20
 PREFIXES = (5, 6, 7, 8)
 FOLDS, HELD_OUT = 5, 0
 STEPS, RATE, PENALTY = 300, 0.3, 2e-4
@@ -75,39 +76,28 @@ class Model:
         return -np.expm1(out), -np.expm1(harmless), begin, sent_at
 
 
-def fit(docs: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> Model:
-    """Weights and base from each document's hashed words and the numbers of them in its sentences, and the documents' labels."""
-    n = len(toxic)
-    share = (toxic.sum() + 0.5) / (n + 1.0)
-    per_doc = max(1.0, sum(len(sizes) for _, sizes in docs) / max(1, n))
-    base = float(np.log(np.expm1(-np.log1p(-share) / per_doc)))
+class Screen:
+    """Which words take part in training, and the weights they start with, from the numbers of documents and of toxic ones that have them."""
+
+    def __init__(self, seen: np.ndarray, bad: np.ndarray, n: int, toxic: int):
+        self.share = (toxic + 0.5) / (n + 1.0)
+        spread, lean = np.sqrt(seen * self.share * (1 - self.share)), np.abs(bad - seen * self.share)
+        self.known = np.flatnonzero((seen >= LEAST_DOCS) & (lean > SCREEN * spread))
+        seen, bad, sure = seen[self.known], bad[self.known], lean[self.known] > 2.5 * spread[self.known]
+        odds = np.log((bad + 0.1 * self.share) / (toxic + 0.1)) - np.log((seen - bad + 0.1 * (1 - self.share)) / (n - toxic + 0.1))
+        # Only words that lean clearly to one side start with a weight.
+        self.start = np.where(sure, np.clip(odds, -3, 6), 0.0)
+        self.place = np.full(BUCKETS, -1, dtype=np.int32)
+        self.place[self.known] = np.arange(len(self.known))
+
+
+def fit(at: np.ndarray, sent: np.ndarray, sent_doc: np.ndarray, toxic: np.ndarray, screen: Screen) -> Model:
+    """Weights and base. at, sent: places among the known words and numbers of the sentences that have them; sent_doc: the document of each sentence."""
+    n, first = len(toxic), len(sent_doc)
+    base = float(np.log(np.expm1(-np.log1p(-screen.share) / max(1.0, first / max(1, n)))))
     if not n or not toxic.any() or toxic.all():
         return Model(np.zeros(BUCKETS), base)
-    # Words by the documents that have them.
-    seen, bad = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for (buckets, _), t in zip(docs, toxic, strict=True):
-        own = np.unique(buckets)
-        seen[own] += 1
-        bad[own] += t
-    spread = np.sqrt(seen * share * (1 - share))
-    known = np.flatnonzero((seen >= LEAST_DOCS) & (np.abs(bad - seen * share) > SCREEN * spread))
-    place = np.full(BUCKETS, -1, dtype=np.int32)
-    place[known] = np.arange(len(known))
-    rate = toxic.sum()
-    odds = np.log((bad[known] + 0.1 * share) / (rate + 0.1)) - np.log((seen[known] - bad[known] + 0.1 * (1 - share)) / (n - rate + 0.1))
-    # Only words that lean clearly to one side start with a weight.
-    sure = np.abs(bad[known] - seen[known] * share) > 2.5 * spread[known]
-    w = np.where(sure, np.clip(odds, -3, 6), 0.0)
-    # Of all words only the known ones are kept, with their sentences.
-    at, sent, first = [], [], 0
-    for buckets, sizes in docs:
-        own = place[buckets]
-        keep = own >= 0
-        at.append(own[keep])
-        sent.append(np.repeat(np.arange(first, first + len(sizes), dtype=np.int32), sizes)[keep])
-        first += len(sizes)
-    at, sent = np.concatenate(at), np.concatenate(sent)
-    sent_doc = np.repeat(np.arange(n, dtype=np.int32), [len(sizes) for _, sizes in docs])
+    w = screen.start
     m1, m2, v1, v2 = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, STEPS + 1):
         z = base + np.bincount(sent, weights=w[at], minlength=first)
@@ -124,34 +114,68 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> Model:
         w = np.sign(w) * np.maximum(0.0, np.abs(w) - size * PENALTY / scale)
         base -= size * (v1 / (1 - 0.9**step)) / (np.sqrt(v2 / (1 - 0.999**step)) + 1e-4)
     weights = np.zeros(BUCKETS)
-    weights[known] = w
+    weights[screen.known] = w
     return Model(weights, float(base))
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Model:
-    """The model of labelled documents outside the held-out fold."""
+def training_sample(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, limit_bytes: int = TRAIN_BYTES) -> DataFrame:
+    """(doc_id, toxic, text) of at most `limit` labelled documents outside the held-out fold, as many as have at most limit_bytes together."""
     graded = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(remainder(F.col("doc_id"), FOLDS) != HELD_OUT)
-    sample = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
     # At most `limit` rows of two numbers, so they can be sent to every task.
-    chosen = docs.select("doc_id", F.col("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")
+    sample = F.broadcast(graded.orderBy(*order).limit(limit))
+    sizes = docs.select("doc_id", F.octet_length("text").alias("bytes")).join(sample, "doc_id").groupBy("doc_id", "toxic").agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+    # One row per document of the sample again.
+    fits = sizes.withColumn("upto", F.sum("bytes").over(Window.orderBy(*order))).where(F.col("upto") <= limit_bytes).select("doc_id", "toxic")
+    return written(docs.select("doc_id", "text").join(F.broadcast(fits), "doc_id").select("doc_id", "toxic", "text"))
+
+
+def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, limit_bytes: int = TRAIN_BYTES) -> Model:
+    """The model of labelled documents outside the held-out fold."""
+    chosen = training_sample(docs, labels, limit, limit_bytes)
+
+    def count(batches):
+        sums = np.zeros((2, BUCKETS), np.int64)
+        for batch in batches:
+            data, offsets = buffers(batch.column(2))
+            buckets, word_at, sent_at, _ = sentences(data, offsets)
+            of = np.repeat(np.arange(batch.num_rows), np.diff(word_at[sent_at]))
+            own = np.unique(of << 32 | buckets)
+            found, bad = own & 0xFFFFFFFF, batch.column(1).to_numpy()[own >> 32]
+            sums += np.bincount(found, minlength=BUCKETS), np.bincount(found, weights=bad, minlength=BUCKETS).astype(np.int64)
+        used = np.flatnonzero(sums[0])
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[0][used]), pa.array(sums[1][used])], names=["bucket", "seen", "bad"])
+
+    totals = chosen.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
+    counts = chosen.mapInArrow(count, "bucket long, seen long, bad long").groupBy("bucket").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad")).toArrow()
+    seen, bad = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    seen[counts["bucket"].to_numpy()], bad[counts["bucket"].to_numpy()] = counts["seen"].to_numpy(), counts["bad"].to_numpy()
+    screen = Screen(seen, bad, totals["n"], totals["toxic"])
+    sent_place = chosen.sparkSession.sparkContext.broadcast(screen.place)
 
     def make():
+        place = sent_place.value
+
         def work(batch):
             data, offsets = buffers(batch.column(2))
             buckets, word_at, sent_at, _ = sentences(data, offsets)
-            rows = []
-            for d in range(batch.num_rows):
-                at = word_at[sent_at[d] : sent_at[d + 1] + 1]
-                rows.append((buckets[at[0] : at[-1]].astype(np.int32), np.diff(at).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], names=["doc_id", "toxic", "buckets", "sizes"])
+            own = place[buckets]
+            number = np.repeat(np.arange(len(word_at) - 1), np.diff(word_at))
+            of = np.searchsorted(sent_at, number, "right") - 1
+            number = (number - sent_at[of]).astype(np.int32)
+            keep = own >= 0
+            before = np.r_[0, np.cumsum(np.bincount(of[keep], minlength=batch.num_rows))].astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(before), pa.array(x[keep])) for x in (own, number)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), *lists, pa.array(np.diff(sent_at).astype(np.int32))], names=["doc_id", "toxic", "at", "sent", "sentences"])
 
         return work
 
-    rows = per_batch(chosen, make, "doc_id long, toxic int, buckets array<int>, sizes array<int>").toArrow().combine_chunks()
-    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
-    buckets, sizes = (rows[c].chunk(0) if rows.num_rows else None for c in ("buckets", "sizes"))
-    own = lambda column, i: column.values[column.offsets[i].as_py() : column.offsets[i + 1].as_py()].to_numpy()
-    return fit([(own(buckets, i), own(sizes, i)) for i in order.tolist()], rows["toxic"].to_numpy().astype(float)[order])
+    rows = per_batch(chosen, make, "doc_id long, toxic int, at array<int>, sent array<int>, sentences int").toArrow().sort_by("doc_id").combine_chunks()
+    toxic, size = rows["toxic"].to_numpy().astype(float), rows["sentences"].to_numpy()
+    column = lambda name: rows[name].chunk(0).flatten().to_numpy() if rows.num_rows else np.zeros(0, np.int32)
+    number = np.diff(rows["at"].chunk(0).offsets.to_numpy()) if rows.num_rows else np.zeros(0, np.int64)
+    sent = column("sent") + np.repeat(np.cumsum(size) - size, number).astype(np.int32)
+    return fit(column("at"), sent, np.repeat(np.arange(len(toxic), dtype=np.int32), size), toxic, screen)
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())]))
@@ -189,12 +213,13 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted, n_offending and where the offending sentences are (start-end, comma-joined) of all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (remainder(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
+    return scored.select("doc_id", (remainder(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"), F.array_join(F.transform("offending", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",").alias("offending"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those whose score is 0.5 and more."""
+    """docs without those whose score is 0.5 and more. A null or empty text has the base score; repeated rows stay or go together; an empty table gives no rows; extra columns stay."""
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")), located=False)
     return scored.where(F.col(scored.columns[-2]) < 0.5).select(docs.columns)
