@@ -14,6 +14,11 @@ SEARCH_STOPWORDS = (
 ).split()
 #: Words that answers are not judged by.
 ANSWER_STOPWORDS = "the a an to and or of in for on with is are was were by that this these those from as at be it its into than then their there".split()
+#: Words that questions and guidance texts aren't compared by.
+GUIDANCE_STOPWORDS = (
+    "about according after all and are based been for from guidance has have into most not that the their this treatment "
+    "what with would patient variables management follow relevant document grounded available data should could regarding focus clinical"
+).split()
 #: What splits words, in any script.
 BLANKS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 

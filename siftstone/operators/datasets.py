@@ -9,16 +9,67 @@ from pyspark.sql import functions as F
 
 from siftstone.functions.text import squeezed
 
-from .chunking import paragraphs
 
+def padded(n: Column) -> Column:
+    """A number in three digits at least."""
+    shown = n.cast("string")
+    return F.lpad(shown, F.greatest(F.lit(3), F.length(shown)), F.lit("0"))
 
-def passages(pages: DataFrame, least: int = 40, most: int = 180) -> DataFrame:
-    """(source_id, page_number, passage_id, text, words) of pages (source_id, page_number, text): paragraphs of at least `least` words, longer ones cut after every `most` words."""
-    cut = pages.select("source_id", "page_number", F.posexplode(paragraphs(F.col("text"))).alias("block", "p")).withColumn("w", F.split(squeezed(F.col("p")), " "))
+
+# Headings of sections, how lines of running heads begin, and words that tell a page of references.
+SECTIONS = ["IN WHOM AND WHEN?", "HOW TO USE?", "PROBLEM SOLVING", "ADVICE TO PATIENT"]
+RUNNING_HEAD = "esc guidelines"
+REFERENCES, CITED = "references", ("doi", "et al")
+
+
+def references_page(text: Column) -> Column:
+    """Does a page list references: does it name them, and more than three works?"""
+    low = F.lower(text)
+    number = lambda w: (F.length(low) - F.length(F.replace(low, F.lit(w), F.lit("")))) / len(w)
+    return F.contains(low, F.lit(REFERENCES)) & (number(CITED[0]) + number(CITED[1]) > 3)
+
+
+def line_blocks(text: Column, most: int) -> Column:
+    """The lines of a page without paragraphs as blocks: a heading begins one, and so does the line after `most` words. Page numbers and running heads go."""
+    lines = F.transform(F.split(text, "\n", -1), F.trim)
+    kept = F.filter(lines, lambda x: (x != "") & ~x.rlike(r"^\d+$") & ~F.startswith(F.lower(x), F.lit(RUNNING_HEAD)))
+    heading = lambda x: ((F.upper(x) == x) & (F.lower(x) != x)) | F.array_contains(F.transform(F.array(*map(F.lit, SECTIONS)), lambda h: F.startswith(x, h)), True)
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("words"))
+
+    def step(s: Column, x: Column) -> Column:
+        n = F.size(F.split(squeezed(x), " "))
+        new = (s["words"] > 0) & (heading(x) | (s["words"] >= most))
+        return F.struct(F.when(new, F.array_append(s["done"], s["now"])).otherwise(s["done"]).alias("done"), F.when(new | (s["words"] == 0), x).otherwise(F.concat(s["now"], F.lit(" "), x)).alias("now"), (F.when(new, 0).otherwise(s["words"]) + n).alias("words"))
+
+    return F.aggregate(kept, start, step, lambda s: F.when(s["words"] > 0, F.array_append(s["done"], s["now"])).otherwise(s["done"]))
+
+
+def section_title(text: Column) -> Column:
+    """The section heading that a passage names, or else the begin of its first sentence; null if that is empty."""
+    named = F.coalesce(*(F.when(F.contains(F.lower(text), F.lit(h.lower())), h) for h in SECTIONS))
+    return F.coalesce(named, F.nullif(F.substring(F.trim(F.substring_index(text, ".", 1)), 1, 80), F.lit("")))
+
+
+def passages(pages: DataFrame, least: int = 40, most: int = 180, skip: int = 0, stop_at_references: bool = True) -> DataFrame:
+    """(source_id, page_number, passage_id, text, words, section) of pages (source_id, page_number, text).
+
+    The first `skip` pages are left out, and all from a document's first page of references on. A page's blocks are its
+    paragraphs, or, if it has only one, its lines (line_blocks); blocks of at least `least` words count, longer ones are
+    cut after every `most` words.
+    """
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit("\r"), F.lit(""))
+    read = pages.where(F.col("page_number") > skip).select("source_id", "page_number", text.alias("text")).where(F.trim("text") != "")
+    if stop_at_references:
+        last = read.where(references_page(F.col("text"))).groupBy("source_id").agg(F.min("page_number").alias("last"))
+        read = read.join(last, "source_id", "left").where(F.col("last").isNull() | (F.col("page_number") < F.col("last"))).drop("last")
+    whole = F.filter(F.transform(F.split("text", r"\n\s*\n+", -1), lambda p: F.trim(p, F.lit(" \t\n"))), lambda p: p != "")
+    blocks = F.when(F.size(whole) > 1, whole).otherwise(line_blocks(F.col("text"), most))
+    cut = read.select("source_id", "page_number", F.posexplode(blocks).alias("block", "p")).withColumn("w", F.split(squeezed(F.col("p")), " "))
     cut = cut.select("source_id", "page_number", "block", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / most).cast("int")), lambda i: F.slice("w", i * most + 1, most))).alias("part", "w"))
     kept = cut.where(F.size("w") >= least).withColumn("at", F.row_number().over(Window.partitionBy("source_id", "page_number").orderBy("block", "part")))
-    name = F.concat("source_id", F.lit("_p"), F.lpad(F.col("page_number").cast("string"), 3, "0"), F.lit("_"), F.lpad(F.col("at").cast("string"), 3, "0"))
-    return kept.select("source_id", "page_number", name.alias("passage_id"), F.array_join("w", " ").alias("text"), F.size("w").alias("words"))
+    name = F.concat("source_id", F.lit("_p"), padded(F.col("page_number")), F.lit("_"), padded(F.col("at")))
+    said = kept.select("source_id", "page_number", name.alias("passage_id"), F.array_join("w", " ").alias("text"), F.size("w").alias("words"))
+    return said.withColumn("section", section_title(F.col("text")))
 
 
 def spread(rows: DataFrame, stratum: str, n: int, order: Column) -> DataFrame:
@@ -74,5 +125,5 @@ def appended(old: DataFrame, new: DataFrame, key: str, order: str, prefix: str =
     last = old.select(key).unionByName(new.select(key)).agg(F.coalesce(F.max(number), F.lit(0)).alias("_last"))
     # Only the rows that need one are numbered.
     place = F.row_number().over(Window.orderBy(order))
-    renamed = marked.where("_again").withColumn("_n", place).crossJoin(F.broadcast(last)).withColumn(key, F.concat(F.lit(f"{prefix}-"), F.lpad((F.col("_last") + F.col("_n")).cast("string"), 3, "0")))
+    renamed = marked.where("_again").withColumn("_n", place).crossJoin(F.broadcast(last)).withColumn(key, F.concat(F.lit(f"{prefix}-"), padded(F.col("_last") + F.col("_n"))))
     return old.unionByName(marked.where("NOT _again").select(old.columns)).unionByName(renamed.select(old.columns))

@@ -44,10 +44,15 @@ def near_lower(value: Column, caution: Column, stop: Column, margin: float) -> C
 def visible(recommendations: DataFrame, priorities: DataFrame, limit: int = 3) -> DataFrame:
     """The recommendations to show per request: eligible and grounded ones with an action to take, by action, priority of the family and name.
 
-    recommendations (request_id, family, drug, action, eligible, grounded), priorities (family, priority).
+    recommendations (request_id, family, drug, action, eligible, grounded; wants_arni if there), priorities (family, priority).
+    With wants_arni, the request takes or asks for an ARNI: then the RAS family, which must not go with it, is left out; else
+    an ARNI is shown only as a start. A loop diuretic that may be shown is among these anyway, so there is nothing to fall back on.
     """
     action = F.array_position(F.array(*map(F.lit, SHOWN)), F.col("action"))
     kept = recommendations.where(F.col("eligible") & F.col("grounded") & F.col("action").isin(*SHOWN)).join(priorities, "family", "left")
+    if "wants_arni" in recommendations.columns:
+        wants = F.coalesce("wants_arni", F.lit(False))
+        kept = kept.where(~((F.col("family") == "ras") & wants) & ((F.col("family") != "arni") | wants | (F.col("action") == "start")))
     return top(kept, ["request_id"], [action, F.col("priority").asc_nulls_last(), F.col("drug")], limit).drop("priority")
 
 
@@ -64,8 +69,9 @@ def agent_line(contexts: DataFrame, agents: DataFrame) -> DataFrame:
 
 
 def shown_number(value: Column) -> Column:
-    """Whole numbers without decimals."""
-    return F.when(value == F.floor(value), F.floor(value).cast("string")).otherwise(value.cast("string"))
+    """Three decimals at most, whole numbers without any."""
+    short = F.round(value, 3)
+    return F.when(short == F.floor(short), F.floor(short).cast("string")).otherwise(short.cast("string"))
 
 
 def labelled_dose(line: Column, label: str) -> Column:
@@ -120,7 +126,7 @@ def mra_actions(patients: DataFrame) -> DataFrame:
         care = care | near_upper(c(name), c(f"caution_{name}"), c(f"stop_{name}"), MARGINS[name])
     care = care | near_lower(c("egfr"), c("caution_egfr"), c("stop_egfr"), MARGINS["egfr"])
     taken = F.coalesce(c("current") != 0, F.lit(False))
-    known = c("grounded") & c("start_dose").isNotNull()
+    known = F.coalesce(c("grounded"), F.lit(False)) & c("start_dose").isNotNull()
     below = F.coalesce(c("current") + 0.001 < c("target_value"), F.lit(False))
     best = F.coalesce("target_dose", "start_dose")
     rules = [
@@ -155,3 +161,283 @@ def grounded_contexts(contexts: DataFrame, evidence: DataFrame, most: int = 12)
     named = F.max(F.col("_at").isNotNull()).over(Window.partitionBy("request_id"))
     kept = marked.withColumn("_named", named).where(F.col("_at").isNotNull() | ~F.col("_named"))
     return top(kept, ["request_id"], [F.col("_at").asc_nulls_last(), F.col("ord")], most).drop("_at", "_named")
+
+
+# The families in their order, their keywords, and the agents that are assumed.
+FAMILIES = ["mra", "beta_blocker", "ras", "arni", "sglt2", "loop_diuretic"]
+PRIORITY = {"sglt2": 0, "beta_blocker": 1, "arni": 2, "ras": 3, "mra": 4, "loop_diuretic": 5}
+KEYWORDS = {
+    "mra": ["mra", "spironolactone", "eplerenone"],
+    "beta_blocker": ["beta-blocker", "beta blocker", "bisoprolol", "carvedilol", "metoprolol", "nebivolol"],
+    "ras": ["ace-i", "ace i", "arb", "enalapril", "lisinopril", "ramipril", "trandolapril", "captopril"],
+    "arni": ["arni", "sacubitril", "valsartan", "sac/val"],
+    "sglt2": ["sglt2", "dapagliflozin", "empagliflozin"],
+    "loop_diuretic": ["diuretic", "loop diuretic", "furosemide", "bumetanide", "torasemide", "congestion"],
+}
+AGENTS = {"mra": "spironolactone", "beta_blocker": "bisoprolol", "ras": "enalapril", "arni": "sacubitril/valsartan", "sglt2": "dapagliflozin", "loop_diuretic": "furosemide"}
+# Other names of agents; those that only name a family stand for its default.
+AGENT_NAMES = {
+    "metoprolol": "metoprolol_succinate",
+    "metoprolol_cr_xl": "metoprolol_succinate",
+    "metoprolol_succinate_(cr/xl)": "metoprolol_succinate",
+    "sacubitril_valsartan": "sacubitril/valsartan",
+    "sac_val": "sacubitril/valsartan",
+    "spironolacton": "spironolactone",
+}
+FAMILY_NAMES = ("mra", "bb", "loop")
+# What a family's contexts have to say (all parts of a line) for a threshold; of several lines the last one holds.
+THRESHOLDS = {
+    "mra": [
+        (["k", ">5.0"], "caution_potassium", 5.0), (["k", "above 5.5"], "stop_potassium", 5.5), (["k", ">6.0"], "stop_potassium", 6.0),
+        (["2.5 mg/dl"], "caution_creatinine", 2.5), (["3.5 mg/dl"], "stop_creatinine", 3.5), (["egfr <30"], "caution_egfr", 30.0), (["egfr <20"], "stop_egfr", 20.0),
+    ],
+    "beta_blocker": [(["heart rate <50"], "caution_hr", 50.0), (["if <50 b.p.m."], "caution_hr", 50.0), (["sbp <90"], "caution_sbp", 90.0)],
+    "ras": [
+        (["significant hyperkalaemia (k", ">5.0"], "caution_potassium", 5.0), (["k", ">5.5 mmol/l"], "stop_potassium", 5.5), (["2.5 mg/dl"], "caution_creatinine", 2.5),
+        (["3 mg/dl"], "stop_creatinine", 3.0), (["3.5 mg/dl"], "stop_creatinine", 3.5), (["egfr <30"], "caution_egfr", 30.0), (["egfr <25"], "stop_egfr", 25.0), (["egfr <20"], "stop_egfr", 20.0), (["sbp <90"], "caution_sbp", 90.0),
+    ],
+    "arni": [([">5.0"], "caution_potassium", 5.0), ([">5.5 mmol/l"], "stop_potassium", 5.5), (["egfr <30"], "stop_egfr", 30.0), (["sbp <90"], "caution_sbp", 90.0), (["sbp >95"], "caution_sbp", 90.0)],
+    "sglt2": [(["egfr <20"], "stop_egfr", 20.0), (["sbp <95"], "caution_sbp", 95.0)],
+    "loop_diuretic": [(["egfr <30"], "caution_egfr", 30.0), (["2.5 mg/dl"], "caution_creatinine", 2.5), (["sbp <90"], "caution_sbp", 90.0)],
+}
+BOUNDS = ["caution_potassium", "stop_potassium", "caution_creatinine", "stop_creatinine", "caution_egfr", "stop_egfr", "caution_sbp", "caution_hr"]
+# Phrases for a dose that may be doubled, for a start only without congestion, and for a pause before a switch.
+DOUBLES, WASHOUT = "double the dose", "36 h"
+EUVOLAEMIA = {"beta_blocker": ["achieve ‘euvolaemia’ before starting", "achieve 'euvolaemia' before starting", "relieve congestion and achieve"], "loop_diuretic": ["not indicated if the patient has never had symptoms or signs of congestion"]}
+
+
+def agent(value: Column, family: Column) -> Column:
+    """(name, assumed): the usual name of a patient's agent, or the family's default."""
+    name = F.replace(F.replace(F.lower(F.trim(value)), F.lit("-"), F.lit("_")), F.lit(" "), F.lit("_"))
+    default = F.element_at(F.create_map(*(F.lit(x) for pair in AGENTS.items() for x in pair)), family)
+    for other, usual in AGENT_NAMES.items():
+        name = F.when(name == other, usual).otherwise(name)
+    known = F.nullif(F.when(name.isin(*FAMILY_NAMES), default).otherwise(name), F.lit(""))
+    return F.struct(F.coalesce(known, default).alias("name"), known.isNull().alias("assumed"))
+
+
+def family_queries(patients: DataFrame, templates: dict[str, str]) -> DataFrame:
+    """(request_id, family, ord, query) of patients (request_id, and a column family_agent per family, if there): each family's template with the agent in it."""
+    rows = [F.struct(F.lit(f).alias("family"), F.lit(i).alias("ord"), F.replace(F.lit(templates[f]), F.lit("{agent}"), agent(F.col(f"{f}_agent") if f"{f}_agent" in patients.columns else F.lit(None).cast("string"), F.lit(f))["name"]).alias("query")) for i, f in enumerate(FAMILIES) if templates.get(f)]
+    return patients.select("request_id", F.explode(F.array(*rows)).alias("x")).select("request_id", "x.*")
+
+
+def by_family(contexts: DataFrame) -> DataFrame:
+    """contexts (request_id, ord, title, snippet, ...) with `family`, once for each family of which they have a keyword."""
+    text = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("snippet", F.lit(""))))
+    any_of = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
+    return contexts.withColumn("family", F.explode(F.array_compact(F.array(*(F.when(any_of(words), f) for f, words in KEYWORDS.items())))))
+
+
+def _reduced_combo(text: Column) -> Column:
+    """(text, value) of the smaller first dose of the combination."""
+    chosen, named = F.regexp_extract(text, r"(?i)(24/26\s*mg\s*[a-z.]+)\s+in selected patients", 1), F.regexp_extract(text, r"(?i)reduced starting dose\s*\(?24/26\s*mg\s*([a-z.]+)\)?", 1)
+    dose = F.when(chosen != "", F.replace(F.lower(chosen), F.lit("  "), F.lit(" "))).when(named != "", F.concat(F.lit("24/26 mg "), F.lower(named)))
+    return F.struct(dose.alias("text"), F.when(dose.isNotNull(), 24.0).alias("value"))
+
+
+def evidence(patients: DataFrame, contexts: DataFrame) -> DataFrame:
+    """One row per request and family: what the family's contexts say on doses and thresholds.
+
+    patients (request_id, and a column family_agent per family, if there); contexts (request_id, ord, family, chunk_id,
+    page_number, title, snippet), a few of each request. Columns: drug, assumed, chunk_ids, pages, start_dose, start_value,
+    frequency, target_dose, target_value, reduced_dose, reduced_value, start_high, usual_range, BOUNDS, doubles, needs_euvolaemia, washout.
+    """
+    agents = F.array(*(F.struct(F.lit(f).alias("family"), agent(F.col(f"{f}_agent") if f"{f}_agent" in patients.columns else F.lit(None).cast("string"), F.lit(f)).alias("agent")) for f in FAMILIES))
+    rows = patients.select("request_id", F.explode(agents).alias("x")).select("request_id", "x.family", F.col("x.agent.name").alias("drug"), F.col("x.agent.assumed").alias("assumed"))
+    item = F.struct("ord", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("snippet", F.lit("")).alias("snippet"), F.col("chunk_id").cast("string").alias("chunk_id"), "page_number")
+    rows = rows.join(contexts.groupBy("request_id", "family").agg(F.sort_array(F.collect_list(item)).alias("items")), ["request_id", "family"], "left")
+    rows = rows.withColumn("text", F.coalesce(F.array_join(F.transform("items", lambda x: F.lower(F.concat(x["title"], F.lit(" "), x["snippet"]))), "\n"), F.lit("")))
+    wanted = F.replace(F.lower("drug"), F.lit("_"), F.lit(" "))
+    lines = F.flatten(F.transform("items", lambda x: F.split(x["snippet"], r"\r?\n", -1)))
+    line = F.coalesce(F.trim(F.get(F.filter(lines, lambda x: F.contains(F.lower(x), wanted)), F.lit(0))), F.array_join(F.transform("items", lambda x: x["snippet"]), "\n"), F.lit(""))
+    rows = rows.withColumn("line", line)
+    of = lambda *families: F.col("family").isin(*families)
+    said, combined, loop = labelled_dose(F.col("line"), "starting dose"), combined_dose(F.col("text"), "starting dose"), dose_range(F.col("line"), "starting dose")
+    both = labelled_dose(F.col("line"), r"starting \(and target\) dose")
+    target, wide, pair = labelled_dose(F.col("line"), "target dose"), target_dose(F.col("line")), combined_dose(F.col("text"), "target dose")
+    reduced = _reduced_combo(F.col("text"))
+    pick = lambda field, arni, sglt2, loop_, other: F.when(of("arni"), arni[field]).when(of("sglt2"), sglt2[field]).when(of("loop_diuretic"), loop_).otherwise(other[field])
+    goal = lambda field: F.when(of("arni"), pair[field]).when(of("sglt2"), both[field]).when(of("ras"), wide[field]).when(~of("loop_diuretic"), target[field])
+    has = lambda parts: F.expr("true") if not parts else [F.contains("text", F.lit(x)) for x in parts]
+
+    def bound(name: str) -> Column:
+        out = F.lit(None).cast("double")
+        for family, lines_ in THRESHOLDS.items():
+            for parts, to, value in lines_:
+                if to == name:
+                    cond = of(family)
+                    for x in has(parts):
+                        cond = cond & x
+                    out = F.when(cond, value).otherwise(out)
+        return out.alias(name)
+
+    any_phrase = lambda family: F.array_contains(F.transform(F.array(*map(F.lit, EUVOLAEMIA[family])), lambda w: F.contains("text", w)), True) & of(family)
+    return rows.select(
+        "request_id", "family", "drug", "assumed",
+        F.coalesce(F.array_distinct(F.filter(F.transform("items", lambda x: x["chunk_id"]), lambda x: x.isNotNull())), F.array().cast("array<string>")).alias("chunk_ids"),
+        F.coalesce(F.array_distinct(F.filter(F.transform("items", lambda x: x["page_number"]), lambda x: x.isNotNull())), F.array().cast("array<int>")).alias("pages"),
+        pick("text", combined, both, loop["text"], said).alias("start_dose"), pick("value", combined, both, loop["low"], said).alias("start_value"), pick("frequency", combined, both, F.lit("daily"), said).alias("frequency"),
+        goal("text").alias("target_dose"), goal("value").alias("target_value"), F.when(of("arni"), reduced["text"]).alias("reduced_dose"), F.when(of("arni"), reduced["value"]).alias("reduced_value"),
+        F.when(of("loop_diuretic"), loop["high"]).alias("start_high"), F.when(of("loop_diuretic"), dose_range(F.col("line"), "usual dose")["text"]).alias("usual_range"),
+        *(bound(b) for b in BOUNDS),
+        (F.contains("text", F.lit(DOUBLES)) & of("beta_blocker", "ras", "arni")).alias("doubles"), (any_phrase("beta_blocker") | any_phrase("loop_diuretic")).alias("needs_euvolaemia"), (F.contains("text", F.lit(WASHOUT)) & of("arni")).alias("washout"),
+    )
+
+
+# The notes of decisions.
+NOTES = {
+    "mra stop": "Retrieved MRA safety thresholds were crossed.",
+    "mra reduce": "Retrieved MRA guidance supports halving or holding when potassium/renal thresholds are exceeded or close to stopping thresholds.",
+    "mra avoid": "Retrieved MRA starting thresholds are not met or are too close to stopping thresholds.",
+    "bb rate": "Retrieved beta-blocker guidance says to halve the dose when heart rate is below 50 b.p.m. with clinical concern.",
+    "bb rate start": "Retrieved beta-blocker guidance cautions against starting when heart rate is below 50 b.p.m.",
+    "bb pressure": "Retrieved beta-blocker guidance cautions against ongoing titration during hypotension.",
+    "bb pressure start": "Retrieved beta-blocker guidance cautions against starting while hypotensive.",
+    "bb congestion": "Retrieved beta-blocker guidance advises relieving congestion and restoring euvolaemia before starting.",
+    "no interval": "No grounded uptitration interval was extracted for this agent.",
+    "ras with arni": "ARNI pathway takes precedence over ACE-I/ARB co-prescription.",
+    "ras stop": "Retrieved ACE-I/ARB stopping thresholds were crossed.",
+    "ras stop start": "Retrieved ACE-I/ARB starting thresholds were not met.",
+    "ras reduce": "Retrieved ACE-I/ARB guidance supports halving or holding when chemistry rises excessively or is close to stopping thresholds.",
+    "ras avoid": "Retrieved ACE-I/ARB guidance lists potassium/renal/blood-pressure cautions for initiation.",
+    "arni potassium": "Retrieved ARNI stopping threshold for potassium was crossed.",
+    "arni potassium start": "Retrieved ARNI starting threshold for potassium was not met.",
+    "arni egfr": "Retrieved ARNI stopping threshold for eGFR was crossed.",
+    "arni egfr start": "Retrieved ARNI starting threshold for eGFR was not met.",
+    "arni pressure": "Retrieved ARNI guidance cautions against hypotension.",
+    "arni pressure start": "Retrieved ARNI guidance cautions against starting while hypotensive.",
+    "arni near": "Retrieved ARNI guidance lists potassium/renal thresholds that are too close to stopping thresholds for escalation.",
+    "arni near start": "Retrieved ARNI guidance lists potassium/renal thresholds that are too close to stopping thresholds for initiation.",
+    "arni washout": "Requires ACE-I washout of at least 36 hours before switching.",
+    "sglt2 egfr": "Retrieved SGLT2 eGFR threshold was not met.",
+    "sglt2 pressure": "Retrieved SGLT2 blood-pressure threshold was not met.",
+    "sglt2 fluid": "Monitor fluid balance because SGLT2 inhibitors may intensify diuresis when combined with diuretics.",
+    "loop reduce": "Retrieved diuretic guidance supports reducing the dose in hypovolaemia or hypotension without congestion.",
+    "loop avoid": "Retrieved diuretic guidance does not support initiation without congestion or during volume depletion.",
+    "loop none": "Retrieved diuretic guidance says loop diuretics are not indicated without symptoms or signs of congestion.",
+    "loop keep": "Retrieved diuretic guidance emphasizes titrating to congestion and volume status rather than a fixed target.",
+    "ungrounded": "No retrieved guideline evidence was available for this drug family.",
+}
+DOSES = {"mra": "dose_mra_prev", "beta_blocker": "dose_bb_prev", "ras": "dose_ras_prev", "arni": "dose_arni_prev", "sglt2": "dose_sglt2_prev", "loop_diuretic": "dose_loop_prev"}
+
+
+def recommended(patients: DataFrame, known: DataFrame) -> DataFrame:
+    """One row per request and family of evidence(): drug, action, dose, status, note, assumed, grounded, eligible, chunk_ids, pages, wants_arni.
+
+    patients (request_id; numbers potassium, creatinine, egfr, sbp, heart_rate, weight_gain_kg; booleans congestion_present,
+    volume_depleted, switch_to_arni; texts DOSES), any of which may be null. Each family has an ordered list of rules, of
+    which the first that holds decides; missing values and thresholds hold in none.
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    r = known.join(patients, "request_id")
+    c = F.col
+    previous = F.element_at(F.create_map(*(x for f, d in DOSES.items() for x in (F.lit(f), c(d).cast("string")))), c("family"))
+    r = r.withColumn("taken", number(previous))
+    lead = F.coalesce(F.nullif(F.regexp_extract(c("dose_arni_prev").cast("string"), rf"{_NUMBER}/{_NUMBER}", 1), F.lit("")).try_cast("double"), number(c("dose_arni_prev").cast("string")))
+    taking = lambda d: yes((F.trim(c(d).cast("string")) != "") & (F.coalesce(number(c(d).cast("string")), F.lit(1.0)) != 0))
+    above, below = lambda v, b: yes(c(v) > c(b)), lambda v, b: yes(c(v) < c(b))
+    current, on = c("taken"), yes(c("taken") != 0)
+    stop = above("potassium", "stop_potassium") | above("creatinine", "stop_creatinine") | below("egfr", "stop_egfr")
+    care = above("potassium", "caution_potassium") | above("creatinine", "caution_creatinine") | below("egfr", "caution_egfr")
+    near_k, near_e = near_upper(c("potassium"), c("caution_potassium"), c("stop_potassium"), MARGINS["potassium"]), near_lower(c("egfr"), c("caution_egfr"), c("stop_egfr"), MARGINS["egfr"])
+    near = near_k | near_upper(c("creatinine"), c("caution_creatinine"), c("stop_creatinine"), MARGINS["creatinine"]) | near_e
+    low_pressure, slow = below("sbp", "caution_sbp"), below("heart_rate", "caution_hr")
+    dose_of = lambda value: F.concat(shown_number(value), F.lit(" mg"), F.coalesce(F.concat(F.lit(" "), F.nullif(c("frequency"), F.lit(""))), F.lit("")))
+    half = dose_of(F.greatest(current / 2, F.coalesce("start_value", current / 2)))
+    at_goal, more = yes((c("target_value") != 0) & (current + 0.001 >= c("target_value"))), dose_of(F.least(current * 2, F.coalesce(F.nullif(c("target_value"), F.lit(0.0)), current * 2)))
+    goal = F.coalesce("target_dose", "start_dose")
+    congested = yes(c("congestion_present")) | (yes(c("weight_gain_kg") > 1.5) & (c("family") == "loop_diuretic"))
+    arni_now, wants = taking("dose_arni_prev"), taking("dose_arni_prev") | yes(c("switch_to_arni"))
+    matched = F.coalesce(*(F.when(yes(F.abs(lead - c(v)) < 0.01), c(d)) for v, d in (("reduced_value", "reduced_dose"), ("start_value", "start_dose"), ("target_value", "target_dose"))))
+    had = lead.isNotNull()
+    following = F.when(yes(F.abs(lead - c("reduced_value")) < 0.01), c("start_dose")).when(yes(F.abs(lead - c("start_value")) < 0.01), c("target_dose")).when(lead >= F.coalesce("start_value", lead), c("target_dose")).otherwise(c("start_dose"))
+    smaller = F.coalesce("reduced_dose", "start_dose", matched)
+    first = F.when((yes(c("sbp").between(100, 110)) | yes(c("egfr").between(30, 60))) & c("reduced_dose").isNotNull(), c("reduced_dose")).otherwise(c("start_dose"))
+    dry = yes(c("volume_depleted")) | (low_pressure & ~congested)
+    ras_now = taking("dose_ras_prev")
+    titrated = [
+        (~on, "start", c("start_dose"), "eligible", None),
+        (at_goal, "maintain", dose_of(current), "at_target", None),
+        (c("doubles"), "increase", more, "eligible", None),
+        (F.lit(True), "maintain", dose_of(current), "caution", "no interval"),
+    ]
+    rules = {
+        "mra": [
+            (stop & on, "stop", None, "contraindicated", "mra stop"),
+            (stop, "avoid_start", None, "contraindicated", "mra stop"),
+            ((care | near) & on, "reduce", c("start_dose"), "caution", "mra reduce"),
+            (care | near, "avoid_start", None, "caution", "mra avoid"),
+            (~on, "start", c("start_dose"), "eligible", None),
+            (yes((c("target_value") != 0) & (current + 0.001 < c("target_value"))), "increase", goal, "eligible", None),
+            (F.lit(True), "maintain", goal, "at_target", None),
+        ],
+        "beta_blocker": [
+            (slow & on, "reduce", half, "caution", "bb rate"),
+            (slow, "avoid_start", None, "caution", "bb rate start"),
+            (low_pressure & on, "reduce", half, "caution", "bb pressure"),
+            (low_pressure, "avoid_start", None, "caution", "bb pressure start"),
+            (~on & c("needs_euvolaemia") & congested, "defer_start", None, "caution", "bb congestion"),
+            *titrated,
+        ],
+        "ras": [
+            (stop & on, "stop", None, "contraindicated", "ras stop"),
+            (stop, "avoid_start", None, "contraindicated", "ras stop start"),
+            ((care | near | low_pressure | yes(c("sbp") <= c("caution_sbp"))) & on, "reduce", half, "caution", "ras reduce"),
+            (care | near | low_pressure | yes(c("sbp") <= c("caution_sbp")), "avoid_start", None, "caution", "ras avoid"),
+            *titrated,
+        ],
+        "arni": [
+            (above("potassium", "stop_potassium") & had, "stop", None, "contraindicated", "arni potassium"),
+            (above("potassium", "stop_potassium"), "avoid_start", None, "contraindicated", "arni potassium start"),
+            (below("egfr", "stop_egfr") & had, "stop", None, "contraindicated", "arni egfr"),
+            (below("egfr", "stop_egfr"), "avoid_start", None, "contraindicated", "arni egfr start"),
+            (low_pressure & had, "maintain", matched, "caution", "arni pressure"),
+            (low_pressure, "avoid_start", None, "caution", "arni pressure start"),
+            ((near_k | near_e) & had, "reduce", smaller, "caution", "arni near"),
+            (near_k | near_e, "avoid_start", None, "caution", "arni near start"),
+            (had & yes((c("target_value") != 0) & (lead + 0.001 >= c("target_value"))), "maintain", F.coalesce(matched, "target_dose"), "at_target", None),
+            (had, "increase", following, "eligible", None),
+            (ras_now & c("washout"), "switch", first, "eligible", "arni washout"),
+            (ras_now, "switch", first, "eligible", None),
+            (F.lit(True), "start", first, "eligible", None),
+        ],
+        "sglt2": [
+            (below("egfr", "stop_egfr"), "avoid_start", None, "contraindicated", "sglt2 egfr"),
+            (low_pressure, "avoid_start", None, "caution", "sglt2 pressure"),
+            (taking("dose_sglt2_prev"), "maintain", c("start_dose"), "at_target", "sglt2 fluid"),
+            (F.lit(True), "start", c("start_dose"), "eligible", "sglt2 fluid"),
+        ],
+        "loop_diuretic": [
+            (dry & on, "reduce", dose_of(F.greatest(current / 2, c("start_value"))), "caution", "loop reduce"),
+            (dry, "avoid_start", None, "caution", "loop avoid"),
+            (~congested & ~on, "no_change", None, "not_indicated", "loop none"),
+            (~on, "start", dose_of(F.when(congested, c("start_high")).otherwise(c("start_value"))), "eligible", None),
+            (F.lit(True), "maintain", dose_of(current), "maintain", "loop keep"),
+        ],
+    }
+
+    def outcome(action, dose, state, note):
+        text = lambda x: F.lit(x).cast("string")
+        return F.struct(text(action).alias("action"), (text(None) if dose is None else dose).alias("dose"), text(state).alias("status"), text(NOTES.get(note)).alias("note"))
+
+    grounded = (F.size("chunk_ids") > 0) & F.when(c("family") == "loop_diuretic", c("start_value").isNotNull()).otherwise(F.coalesce("start_dose", F.lit("")) != "")
+    decision = F.when((c("family") == "ras") & wants, outcome("do_not_combine", None, "not_applicable", "ras with arni")).when(~grounded, outcome("unavailable", None, "ungrounded", "ungrounded"))
+    for family, listed in rules.items():
+        for cond, action, dose, state, note in listed:
+            decision = decision.when((c("family") == family) & cond, outcome(action, dose, state, note))
+    out = r.withColumn("_x", decision).withColumn("wants_arni", wants)
+    state = c("_x.status")
+    return out.select("request_id", "family", F.when(state != "not_applicable", c("drug")).alias("drug"), "_x.action", "_x.dose", "_x.status", "_x.note", (c("assumed") & (state != "not_applicable")).alias("assumed"), (~state.isin("ungrounded", "not_applicable") | (state == "not_applicable")).alias("grounded"), (state == "eligible").alias("eligible"), "chunk_ids", "pages", "wants_arni")
+
+
+def verdicts(recommendations: DataFrame, shown: DataFrame) -> DataFrame:
+    """(request_id, verdict, reasons, confidence): fail if a recommendation that is shown has no evidence."""
+    careful = F.count_if(F.col("grounded") & F.col("status").isin("caution", "contraindicated"))
+    per = recommendations.groupBy("request_id").agg((careful > 0).alias("careful"))
+    bare = F.array_sort(F.collect_list(F.when(~F.coalesce("grounded", F.lit(False)) | (F.size("chunk_ids") == 0), F.concat(F.lit("ungrounded_recommendation:"), F.col("family")))))
+    seen = shown.groupBy("request_id").agg(F.count("*").alias("n"), bare.alias("bare"))
+    x = per.join(seen, "request_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    fails = F.coalesce(F.size("bare"), F.lit(0)) > 0
+    reasons = F.when(fails, F.col("bare")).when(F.col("n") > 0, F.array(F.lit("grounded_recommendations_with_evidence"))).when(F.col("careful"), F.array(F.lit("grounded_safety_cautions_without_visible_uptitration"))).otherwise(F.array(F.lit("no_grounded_recommendation")))
+    return x.select("request_id", F.when(fails, "fail").otherwise("pass").alias("verdict"), reasons.alias("reasons"), F.when((F.col("n") == 0) & ~F.col("careful"), "medium").otherwise("high").alias("confidence"))

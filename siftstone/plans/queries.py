@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftstone.functions.text import ANSWER_STOPWORDS, SEARCH_STOPWORDS, tokens
+from siftstone.functions.text import ANSWER_STOPWORDS, GUIDANCE_STOPWORDS, SEARCH_STOPWORDS, tokens
 from siftstone.operators import campaigns, chunking, cleaning, clinical, datasets, dosing, guidance, indexing, mapping, retrieval, scoring, telemetry
 from siftstone.sources import documents, stores
 from siftstone.streaming import jobs
@@ -464,20 +464,59 @@ def _(t):
 _ALONE = r"(?:^|[^\p{{L}}\p{{N}}_])({x})(?:$|[^\p{{L}}\p{{N}}_])"
 
 
-@query("gui05_expected_items", f"SELECT conv_id, turn, coalesce(TRY_CAST(regexp_extract(m, '{_ALONE.format(x='[2-9]|10')}', 1) AS INT), CAST(nullif(list_position({_list(guidance.NUMBERS)}, regexp_extract(m, '{_ALONE.format(x='|'.join(guidance.NUMBERS))}', 1)), 0) + 1 AS INT)) AS n FROM (SELECT *, lower(coalesce(text, '')) AS m FROM conversations)")
+_WORD_NUMBER = "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(m, '{_ALONE.format(x=w)}') THEN {i} END" for i, w in enumerate(guidance.NUMBERS, 2)) + ")"
+
+
+@query("gui05_expected_items", f"SELECT conv_id, turn, CAST(coalesce(TRY_CAST(regexp_extract(m, '{_ALONE.format(x='[2-9]|10')}', 1) AS INT), {_WORD_NUMBER}) AS INT) AS n FROM (SELECT *, lower(coalesce(text, '') || CASE conv_id % 4 WHEN 0 THEN ' name 3 of the seven.' WHEN 1 THEN ' Ten or two?' ELSE '' END) AS m FROM conversations)")
 def _(t):
-    return t("conversations").select("conv_id", "turn", guidance.expected_items(F.col("text")).alias("n"))
+    asked = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("conv_id") % 4 == 0, " name 3 of the seven.").when(F.col("conv_id") % 4 == 1, " Ten or two?").otherwise(""))
+    return t("conversations").select("conv_id", "turn", guidance.expected_items(asked).alias("n"))
+
 
+_ITEM = r"'(^|[^\p{L}\p{N}_])[1-9]\.\s*', '\1' || chr(1), 'g'"
+_LISTED = "'1. ' || coalesce(text, '') || '; a2. no (2. ' || role || ', ' || chr(10) || '3. - 4.last) 15. ' || turn"
 
-@query("gui06_numbered_items")
+
+@query("gui06_numbered_items", f"SELECT conv_id, turn, list_filter(list_transform(string_split(m, chr(1))[2:], lambda x: trim(x, ' ;,.-')), lambda x: x <> '') AS items FROM (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace({_LISTED}, '\\s+', ' ', 'g'), {_ITEM}), {_ITEM}) AS m FROM conversations)")
 def _(t):
-    return t("conversations").select("conv_id", "turn", guidance.numbered_items(F.col("text")).alias("items"))
+    listed = F.concat(F.lit("1. "), F.coalesce("text", F.lit("")), F.lit("; a2. no (2. "), F.col("role"), F.lit(", \n3. - 4.last) 15. "), F.col("turn").cast("string"))
+    return t("conversations").select("conv_id", "turn", guidance.numbered_items(listed).alias("items"))
+
+
+def _gt(text: str) -> str:
+    return rf"list_distinct(list_filter(regexp_extract_all(lower(coalesce({text}, '')), '[a-z0-9]+'), lambda x: len(x) > 2 AND NOT list_contains({_list(GUIDANCE_STOPWORDS)}, x)))"
+
+
+def _any(text: str, words: list[str]) -> str:
+    return f"len(list_filter({_list(words)}, lambda w: contains({text}, w))) > 0"
+
+
+# Contexts of a question: the documents found for it, to which fixed arithmetic adds a word of a finding.
+_CONTEXTS = """, ctx AS (SELECT query_id, CAST(rank AS INT) AS ord, lang AS title, text || CASE (id + rank) % 4 WHEN 0 THEN '; Potassium high' WHEN 1 THEN '; haemoglobin falls.' WHEN 2 THEN ' in heart failure' ELSE '' END AS snippet FROM ranked JOIN documents ON doc_id = id WHERE rank <= {k}),
+said AS (SELECT *, lower(coalesce(title, '') || ' ' || coalesce(snippet, '')) AS m FROM ctx)"""
 
 
-@query("gui07_best_sentences")
+def _contexts(t, k: int) -> DataFrame:
+    found = _bm25(t, k).join(t("documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("title")), "id")
+    part = (F.col("id") + F.col("rank")) % 4
+    word = F.when(part == 0, "; Potassium high").when(part == 1, "; haemoglobin falls.").when(part == 2, " in heart failure").otherwise("")
+    return found.select("query_id", F.col("rank").alias("ord"), "title", F.concat("text", word).alias("snippet"))
+
+
+@query(
+    "gui07_best_sentences",
+    rf"""WITH {_BM25}{_CONTEXTS.format(k=3)},
+every AS (SELECT query_id, string_agg(m, ' ') AS m FROM said GROUP BY 1),
+a AS (SELECT item_id AS query_id, {_gt("text")} AS q, m FROM benchmark JOIN every ON query_id = item_id),
+f AS (SELECT query_id, CASE WHEN len(list_filter(q, lambda x: len(x) > 3 AND contains(m, x))) > 0 THEN list_filter(q, lambda x: len(x) > 3 AND contains(m, x)) ELSE q END AS q FROM a),
+cut AS (SELECT query_id, ord, generate_subscripts(p, 1) AS pos, unnest(p) AS sentence FROM (SELECT query_id, ord, list_transform(string_split(regexp_replace(snippet, '([.!?;])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))) AS p FROM ctx)),
+o AS (SELECT cut.*, len(list_intersect({_gt("sentence")}, q)) AS overlap FROM cut JOIN f USING (query_id) WHERE sentence <> ''),
+d AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY query_id, sentence ORDER BY ord, pos) = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, len(sentence) DESC, ord, pos) AS rank FROM d)
+SELECT query_id, sentence, CAST(overlap AS INT) AS overlap, CAST(rank AS INT) AS rank FROM r WHERE rank <= 3 AND (rank = 1 OR overlap > 0)""",
+)
 def _(t):
-    contexts = _bm25(t, 3).join(t("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("snippet")), "id").select("query_id", F.col("rank").alias("ord"), "snippet")
-    return guidance.best_sentences(t("benchmark").select(F.col("item_id").alias("query_id"), "text"), contexts)
+    return guidance.best_sentences(t("benchmark").select(F.col("item_id").alias("query_id"), "text"), _contexts(t, 3))
 
 
 @query("cli08_clusters", f"WITH {_PROFILE} SELECT patient_id, key, CASE key WHEN 'hb' THEN 'Anemia and iron status' WHEN 'eGFR' THEN 'Cardio-renal and electrolyte safety' ELSE 'Other findings' END AS cluster FROM f WHERE status IN ('low', 'high')")
@@ -509,19 +548,48 @@ def _(t):
     return t("conversations").select("conv_id", "turn", guidance.actionable(F.col("text")).alias("actionable"))
 
 
-def _asked(t) -> tuple[DataFrame, DataFrame]:
-    contexts = _bm25(t, 5).join(t("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("snippet"), F.col("lang").alias("title")), "id").select("query_id", F.col("rank").alias("ord"), "title", "snippet")
-    return t("benchmark").select(F.col("item_id").alias("query_id"), "text", F.array(F.substring("text", 1, 6)).alias("profile_terms")), contexts
+def _asked(t) -> DataFrame:
+    """Benchmark items as questions of patients with up to two abnormal findings."""
+    i = F.col("item_id")
+    finding = lambda on, *of: F.when(on, F.struct(*(F.lit(v).alias(n) for n, v in zip(("name", "label", "cluster"), of, strict=True))))
+    abnormal = F.array_compact(F.array(finding(i % 2 == 0, "hb", "Haemoglobin", "Anemia and iron status"), finding(i % 3 == 0, "potassium", "Potassium", "Cardio-renal and electrolyte safety")))
+    recognised = F.concat(F.transform(abnormal, lambda x: x["name"]), F.when(i % 5 == 0, F.array(F.lit("ef"), F.lit("bnp"))).otherwise(F.array().cast("array<string>")))
+    return t("benchmark").select(i.alias("query_id"), "text", F.when(i % 7 > 0, F.array(F.substring("text", 1, 6))).alias("profile_terms"), abnormal.alias("abnormal"), F.transform(abnormal, lambda x: x["cluster"]).alias("clusters"), recognised.alias("recognised"))
+
 
+_JUDGED = f"""who AS (SELECT item_id AS query_id, {_gt("text")} AS q, CASE WHEN item_id % 7 > 0 THEN [lower(substring(text, 1, 6))] ELSE CAST([] AS VARCHAR[]) END AS p, item_id % 2 = 0 AS hb, item_id % 3 = 0 AS k,
+ CASE WHEN item_id % 2 = 0 THEN ['Anemia and iron status'] ELSE CAST([] AS VARCHAR[]) END || CASE WHEN item_id % 3 = 0 THEN ['Cardio-renal and electrolyte safety'] ELSE CAST([] AS VARCHAR[]) END AS clusters,
+ CASE WHEN item_id % 5 = 0 THEN 2 ELSE 0 END + CASE WHEN item_id % 3 = 0 THEN 1 ELSE 0 END AS cardiac, CASE WHEN item_id % 3 = 0 THEN 1 ELSE 0 END AS renal FROM benchmark),
+speaks AS (SELECT s.query_id, s.ord, {_gt("s.m")} AS words, s.m, hb AND (contains(m, 'hb') OR contains(m, 'haemoglobin')) AS c_hb, k AND (contains(m, 'potassium') OR {_any("m", ["renal function", "hyperkalaemia", "hyperkalemia", "hyponatraemia", "hyponatremia"])}) AS c_k,
+ {_any("m", clinical.HEART_FAILURE_WORDS)} AS hf, q, p FROM said s JOIN who USING (query_id)),
+heart AS (SELECT a.query_id, a.cardiac + CASE WHEN coalesce(bool_or(hf), false) THEN 3 ELSE 0 END >= greatest(1, a.renal, 2) AS heart FROM who a LEFT JOIN speaks s ON s.query_id = a.query_id GROUP BY a.query_id, a.cardiac, a.renal)"""
 
-@query("ret13_context_judgement")
+
+@query(
+    "ret13_context_judgement",
+    f"""WITH {_BM25}{_CONTEXTS.format(k=5)}, {_JUDGED},
+n AS (SELECT a.query_id, count(s.ord) AS n, count(*) FILTER (len(list_intersect(s.q, words)) > 0 OR (len(s.p) > 0 AND contains(m, s.p[1]))) AS hits, count(*) FILTER (c_hb) AS n_hb, count(*) FILTER (c_k) AS n_k FROM who a LEFT JOIN speaks s ON s.query_id = a.query_id GROUP BY 1),
+r AS (SELECT a.query_id, CAST(n AS INT) AS n, CAST(hits AS INT) AS hits, list_filter([CASE WHEN n < 3 THEN 'too_few_context_chunks' END, CASE WHEN hits = 0 THEN 'no_clear_query_term_overlap' END, CASE WHEN len(clusters) > 0 AND len(p) = 0 THEN 'no_abnormal_terms_available' END, CASE WHEN (hb AND n_hb = 0) OR (k AND n_k = 0) THEN 'incomplete_cluster_coverage' END], lambda x: x IS NOT NULL) AS why,
+ array_to_string(list_filter([CASE WHEN hb THEN 'Anemia and iron status=' || n_hb END, CASE WHEN k THEN 'Cardio-renal and electrolyte safety=' || n_k END], lambda x: x IS NOT NULL), '|') AS coverage, array_to_string(list_sort(CASE WHEN len(p) > 0 THEN p ELSE q END)[1:8], '|') AS topical_terms FROM who a JOIN n USING (query_id))
+SELECT query_id, n, hits, coverage, array_to_string(why, '|') AS reasons, len(why) = 0 AS sufficient, CASE WHEN len(why) > 1 THEN 'low' WHEN len(why) = 1 THEN 'medium' WHEN n >= 3 THEN 'high' ELSE 'medium' END AS confidence, topical_terms FROM r""",
+)
 def _(t):
-    return guidance.judged_contexts(*_asked(t))
+    out = guidance.judged_contexts(_asked(t), _contexts(t, 5))
+    coverage = F.array_join(F.transform("cluster_coverage", lambda x: F.concat_ws("=", x["cluster"], x["n"].cast("string"))), "|")
+    return out.select("query_id", "n", "hits", coverage.alias("coverage"), F.array_join("reasons", "|").alias("reasons"), "sufficient", "confidence", F.array_join("topical_terms", "|").alias("topical_terms"))
 
 
-@query("ret14_context_ranking")
+@query(
+    "ret14_context_ranking",
+    f"""WITH {_BM25}{_CONTEXTS.format(k=5)}, {_JUDGED},
+s AS (SELECT query_id, ord, c_hb, c_k, len(list_intersect(q, words)) + 1.5 * CASE WHEN len(p) > 0 AND contains(m, p[1]) THEN 1 ELSE 0 END + c_hb::INT + c_k::INT + 1.25 * CASE WHEN heart AND {_any("m", guidance._HEART)} THEN 1 ELSE 0 END AS score FROM speaks JOIN heart USING (query_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) AS place FROM s),
+f AS (SELECT *, (c_hb AND place = min(CASE WHEN c_hb THEN place END) OVER w) OR (c_k AND place = min(CASE WHEN c_k THEN place END) OVER w) AS first FROM o WINDOW w AS (PARTITION BY query_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(first, false) DESC, place) AS rank FROM f WHERE coalesce(first, false) OR score > 0 OR place = 1)
+SELECT query_id, ord, CAST(score AS DOUBLE) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 3 AND (coalesce(first, false) OR score > 0 OR rank = 1)""",
+)
 def _(t):
-    return guidance.ranked_contexts(*_asked(t), 3)
+    return guidance.ranked_contexts(_asked(t), _contexts(t, 5), 3).select("query_id", "ord", "score", "rank")
 
 
 @query("src11_index_chunks")

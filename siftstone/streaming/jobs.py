@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: States that may follow each state.
 NEXT = {"queued": ("running", "failed"), "running": ("queued", "completed", "failed"), "completed": (), "failed": ()}
-LEASE_SECONDS = 60
+LEASE_SECONDS, KEEP_SECONDS = 60, 7 * 24 * 3600
 
 
 def allowed(before: Column, after: Column) -> Column:
@@ -63,17 +63,22 @@ def windowed(stream: DataFrame, ts: str = "ts", size: str = "1 hour", late: str
     return stream.withWatermark(ts, late).groupBy(F.window(ts, size), "status").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "status", "n", "total")
 
 
-def lifecycle(stream: DataFrame, lease_seconds: int = LEASE_SECONDS, late: str = "10 minutes") -> DataFrame:
-    """(job_id, status, lawful, ts) of a stream (job_id, ts, status): every step against the state kept per job; a running job without news for its lease is queued again, by event time. A final state is kept until the watermark passes it."""
-    lease = lease_seconds * 1000
+def lifecycle(stream: DataFrame, lease_seconds: int = LEASE_SECONDS, late: str = "10 minutes", keep_seconds: int = KEEP_SECONDS) -> DataFrame:
+    """(job_id, status, lawful, ts) of a stream (job_id, ts, status): every step against the state kept per job.
+
+    A running job without news for its lease is queued again, by event time, and goes on from there. A waiting job is never
+    forgotten; a finished one is for keep_seconds after its end, so that late events don't make it a new job.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         out = []
         now, since = state.get if state.exists else (None, 0)
         if state.hasTimedOut:
             if now == "running":
-                out.append((key[0], "queued", True, pd.Timestamp(since + lease, unit="ms")))
-            state.remove()
+                now, since = "queued", since + lease_seconds * 1000
+                out.append((key[0], now, True, pd.Timestamp(since, unit="ms")))
+            else:
+                now = None
         else:
             rows = pd.concat(batches).sort_values(["ts", "status"])
             for status, ts in zip(rows["status"], rows["ts"], strict=True):
@@ -81,9 +86,14 @@ def lifecycle(stream: DataFrame, lease_seconds: int = LEASE_SECONDS, late: str =
                 out.append((key[0], status, lawful, ts))
                 if lawful:
                     now, since = status, int(ts.timestamp() * 1000)
-            if now is not None:
-                state.update((now, since))
-                state.setTimeoutTimestamp(max(since + lease, state.getCurrentWatermarkMs() + 1))
+        if now is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((now, since))
+            if now != "queued":
+                wait = lease_seconds if now == "running" else keep_seconds
+                state.setTimeoutTimestamp(max(since + wait * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["job_id", "status", "lawful", "ts"])
 
     return stream.withWatermark("ts", late).groupBy("job_id").applyInPandasWithState(step, "job_id string, status string, lawful boolean, ts timestamp", "status string, since long", "append", GroupStateTimeout.EventTimeTimeout)

