@@ -72,7 +72,7 @@ def _hashed(passages):
                     F.array_distinct(F.concat(F.array(_normal(F.array_join(p["lines"], " "))), paragraphs(p), F.transform(p["lines"], _normal))),
                     lambda t: t != "",
                 ),
-                lambda t: F.struct(n.alias("passage"), p["level"].alias("level"), F.md5(t).alias("hash"), F.length(t).alias("chars")),
+                lambda t: F.struct(n.alias("passage"), p["level"].alias("level"), F.xxhash64(t).alias("hash"), F.length(t).alias("chars")),
             ),
         )
     )
@@ -145,15 +145,19 @@ def as_mail(messages: DataFrame) -> DataFrame:
     deeper; one only the first line; one the turn before in other spacing, below its own text; the last one nothing.
     """
     said = messages.groupBy("conv_id", "turn").agg(F.min("text").alias("text"), F.min("role").alias("role"))
-    back = lambda n: said.select("conv_id", (F.col("turn") + n).alias("turn"), F.col("text").alias(f"text{n}"), F.col("role").alias(f"role{n}"))
-    met = messages.join(back(1), ["conv_id", "turn"], "left").join(back(2).drop("role2"), ["conv_id", "turn"], "left")
+    kind_of = lambda turn: F.pmod(7 * F.col("conv_id") + 3 * turn, F.lit(5))
+    # Only what a later turn quotes goes there.
+    later = said.withColumn("turn", F.col("turn") + 1).withColumn("kind", kind_of(F.col("turn"))).where("kind > 0")
+    one = later.select("conv_id", "turn", F.when(F.col("kind") == 3, F.substring_index("text", "\n", 1)).otherwise(F.col("text")).alias("text1"), F.when(F.col("kind") == 1, F.col("role")).alias("role1"))
+    two = said.withColumn("turn", F.col("turn") + 2).where(kind_of(F.col("turn")) == 2).select("conv_id", "turn", F.col("text").alias("text2"))
+    met = messages.join(one, ["conv_id", "turn"], "left").join(two, ["conv_id", "turn"], "left")
     quoted = lambda text, mark: F.concat(F.lit(mark), F.replace(text, F.lit("\n"), F.lit(f"\n{mark}")), F.lit("\n"))
     text, one, two = F.coalesce("text", F.lit("")), F.col("text1"), F.col("text2")
-    kind = F.pmod(7 * F.col("conv_id") + 3 * F.col("turn"), F.lit(5))
+    kind = kind_of(F.col("turn"))
     mail = F.when(one.isNull(), text)
     mail = mail.when(kind == 1, F.concat(F.coalesce("role1", F.lit("somebody")), F.lit(" wrote:\n"), quoted(one, "> "), text))
     mail = mail.when(kind == 2, F.concat(F.coalesce(quoted(two, "> > "), F.lit("")), quoted(one, "> "), text))
-    mail = mail.when(kind == 3, F.concat(quoted(F.substring_index(one, "\n", 1), "> "), text))
+    mail = mail.when(kind == 3, F.concat(quoted(one, "> "), text))
     mail = mail.when(kind == 4, F.concat(text, F.lit("\n"), quoted(F.replace(one, F.lit(" "), F.lit("  ")), ">")))
     return met.select("conv_id", "turn", "role", mail.otherwise(text).alias("text"))
 
