@@ -8,8 +8,20 @@ from pyspark.sql import functions as F
 from .shared import written
 
 
-def _lowest(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("u").agg(F.min("v").alias("m"))
+#: Nodes with more than one in MOST_HUBS of all links are hubs, so there are fewer than MOST_HUBS of them.
+MOST_HUBS = 1000
+
+
+def _with_lowest(pairs: DataFrame, links_: int) -> DataFrame:
+    """(u, v, m) of pairs (u, v), of which there are at most 2 * links_: m is the smallest v of each u.
+
+    A hub's pairs don't meet in one task: its smallest neighbour is sent to them, and only other nodes' pairs are shuffled.
+    """
+    per = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hub = F.col("n") > max(1000, 2 * links_ // MOST_HUBS)
+    marked = pairs.join(F.broadcast(per.where(hub).select("u", F.col("m").alias("hub_m"))), "u", "left")
+    others = marked.where("hub_m IS NULL").select("u", "v").join(per.where(~hub).select("u", "m"), "u")
+    return others.unionByName(marked.where("hub_m IS NOT NULL").select("u", "v", F.col("hub_m").alias("m")))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,9 +34,9 @@ def components(links: DataFrame) -> DataFrame:
     sign = _signature(now)
     while sign[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_lowest(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        large = _with_lowest(both, sign[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         # u is the larger node of each link here.
-        small = large.join(_lowest(large), "u")
+        small = _with_lowest(large, sign[0])
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
         now = written(small.select("x.u", "x.v").where("u <> v").distinct())
         last, sign = sign, _signature(now)

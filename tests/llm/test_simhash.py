@@ -65,6 +65,12 @@ def test_links_connect_what_all_pairs_do(spark, radius, limit):
     assert joined(found, signed) == joined(near, signed)
 
 
+def test_components_with_hubs(spark):
+    links = [(5000, x) for x in range(1, 2500)] + [(2499, 9000)] + [(9000, x) for x in range(9001, 11000)] + [(20000, 20001)]
+    found = {r.node: r.root for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert {found[x] for x in found if x < 20000} == {1} and len(found) == 2 + 2500 + 2000 and found[20001] == 20000
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     found = graph.components(spark.createDataFrame(chain, "a long, b long")).collect()
