@@ -337,39 +337,43 @@ def recommended(patients: DataFrame, known: DataFrame) -> DataFrame:
     lead = F.coalesce(F.nullif(F.regexp_extract(c("dose_arni_prev").cast("string"), rf"{_NUMBER}/{_NUMBER}", 1), F.lit("")).try_cast("double"), number(c("dose_arni_prev").cast("string")))
     taking = lambda d: yes((F.trim(c(d).cast("string")) != "") & (F.coalesce(number(c(d).cast("string")), F.lit(1.0)) != 0))
     above, below = lambda v, b: yes(c(v) > c(b)), lambda v, b: yes(c(v) < c(b))
-    current, on = c("taken"), yes(c("taken") != 0)
+    current = c("taken")
+    # What rules share is computed once per row, as columns.
     stop = above("potassium", "stop_potassium") | above("creatinine", "stop_creatinine") | below("egfr", "stop_egfr")
     care = above("potassium", "caution_potassium") | above("creatinine", "caution_creatinine") | below("egfr", "caution_egfr")
     near_k, near_e = near_upper(c("potassium"), c("caution_potassium"), c("stop_potassium"), MARGINS["potassium"]), near_lower(c("egfr"), c("caution_egfr"), c("stop_egfr"), MARGINS["egfr"])
-    near = near_k | near_upper(c("creatinine"), c("caution_creatinine"), c("stop_creatinine"), MARGINS["creatinine"]) | near_e
-    low_pressure, slow = below("sbp", "caution_sbp"), below("heart_rate", "caution_hr")
+    near_c = near_upper(c("creatinine"), c("caution_creatinine"), c("stop_creatinine"), MARGINS["creatinine"])
+    target = F.nullif(c("target_value"), F.lit(0.0))
     dose_of = lambda value: F.concat(shown_number(value), F.lit(" mg"), F.coalesce(F.concat(F.lit(" "), F.nullif(c("frequency"), F.lit(""))), F.lit("")))
-    half = dose_of(F.greatest(current / 2, F.coalesce("start_value", current / 2)))
-    at_goal, more = yes((c("target_value") != 0) & (current + 0.001 >= c("target_value"))), dose_of(F.least(current * 2, F.coalesce(F.nullif(c("target_value"), F.lit(0.0)), current * 2)))
-    goal = F.coalesce("target_dose", "start_dose")
-    congested = yes(c("congestion_present")) | (yes(c("weight_gain_kg") > 1.5) & (c("family") == "loop_diuretic"))
-    arni_now, wants = taking("dose_arni_prev"), taking("dose_arni_prev") | yes(c("switch_to_arni"))
-    matched = F.coalesce(*(F.when(yes(F.abs(lead - c(v)) < 0.01), c(d)) for v, d in (("reduced_value", "reduced_dose"), ("start_value", "start_dose"), ("target_value", "target_dose"))))
-    had = lead.isNotNull()
-    following = F.when(yes(F.abs(lead - c("reduced_value")) < 0.01), c("start_dose")).when(yes(F.abs(lead - c("start_value")) < 0.01), c("target_dose")).when(lead >= F.coalesce("start_value", lead), c("target_dose")).otherwise(c("start_dose"))
-    smaller = F.coalesce("reduced_dose", "start_dose", matched)
-    first = F.when((yes(c("sbp").between(100, 110)) | yes(c("egfr").between(30, 60))) & c("reduced_dose").isNotNull(), c("reduced_dose")).otherwise(c("start_dose"))
-    dry = yes(c("volume_depleted")) | (low_pressure & ~congested)
-    ras_now = taking("dose_ras_prev")
+    arni_now = taking("dose_arni_prev")
+    same = lambda v: yes(F.abs(lead - c(v)) < 0.01)
+    r = r.withColumns({
+        "_on": yes(current != 0), "_stop": stop, "_care": care | near_k | near_c | near_e, "_near": near_k | near_e, "_low": below("sbp", "caution_sbp"), "_slow": below("heart_rate", "caution_hr"),
+        "_potassium": above("potassium", "stop_potassium"), "_egfr": below("egfr", "stop_egfr"),
+        "_half": dose_of(F.greatest(current / 2, F.coalesce("start_value", current / 2))), "_same": dose_of(current), "_more": dose_of(F.least(current * 2, F.coalesce(target, current * 2))),
+        "_at_goal": yes(current + 0.001 >= target), "_below_goal": yes(current + 0.001 < target), "_goal": F.coalesce("target_dose", "start_dose"),
+        "_congested": yes(c("congestion_present")) | (yes(c("weight_gain_kg") > 1.5) & (c("family") == "loop_diuretic")), "_wants": arni_now | yes(c("switch_to_arni")), "_lead": lead, "_ras_now": taking("dose_ras_prev"), "_sglt2_now": taking("dose_sglt2_prev"),
+        "_matched": F.when(same("reduced_value"), c("reduced_dose")).when(same("start_value"), c("start_dose")).when(same("target_value"), c("target_dose")),
+        "_next": F.when(same("reduced_value"), c("start_dose")).when(same("start_value"), c("target_dose")).when(lead >= F.coalesce("start_value", lead), c("target_dose")).otherwise(c("start_dose")),
+        "_first": F.when((yes(c("sbp").between(100, 110)) | yes(c("egfr").between(30, 60))) & c("reduced_dose").isNotNull(), c("reduced_dose")).otherwise(c("start_dose")),
+    })
+    on, stop, care, near, low_pressure, slow, congested = (c(f"_{n}") for n in ("on", "stop", "care", "near", "low", "slow", "congested"))
+    half, at_goal, more, goal, matched, wants, ras_now = (c(f"_{n}") for n in ("half", "at_goal", "more", "goal", "matched", "wants", "ras_now"))
+    had, dry, tight = c("_lead").isNotNull(), yes(c("volume_depleted")) | (c("_low") & ~c("_congested")), yes(c("sbp") <= c("caution_sbp"))
     titrated = [
         (~on, "start", c("start_dose"), "eligible", None),
-        (at_goal, "maintain", dose_of(current), "at_target", None),
+        (at_goal, "maintain", c("_same"), "at_target", None),
         (c("doubles"), "increase", more, "eligible", None),
-        (F.lit(True), "maintain", dose_of(current), "caution", "no interval"),
+        (F.lit(True), "maintain", c("_same"), "caution", "no interval"),
     ]
     rules = {
         "mra": [
             (stop & on, "stop", None, "contraindicated", "mra stop"),
             (stop, "avoid_start", None, "contraindicated", "mra stop"),
-            ((care | near) & on, "reduce", c("start_dose"), "caution", "mra reduce"),
-            (care | near, "avoid_start", None, "caution", "mra avoid"),
+            (care & on, "reduce", c("start_dose"), "caution", "mra reduce"),
+            (care, "avoid_start", None, "caution", "mra avoid"),
             (~on, "start", c("start_dose"), "eligible", None),
-            (yes((c("target_value") != 0) & (current + 0.001 < c("target_value"))), "increase", goal, "eligible", None),
+            (c("_below_goal"), "increase", goal, "eligible", None),
             (F.lit(True), "maintain", goal, "at_target", None),
         ],
         "beta_blocker": [
@@ -383,29 +387,29 @@ def recommended(patients: DataFrame, known: DataFrame) -> DataFrame:
         "ras": [
             (stop & on, "stop", None, "contraindicated", "ras stop"),
             (stop, "avoid_start", None, "contraindicated", "ras stop start"),
-            ((care | near | low_pressure | yes(c("sbp") <= c("caution_sbp"))) & on, "reduce", half, "caution", "ras reduce"),
-            (care | near | low_pressure | yes(c("sbp") <= c("caution_sbp")), "avoid_start", None, "caution", "ras avoid"),
+            ((care | tight) & on, "reduce", half, "caution", "ras reduce"),
+            (care | tight, "avoid_start", None, "caution", "ras avoid"),
             *titrated,
         ],
         "arni": [
-            (above("potassium", "stop_potassium") & had, "stop", None, "contraindicated", "arni potassium"),
-            (above("potassium", "stop_potassium"), "avoid_start", None, "contraindicated", "arni potassium start"),
-            (below("egfr", "stop_egfr") & had, "stop", None, "contraindicated", "arni egfr"),
-            (below("egfr", "stop_egfr"), "avoid_start", None, "contraindicated", "arni egfr start"),
+            (c("_potassium") & had, "stop", None, "contraindicated", "arni potassium"),
+            (c("_potassium"), "avoid_start", None, "contraindicated", "arni potassium start"),
+            (c("_egfr") & had, "stop", None, "contraindicated", "arni egfr"),
+            (c("_egfr"), "avoid_start", None, "contraindicated", "arni egfr start"),
             (low_pressure & had, "maintain", matched, "caution", "arni pressure"),
             (low_pressure, "avoid_start", None, "caution", "arni pressure start"),
-            ((near_k | near_e) & had, "reduce", smaller, "caution", "arni near"),
-            (near_k | near_e, "avoid_start", None, "caution", "arni near start"),
-            (had & yes((c("target_value") != 0) & (lead + 0.001 >= c("target_value"))), "maintain", F.coalesce(matched, "target_dose"), "at_target", None),
-            (had, "increase", following, "eligible", None),
-            (ras_now & c("washout"), "switch", first, "eligible", "arni washout"),
-            (ras_now, "switch", first, "eligible", None),
-            (F.lit(True), "start", first, "eligible", None),
+            (near & had, "reduce", F.coalesce("reduced_dose", "start_dose", matched), "caution", "arni near"),
+            (near, "avoid_start", None, "caution", "arni near start"),
+            (had & yes(c("_lead") + 0.001 >= target), "maintain", F.coalesce(matched, "target_dose"), "at_target", None),
+            (had, "increase", c("_next"), "eligible", None),
+            (ras_now & c("washout"), "switch", c("_first"), "eligible", "arni washout"),
+            (ras_now, "switch", c("_first"), "eligible", None),
+            (F.lit(True), "start", c("_first"), "eligible", None),
         ],
         "sglt2": [
-            (below("egfr", "stop_egfr"), "avoid_start", None, "contraindicated", "sglt2 egfr"),
+            (c("_egfr"), "avoid_start", None, "contraindicated", "sglt2 egfr"),
             (low_pressure, "avoid_start", None, "caution", "sglt2 pressure"),
-            (taking("dose_sglt2_prev"), "maintain", c("start_dose"), "at_target", "sglt2 fluid"),
+            (c("_sglt2_now"), "maintain", c("start_dose"), "at_target", "sglt2 fluid"),
             (F.lit(True), "start", c("start_dose"), "eligible", "sglt2 fluid"),
         ],
         "loop_diuretic": [
@@ -413,7 +417,7 @@ def recommended(patients: DataFrame, known: DataFrame) -> DataFrame:
             (dry, "avoid_start", None, "caution", "loop avoid"),
             (~congested & ~on, "no_change", None, "not_indicated", "loop none"),
             (~on, "start", dose_of(F.when(congested, c("start_high")).otherwise(c("start_value"))), "eligible", None),
-            (F.lit(True), "maintain", dose_of(current), "maintain", "loop keep"),
+            (F.lit(True), "maintain", c("_same"), "maintain", "loop keep"),
         ],
     }
 
@@ -426,9 +430,10 @@ def recommended(patients: DataFrame, known: DataFrame) -> DataFrame:
     for family, listed in rules.items():
         for cond, action, dose, state, note in listed:
             decision = decision.when((c("family") == family) & cond, outcome(action, dose, state, note))
-    out = r.withColumn("_x", decision).withColumn("wants_arni", wants)
-    state = c("_x.status")
-    return out.select("request_id", "family", F.when(state != "not_applicable", c("drug")).alias("drug"), "_x.action", "_x.dose", "_x.status", "_x.note", (c("assumed") & (state != "not_applicable")).alias("assumed"), (~state.isin("ungrounded", "not_applicable") | (state == "not_applicable")).alias("grounded"), (state == "eligible").alias("eligible"), "chunk_ids", "pages", "wants_arni")
+    # A generator's columns: filters on them don't make Spark repeat the whole decision below.
+    out = r.select("*", F.inline(F.array(decision)))
+    known_family = c("status") != "not_applicable"
+    return out.select("request_id", "family", F.when(known_family, c("drug")).alias("drug"), "action", "dose", "status", "note", (c("assumed") & known_family).alias("assumed"), (c("status") != "ungrounded").alias("grounded"), (c("status") == "eligible").alias("eligible"), "chunk_ids", "pages", c("_wants").alias("wants_arni"))
 
 
 def verdicts(recommendations: DataFrame, shown: DataFrame) -> DataFrame:

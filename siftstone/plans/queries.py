@@ -318,12 +318,39 @@ def _(t):
     return telemetry.derived(rows).select("event_id", "total_duration_ms")
 
 
-@query("tel04_failure_taxonomy", "SELECT endpoint, failure_category, count(*) AS n FROM (SELECT role AS endpoint, CASE WHEN turn % 3 = 0 THEN CASE WHEN contains(m, 'validation') OR contains(m, '422') THEN 'validation_error' WHEN contains(m, 'retriev') THEN 'retrieval_failure' WHEN contains(m, 'verif') THEN 'verification_failure' WHEN contains(m, 'callback') THEN 'callback_failure' WHEN contains(m, 'lease') OR contains(m, 'worker') OR contains(m, 'retry') THEN 'worker_anomaly' WHEN role = 'user' THEN 'generation_failure' ELSE 'ingestion_failure' END WHEN role = 'user' AND turn % 3 = 1 THEN 'empty_retrieval' END AS failure_category FROM (SELECT *, lower(coalesce(text, '')) AS m FROM conversations)) WHERE failure_category IS NOT NULL GROUP BY 1, 2")
+_ERROR = "CASE conv_id % 9 WHEN 0 THEN 'timeout' WHEN 1 THEN 'http' WHEN 2 THEN 'request' WHEN 3 THEN 'ValueError' END"
+
+
+@query("tel04_failure_taxonomy", f"SELECT endpoint, failure_category, count(*) AS n FROM (SELECT role AS endpoint, CASE WHEN e = 'timeout' THEN 'timeout' WHEN e = 'http' AND turn % 2 = 0 THEN 'validation_error' WHEN e IN ('http', 'request') THEN 'request_error' WHEN e IS NOT NULL THEN 'unknown_error' WHEN turn % 3 = 0 THEN CASE WHEN contains(m, 'validation') OR contains(m, '422') THEN 'validation_error' WHEN contains(m, 'retriev') THEN 'retrieval_failure' WHEN contains(m, 'verif') THEN 'verification_failure' WHEN contains(m, 'callback') THEN 'callback_failure' WHEN contains(m, 'lease') OR contains(m, 'worker') OR contains(m, 'retry') THEN 'worker_anomaly' WHEN role = 'user' THEN 'generation_failure' ELSE 'ingestion_failure' END WHEN role = 'user' AND turn % 3 = 1 THEN 'empty_retrieval' WHEN turn % 5 = 2 THEN 'verification_failure' END AS failure_category FROM (SELECT *, {_ERROR} AS e, lower(coalesce(text, '')) AS m FROM conversations)) WHERE failure_category IS NOT NULL GROUP BY 1, 2")
 def _(t):
-    why = telemetry.failure(F.when(F.col("turn") % 3 == 0, "failed").otherwise("completed"), F.col("text"), F.when(F.col("turn") % 3 == 1, 0).otherwise(3), F.lit(None).cast("string"), F.col("role") == "user")
+    verdict = F.when(F.col("turn") % 5 == 2, "Fail")
+    why = telemetry.failure(F.when(F.col("turn") % 3 == 0, "failed").otherwise("completed"), F.col("text"), F.when(F.col("turn") % 3 == 1, 0).otherwise(3), verdict, F.col("role") == "user", F.expr(_ERROR), F.when(F.col("turn") % 2 == 0, 404).otherwise(503))
     return telemetry.failure_taxonomy(t("conversations").select(F.col("role").alias("endpoint"), why.alias("failure_category")))
 
 
+@query(
+    "tel02_stages",
+    """WITH r AS (SELECT *, event_id % 3 = 0 AS rewritten, event_id % 4 > 0 AS searches, event_id % 5 = 0 AS tried, event_id % 2 = 0 AS hybrid, event_id % 7 = 0 AS graph, event_id % 11 = 0 AS given FROM events)
+SELECT event_id, CASE WHEN given THEN 'endpoint' ELSE 'derived' END AS stage_source, CASE WHEN given THEN 'own:completed' ELSE array_to_string(list_filter([
+ CASE WHEN event_id % 6 > 0 THEN 'job_queue:completed' END,
+ CASE WHEN rewritten THEN 'query_rewrite:completed' WHEN searches THEN 'query_rewrite:skipped' END,
+ CASE WHEN searches AND tried THEN 'retrieval_planning:completed' END,
+ CASE WHEN searches AND hybrid AND NOT tried THEN 'retrieval_dense:completed' END,
+ CASE WHEN searches AND NOT (hybrid AND NOT tried) THEN CASE WHEN hybrid THEN 'retrieval_hybrid:completed' ELSE 'retrieval_default:completed' END END,
+ CASE WHEN searches AND (graph OR (tried AND event_id % 10 = 0)) THEN CASE WHEN tried AND event_id % 10 = 0 THEN 'graph_augmentation:completed' ELSE 'graph_augmentation:requested' END END,
+ CASE WHEN searches AND event_id % 8 < 4 THEN CASE WHEN event_id % 8 < 2 THEN 'context_assessment:completed' ELSE 'context_assessment:unknown' END END,
+ 'generation:' || event_type, CASE WHEN event_id % 3 = 1 THEN 'verification:completed' WHEN event_id % 3 = 2 THEN 'verification:skipped' END], lambda x: x IS NOT NULL), ',') END AS stages FROM r""",
+)
+def _(t):
+    i = F.col("event_id")
+    tried = F.when(i % 5 == 0, F.array(F.struct(F.lit(2).alias("returned"), F.when(i % 10 == 0, 1).otherwise(0).alias("graph_nodes_added"))))
+    own = F.when(i % 11 == 0, F.array(F.struct(F.lit("own").alias("name"), F.lit("completed").alias("status"), F.lit(1.0).alias("duration_ms"))))
+    at = F.lit("2024-01-01T00:00:00").cast("string")
+    records = t("events").select(i, at.alias("created_at"), F.when(i % 6 > 0, at).alias("started_at"), at.alias("completed_at"), F.col("event_type").alias("status"), (i % 3 == 0).alias("query_rewritten"), (i % 4 > 0).alias("use_retrieval"), F.when(i % 2 == 0, "hybrid").alias("retrieval_mode"), tried.alias("attempts"), F.lit(4).alias("dense_candidates"), F.lit(None).cast("int").alias("sparse_candidates"), (i % 7 == 0).alias("use_graph_augmentation"), F.when(i % 8 < 4, 3).alias("ranking_count"), (i % 8 < 2).alias("assessed"), F.when(i % 3 == 1, "pass").alias("verdict"), (i % 3 == 2).alias("verifies"), own.alias("stages"))
+    told = F.array_join(F.transform("stages", lambda x: F.concat_ws(":", x["name"], x["status"])), ",")
+    return telemetry.stages(records).select("event_id", "stage_source", told.alias("stages"))
+
+
 @query("tel05_endpoint_summary", f"SELECT x.endpoint, {_ROUNDED}, count, request_count, success_count, round(failure_rate, 6) AS failure_rate, round(requests_per_second, 6) AS requests_per_second FROM {_latency('endpoint', 'CASE WHEN ok THEN value END', '(SELECT event_type AS endpoint, value, user_id % 4 <> 0 AS ok FROM events)')} x JOIN (SELECT event_type AS endpoint, count(*) AS request_count, count(*) FILTER (user_id % 4 <> 0) AS success_count, count(*) FILTER (user_id % 4 = 0) / count(*) AS failure_rate, CASE WHEN sum(value) > 0 THEN count(*) FILTER (user_id % 4 <> 0) / sum(value) ELSE 0 END AS requests_per_second FROM events GROUP BY 1) y USING (endpoint)")
 def _(t):
     attempts = t("events").select(F.col("event_type").alias("endpoint"), F.when(F.col("user_id") % 4 != 0, "completed").otherwise("failed").alias("status"), F.col("value").alias("latency_seconds"), F.lit(None).cast("string").alias("failure_category"))
@@ -543,6 +570,74 @@ def _(t):
     return dosing.mra_actions(patients).select("c_custkey", "action")
 
 
+#: What a patient's contexts say of each family; the doses and thresholds are in the oracle as numbers.
+_SAID = {
+    "mra": "Spironolactone: starting dose 25 mg o.d., target dose 50 mg o.d. K >5.0, above 5.5, >6.0; 2.5 mg/dL, 3.5 mg/dL; eGFR <30, eGFR <20",
+    "beta_blocker": "Bisoprolol: starting dose 1.25 mg o.d., target dose 10 mg o.d. Double the dose. SBP <90, relieve congestion and achieve euvolaemia. If <50 b.p.m.",
+    "ras": "Enalapril: starting dose 2.5 mg b.i.d., target dose 10-20 mg b.i.d. Double the dose. Significant hyperkalaemia (K >5.0), >5.5 mmol/L, 2.5 mg/dL, 3.5 mg/dL, eGFR <30, eGFR <20, SBP <90",
+    "arni": "starting dose 49/51 mg b.i.d., target dose 97/103 mg b.i.d. 24/26 mg b.i.d. in selected patients, 36 h; K >5.0, >5.5 mmol/L, eGFR <30, SBP <90",
+    "sglt2": "Dapagliflozin: starting (and target) dose 10 mg o.d. eGFR <20, SBP <95",
+    "loop_diuretic": "Furosemide: starting dose 20-40 mg, usual dose 40-240 mg, SBP <90",
+}
+
+
+def _dosed(t) -> tuple[DataFrame, DataFrame]:
+    k = F.col("c_custkey")
+    d = lambda x: F.when(x != 0, x.cast("string"))
+    patients = t("customer").select(
+        k.alias("request_id"), (3.5 + k % 29 / 10).alias("potassium"), (1 + k % 31 / 10).alias("creatinine"), (15 + k % 60).cast("double").alias("egfr"), (80 + k % 43).cast("double").alias("sbp"), (40 + k % 37).cast("double").alias("heart_rate"),
+        F.lit(None).cast("double").alias("weight_gain_kg"), (k % 4 == 0).alias("congestion_present"), (k % 17 == 0).alias("volume_depleted"), (k % 13 == 0).alias("switch_to_arni"),
+        d(k % 3 * 25).alias("dose_mra_prev"), d(k % 5 * 2.5).alias("dose_bb_prev"), d(k % 6 * 4).alias("dose_ras_prev"), F.when(k % 7 == 0, "49/51 mg").when(k % 7 == 1, "24/26 mg").alias("dose_arni_prev"), d(k % 2 * 10).alias("dose_sglt2_prev"), d(k % 3 * 40).alias("dose_loop_prev"),
+    )
+    items = F.array(*(F.struct(F.lit(f).alias("family"), F.lit(i).alias("ord"), F.lit(s).alias("snippet")) for i, (f, s) in enumerate(_SAID.items())))
+    contexts = t("customer").where("c_custkey % 19 <> 0").select(k.alias("request_id"), F.explode(items).alias("x")).select("request_id", "x.*", F.concat(F.lit("chunk-"), F.col("x.family")).alias("chunk_id"), F.col("x.ord").alias("page_number"), F.lit("Table").alias("title"))
+    return patients, dosing.recommended(patients, dosing.evidence(patients, contexts))
+
+
+_DOSED = """p AS (SELECT c_custkey AS request_id, c_custkey % 19 <> 0 AS known, (3.5 + c_custkey % 29 / 10)::DOUBLE AS k, (1 + c_custkey % 31 / 10)::DOUBLE AS c, 15 + c_custkey % 60 AS e, 80 + c_custkey % 43 AS s, 40 + c_custkey % 37 AS h, c_custkey % 4 = 0 AS wet, c_custkey % 17 = 0 AS dry,
+ c_custkey % 3 * 25 AS mra, c_custkey % 5 * 2.5 AS bb, c_custkey % 6 * 4 AS ras, CASE c_custkey % 7 WHEN 0 THEN 49 WHEN 1 THEN 24 END AS arni, c_custkey % 2 * 10 AS sglt2, c_custkey % 3 * 40 AS loop, c_custkey % 13 = 0 OR c_custkey % 7 < 2 AS wants FROM customer),
+n AS (SELECT *, k >= 5.0 - 0.2 OR c >= 2.5 - 0.3 OR e <= 30 + 5 AS near, k > 5.5 OR c > 3.5 OR e < 20 AS ras_stop FROM p),
+x AS (SELECT request_id, known, wants, 'mra' AS family, CASE WHEN k > 6 OR c > 3.5 OR e < 20 THEN CASE WHEN mra > 0 THEN ['stop', NULL, 'contraindicated'] ELSE ['avoid_start', NULL, 'contraindicated'] END WHEN near THEN CASE WHEN mra > 0 THEN ['reduce', '25 mg o.d.', 'caution'] ELSE ['avoid_start', NULL, 'caution'] END
+  WHEN mra = 0 THEN ['start', '25 mg o.d.', 'eligible'] WHEN mra < 50 THEN ['increase', '50 mg o.d.', 'eligible'] ELSE ['maintain', '50 mg o.d.', 'at_target'] END AS v FROM n
+ UNION ALL SELECT request_id, known, wants, 'beta_blocker', CASE WHEN h < 50 OR s < 90 THEN CASE WHEN bb > 0 THEN ['reduce', CASE bb WHEN 2.5 THEN '1.25' WHEN 5 THEN '2.5' WHEN 7.5 THEN '3.75' ELSE '5' END || ' mg o.d.', 'caution'] ELSE ['avoid_start', NULL, 'caution'] END
+  WHEN bb = 0 AND wet THEN ['defer_start', NULL, 'caution'] WHEN bb = 0 THEN ['start', '1.25 mg o.d.', 'eligible'] WHEN bb >= 10 THEN ['maintain', '10 mg o.d.', 'at_target'] ELSE ['increase', CASE bb WHEN 2.5 THEN '5' ELSE '10' END || ' mg o.d.', 'eligible'] END FROM n
+ UNION ALL SELECT request_id, known, wants, 'ras', CASE WHEN wants THEN ['do_not_combine', NULL, 'not_applicable'] WHEN ras_stop THEN CASE WHEN ras > 0 THEN ['stop', NULL, 'contraindicated'] ELSE ['avoid_start', NULL, 'contraindicated'] END WHEN near OR s <= 90 THEN CASE WHEN ras > 0 THEN ['reduce', greatest(2.5, ras / 2) || ' mg b.i.d.', 'caution'] ELSE ['avoid_start', NULL, 'caution'] END
+  WHEN ras = 0 THEN ['start', '2.5 mg b.i.d.', 'eligible'] WHEN ras >= 20 THEN ['maintain', '20 mg b.i.d.', 'at_target'] ELSE ['increase', least(ras * 2, 20) || ' mg b.i.d.', 'eligible'] END FROM n
+ UNION ALL SELECT request_id, known, wants, 'arni', CASE WHEN k > 5.5 OR e < 30 THEN CASE WHEN arni > 0 THEN ['stop', NULL, 'contraindicated'] ELSE ['avoid_start', NULL, 'contraindicated'] END
+  WHEN s < 90 THEN CASE arni WHEN 49 THEN ['maintain', '49/51 mg b.i.d.', 'caution'] WHEN 24 THEN ['maintain', '24/26 mg b.i.d.', 'caution'] ELSE ['avoid_start', NULL, 'caution'] END
+  WHEN k >= 5.0 - 0.2 OR e <= 35 THEN CASE WHEN arni > 0 THEN ['reduce', '24/26 mg b.i.d.', 'caution'] ELSE ['avoid_start', NULL, 'caution'] END
+  WHEN arni = 24 THEN ['increase', '49/51 mg b.i.d.', 'eligible'] WHEN arni = 49 THEN ['increase', '97/103 mg b.i.d.', 'eligible']
+  ELSE [CASE WHEN ras > 0 THEN 'switch' ELSE 'start' END, CASE WHEN s BETWEEN 100 AND 110 OR e BETWEEN 30 AND 60 THEN '24/26 mg b.i.d.' ELSE '49/51 mg b.i.d.' END, 'eligible'] END FROM n
+ UNION ALL SELECT request_id, known, wants, 'sglt2', CASE WHEN e < 20 THEN ['avoid_start', NULL, 'contraindicated'] WHEN s < 95 THEN ['avoid_start', NULL, 'caution'] WHEN sglt2 > 0 THEN ['maintain', '10 mg o.d.', 'at_target'] ELSE ['start', '10 mg o.d.', 'eligible'] END FROM n
+ UNION ALL SELECT request_id, known, wants, 'loop_diuretic', CASE WHEN dry OR (s < 90 AND NOT wet) THEN CASE WHEN loop > 0 THEN ['reduce', loop // 2 || ' mg daily', 'caution'] ELSE ['avoid_start', NULL, 'caution'] END WHEN NOT wet AND loop = 0 THEN ['no_change', NULL, 'not_indicated'] WHEN loop = 0 THEN ['start', '40 mg daily', 'eligible'] ELSE ['maintain', loop || ' mg daily', 'maintain'] END FROM n),
+r AS (SELECT request_id, family, wants, CASE WHEN family = 'ras' AND wants THEN v WHEN known THEN v ELSE ['unavailable', NULL, 'ungrounded'] END AS v, known FROM x)"""
+
+
+@query("dos11_recommendations", f"WITH {_DOSED} SELECT request_id, family, v[1] AS action, regexp_replace(v[2], '\\.0 ', ' ') AS dose, v[3] AS status FROM r")
+def _(t):
+    return _dosed(t)[1].select("request_id", "family", "action", "dose", "status")
+
+
+@query("dos15_verdicts", f"WITH {_DOSED}, s AS (SELECT request_id, count(*) FILTER (v[3] = 'eligible' AND v[1] IN ('switch', 'start', 'increase') AND (family <> 'arni' OR wants OR v[1] = 'start')) AS n, bool_or(v[3] IN ('caution', 'contraindicated')) AS careful FROM r GROUP BY 1) SELECT request_id, 'pass' AS verdict, CASE WHEN n > 0 THEN 'grounded_recommendations_with_evidence' WHEN careful THEN 'grounded_safety_cautions_without_visible_uptitration' ELSE 'no_grounded_recommendation' END AS reasons, CASE WHEN n > 0 OR careful THEN 'high' ELSE 'medium' END AS confidence FROM s")
+def _(t):
+    out = _dosed(t)[1]
+    shown = dosing.visible(out, t.spark.createDataFrame(list(dosing.PRIORITY.items()), "family string, priority int"))
+    return dosing.verdicts(out, shown).withColumn("reasons", F.array_join("reasons", "|"))
+
+
+@query("dos04_family_queries", "SELECT c_custkey AS request_id, unnest(['mra', 'arni']) AS family, unnest([CASE c_custkey % 3 WHEN 0 THEN 'eplerenone' ELSE 'spironolactone' END || ' dose', 'sacubitril valsartan']) AS query FROM customer")
+def _(t):
+    k = F.col("c_custkey")
+    asked = t("customer").select(k.alias("request_id"), F.when(k % 3 == 0, " Eplerenone").when(k % 3 == 1, "MRA").alias("mra_agent"))
+    return dosing.family_queries(asked, {"mra": "{agent} dose", "arni": "sacubitril valsartan"}).select("request_id", "family", "query")
+
+
+@query("dos05_by_family", "SELECT doc_id AS request_id, unnest(list_filter([CASE WHEN contains(m, 'mra') OR contains(m, 'spironolactone') OR contains(m, 'eplerenone') THEN 'mra' END, CASE WHEN len(list_filter(['beta-blocker', 'beta blocker', 'bisoprolol', 'carvedilol', 'metoprolol', 'nebivolol'], lambda w: contains(m, w))) > 0 THEN 'beta_blocker' END, CASE WHEN len(list_filter(['ace-i', 'ace i', 'arb', 'enalapril', 'lisinopril', 'ramipril', 'trandolapril', 'captopril'], lambda w: contains(m, w))) > 0 THEN 'ras' END, CASE WHEN len(list_filter(['arni', 'sacubitril', 'valsartan', 'sac/val'], lambda w: contains(m, w))) > 0 THEN 'arni' END, CASE WHEN len(list_filter(['sglt2', 'dapagliflozin', 'empagliflozin'], lambda w: contains(m, w))) > 0 THEN 'sglt2' END, CASE WHEN len(list_filter(['diuretic', 'furosemide', 'bumetanide', 'torasemide', 'congestion'], lambda w: contains(m, w))) > 0 THEN 'loop_diuretic' END], lambda x: x IS NOT NULL)) AS family FROM (SELECT doc_id, lower(coalesce(lang, '') || ' ' || coalesce(text, '')) || CASE doc_id % 4 WHEN 0 THEN ' furosemide' WHEN 1 THEN ' sac/val or ace i' ELSE '' END AS m FROM documents)")
+def _(t):
+    said = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 4 == 0, " Furosemide").when(F.col("doc_id") % 4 == 1, " Sac/Val or ACE I").otherwise(""))
+    return dosing.by_family(t("documents").select(F.col("doc_id").alias("request_id"), F.lit(0).alias("ord"), F.col("lang").alias("title"), said.alias("snippet"))).select("request_id", "family")
+
+
 @query("gui12_answer_predicates", f"SELECT conv_id, turn, len(list_filter({_list(guidance.ACTIONS)}, lambda x: contains(lower(coalesce(text, '')), x))) > 0 AS actionable FROM conversations")
 def _(t):
     return t("conversations").select("conv_id", "turn", guidance.actionable(F.col("text")).alias("actionable"))
@@ -635,9 +730,27 @@ def _(t):
     return datasets.appended(old, new, "case_id", "s_name")
 
 
-@query("ds01_passages")
+_SHOUTED = "CASE WHEN doc_id % 5 = 0 THEN replace(coalesce(text, ''), '. ', '.' || chr(10)) || chr(10) || 'NEXT PART' || chr(10) || coalesce(text, '') WHEN doc_id % 5 = 1 THEN '12' || chr(10) || chr(10) || coalesce(text, '') ELSE coalesce(text, '') END"
+
+
+@query(
+    "ds01_passages",
+    rf"""WITH RECURSIVE p AS (SELECT doc_id, source, {_SHOUTED} AS text FROM documents WHERE trim({_SHOUTED}) <> ''),
+paras AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(text, '\n\s*\n+', chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10))), lambda x: x <> '') AS ps FROM p),
+lines AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, x, len(string_split({_flat('x')}, ' ')) AS n, upper(x) = x AND lower(x) <> x AS head
+  FROM (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS x FROM (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: trim(x)) AS l FROM paras WHERE len(ps) <= 1)) WHERE x <> '' AND NOT regexp_full_match(x, '\d+')),
+walk AS (SELECT doc_id, i, x, n AS words, 1 AS b FROM lines WHERE i = 1
+  UNION ALL SELECT l.doc_id, l.i, l.x, CASE WHEN l.head OR w.words >= 180 THEN l.n ELSE w.words + l.n END, w.b + (l.head OR w.words >= 180)::INT FROM walk w JOIN lines l ON l.doc_id = w.doc_id AND l.i = w.i + 1),
+blocks AS (SELECT doc_id, b, string_agg(x, ' ' ORDER BY i) AS t FROM walk GROUP BY 1, 2 UNION ALL SELECT doc_id, generate_subscripts(ps, 1), unnest(ps) FROM paras WHERE len(ps) > 1),
+w AS (SELECT doc_id, b, string_split({_flat('t')}, ' ') AS w FROM blocks),
+cut AS (SELECT doc_id, b, i, w[i * 180 + 1 : i * 180 + 180] AS w FROM (SELECT *, unnest(range(0, (len(w) - 1) // 180 + 1)) AS i FROM w)),
+kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY b, i) AS at_ FROM cut WHERE len(w) >= 40)
+SELECT source || '_p' || CASE WHEN doc_id < 100 THEN lpad(CAST(doc_id AS VARCHAR), 3, '0') ELSE CAST(doc_id AS VARCHAR) END || '_' || lpad(CAST(at_ AS VARCHAR), 3, '0') AS passage_id, md5(array_to_string(w, ' ')) AS digest, CAST(len(w) AS INT) AS words,
+ nullif(substring(trim(string_split(array_to_string(w, ' '), '.')[1]), 1, 80), '') AS section FROM kept JOIN documents USING (doc_id)""".replace("\\\\", "\\"),
+)
 def _(t):
-    return datasets.passages(t("documents").select(F.col("source").alias("source_id"), F.col("doc_id").alias("page_number"), "text"))
+    pages = t("documents").select(F.col("source").alias("source_id"), F.col("doc_id").alias("page_number"), F.expr(_SHOUTED.replace("chr(10)", "'\\n'")).alias("text"))
+    return datasets.passages(pages, skip=-1).select("passage_id", F.md5("text").alias("digest"), "words", "section")
 
 
 @query("ds02_spread_sample", "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS turn FROM documents) ORDER BY turn, source NULLS FIRST LIMIT 50")
