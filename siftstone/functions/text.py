@@ -32,13 +32,24 @@ def words(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
 
 
+def _but(words_: list[str]) -> str:
+    """An expression for any of some words, by their first letters."""
+    firsts: dict[str, list[str]] = {}
+    for w in words_:
+        firsts.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in firsts.items())
+
+
+_LETTER = r"[\p{L}\p{N}_]"
+
+
 def tokens(text: Column, stopwords: list[str] = SEARCH_STOPWORDS) -> Column:
     """Words of two and more ASCII letters and digits, in lower case and in order, repeats kept, stopwords left out.
 
-    A run that has any other letter, digit or underscore isn't such a word. Null gives no tokens.
+    A run that has any other letter, digit or underscore isn't such a word. Null gives no tokens. One expression does all.
     """
-    runs = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]+)"))
-    return F.filter(runs, lambda x: x.rlike("^[a-z0-9]{2,}$") & ~F.array_contains(words(stopwords), x))
+    skip = f"(?!(?:{_but(stopwords)})(?!{_LETTER}))" if stopwords else ""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"(?<!{_LETTER}){skip}([a-z0-9]{{2,}}+)(?!{_LETTER})"))
 
 
 def runs(text: Column) -> Column:

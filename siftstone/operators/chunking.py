@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -45,11 +47,23 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n\n", -1), lambda p: squeezed(p) != "")
 
 
+def _page_at(marked: Column, start: Column, part: Column) -> Column:
+    """The page in which the middle of a part lies, or the last one; null without pages. marked: the pages with single blanks, a mark between them in place of a blank."""
+    middle = start + F.floor(F.length(part) / 2)
+    pages = lambda x: (F.length(x) - F.length(F.replace(x, F.lit(_MARK), F.lit(""))) + 1).cast("int")
+    inside = (F.substring(marked, middle + 1, F.lit(1)) != _MARK) & (middle < F.length(marked))
+    return F.when((start >= 0) & (marked != ""), F.when(inside, pages(F.substring(marked, F.lit(1), middle.cast("int")))).otherwise(pages(marked)))
+
+
+#: Stands between pages where they are counted.
+_MARK = "\x01"
+
+
 def naive(docs: DataFrame, size: int = 300, overlap: int = 100) -> DataFrame:
     """(source_id, chunk_id, chunk_index, start, text, page_number) of docs (source_id, text, optional page_number); pages are paragraphs where none is given."""
-    ranges = page_ranges(paragraphs(F.col("text")))
-    cut = docs.withColumns({"_w": windows(F.col("text"), size, overlap), "_r": ranges}).select("*", F.posexplode("_w").alias("chunk_index", "_x"))
-    found = page_of(F.col("_r"), F.col("_x.start"), F.col("_x.part"))
+    marked = F.array_join(F.transform(paragraphs(F.replace("text", F.lit(_MARK), F.lit("?"))), squeezed), _MARK)
+    cut = docs.withColumns({"_w": windows(F.col("text"), size, overlap), "_m": marked}).select("*", F.posexplode("_w").alias("chunk_index", "_x"))
+    found = _page_at(F.col("_m"), F.col("_x.start"), F.col("_x.part"))
     page = F.coalesce(F.col("page_number").cast("int"), found) if "page_number" in docs.columns else found
     return cut.select("source_id", F.concat(F.col("source_id"), F.lit("-chunk-"), F.col("chunk_index")).alias("chunk_id"), "chunk_index", F.col("_x.start").alias("start"), F.col("_x.part").alias("text"), page.alias("page_number"))
 
@@ -86,28 +100,32 @@ def _packed(text: str, size: int, overlap: int) -> Iterator[tuple[str, bool]]:
 
 
 def _placed(text: str, size: int, overlap: int) -> list[dict]:
-    """Chunks with where they are looked up: a packed one where the last found chunk ended, part of a long paragraph where it is found."""
+    """Chunks with where they are looked up (a packed one where the last found chunk ended, part of a long paragraph where it is found), and the paragraph that has the middle of that, or the last one."""
     flat, at, out = " ".join(text.split()), 0, []
+    ends = list(accumulate(len(p) + 1 for p in (" ".join(x.split()) for x in text.split("\n\n")) if p))
     for chunk, part in _packed(text, size, overlap):
         wanted = " ".join(chunk.split())
         found = flat.find(wanted, at)
         found = found if found >= 0 else flat.find(wanted)
-        out.append({"text": chunk, "start": found if part else at})
+        start = found if part else at
+        middle = start + len(wanted) // 2
+        page = bisect_right(ends, middle) + 1
+        # The blank behind a paragraph is in none, as what is behind the text.
+        page = len(ends) if page > len(ends) or middle == ends[page - 1] - 1 else page
+        out.append({"text": chunk, "start": start, "page": page if start >= 0 and ends else None})
         at = found + len(wanted) if found >= 0 else at
     return out
 
 
 def late(docs: DataFrame, size: int = 300, overlap: int = 100) -> DataFrame:
-    """(source_id, chunk_id, chunk_index, text, page_number) of docs (source_id, text). How paragraphs pack goes by what was packed before, so it runs in Arrow batches; pages are found in the JVM."""
+    """(source_id, chunk_id, chunk_index, text, page_number) of docs (source_id, text). How paragraphs pack goes by what was packed before, so it runs in Arrow batches, which also find the pages."""
 
-    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("start", T.IntegerType())])))
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("page", T.IntegerType())])))
     def packed(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: _placed(t or "", size, overlap))
 
-    read = docs.withColumns({"_r": page_ranges(paragraphs(F.col("text"))), "_p": packed("text")})
-    cut = read.select("source_id", "_r", F.posexplode("_p").alias("chunk_index", "_x"))
-    page = page_of(F.col("_r"), F.col("_x.start"), F.col("_x.text"))
-    return cut.select("source_id", F.concat(F.col("source_id"), F.lit("-chunk-"), F.col("chunk_index")).alias("chunk_id"), "chunk_index", F.col("_x.text").alias("text"), page.alias("page_number"))
+    cut = docs.select("source_id", F.posexplode(packed("text")).alias("chunk_index", "_x"))
+    return cut.select("source_id", F.concat(F.col("source_id"), F.lit("-chunk-"), F.col("chunk_index")).alias("chunk_id"), "chunk_index", F.col("_x.text").alias("text"), F.col("_x.page").alias("page_number"))
 
 
 def chunked(docs: DataFrame, strategy: str, size: int | None = None, overlap: int | None = None) -> DataFrame:

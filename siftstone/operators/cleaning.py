@@ -84,13 +84,17 @@ def basic(text: Column) -> Column:
 
 
 def noisy(line: Column, rules: Rules) -> Column:
-    """Is a line one of those that carry no content?"""
-    out = F.lit(False)
-    for pattern in rules.noise:
-        out = out | _whole(line, pattern)
-    out = out | (line.rlike(URL) & (F.length(line) < rules.url_below)) | line.rlike(EMAIL) | F.contains(F.lower(line), F.lit("doi:"))
+    """Is a line one of those that carry no content? What is rare is looked for only where a sign of it is there."""
+    has = lambda x: F.contains(line, F.lit(x))
+    low = F.lower(line)
+    plain = "|".join(f"(?:{p})" for p in rules.noise if p not in (CONTENTS, SYMBOLS))
+    out = _whole(line, plain) | (has("...") & _whole(line, CONTENTS))
+    if SYMBOLS in rules.noise:
+        out = out | _whole(line, SYMBOLS)
+    out = out | ((F.length(line) < rules.url_below) & (F.contains(low, F.lit("://")) | F.contains(low, F.lit("www."))) & line.rlike(URL))
+    out = out | (has("@") & line.rlike(EMAIL)) | F.contains(low, F.lit("doi:"))
     if rules.doi_urls:
-        out = out | F.contains(F.lower(line), F.lit("doi.org/"))
+        out = out | F.contains(low, F.lit("doi.org/"))
     return (line != "") & (out | ((F.length(line) <= 2) & ~line.rlike("[A-Za-z0-9]")))
 
 
@@ -132,6 +136,11 @@ def _body(text: Column, rules: Rules) -> Column:
     return F.array_join(F.filter(blocks, lambda b: ~low_value(b, rules)), "\n\n")
 
 
+def _without(text: Column, signs: str, *patterns: str) -> Column:
+    """Without what the patterns find, in texts that have one of the signs of them."""
+    return F.when(text.rlike(f"(?i){signs}"), _replaced(text, *((p, "") for p in patterns))).otherwise(text)
+
+
 _JOINED = (r"(?<![\n.!?])\n(?!\n)", " "), (r"[ \t]+", " "), (r"\n{3,}", "\n\n")
 _TIDY = (r" ?([,:;])", "$1"), (r"\(\s+", "("), (r"\s+\)", ")")
 
@@ -139,7 +148,8 @@ _TIDY = (r" ?([,:;])", "$1"), (r"\(\s+", "("), (r"\s+\)", ")")
 def deep(text: Column) -> Column:
     """basic(), then without noise, repeated headers, reference lists and abbreviations; sentences joined across line ends."""
     read = _replaced(_newlines(text), ("￾", ""), ("þ", "+"), (r"(?U)(\w)-\n(\w)", "$1$2"))
-    out = _replaced(_body(read, DEEP), (DOI, ""), (URL, ""), (EMAIL, ""), *_JOINED, *_TIDY, (r"[ ]+\n", "\n"))
+    out = _without(_without(_replaced(_body(read, DEEP), (DOI, "")), r"://|www\.", URL), "@", EMAIL)
+    out = _replaced(out, *_JOINED, *_TIDY, (r"[ ]+\n", "\n"))
     section = r"(?is)\n\s*{}\b.*?(?=\n\s*\d+\s+[A-Z]|\z)"
     out = _replaced(out, (r"(?is)\n\s*15\s+References\b.*$", ""), (section.format(r"1\s+Abbreviations and acronyms"), "\n"), (section.format("Table of contents"), "\n"))
     return _stripped(out)
@@ -148,7 +158,8 @@ def deep(text: Column) -> Column:
 def guideline(text: Column) -> Column:
     """deep() for guidelines: also without bare page numbers, blocks under headers of references, and what follows those headers."""
     read = _replaced(_newlines(text), ("￾", ""), ("[–—]", "-"), (r"(?U)(\w)-\n(\w)", "$1$2"))
-    out = _replaced(_body(read, GUIDELINE), (URL, ""), (EMAIL, ""), (DOI, ""), (DOI_URL, ""), *_JOINED, (r"[ ]+\n", "\n"), *_TIDY)
+    out = _without(_without(_without(_body(read, GUIDELINE), r"://|www\.", URL), "@", EMAIL), "doi", DOI, DOI_URL)
+    out = _replaced(out, *_JOINED, (r"[ ]+\n", "\n"), *_TIDY)
     for name in ("references", "bibliography", "acknowledg?e?ments"):
         out = F.regexp_replace(out, rf"(?is)\n\s*{name}\s*\n.*$", "")
     return _stripped(out)

@@ -39,17 +39,20 @@ def statistics(corpus: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def bm25(queries: DataFrame, corpus: DataFrame, query_id: str, query_text: str, id_col: str, text_col: str, k: int = 3) -> DataFrame:
     """(query_id, id, score, rank): the k best documents of each query by BM25; repeated query terms count again, scores of 0 don't.
 
-    Only postings of words that some query has are shuffled; queries are expected to be far fewer than documents, and Spark
-    sends them to all tasks if they are small enough.
+    Texts are read and cut once. Besides its words each document that has any counts as a posting of the empty word, so one
+    aggregate over terms gives document frequencies, the number of documents and their mean length. Only postings of words
+    that some query has are shuffled; queries are expected to be far fewer than documents, and Spark sends them to all tasks
+    if they are small enough.
     """
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    read = corpus.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("tokens")).where(F.size("tokens") > 0)
-    hits = read.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    found = hits.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    wanted = asked.select("term").distinct().unionByName(queries.sparkSession.createDataFrame([("",)], "term string"))
+    read = corpus.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("tokens")).select("id", F.size("tokens").alias("length"), F.explode(F.when(F.size("tokens") > 0, F.array_append("tokens", F.lit("")))).alias("term"))
+    found = read.join(wanted, "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    # All columns of the postings are used, so this and the scores share their shuffle.
+    per = found.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.sum("length").alias("total"))
     # One row of two numbers.
-    all_ = F.broadcast(statistics(corpus, id_col, text_col))
-    weighed = asked.join(df, "term").crossJoin(all_).withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    all_ = F.broadcast(per.where("term = '' AND cf > 0").select(F.col("df").alias("n_docs"), F.greatest(F.col("total") / F.col("df"), F.lit(1.0)).alias("mean_length")))
+    weighed = asked.join(per.where("term <> '' AND cf > 0 AND total > 0"), "term").crossJoin(all_).withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weighed = weighed.select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight"), "mean_length")
     tf = F.col("tf")
     part = F.col("weight") * tf * (K1 + 1) / F.greatest(tf + K1 * (1 - B + B * F.col("length") / F.col("mean_length")), F.lit(1e-9))
@@ -117,9 +120,12 @@ def neighbours(ranked: DataFrame, corpus: DataFrame, queries: DataFrame, extra:
     placed = corpus.select("id", "source_id", "chunk_index").withColumns({"prev": F.lag(F.struct("id", "chunk_index")).over(line), "next": F.lead(F.struct("id", "chunk_index")).over(line)})
     sides = F.array(*(F.struct(F.lit(i).alias("side"), F.lit(n).alias("relation"), F.col(f"{n}.id").alias("candidate"), F.col(f"{n}.chunk_index").alias("at")) for i, n in enumerate(("prev", "next"))))
     edges = ranked.select("query_id", "id", "rank").join(placed, "id").select("query_id", F.col("id").alias("anchor"), "rank", "chunk_index", F.explode(sides).alias("e")).where("e.candidate IS NOT NULL")
-    texts = corpus.select("id", F.array_distinct(tokens(F.col("text"))).alias("words"))
+    edges = edges.withColumn("id", F.col("e.candidate"))
+    # Only texts of the few chosen are read into words.
+    chosen = edges.select(F.explode(F.array("anchor", "id")).alias("id")).distinct()
+    texts = corpus.select("id", "text").join(chosen, "id", "left_semi").select("id", F.array_distinct(tokens(F.col("text"))).alias("words"))
     edges = edges.join(texts.withColumnsRenamed({"id": "anchor", "words": "anchor_words"}), "anchor")
-    edges = edges.withColumn("id", F.col("e.candidate")).join(texts, "id").join(queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("query_words")), "query_id")
+    edges = edges.join(texts, "id").join(queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("query_words")), "query_id")
     near = (F.abs(F.coalesce("chunk_index", F.lit(0)) - F.coalesce("e.at", F.lit(0))) == 1).cast("int")
     score = 3 * F.size(F.array_intersect("query_words", "words")) + F.size(F.array_intersect("anchor_words", "words")) + near
     edges = edges.select("query_id", "id", "anchor", "rank", F.col("e.side").alias("side"), F.col("e.relation").alias("relation"), score.alias("score")).where("score > 0")

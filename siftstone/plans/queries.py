@@ -220,7 +220,8 @@ _WORTH = "CASE label WHEN 'direct_evidence' THEN 1.0 WHEN 'supporting' THEN 0.5
 def _ranked_cases(t) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The five best documents of each benchmark item as retrieved chunks, labelled by the documents' quality and toxicity."""
     graded = t("labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    chunks = _bm25(t, 5).join(t("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("snippet")), "id").select(F.col("query_id").alias("case_id"), "rank", F.col("id").alias("chunk_id"), "snippet")
+    # A few rows per question, used three times.
+    chunks = _bm25(t, 5).persist().join(t("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("snippet")), "id").select(F.col("query_id").alias("case_id"), "rank", F.col("id").alias("chunk_id"), "snippet")
     labels = chunks.select("case_id", "chunk_id").join(graded.withColumnRenamed("doc_id", "chunk_id"), "chunk_id").select("case_id", "chunk_id", F.expr(_LABEL).alias("label"))
     ideal = chunks.join(labels, ["case_id", "chunk_id"], "left").groupBy("case_id").agg(F.collect_list(scoring.worth(F.coalesce("label", F.lit("irrelevant")))).alias("weights"))
     return chunks, labels, ideal
