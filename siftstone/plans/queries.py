@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftstone.functions.text import ANSWER_STOPWORDS, GUIDANCE_STOPWORDS, SEARCH_STOPWORDS, tokens
-from siftstone.operators import campaigns, chunking, cleaning, clinical, datasets, dosing, guidance, indexing, mapping, retrieval, scoring, telemetry
+from siftstone.operators import answers, campaigns, chunking, cleaning, clinical, datasets, dosing, guidance, indexing, mapping, planning, retrieval, scoring, telemetry
 from siftstone.sources import documents, stores
 from siftstone.streaming import jobs
 
@@ -688,6 +688,135 @@ def _(t):
     return guidance.ranked_contexts(_asked(t), _contexts(t, 5), 3).select("query_id", "ord", "score", "rank")
 
 
+_MODE = f"trim(q) <> '' AND NOT ({_any('lower(q)', planning.PATIENT_WORDS)}) AND (NOT p OR {_any('lower(q)', planning.LITERAL_WORDS)}) AS literal, trim(q) <> '' AND NOT p AS explicit"
+_ASKS = "coalesce(text, '') || CASE conv_id % 5 WHEN 0 THEN ' as listed in Table 2 of NYHA/ESC' WHEN 1 THEN ' which dose' WHEN 2 THEN ' what are the types of LVEF and CRT-D' ELSE '' END"
+
+
+def _turns(t) -> DataFrame:
+    i = F.col("conv_id") % 5
+    more = F.when(i == 0, " as listed in Table 2 of NYHA/ESC").when(i == 1, " which dose").when(i == 2, " what are the types of LVEF and CRT-D").otherwise("")
+    return t("conversations").select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), more).alias("q"), (F.col("turn") % 3 == 0).alias("p"))
+
+
+@query("gui04_question_modes", f"SELECT conv_id, turn, {_MODE} FROM (SELECT conv_id, turn, {_ASKS} AS q, turn % 3 = 0 AS p FROM conversations)")
+def _(t):
+    return _turns(t).select("conv_id", "turn", planning.literal_question(F.col("q"), F.col("p")).alias("literal"), planning.explicit_question(F.col("q"), F.col("p")).alias("explicit"))
+
+
+@query(
+    "gui02_question_queries",
+    f"""WITH q AS (SELECT conv_id, turn, q, list_filter(regexp_extract_all(lower(q), '[a-z0-9]+'), lambda x: len(x) > 2 AND NOT list_contains({_list(GUIDANCE_STOPWORDS + planning.NO_TOPIC)}, x)) AS w FROM (SELECT *, {_ASKS} AS q FROM conversations)),
+t AS (SELECT *, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i)[1:6], ' ') AS topic, regexp_extract_all(q, '\\b[A-Z][A-Z0-9/+.-]{{1,8}}\\b') AS ac, lower(q) AS m FROM q),
+c AS (SELECT conv_id, turn, q, [CASE WHEN topic <> '' THEN topic || ' guidance' END, CASE WHEN topic <> '' THEN topic || ' definition glossary abbreviation' END]
+ || flatten(list_transform(ac[1:2], lambda a: CASE WHEN topic <> '' THEN [a || ' abbreviation meaning definition in ' || topic, topic || ' glossary ' || a] ELSE [a || ' abbreviation meaning definition'] END))
+ || [CASE WHEN {_any("m", planning.TABLE_WORDS)} AND coalesce(ac[1], topic) <> '' THEN coalesce(ac[1], topic) || ' exact wording glossary table definition' END, CASE WHEN {_any("m", planning.LIST_WORDS)} AND topic <> '' THEN topic || ' categories list configurations' END] AS x FROM t),
+o AS (SELECT conv_id, turn, q, generate_subscripts(x, 1) AS i, trim(unnest(x)) AS x FROM c),
+f AS (SELECT conv_id, turn, x, min(i) AS i FROM o WHERE x IS NOT NULL AND x <> trim(q) GROUP BY ALL)
+SELECT conv_id, turn, string_agg(x, '|' ORDER BY i) AS queries FROM f GROUP BY 1, 2""",
+)
+def _(t):
+    return _turns(t).select("conv_id", "turn", F.array_join(planning.question_queries(F.col("q")), "|").alias("queries")).where("queries <> ''")
+
+
+# K has no cluster of its own: its key isn't potassium.
+_PORTRAIT = """, b AS (SELECT patient_id, age, male, k, hb, egfr, k < 3.5 OR k > 5.0 AS bad_k, hb < CASE WHEN male THEN 13 ELSE 12 END OR hb > CASE WHEN male THEN 17.5 ELSE 15.5 END AS bad_hb, egfr < CASE WHEN age >= 65 THEN 45 ELSE 60 END AS bad_egfr FROM p)"""
+_KIDNEY, _IRON, _OTHER = "CASE WHEN bad_egfr THEN 'Cardio-renal and electrolyte safety' END", "CASE WHEN bad_hb THEN 'Anemia and iron status' END", "CASE WHEN bad_k THEN 'Other findings' END"
+
+
+@query("cli10_priorities", f"WITH {_PROFILE}{_PORTRAIT} SELECT patient_id, array_to_string(list_filter(CASE WHEN patient_id % 3 = 0 THEN [{_KIDNEY}, {_IRON}, {_OTHER}] ELSE [{_OTHER}, {_KIDNEY}, {_IRON}] END, lambda x: x IS NOT NULL)[1:2], '|') AS clusters FROM b")
+def _(t):
+    return clinical.portrait(_profile(t)).select("patient_id", F.array_join(clinical.prioritised(F.col("clusters"), F.col("patient_id") % 3 == 0), "|").alias("clusters"))
+
+
+@query(
+    "cli13_missing_details",
+    f"WITH {_PROFILE}{_PORTRAIT} SELECT patient_id, array_to_string(CASE patient_id % 3 WHEN 0 THEN list_filter(['current symptoms or functional status', 'blood pressure or hypotension tolerance', 'congestion or volume status', 'active HF medications or recent dose changes', CASE WHEN bad_egfr THEN 'baseline renal function or recent laboratory trends' END], lambda x: x IS NOT NULL) WHEN 1 THEN ['current symptoms', 'diabetes history', 'glucose-lowering medication history', 'fasting versus random sampling context', 'prior HbA1c or glucose trends'] ELSE ['current symptoms', 'medication history', 'prior laboratory trends', 'working diagnosis or clinical context'] END, '|') AS missing FROM b",
+)
+def _(t):
+    which = F.when(F.col("patient_id") % 3 == 0, "heart_failure").when(F.col("patient_id") % 3 == 1, "metabolic").otherwise("renal")
+    lacks = clinical.missing_details(F.col("keys"), which, F.col("clusters"), F.transform("abnormal", lambda x: x["name"]))
+    return clinical.portrait(_profile(t)).select("patient_id", F.array_join(lacks, "|").alias("missing"))
+
+
+@query(
+    "cli05_summaries",
+    f"WITH {_PROFILE} SELECT patient_id, 'hb' AS key, 'Haemoglobin=' || hb || ' g/dL is ' || CASE WHEN hb < CASE WHEN male THEN 13 ELSE 12 END THEN 'below' WHEN hb > CASE WHEN male THEN 17.5 ELSE 15.5 END THEN 'above' ELSE 'within' END || ' the configured reference (' || CASE WHEN male THEN '13.0 to 17.5' ELSE '12.0 to 15.5' END || ' g/dL).' AS summary FROM p UNION ALL SELECT patient_id, 'Age', 'Age=' || age || ' years was recorded for context.' FROM p",
+)
+def _(t):
+    c = F.col
+    told = clinical.told_finding(c("label"), c("value"), c("unit"), c("status"), c("low"), c("high"))
+    return _profile(t).where("key IN ('hb', 'Age')").select("patient_id", "key", told.alias("summary"))
+
+
+@query(
+    "cli12_synthesis",
+    f"WITH {_PROFILE}{_PORTRAIT} SELECT patient_id, array_to_string(CASE WHEN bad_egfr OR bad_k OR bad_hb THEN list_filter([CASE WHEN bad_egfr OR bad_k THEN '{answers.POINTS[clinical.HEART_FAILURE_ORDER[1]][0]}' || CASE WHEN k > 5 THEN ', especially because the abnormalities include elevated potassium' ELSE '' END || '.' END, CASE WHEN bad_hb THEN '{answers.POINTS['Anemia and iron status'][0]}' END], lambda x: x IS NOT NULL) ELSE ['{answers.NO_POINT}'] END, '|') AS points, CAST(greatest(1, CASE WHEN bad_egfr OR bad_k THEN 1 ELSE 0 END + CASE WHEN bad_hb THEN 1 ELSE 0 END) AS INT) AS n FROM b",
+)
+def _(t):
+    named = _profile(t).withColumn("key", F.when(F.col("key") == "K", "potassium").otherwise(F.col("key")))
+    told = answers.synthesis()
+    return clinical.portrait(named).withColumn("heart", F.lit(False)).select("patient_id", F.array_join(told["points"], "|").alias("points"), F.size(told["actions"]).alias("n"))
+
+
+@query(
+    "gui01_plans",
+    f"""WITH {_PROFILE}{_PORTRAIT}, l AS (SELECT patient_id, list_filter([CASE WHEN bad_k THEN 'Potassium=' || k END, CASE WHEN bad_egfr THEN 'eGFR=' || egfr END, CASE WHEN bad_hb THEN 'Haemoglobin=' || hb END], lambda x: x IS NOT NULL) AS f,
+ list_filter([CASE WHEN bad_k THEN 'Other findings with focus on Potassium' END, CASE WHEN bad_egfr THEN 'Cardio-renal and electrolyte safety with focus on eGFR' END, CASE WHEN bad_hb THEN 'Anemia and iron status with focus on Haemoglobin' END], lambda x: x IS NOT NULL) AS c FROM b),
+q AS (SELECT *, list_transform(f, lambda x: string_split(x, '=')[1]) AS n, 'What are the most relevant next-step priorities, safety checks, and interpretation points for this patient, especially regarding ' || CASE WHEN len(f) > 0 THEN array_to_string(list_transform(f, lambda x: string_split(x, '=')[1]), ', ') ELSE 'Age, Potassium, eGFR' END || '?' AS base FROM l)
+SELECT patient_id AS request_id, base AS question, array_to_string([base, base || ' Patient variables: Age, K, eGFR, hb, sex, shoe size.'] || CASE WHEN len(f) > 0 THEN [base || ' Focus on abnormal or clinically relevant findings: ' || array_to_string(n, ', ') || '.'] ELSE [] END
+ || list_transform(c, lambda x: 'Clinical management or follow-up guidance for ' || x || '.') || list_transform(f, lambda x: 'Clinical management or follow-up guidance for ' || string_split(x, '=')[1] || ' with patient value ' || string_split(x, '=')[2] || '.'), '|') AS queries FROM q""",
+)
+def _(t):
+    asked = clinical.portrait(_profile(t)).withColumnRenamed("patient_id", "request_id").withColumn("question", F.lit(None).cast("string"))
+    return planning.plans(asked).select("request_id", "question", F.array_join("queries", "|").alias("queries"))
+
+
+@query(
+    "gui16_read_verdicts",
+    "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'pass' WHEN 1 THEN 'fail' END AS verdict, CASE turn % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'first|' || role END AS issues, CASE WHEN turn % 3 < 2 THEN CASE WHEN conv_id % 2 = 0 THEN 'medium' ELSE 'low' END END AS confidence FROM conversations",
+)
+def _(t):
+    raw = F.concat(F.when(F.col("turn") % 3 == 0, "Verdict: Pass\nISSUES:").when(F.col("turn") % 3 == 1, F.concat(F.lit("VERDICT : fail\nIssues:\n - first\n\n* "), "role", F.lit("\n"))).otherwise("nothing"), F.when(F.col("conv_id") % 2 == 0, "\nCONFIDENCE: Medium").otherwise(""))
+    x = answers.read_verdict(raw)
+    return t("conversations").select("conv_id", "turn", x["verdict"].alias("verdict"), F.array_join(x["issues"], "|").alias("issues"), x["confidence"].alias("confidence"))
+
+
+_REPLY = "CASE turn % 4 WHEN 0 THEN 'Direct answer: monitor the heart rate, as evidence is limited. Rationale: ' || coalesce(text, '') || ' Caution. 4. General advice' WHEN 1 THEN coalesce(text, '') || ' The PDF says it. Prevent hypokalemia.' WHEN 2 THEN 'I cannot give a grounded answer from the provided context. ' || coalesce(text, '') ELSE coalesce(text, '') END"
+
+
+@query(
+    "gui09_answer_issues",
+    f"""WITH a AS (SELECT conv_id, turn, lower(trim({_REPLY})) AS m, turn % 4 AS k, conv_id % 2 = 0 AS high FROM conversations),
+i AS (SELECT conv_id, turn, k, list_filter([CASE WHEN m = '' THEN 'Answer is empty.' END]
+ || list_transform({_list(answers.SECTIONS)}, lambda s: CASE WHEN NOT contains(m, s) THEN 'Answer is missing the ' || chr(39) || s || chr(39) || ' section.' END)
+ || [CASE WHEN len(regexp_extract_all(m, '\\S+')) < 35 THEN 'Answer is too short to be useful.' END,
+ CASE WHEN {_any("m", answers.SOURCE_WORDS)} THEN 'Answer mentions sources or document-selection language instead of giving direct guidance.' END,
+ CASE WHEN NOT ({_any("string_split(m, '4. general advice')[1]", [w.replace("'", "''") for w in answers.UNCERTAIN])}) THEN 'Answer may not clearly communicate uncertainty.' END,
+ CASE WHEN NOT ({_any("string_split(m, '2. rationale')[1]", guidance.ACTIONS)}) THEN 'Direct answer summarizes findings but does not provide actionable guidance.' END,
+ CASE WHEN high AND contains(m, 'hypokalemia') THEN 'Answer contradicts the patient potassium value.' END], lambda x: x IS NOT NULL) AS issues FROM a)
+SELECT conv_id, turn, CASE WHEN k = 2 THEN '' ELSE array_to_string(list_sort(issues), '|') END AS issues FROM i""",
+)
+def _(t):
+    none = lambda kind: F.array().cast(kind)
+    rows = t("conversations").select(
+        "conv_id", "turn", F.lit("").alias("question"), F.expr(_REPLY).alias("answer"), none("array<struct<title:string,snippet:string>>").alias("contexts"), F.when(F.col("conv_id") % 2 == 0, 5.2).otherwise(4.0).alias("potassium"),
+        F.array(F.lit("age")).alias("keys"), none("array<struct<name:string>>").alias("known"), none("array<string>").alias("recognised"), none("array<struct<name:string,label:string,cluster:string>>").alias("abnormal"), none("array<string>").alias("clusters"),
+    )
+    return answers.prepared(rows).select("conv_id", "turn", F.array_join(answers.issues(), "|").alias("issues"))
+
+
+@query(
+    "gui11_normalised_answers",
+    r"""WITH a AS (SELECT conv_id, turn, trim('Main ANSWER  of Guide-' || conv_id || ': the pdf says so. ' || replace(coalesce(text, ''), chr(10), ' ') || CASE WHEN turn % 2 = 0 THEN ' Avoid hypokalemia here. End' ELSE ' ### Caution' END) AS x FROM conversations),
+b AS (SELECT conv_id, turn, regexp_replace(replace(regexp_replace(x, '\bMain answer\b', 'Direct answer', 'gi'), 'Guide-' || conv_id, 'the available evidence'), 'the pdf says[^.\n]*', '', 'gi') AS x FROM a)
+SELECT conv_id, turn, md5(trim(regexp_replace(CASE WHEN turn % 2 = 0 THEN regexp_replace(x, '[^.\n]*hypokalemia[^.\n]*[.\n]?', '', 'gi') ELSE regexp_replace(x, '###\s*Caution', '', 'gi') END, '[ \t]{2,}', ' ', 'g'), ' ' || chr(9) || chr(10))) AS digest FROM b""",
+)
+def _(t):
+    text = F.concat(F.lit("Main ANSWER  of Guide-"), F.col("conv_id").cast("string"), F.lit(": the pdf says so. "), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")), F.when(F.col("turn") % 2 == 0, " Avoid hypokalemia here. End").otherwise(" ### Caution"))
+    contexts = F.array(F.struct(F.concat(F.lit("guide-"), F.col("conv_id").cast("string")).alias("source_id"), F.lit("").alias("title")))
+    return t("conversations").select("conv_id", "turn", F.md5(answers.normalised_answer(text, contexts, F.when(F.col("turn") % 2 == 0, 5.5))).alias("digest"))
+
+
 @query("src11_index_chunks")
 def _(t):
     return indexing.indexed(indexing.prepared(_sources(t), "basic", "naive", 2000, 0))
