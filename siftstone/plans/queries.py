@@ -706,7 +706,7 @@ def _(t):
 @query(
     "gui02_question_queries",
     f"""WITH q AS (SELECT conv_id, turn, q, list_filter(regexp_extract_all(lower(q), '[a-z0-9]+'), lambda x: len(x) > 2 AND NOT list_contains({_list(GUIDANCE_STOPWORDS + planning.NO_TOPIC)}, x)) AS w FROM (SELECT *, {_ASKS} AS q FROM conversations)),
-t AS (SELECT *, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i)[1:6], ' ') AS topic, regexp_extract_all(q, '\\b[A-Z][A-Z0-9/+.-]{{1,8}}\\b') AS ac, lower(q) AS m FROM q),
+t AS (SELECT *, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i)[1:6], ' ') AS topic, regexp_extract_all(q, '(^|[^\\p{{L}}\\p{{N}}_])([A-Z][A-Z0-9/+.-]{{1,8}})\\b', 2) AS ac, lower(q) AS m FROM q),
 c AS (SELECT conv_id, turn, q, [CASE WHEN topic <> '' THEN topic || ' guidance' END, CASE WHEN topic <> '' THEN topic || ' definition glossary abbreviation' END]
  || flatten(list_transform(ac[1:2], lambda a: CASE WHEN topic <> '' THEN [a || ' abbreviation meaning definition in ' || topic, topic || ' glossary ' || a] ELSE [a || ' abbreviation meaning definition'] END))
  || [CASE WHEN {_any("m", planning.TABLE_WORDS)} AND coalesce(ac[1], topic) <> '' THEN coalesce(ac[1], topic) || ' exact wording glossary table definition' END, CASE WHEN {_any("m", planning.LIST_WORDS)} AND topic <> '' THEN topic || ' categories list configurations' END] AS x FROM t),
