@@ -689,13 +689,13 @@ def _(t):
 
 
 _MODE = f"trim(q) <> '' AND NOT ({_any('lower(q)', planning.PATIENT_WORDS)}) AND (NOT p OR {_any('lower(q)', planning.LITERAL_WORDS)}) AS literal, trim(q) <> '' AND NOT p AS explicit"
-_ASKS = "coalesce(text, '') || CASE conv_id % 5 WHEN 0 THEN ' as listed in Table 2 of NYHA/ESC' WHEN 1 THEN ' which dose' WHEN 2 THEN ' what are the types of LVEF and CRT-D' ELSE '' END"
+_ASKS = "lower(coalesce(text, '')) || CASE conv_id % 5 WHEN 0 THEN ' as listed in Table 2 of NYHA/ESC' WHEN 1 THEN ' which dose' WHEN 2 THEN ' what are the types of LVEF and CRT-D' ELSE '' END"
 
 
 def _turns(t) -> DataFrame:
     i = F.col("conv_id") % 5
     more = F.when(i == 0, " as listed in Table 2 of NYHA/ESC").when(i == 1, " which dose").when(i == 2, " what are the types of LVEF and CRT-D").otherwise("")
-    return t("conversations").select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), more).alias("q"), (F.col("turn") % 3 == 0).alias("p"))
+    return t("conversations").select("conv_id", "turn", F.concat(F.lower(F.coalesce("text", F.lit(""))), more).alias("q"), (F.col("turn") % 3 == 0).alias("p"))
 
 
 @query("gui04_question_modes", f"SELECT conv_id, turn, {_MODE} FROM (SELECT conv_id, turn, {_ASKS} AS q, turn % 3 = 0 AS p FROM conversations)")
