@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftstone.functions.text import ANSWER_STOPWORDS, GUIDANCE_STOPWORDS, SEARCH_STOPWORDS, tokens
-from siftstone.operators import answers, campaigns, chunking, cleaning, clinical, datasets, dosing, guidance, indexing, mapping, planning, retrieval, scoring, telemetry
+from siftstone.operators import answers, campaigns, chunking, cleaning, clinical, datasets, dosing, guidance, indexing, mapping, matching, planning, retrieval, scoring, telemetry
 from siftstone.sources import documents, stores
 from siftstone.streaming import jobs
 
@@ -915,10 +915,44 @@ def _(t):
     return mapping.units(rows).select(F.col("source_id").alias("source"), "first", F.size("ids").alias("n"))
 
 
-@query("map09_candidates")
+def _passages(t) -> tuple[DataFrame, DataFrame]:
+    """Parts of documents as passages of cases, and documents as chunks of their sources."""
+    chunks = t("documents").where("source IS NOT NULL").select(F.col("source").alias("source_id"), F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("chunk_index"), (F.col("doc_id") % 50).cast("int").alias("page_number"), "text")
+    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    i = F.col("doc_id")
+    # The stated queries: every document whose id is divisible by 50.
+    cases = t("documents").where("doc_id % 50 = 0 AND source IS NOT NULL AND text IS NOT NULL").select(i.alias("case_id"), F.col("source").alias("source_id"), F.array_join(F.slice(words, 4, 40), " ").alias("gold"), F.array_join(F.slice(words, 6, 5), " ").alias("reference"), F.array_join(F.slice(words, 4, 8), " ").alias("anchor_start"), F.array_join(F.slice(words, 36, 8), " ").alias("anchor_end"), F.slice(words, 8, 4).alias("key_terms"), (i % 50).cast("int").alias("page"))
+    return cases, chunks
+
+
+@query(
+    "map09_candidates",
+    rf"""WITH d AS (SELECT doc_id, source, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w, text FROM documents WHERE source IS NOT NULL AND text IS NOT NULL),
+g AS (SELECT doc_id AS case_id, source, regexp_extract_all(lower(array_to_string(w[4:43], ' ')), '[a-z0-9]+') AS wanted, {_inf("array_to_string(w[4:43], ' ')")} AS rare FROM d WHERE doc_id % 50 = 0),
+c AS (SELECT doc_id AS first, source, regexp_extract_all(lower(text), '[a-z0-9]+') AS found, {_inf("text")} AS words FROM d),
+j AS (SELECT case_id, first, wanted, found, len(list_intersect(rare, words)) AS n, len(rare) AS m FROM g JOIN c USING (source) WHERE len(list_intersect(rare, words)) > 0 AND len(list_intersect(rare, words)) >= 0.5 * len(rare)),
+s AS (SELECT case_id, first, n / m AS unique_coverage, list_sum(list_transform(list_distinct(wanted), lambda x: least(len(list_filter(wanted, lambda y: y = x)), len(list_filter(found, lambda y: y = x))))) / len(wanted) AS multiset_coverage FROM j)
+SELECT case_id, first, round(multiset_coverage, 6) AS multiset_coverage, round(unique_coverage, 6) AS unique_coverage, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY round(multiset_coverage, 9) DESC, first) AS rank FROM s) WHERE rank <= 5""",
+)
 def _(t):
-    chunks = t("documents").select(F.lit("all").alias("source_id"), F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("chunk_index"), "text")
-    return mapping.candidates(t("benchmark").select(F.col("item_id").alias("case_id"), F.lit("all").alias("source_id"), F.col("text").alias("gold")), mapping.units(chunks, 1))
+    cases, chunks = _passages(t)
+    found = mapping.candidates(cases.select("case_id", "source_id", "gold"), mapping.units(chunks, 1))
+    return found.select("case_id", "first", F.round("multiset_coverage", 6).alias("multiset_coverage"), F.round("unique_coverage", 6).alias("unique_coverage"), "rank")
+
+
+@query("map08_matches")
+def _(t):
+    cases, chunks = _passages(t)
+    found = matching.source_map(matching.scored_windows(cases, mapping.units(chunks, 2)))
+    return found.select("case_id", "first", F.size("ids").alias("n"), "rank", "label", "rule", "score", "exact", "ordered", "passage", "start", "end", "page_distance")
+
+
+@query("map02_documents", "WITH c AS (SELECT item_id AS case_id, CASE WHEN item_id % 2 = 0 THEN 'web' ELSE '' END AS id, 'Doc-' || item_id AS name FROM benchmark), p AS (SELECT DISTINCT source || '-' || doc_id % 60 AS source_id, 'My doc-' || doc_id % 60 || '.pdf' AS title FROM documents WHERE source IS NOT NULL) SELECT DISTINCT case_id, source_id FROM c, p WHERE (id <> '' AND contains(lower(source_id), id)) OR contains(lower(source_id), lower(name)) OR contains(replace(lower(title), '.pdf', ''), lower(name))")
+def _(t):
+    i = F.col("item_id")
+    cases = t("benchmark").select(i.alias("case_id"), F.when(i % 2 == 0, "WEB").alias("document_id"), F.concat(F.lit("Doc-"), i, F.lit(".pdf")).alias("document_name"))
+    part = (F.col("doc_id") % 60).cast("string")
+    return matching.documents_of(cases, t("documents").where("source IS NOT NULL").select(F.concat(F.col("source"), F.lit("-"), part).alias("source_id"), F.concat(F.lit("My doc-"), part, F.lit(".pdf")).alias("title")))
 
 
 # --- Stores and jobs ---
