@@ -127,3 +127,52 @@ def appended(old: DataFrame, new: DataFrame, key: str, order: str, prefix: str =
     place = F.row_number().over(Window.orderBy(order))
     renamed = marked.where("_again").withColumn("_n", place).crossJoin(F.broadcast(last)).withColumn(key, F.concat(F.lit(f"{prefix}-"), padded(F.col("_last") + F.col("_n"))))
     return old.unionByName(marked.where("NOT _again").select(old.columns)).unionByName(renamed.select(old.columns))
+
+
+# Words that aren't key terms, kinds of reasoning by what a question has, and signs of a question that a passage answers.
+TERM_STOPWORDS = "a an and are as at be by can do does for from if in is it of on or should that the their this to what when which with according passage patient patients".split()
+REASONING = [("dose", "dosage-lookup"), ("dosing", "dosage-lookup"), ("contraind", "contraindication-check"), ("compared", "comparison"), ("difference", "comparison"), ("versus", "comparison"), ("what is", "definition"), ("what are", "single-hop"), ("define", "single-hop"), ("if a patient", "scenario-application"), ("if patient", "scenario-application"), ("what should be done", "scenario-application")]
+ASKING = ["what should", "what is", "what are", "can "]
+
+
+def refined(cases: DataFrame) -> DataFrame:
+    """cases (question, passage, answerable, words) with reasoning_type, difficulty, key_terms and review_status.
+
+    key_terms: up to six words of the question that the passage has anywhere. A case that is said to have no answer though
+    the passage has most words of its question is flagged.
+    """
+    q = F.lower(F.coalesce("question", F.lit("")))
+    flat = lambda x: squeezed(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), "[^a-z0-9\\s]", " "))
+    passage = flat(F.col("passage"))
+    kind = F.when(~F.col("answerable"), "abstention")
+    for sign, name in REASONING[:2]:
+        kind = kind.when(F.contains(q, F.lit(sign)), name)
+    kind = kind.when(F.startswith(q, F.lit("can ")), "contraindication-check")
+    for sign, name in REASONING[2:]:
+        kind = kind.when(F.contains(q, F.lit(sign)), name)
+    words, size = F.coalesce("words", F.lit(0)), F.size(F.filter(F.split(squeezed(q), " "), lambda x: x != ""))
+    hard = F.when(~F.col("answerable"), F.when(words < 120, "medium").otherwise("hard")).when((words < 70) & (size < 14), "easy").when(words < 120, "medium").otherwise("hard")
+    own = F.filter(F.regexp_extract_all(q, F.lit("([a-z0-9]+)")), lambda t: ~t.isin(TERM_STOPWORDS))
+    there = lambda least: F.filter(own, lambda t: (F.length(t) > least) & F.contains(passage, t))
+    asked = F.filter(own, lambda t: F.length(t) > 3)
+    odd = ~F.col("answerable") & (F.size(there(3)) >= F.greatest(F.lit(3), F.floor(F.size(asked) / 2))) & F.exists(F.array(*map(F.lit, ASKING)), lambda w: F.contains(q, w))
+    return cases.withColumns({"reasoning_type": kind.otherwise("single-hop"), "difficulty": hard, "key_terms": F.slice(F.array_distinct(there(2)), 1, 6), "review_status": F.when(odd, "flagged_suspicious_answerability").otherwise("auto_generated_unreviewed")})
+
+
+def synthetic_profiles(patients: DataFrame, markers: list[tuple[str, float | None, float | None, str]], seed: int = 42) -> DataFrame:
+    """(patient_id, key, value, abnormal): for each patient five to eight of the markers (key, low, high, direction; those without bounds aren't used), of which two to four are out of range.
+
+    Choices and values come from hashes of patient, marker and seed, so reruns agree and no task waits for another.
+    """
+    unit = lambda *parts: F.pmod(F.xxhash64(F.lit(seed), *map(F.lit, parts[:1]), *parts[1:]), F.lit(1_000_003)) / 1_000_003.0
+    known = [F.struct(F.lit(k).alias("key"), F.lit(lo).cast("double").alias("low"), F.lit(hi).cast("double").alias("high"), F.lit(d).alias("direction")) for k, lo, hi, d in markers if lo is not None or hi is not None]
+    rows = patients.select("patient_id", F.inline(F.array(*known)))
+    line = Window.partitionBy("patient_id").orderBy(F.xxhash64(F.lit(seed), "patient_id", "key"), "key")
+    rows = rows.withColumn("place", F.row_number().over(line)).where(F.col("place") <= 5 + F.floor(4 * unit("n", "patient_id")))
+    bad = F.col("place") <= 2 + F.floor(3 * unit("bad", "patient_id"))
+    low, high = F.coalesce("low", F.col("high") / 2), F.coalesce("high", F.col("low") * 2)
+    span = F.greatest(high - low, F.lit(0.1))
+    share = unit("value", "patient_id", "key")
+    down = (F.col("direction") == "low_is_bad") | ((F.col("direction") != "high_is_bad") & (unit("side", "patient_id", "key") < 0.5))
+    out = F.when(bad & down, low - span * (0.05 + 0.45 * share)).when(bad, high + span * (0.05 + 0.45 * share)).otherwise(low + span * (0.05 + 0.9 * share))
+    return rows.select("patient_id", "key", F.round(F.greatest(out, F.lit(0.0)), 2).alias("value"), bad.alias("abnormal"))

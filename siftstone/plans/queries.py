@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftstone.functions.text import ANSWER_STOPWORDS, GUIDANCE_STOPWORDS, SEARCH_STOPWORDS, tokens
-from siftstone.operators import answers, campaigns, chunking, cleaning, clinical, datasets, dosing, guidance, indexing, mapping, matching, planning, retrieval, scoring, telemetry
-from siftstone.sources import documents, stores
+from siftstone.operators import answers, campaigns, chunking, cleaning, clinical, datasets, dosing, guidance, indexing, mapping, matching, planning, retrieval, runs, scoring, telemetry
+from siftstone.sources import documents, stores, vectors
 from siftstone.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -955,6 +955,175 @@ def _(t):
     return matching.documents_of(cases, t("documents").where("source IS NOT NULL").select(F.concat(F.col("source"), F.lit("-"), part).alias("source_id"), F.concat(F.lit("My doc-"), part, F.lit(".pdf")).alias("title")))
 
 
+# --- Runs ---
+
+_MEASURES = {m: i for i, m in enumerate([*runs.RETRIEVAL, *runs.ANSWERS, *runs.GRADED, *runs.JUDGED])}
+
+
+def _cases(t) -> DataFrame:
+    """Lines of orders as cases of runs; each measure is a small number, some are missing."""
+    i = F.col("l_orderkey") * 7 + F.col("l_linenumber")
+    measures = {m: F.when((i + k) % 11 > 0, ((i + 3 * k) % 10) / 10.0) for m, k in _MEASURES.items()}
+    return t("lineitem").select(
+        F.col("l_returnflag").alias("run_id"), F.when(i % 9 == 0, "failed").otherwise("completed").alias("status"), (i % 3).alias("warnings"), F.when(i % 4 == 0, "Pass").when(i % 4 == 1, "fail").alias("verdict"), (i % 5 > 0).alias("retrieved"), (i % 6 > 0).alias("answered"),
+        (i % 7 > 0).alias("graded"), F.when(i % 8 == 0, "observation_only").alias("profile"), (i % 2 == 0).alias("strict_success"), (i % 10 == 0).alias("exact_pass"), (i % 12).alias("forbidden_fact_violations"), (i % 13 == 0).alias("judged"), F.when(i % 14 == 0, "x").alias("judge_error"), *(v.alias(m) for m, v in measures.items()),
+    )
+
+
+def _of(k: int) -> str:
+    return f"CASE WHEN (i + {k}) % 11 > 0 THEN ((i + {3 * k}) % 10) / 10.0 END"
+
+
+def _mean(x: str, among: str) -> str:
+    return f"round(coalesce(avg({x}) FILTER ({among}), 0)::DOUBLE, 6)"
+
+
+_RUN_MEANS = {
+    **{f"retrieval_{m}": _mean(f"coalesce({_of(_MEASURES[m])}, 0)", "i % 5 > 0") for m in runs.RETRIEVAL},
+    **{f"generation_average_{m}": _mean(f"coalesce({_of(_MEASURES[m])}, 0)", "i % 6 > 0") for m in runs.ANSWERS},
+    **{f"generation_average_{m}": _mean(_of(_MEASURES[m]), "i % 7 > 0 AND i % 6 > 0") for m in runs.GRADED},
+    **{f"generation_average_{m}": _mean(_of(_MEASURES[m]), "i % 6 > 0") for m in runs.JUDGED},
+    "retrieval_strict_success_rate": _mean("(i % 2 = 0)::INT", "i % 5 > 0"),
+    "generation_llm_judge_enabled_rate": _mean("(i % 13 = 0)::INT", "i % 6 > 0"),
+    "generation_llm_judge_error_rate": _mean("(i % 14 = 0)::INT", "i % 6 > 0"),
+    "generation_forbidden_fact_violation_rate": _mean("(i % 12 > 0)::INT", "i % 6 > 0"),
+    "generation_hallucination_rate": _mean(f"(coalesce({_of(_MEASURES['hallucination_unsupported_token_count'])}, 0) > 0)::INT", "i % 6 > 0"),
+    "generation_warning_case_rate": _mean("(i % 3 > 0)::INT", "true"),
+    "generation_verification_pass_rate": _mean("(i % 4 = 0)::INT", "true"),
+    "generation_exact_pass_rate": _mean("(i % 10 = 0)::INT", "i % 7 > 0 AND i % 6 > 0"),
+    "generation_average_warning_count": _mean("i % 3", "true"),
+}
+_RUN_SUMMARY = f"""s AS (SELECT l_returnflag AS run_id, count(*) AS case_count, count(*) FILTER (i % 9 = 0) AS failed_case_count, count(*) FILTER (i % 9 > 0) AS completed_case_count, count(*) FILTER (i % 5 > 0) AS retrieval_case_count, count(*) FILTER (i % 6 > 0) AS generation_case_count, count(*) FILTER (i % 7 > 0 AND i % 6 > 0) AS deterministic_applicable_case_count,
+ count(*) FILTER (i % 8 = 0 AND i % 6 > 0) AS observation_only_case_count, {", ".join(f"{x} AS {n}" for n, x in _RUN_MEANS.items())} FROM (SELECT *, l_orderkey * 7 + l_linenumber AS i FROM lineitem) GROUP BY 1)"""
+
+
+@query("sco11_run_summary", f"WITH {_RUN_SUMMARY} SELECT * FROM s")
+def _(t):
+    out = runs.run_summaries(_cases(t), ["run_id"])
+    return out.select(*(F.round(c, 6).alias(c) if c in _RUN_MEANS else F.col(c) for c in out.columns))
+
+
+_LATENCIES = {"average": "sum(l_quantity) / 1000", "p95": "max(l_quantity) / 1000", "failure_rate": "count(*) / 100000"}
+
+
+@query(
+    "sco12_common_metrics",
+    f"WITH {_RUN_SUMMARY}, l AS (SELECT l_returnflag AS run_id, {', '.join(f'({x})::DOUBLE AS latency_{n}' for n, x in _LATENCIES.items())} FROM lineitem GROUP BY 1) SELECT run_id, unnest({_list(list(runs.COMMON))}) AS metric, round(unnest([{', '.join(c if c in _RUN_MEANS else f'latency_average * 1000' if c == 'latency_average' else f'latency_p95 * 1000' if c == 'latency_p95' else c if c == 'latency_failure_rate' else '1.0' if c == 'latency_completion_rate' else '0.0' for c in runs.COMMON.values())}]::DOUBLE[]), 5) AS value FROM s JOIN l USING (run_id)",
+)
+def _(t):
+    summary = runs.run_summaries(_cases(t), ["run_id"])
+    latency = t("lineitem").groupBy(F.col("l_returnflag").alias("run_id")).agg(*(F.expr(x).cast("double").alias(f"latency_{n}") for n, x in _LATENCIES.items()))
+    return runs.common_metrics(summary.select("run_id", *(F.round(c, 6).alias(c) for c in _RUN_MEANS)).join(latency, "run_id")).withColumn("value", F.round("value", 5))
+
+
+def _artifacts(t) -> DataFrame:
+    """Suppliers as JSON records of runs, older ones with other places and fewer parts."""
+    k = F.col("s_suppkey")
+    api = F.when(k % 3 == 0, F.format_string('{"endpoint_summaries":{"guidance_endpoint":{"average":%s}},"average":99}', (k % 17).cast("string"))).otherwise(F.format_string('{"average":%s}', (k % 17).cast("string")))
+    head = F.format_string('{"run_id":"r%d","label":"%s","datetime":"2024-01-%02dT00:00:00","case_count":%d,"retrieval_summary":{"mrr":%s},"generation_summary":{"average_answer_quality_score":%s},"api_summary":', k, "s_name", k % 28 + 1, k % 5, (k % 7 / 10).cast("string"), (k % 11 / 10).cast("string"))
+    place = F.when(k % 2 == 0, ',"config_overview":{"ingestion":{"chunking_strategy":"late"}}}').otherwise(',"config":{"ingestion":{"chunking_strategy":"naive"}}}')
+    return t("supplier").select(k, F.concat(head, api, place).alias("payload"))
+
+
+_OVERVIEW = "o AS (SELECT 'r' || s_suppkey AS run_id, s_name AS label, CAST(s_suppkey % 5 AS INT) AS case_count, CASE WHEN s_suppkey % 2 = 0 THEN 'late' ELSE 'naive' END AS chunking_strategy, (s_suppkey % 7 / 10)::DOUBLE AS mrr, (s_suppkey % 11 / 10)::DOUBLE AS avg_answer_quality, (s_suppkey % 17)::DOUBLE AS avg_latency FROM supplier)"
+
+
+@query("ana02_overview", f"WITH {_OVERVIEW} SELECT *, avg_answer_quality AS avg_deterministic_rubric FROM o")
+def _(t):
+    return runs.overview(_artifacts(t)).select("run_id", "label", "case_count", "chunking_strategy", "mrr", "avg_answer_quality", "avg_latency", "avg_deterministic_rubric")
+
+
+@query("ana06_cards", f"WITH {_OVERVIEW} SELECT count(*) AS runs, max(mrr) AS best_mrr, max(avg_answer_quality) AS best_quality, min(nullif(avg_latency, 0)) AS least_latency FROM o WHERE chunking_strategy = 'late'")
+def _(t):
+    return runs.overview_cards(runs.overview(_artifacts(t)), {"chunking_strategy": ["late"], "label": []})
+
+
+_METRIC_ROWS = "m AS (SELECT 'r' || o_custkey % 4 AS run_id, o_orderpriority || o_orderstatus AS metric, round(avg(o_totalprice), 4) AS value FROM orders WHERE o_custkey % 4 < 3 GROUP BY ALL)"
+
+
+def _metric_rows(t) -> DataFrame:
+    return t("orders").where("o_custkey % 4 < 3").groupBy(F.concat(F.lit("r"), (F.col("o_custkey") % 4).cast("string")).alias("run_id"), F.concat("o_orderpriority", "o_orderstatus").alias("metric")).agg(F.round(F.avg("o_totalprice"), 4).alias("value"))
+
+
+@query("ana10_compared", f"""WITH {_METRIC_ROWS} SELECT metric, max(CASE WHEN run_id = 'r0' THEN value END) AS r0, max(CASE WHEN run_id = 'r1' THEN value END) AS r1, round(max(CASE WHEN run_id = 'r1' THEN value END) - max(CASE WHEN run_id = 'r0' THEN value END), 4) AS "r1 delta" FROM m WHERE run_id IN ('r0', 'r1') GROUP BY 1""")
+def _(t):
+    return runs.compared(_metric_rows(t), ["r0", "r1"]).withColumn("r1 delta", F.round("r1 delta", 4))
+
+
+@query("ana11_best_metrics", f"WITH {_METRIC_ROWS} SELECT run_id, metric, value AS average, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY value DESC, metric) AS rank FROM m) WHERE rank <= 5")
+def _(t):
+    return runs.best_metrics(_metric_rows(t).withColumnRenamed("value", "average"), "run_id", 5)
+
+
+_RECORD = "CASE turn % 5 WHEN 0 THEN '{\"job_id\":1,\"rag\":[{\"title\":\"a\"},{\"title\":\"b\"}],\"warnings\":[\"x\"]}' WHEN 1 THEN '{\"metadata\":{\"retrieval_attempts\":2},\"retrieved_context\":[{\"title\":\"c\"}]}' WHEN 2 THEN '{\"rag\":null,\"retrieved_context\":[{\"title\":\"d\"}]}' WHEN 3 THEN '{\"retrieved_context\":[]}' ELSE '{\"verification\":{\"verdict\":\"pass\"}}' END"
+
+
+@query("tel03_records", "SELECT conv_id, turn, ['async_job_expanded', 'multistep_diagnostics', 'api_job_status', 'inference_response', 'unknown'][turn % 5 + 1] AS shape, ['a|b', 'c', 'd', '', ''][turn % 5 + 1] AS titles, CAST((turn % 5 = 0) AS INT) AS n_warnings, turn % 5 = 4 AS verified FROM conversations")
+def _(t):
+    rows = runs.normalised_records(t("conversations").select("conv_id", "turn", F.expr(_RECORD).alias("record")))
+    return rows.select("conv_id", "turn", "shape", F.array_join(F.transform("contexts", lambda c: c["title"]), "|").alias("titles"), "n_warnings", F.col("verification").isNotNull().alias("verified"))
+
+
+@query("cmp02_labels", "SELECT p_partkey, 'c-' || p_partkey || '-' || p_size || '-' || p_brand AS label FROM part")
+def _(t):
+    settings = F.create_map(F.lit("chunking.size"), F.col("p_size").cast("string"), F.lit("model"), F.concat(F.lit('"'), "p_brand", F.lit('"')))
+    return t("part").select("p_partkey", runs.label("{campaign_label}-{index}-{chunking_size}-{model}", settings, F.lit("c"), F.col("p_partkey")).alias("label"))
+
+
+@query("cmp04_reused", "SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AS reused FROM customer")
+def _(t):
+    registry = t("orders").select(F.col("o_custkey").alias("fingerprint"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("running").alias("status"))
+    done, open_ = runs.reused(t("customer").select(F.col("c_custkey").alias("fingerprint")), registry)
+    return done.withColumn("reused", F.lit(True)).unionByName(open_.withColumn("reused", F.lit(False))).withColumnRenamed("fingerprint", "c_custkey")
+
+
+@query("src19_migrated", "SELECT s_suppkey, s_name AS notes, '{}' AS cache, '[]' AS per_case_results, 'run' AS artifact_type, '2.0' AS artifact_version, CASE WHEN s_suppkey % 2 = 0 THEN '{\"a\":1}' ELSE '{}' END AS api_summary FROM supplier")
+def _(t):
+    old = t("supplier").select("s_suppkey", F.col("s_name").alias("notes"), F.when(F.col("s_suppkey") % 2 == 0, '{"a":1}').alias("api_summary"), F.lit("1.0").alias("artifact_version"))
+    return runs.migrated(old).select("s_suppkey", "notes", "cache", "per_case_results", "artifact_type", "artifact_version", "api_summary")
+
+
+@query("src06_payloads", "SELECT vec_id, label FROM embeddings WHERE label % 3 <> 0")
+def _(t):
+    return vectors.payloads(t("embeddings").withColumn("text", F.when(F.col("label") % 3 != 0, "x"))).select("vec_id", "label")
+
+
+@query("job10_readiness", "SELECT unnest(['ready', 'failed', 'empty', 'ingesting']) AS state, unnest(['m', NULL, NULL, NULL]) AS model")
+def _(t):
+    points = t("embeddings").select(F.lit("m").alias("embedding_model"), "vec_id")
+    other = points.withColumn("embedding_model", F.when(F.col("vec_id") == 0, "n").otherwise("m"))
+    return vectors.readiness(points).unionByName(vectors.readiness(other)).unionByName(vectors.readiness(points.limit(0))).unionByName(vectors.readiness(points, ingesting=True))
+
+
+@query("job13_clamped", "SELECT p_partkey, least(greatest(p_size, 5), 20)::DOUBLE AS top_k FROM part")
+def _(t):
+    return t("part").select("p_partkey", vectors.clamped(F.col("p_size"), 5, 20).cast("double").alias("top_k"))
+
+
+_ASKED = "CASE doc_id % 6 WHEN 0 THEN 'What is the dose of ' WHEN 1 THEN 'Can patients take ' WHEN 2 THEN 'What is meant by ' WHEN 3 THEN 'If a patient has ' WHEN 4 THEN 'Compared with others, which ' ELSE 'Name ' END || substring(coalesce(text, ''), 1, 60)"
+
+
+@query(
+    "ds07_refined",
+    rf"""WITH q AS (SELECT doc_id, lower({_ASKED}) AS q, trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS p, doc_id % 4 > 0 AS answerable, coalesce(n_chars, 0) // 8 AS words FROM documents),
+o AS (SELECT *, list_filter(regexp_extract_all(q, '[a-z0-9]+'), lambda t: NOT list_contains({_list(datasets.TERM_STOPWORDS)}, t)) AS own, len(string_split({_flat('q')}, ' ')) AS n FROM q),
+k AS (SELECT *, list_filter(own, lambda t: len(t) > 2 AND contains(p, t)) AS k2, list_filter(own, lambda t: len(t) > 3) AS k3 FROM o)
+SELECT doc_id, CASE WHEN NOT answerable THEN 'abstention' WHEN contains(q, 'dose') OR contains(q, 'dosing') THEN 'dosage-lookup' WHEN starts_with(q, 'can ') OR contains(q, 'contraind') THEN 'contraindication-check' WHEN contains(q, 'compared') OR contains(q, 'difference') OR contains(q, 'versus') THEN 'comparison'
+ WHEN contains(q, 'what is') THEN 'definition' WHEN contains(q, 'what are') OR contains(q, 'define') THEN 'single-hop' WHEN contains(q, 'if a patient') OR contains(q, 'if patient') OR contains(q, 'what should be done') THEN 'scenario-application' ELSE 'single-hop' END AS reasoning_type,
+ CASE WHEN NOT answerable THEN CASE WHEN words < 120 THEN 'medium' ELSE 'hard' END WHEN words < 70 AND n < 14 THEN 'easy' WHEN words < 120 THEN 'medium' ELSE 'hard' END AS difficulty, array_to_string(list_filter(k2, lambda x, i: list_position(k2, x) = i)[1:6], '|') AS key_terms,
+ CASE WHEN NOT answerable AND len(list_filter(k3, lambda t: contains(p, t))) >= greatest(3, len(k3) // 2) AND (contains(q, 'what should') OR contains(q, 'what is') OR contains(q, 'what are') OR contains(q, 'can ')) THEN 'flagged_suspicious_answerability' ELSE 'auto_generated_unreviewed' END AS review_status FROM k""",
+)
+def _(t):
+    cases = t("documents").select("doc_id", F.expr(_ASKED).alias("question"), F.col("text").alias("passage"), (F.col("doc_id") % 4 > 0).alias("answerable"), F.floor(F.coalesce("n_chars", F.lit(0)) / 8).alias("words"))
+    return datasets.refined(cases).select("doc_id", "reasoning_type", "difficulty", F.array_join("key_terms", "|").alias("key_terms"), "review_status")
+
+
+@query("ds09_profiles")
+def _(t):
+    markers = [(key, low, high, direction) for key, _, _, _, direction, _, _, low, high, *_ in MARKERS if direction != "context"]
+    return datasets.synthetic_profiles(t("customer").select(F.col("c_custkey").alias("patient_id")), [*markers, *((f"m{i}", float(i), 2.0 * i, "outside_range") for i in range(1, 9))])
+
+
 # --- Stores and jobs ---
 
 

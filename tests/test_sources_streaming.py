@@ -3,7 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from siftstone.sources import documents, records, stores
+from siftstone.operators import datasets
+from siftstone.sources import documents, records, stores, vectors
 from siftstone.streaming import jobs
 
 
@@ -94,3 +95,43 @@ def test_job_stream(spark, tmp_path):
     assert ("c", "queued", True) in rows(got.where("job_id = 'c' AND ts > timestamp'2024-01-01 00:00:30'"), "job_id", "status", "lawful")
     assert out(jobs.created_once(read()), "once").count() == 4
     assert rows(out(jobs.windowed(read()), "hours", "update"), "status", "n") == [("completed", 1), ("failed", 1), ("queued", 4), ("running", 3)]
+
+
+def test_job_stream_remembers(spark, tmp_path):
+    """A job that waits longer than a lease goes on as the same job; so does one whose lease ran out; a finished one stays finished."""
+    steps = [[("w", 0, "queued"), ("l", 0, "queued"), ("l", 1, "running"), ("f", 0, "queued"), ("f", 1, "running"), ("f", 2, "completed")], [("x", 5000, "queued")], [("x", 5001, "running")], [("w", 6000, "running"), ("l", 6000, "running"), ("f", 6000, "queued")]]
+    schema = "job_id string, ts timestamp, status string"
+    at = lambda rows: spark.createDataFrame(rows, "job_id string, s long, status string").select("job_id", (F.lit(1704067200) + F.col("s")).cast("timestamp").alias("ts"), "status")
+    where = str(tmp_path / "in")
+    at(steps[0]).limit(0).write.parquet(where)
+    q = None
+    for i, rows in enumerate(steps):
+        at(rows).coalesce(1).write.mode("append").parquet(where)
+        q = jobs.lifecycle(spark.readStream.schema(schema).parquet(where)).writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+        q.awaitTermination()
+    got = {(r.job_id, r.status, r.lawful) for r in spark.read.parquet(str(tmp_path / "out")).where("ts > timestamp'2024-01-01 01:00:00' OR job_id = 'l'").collect()}
+    assert {("w", "running", True), ("l", "queued", True), ("l", "running", True), ("f", "queued", False)} <= got
+    assert ("w", "running", False) not in got and ("f", "queued", True) not in got
+
+
+def test_vectors(spark):
+    points = spark.createDataFrame([("a", "t", [1.0, 0.0], "m"), ("b", None, [0.0, 1.0], "m")], "chunk_id string, text string, embedding array<double>, embedding_model string")
+    assert vectors.size_of(spark, "points_of_test") == 0 and not vectors.dropped(spark, "points_of_test")
+    assert vectors.ensured(spark, "points_of_test", points, 2).count() == vectors.ensured(spark, "points_of_test", points.limit(0), 2).count() == vectors.size_of(spark, "points_of_test") == 2
+    with pytest.raises(Exception, match="2 dimensions, not 3"):
+        vectors.checked(points, 3).collect()
+    assert [r.chunk_id for r in vectors.payloads(points).collect()] == ["a"] and "embedding" not in vectors.payloads(points).columns
+    assert vectors.dropped(spark, "points_of_test")
+
+
+def test_profiles(spark):
+    markers = [(f"m{i}", 1.0 * i, 3.0 * i, d) for i, d in enumerate(["low_is_bad", "high_is_bad", "outside_range"] * 4, 1)] + [("none", None, None, "context")]
+    out = datasets.synthetic_profiles(spark.range(200).withColumnRenamed("id", "patient_id"), markers).collect()
+    assert sorted(map(str, out)) == sorted(map(str, datasets.synthetic_profiles(spark.range(200).repartition(3).withColumnRenamed("id", "patient_id"), markers).collect()))
+    bounds = {k: (lo, hi, d) for k, lo, hi, d in markers}
+    for p in range(200):
+        own = [r for r in out if r.patient_id == p]
+        assert 5 <= len(own) <= 8 and 2 <= sum(r.abnormal for r in own) <= 4 and len({r.key for r in own}) == len(own)
+        for r in own:
+            lo, hi, d = bounds[r.key]
+            assert (lo <= r.value <= hi) != r.abnormal and not (r.abnormal and (d == "low_is_bad") and r.value > hi) and not (r.abnormal and (d == "high_is_bad") and r.value < lo)
