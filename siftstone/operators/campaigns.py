@@ -77,11 +77,22 @@ def scorecard(runs: DataFrame, metrics: list[str], efficiency: list[str] = ()) -
     return rows.withColumns(out).drop(*bounds.columns)
 
 
+#: Ranges of x whose best y are put in order before the values within them.
+BINS = 1024
+
+
 def pareto(runs: DataFrame, x: str, y: str) -> DataFrame:
-    """The runs to which none with less x has more y. Only the best y of each x is put in order."""
-    best = runs.groupBy(x).agg(F.max(y).alias("_best"))
-    before = F.max("_best").over(Window.orderBy(x).rowsBetween(Window.unboundedPreceding, -1))
-    kept = best.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("_best") >= F.col("_before"))).select(F.col(x).alias("_x"), "_best")
+    """The runs to which none with less x has more y. Only the best y of each x counts; they are compared within ranges of x, and with the best of all ranges before."""
+    best = runs.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("_x")).agg(F.max(y).alias("_best"))
+    # One row of two numbers.
+    bounds = F.broadcast(best.agg(F.min("_x").cast("double").alias("_lo"), F.max("_x").cast("double").alias("_hi")))
+    share = (F.col("_x").cast("double") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    placed = best.crossJoin(bounds).select("_x", "_best", F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor(share * BINS), F.lit(BINS - 1))).otherwise(0).alias("_bin"))
+    earlier = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    carried = placed.groupBy("_bin").agg(F.max("_best").alias("_top")).withColumn("_carried", F.max("_top").over(earlier)).select("_bin", "_carried")
+    inside = F.max("_best").over(Window.partitionBy("_bin").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.greatest(inside, "_carried")
+    kept = placed.join(carried, "_bin").withColumn("_before", before).where(F.col("_before").isNull() | (F.col("_best") >= F.col("_before"))).select("_x", "_best")
     return runs.join(kept, (F.col(x) == F.col("_x")) & (F.col(y) == F.col("_best"))).drop("_x", "_best")
 
 

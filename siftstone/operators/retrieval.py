@@ -5,6 +5,8 @@ Queries are a small table next to the corpus; a search takes all of them at once
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,17 +73,28 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(0.0)
 
 
+#: Bytes of query vectors that are sent to all tasks at a time.
+QUERY_BYTES = 64 << 20
+
+
 def dense(queries: DataFrame, corpus: DataFrame, query_id: str, query_vector: str, id_col: str, vector_col: str, k: int = 3) -> DataFrame:
     """(query_id, id, score, rank): the k nearest vectors of each query by cosine.
 
-    A stated set of queries against all rows: vectors are brought to length 1 once, each task meets all queries of the
-    broadcast side, and only k rows per query leave it.
+    A stated set of queries against all rows: vectors are brought to length 1 once, each task meets a block of queries of at
+    most about QUERY_BYTES, and only k rows per query leave it. More queries go in several blocks, whose results are joined.
     """
     unit = lambda v: let(F.sqrt(dot(v, v)), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0)))
     asked = queries.select(F.col(query_id).alias("query_id"), unit(F.col(query_vector)).alias("q"))
     rows = corpus.select(F.col(id_col).alias("id"), unit(F.col(vector_col)).alias("v"))
-    scored = rows.join(F.broadcast(asked), F.size("q") == F.size("v")).select("query_id", "id", F.coalesce(F.nanvl(dot(F.col("q"), F.col("v")), F.lit(0.0)), F.lit(0.0)).alias("score"))
-    return top(scored, ["query_id"], [F.round("score", 9).desc(), F.col("id")], k)
+    size = queries.agg(F.sum(8 * F.size(query_vector)).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-size // QUERY_BYTES))
+
+    def block(i: int) -> DataFrame:
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else asked
+        scored = rows.join(F.broadcast(own), F.size("q") == F.size("v")).select("query_id", "id", F.coalesce(F.nanvl(dot(F.col("q"), F.col("v")), F.lit(0.0)), F.lit(0.0)).alias("score"))
+        return top(scored, ["query_id"], [F.round("score", 9).desc(), F.col("id")], k)
+
+    return reduce(DataFrame.unionByName, map(block, range(blocks)))
 
 
 def normalised(hits: DataFrame) -> DataFrame:

@@ -149,29 +149,32 @@ def _half_even(x: Column) -> Column:
     return F.bround(x, 0).cast("int")
 
 
+#: Ranges of equal width into which a key's values are counted before any are put in order.
+BINS = 4096
+
+
 def latency_summary(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
     """average, min, max, p50, p95, p99 and count of the values that aren't null, per key; percentiles are those of the nearest rank, at (n - 1) * p rounded half to even. Without values all are 0.
 
-    Ranks come from a sort by key and value, so no key's values are gathered in one row.
+    Equal values count as one row. A key's values are counted in BINS ranges first; only those of the ranges in which the
+    three ranks lie are put in order, so a key with most rows is no single task's.
     """
-    # Keys may be null.
-    kept = df.select(*keys, value.cast("double").alias("v"))
-    per = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    counted = kept.where("v IS NOT NULL").groupBy(*keys, "v").agg(F.count("*").alias("m"))
-    upto = counted.withColumns({"upto": F.sum("m").over(per.orderBy("v")), "n": F.sum("m").over(per)})
-    inside = lambda p: (F.col("upto") - F.col("m") <= _half_even((F.col("n") - 1) * p)) & (_half_even((F.col("n") - 1) * p) < F.col("upto"))
-    found = upto.groupBy(*keys).agg(
-        (F.sum(F.col("v") * F.col("m")) / F.max("n")).alias("average"), F.min("v").alias("min"), F.max("v").alias("max"),
-        *(F.max(F.when(inside(p), F.col("v"))).alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))), F.max("n").alias("count"),
-    )
+    # Keys may be null: within a struct null equals null.
+    kept = df.select((F.struct(*keys) if keys else F.lit(0)).alias("_k"), value.cast("double").alias("v"))
+    counted = kept.where("v IS NOT NULL").groupBy("_k", "v").agg(F.count("*").alias("m"))
+    per = counted.groupBy("_k").agg((F.sum(F.col("v") * F.col("m")) / F.sum("m")).alias("average"), F.min("v").alias("min"), F.max("v").alias("max"), F.sum("m").alias("count"))
+    rank = lambda p: _half_even((F.col("count") - 1) * p)
+    ranks = per.select("_k", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), rank(p).alias("rank")) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))))).alias("x")).select("_k", "x.*")
+    share = (F.col("v") - F.col("min")) / (F.col("max") - F.col("min"))
+    binned = counted.join(per.select("_k", "min", "max"), "_k").select("_k", "v", "m", F.when(F.col("max") > F.col("min"), F.least(F.floor(share * BINS), F.lit(BINS - 1))).otherwise(0).alias("bin"))
+    upto = binned.groupBy("_k", "bin").agg(F.sum("m").alias("c")).withColumn("upto", F.sum("c").over(Window.partitionBy("_k").orderBy("bin")))
+    wanted = ranks.join(upto, "_k").where((F.col("upto") - F.col("c") <= F.col("rank")) & (F.col("rank") < F.col("upto"))).select("_k", "name", "bin", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"))
+    inside = wanted.join(binned, ["_k", "bin"]).withColumn("upto", F.sum("m").over(Window.partitionBy("_k", "name").orderBy("v")))
+    picked = inside.where((F.col("upto") - F.col("m") <= F.col("rank")) & (F.col("rank") < F.col("upto"))).groupBy("_k").agg(*(F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in ("p50", "p95", "p99")))
     names = ["average", "min", "max", "p50", "p95", "p99"]
-    if keys:
-        every, on = kept.select(*keys).distinct(), F.lit(True)
-        found = found.withColumnsRenamed({k: f"_{k}" for k in keys})
-        for k in keys:
-            on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
-        found = every.join(found, on, "left")
-    return found.select(*keys, *(F.coalesce(n, F.lit(0.0)).alias(n) for n in names), F.coalesce("count", F.lit(0)).alias("count"))
+    every = kept.select("_k").distinct() if keys else df.sparkSession.range(1).select(F.lit(0).alias("_k"))
+    found = every.join(per.join(picked, "_k"), "_k", "left")
+    return found.select(*(F.col(f"_k.{k}").alias(k) for k in keys), *(F.coalesce(n, F.lit(0.0)).alias(n) for n in names), F.coalesce("count", F.lit(0)).alias("count"))
 
 
 def stage_latencies(stages: DataFrame) -> DataFrame:
