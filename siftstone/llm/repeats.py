@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import MAX_ID, per_batch, table, written
+from .shared import MAX_ID, per_batch, spread_join, table, written
 from .textcols import SLICE, Sequences, U, buffers, mixed, slices, word_hashes, words
 
 WINDOW, SEED = 20, 6
@@ -119,8 +119,8 @@ def _filled(first: np.ndarray, more: np.ndarray) -> np.ndarray:
 
 def _not_first(rows: DataFrame, key: list[str]) -> DataFrame:
     """Rows that an equal key precedes, in order of id and place."""
-    firsts = rows.groupBy(*key).agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(firsts, key).where((F.col("first.id") != F.col("id")) | (F.col("first.place") != F.col("place"))).drop("first")
+    firsts = rows.groupBy(*key).agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    return spread_join(rows, firsts, key, rows.count()).where((F.col("first.id") != F.col("id")) | (F.col("first.place") != F.col("place"))).drop("first")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -130,8 +130,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     number, sign = F.coalesce(F.col(id_col), F.lit(MAX_ID)), F.hash(F.coalesce(text_col, F.lit(""))).bitwiseAND(F.lit((1 << SIGN_BITS) - 1)).cast("long")
     keyed = docs.select(number.alias("id"), sign.alias("sign"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = _seeds(keyed.select("id", "sign", "text"), window, seed)
-    often = found.select("seed").groupBy("seed").count().where("count > 1").select("seed")
-    shared = written(found.join(often, "seed", "left_semi"))
+    often = written(found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1"))
+    total = often.agg(F.sum("n").alias("n")).first()["n"] or 0
+    shared = written(spread_join(found, often, ["seed"], total, "left_semi"))
     whole = _not_first(shared.select("stretch", "id", "place", "seed"), ["seed", "stretch"]).select("id", "place")
     # Of every stretch the first occurrence, where the seed has several stretches.
     kinds = shared.groupBy("seed", "stretch").agg(F.min(F.struct("id", "place")).alias("first"))

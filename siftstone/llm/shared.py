@@ -55,6 +55,20 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys with more than one in MOST_HOT of all rows are hot, so there are fewer than MOST_HOT of them; their rows are dealt over SALTS tasks.
+MOST_HOT, SALTS, LEAST_HOT = 1000, 64, 10_000
+
+
+def spread_join(rows: DataFrame, few: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
+    """rows, of which there are `total`, joined with few: its keys are distinct and `n`, which goes, is how many rows have each. Hot keys' rows don't meet in one task."""
+    hot = F.col("n") > max(LEAST_HOT, total // MOST_HOT)
+    hubs = F.broadcast(few.where(hot).select(*keys, F.lit(True).alias("_hot")))
+    dealt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).otherwise(0)
+    salted = rows.join(hubs, keys, "left").withColumn("_salt", dealt).drop("_hot")
+    salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(few.withColumn("_salt", F.explode(salts)).drop("n"), [*keys, "_salt"], how).drop("_salt")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with underscores added until no column of df has it (Spark compares without case)."""
     taken = {c.lower() for c in df.columns}

@@ -33,6 +33,8 @@ TRAIN_DOCS, TRAIN_BYTES = 6000, 64 << 20
 PREFIXES = (5, 6, 7, 8)
 FOLDS, HELD_OUT = 5, 0
 STEPS, RATE, PENALTY = 300, 0.3, 2e-4
+#: Occurrences of words that a step of training works on at a time.
+CHUNK = 1 << 20
 #: Words take part in training if at least so many documents have them, and if they lean to one side by so many standard deviations.
 LEAST_DOCS, SCREEN = 2, 1.0
 
@@ -98,14 +100,17 @@ def fit(at: np.ndarray, sent: np.ndarray, sent_doc: np.ndarray, toxic: np.ndarra
     if not n or not toxic.any() or toxic.all():
         return Model(np.zeros(BUCKETS), base)
     w = screen.start
+    chunks = [slice(i, i + CHUNK) for i in range(0, len(at), CHUNK)]
+    # Sums over the occurrences by sentence or by word, chunk by chunk.
+    added = lambda to, value, size: sum((np.bincount(to[c], weights=value(c), minlength=size) for c in chunks), np.zeros(size))
     m1, m2, v1, v2 = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, STEPS + 1):
-        z = base + np.bincount(sent, weights=w[at], minlength=first)
+        z = base + added(sent, lambda c: w[at[c]], first)  # noqa: B023
         harmless = np.bincount(sent_doc, weights=-np.logaddexp(0.0, z), minlength=n)
         p = np.clip(-np.expm1(harmless), 1e-9, 1 - 1e-9)
         # d loss / d z of a sentence: its share of what the noisy-or got wrong.
         pull = np.where(toxic > 0, -(1 - p) / p, 1.0)[sent_doc] * np.exp(-np.logaddexp(0.0, -z)) / n
-        g, g0 = np.bincount(at, weights=pull[sent], minlength=len(w)), pull.sum()
+        g, g0 = added(at, lambda c: pull[sent[c]], len(w)), pull.sum()  # noqa: B023
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         v1, v2 = 0.9 * v1 + 0.1 * g0, 0.999 * v2 + 0.001 * g0 * g0
         size = RATE / (1 + 0.02 * step)
@@ -170,12 +175,14 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, limit_byt
 
         return work
 
-    rows = per_batch(chosen, make, "doc_id long, toxic int, at array<int>, sent array<int>, sentences int").toArrow().sort_by("doc_id").combine_chunks()
+    rows = per_batch(chosen, make, "doc_id long, toxic int, at array<int>, sent array<int>, sentences int").orderBy("doc_id").toArrow()
     toxic, size = rows["toxic"].to_numpy().astype(float), rows["sentences"].to_numpy()
-    column = lambda name: rows[name].chunk(0).flatten().to_numpy() if rows.num_rows else np.zeros(0, np.int32)
-    number = np.diff(rows["at"].chunk(0).offsets.to_numpy()) if rows.num_rows else np.zeros(0, np.int64)
-    sent = column("sent") + np.repeat(np.cumsum(size) - size, number).astype(np.int32)
-    return fit(column("at"), sent, np.repeat(np.arange(len(toxic), dtype=np.int32), size), toxic, screen)
+    column = lambda name: np.concatenate([np.zeros(0, np.int32), *(x.flatten().to_numpy() for x in rows[name].chunks)])
+    at, sent = column("at"), column("sent")
+    number = np.concatenate([np.zeros(0, np.int64), *(x.value_lengths().to_numpy() for x in rows["at"].chunks)])
+    del rows
+    sent += np.repeat((np.cumsum(size) - size).astype(np.int32), number)
+    return fit(at, sent, np.repeat(np.arange(len(toxic), dtype=np.int32), size), toxic, screen)
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())]))

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import hashlib
 import random
 import re
@@ -46,3 +48,15 @@ def test_odd_rows(spark, odd, empty):
     assert by[5].n_words == 30000 and by[5].n_removed == 30000 - 1
     assert all(r.n_removed == 0 for r in rows if r.doc_id == 7)
     assert repeats.without_repeats(empty).count() == 0
+
+
+def test_hot_keys_are_dealt_over_tasks(spark, monkeypatch):
+    from siftstone.llm import shared
+
+    monkeypatch.setattr(shared, "LEAST_HOT", 20)
+    rows = spark.range(3000).selectExpr("IF(id % 3 = 0, 7, id % 50) AS a", "id % 2 AS b", "id")
+    few = rows.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
+    got = shared.spread_join(rows, few, ["a", "b"], 3000)
+    want = rows.join(few.drop("n"), ["a", "b"])
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+    assert shared.spread_join(rows, few.where("a <> 7"), ["a", "b"], 3000, "left_semi").count() == rows.join(few.where("a <> 7"), ["a", "b"], "left_semi").count()
