@@ -7,7 +7,7 @@ weight that context-tree weighting gives it: P_w = (P_e + product of the childre
 A text is scored by the trained tree as it stands; where a longer context never occurred, the path ends at the last one
 that did.
 
-How it is spread: a gram is a byte with its context, packed in 48 bits, the nearest context byte on top.
+How it is spread: a gram is a byte with its context, packed in 64 bits at most, the nearest context byte on top.
 1. Documents fall into blocks of about BLOCK_BYTES by a hash. Each block counts its grams and its words once, in sorted
    arrays, so a frequent gram is one row per block, however often it occurs.
 2. Counts are added up by gram, which keeps the list of its blocks. The tree's depths from KEY_DEPTH on are made where
@@ -16,7 +16,8 @@ How it is spread: a gram is a byte with its context, packed in 48 bits, the near
 
 The base figure is a unigram model of words with one added to each count, computed along the same way.
 
-Defined cases: a null text counts as empty; an empty one is the end symbol alone; without documents to learn from each
+Defined cases: a text of any length is counted and scored whole, in slices that don't change its grams; texts that tie
+score alike; a null text counts as empty; an empty one is the end symbol alone; without documents to learn from each
 decision costs one bit, and the base uses counts of zero; repeated rows score alike; a null id counts as the empty text
 for the fold; an empty table gives no rows. Columns other than id and text are not read.
 """
@@ -161,7 +162,7 @@ class Top:
         return out
 
 
-def _counts(docs: DataFrame) -> DataFrame:
+def _counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(block, kind, key, n) of docs (block, held, text): n occurrences in training texts, which may be zero."""
 
     def run(batches):
@@ -184,7 +185,7 @@ def _counts(docs: DataFrame) -> DataFrame:
                         part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                         low = LOWER[part]
                         starts, ends, _ = words(low, at)
-                        for kind, values in ((GRAM, grams(part, at)), (WORD, word_hashes(low, starts, ends))):
+                        for kind, values in ((GRAM, grams(part, at, depth)), (WORD, word_hashes(low, starts, ends))):
                             keys, n = counted(values)
                             held.setdefault((block, kind), []).append((keys, 0 * n if off else n))
                             entries += len(keys)
@@ -200,7 +201,7 @@ def _counts(docs: DataFrame) -> DataFrame:
     return docs.repartition("block").mapInArrow(run, "block int, kind int, key long, n long")
 
 
-def _chunks(batches):
+def _chunks(batches, depth: int):
     """Batches of (key, n, blocks) in order of keys, as tables in which every key context is complete."""
     kept: list[pa.RecordBatch] = []
     size = 0
@@ -211,7 +212,7 @@ def _chunks(batches):
         size += batch.num_rows
         if size >= CHUNK:
             whole = pa.Table.from_batches(kept)
-            context = whole["key"].to_numpy() >> 8 * (DEPTH + 1 - KEY_DEPTH)
+            context = whole["key"].to_numpy() >> 8 * (depth + 1 - KEY_DEPTH)
             cut = int(np.searchsorted(context, context[-1]))
             if cut:
                 yield whole.slice(0, cut)
@@ -221,25 +222,29 @@ def _chunks(batches):
         yield pa.Table.from_batches(kept)
 
 
-def _tops(batches):
+def _tops(depth: int):
     """Sums of the nodes at depth 2 by nearest byte: (at, zeros, ones, weighted), at = nearest * 256 + node."""
-    sums = np.zeros((3, 1 << 16))
-    for chunk in _chunks(batches):
-        keys = chunk["key"].to_numpy().view(np.uint64)
-        for j, first, *values in subtrees(keys, chunk["n"].to_numpy().astype(float))[1]:
-            at = (keys[first] >> U(8 * DEPTH)).astype(np.int64) << 8 | (256 + (keys[first] & U(255)).astype(np.int64)) >> j
-            for total, v in zip(sums, values, strict=True):
-                total += np.bincount(at, weights=v, minlength=1 << 16)
-    used = np.flatnonzero(sums[0] + sums[1])
-    yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(x[used]) for x in sums)], names=["at", "zeros", "ones", "weighted"])
-
-
-def log_probabilities(counts: DataFrame) -> DataFrame:
+
+    def run(batches):
+        sums = np.zeros((3, 1 << 16))
+        for chunk in _chunks(batches, depth):
+            keys = chunk["key"].to_numpy().view(np.uint64)
+            for j, first, *values in subtrees(keys, chunk["n"].to_numpy().astype(float), depth)[1]:
+                at = (keys[first] >> U(8 * depth)).astype(np.int64) << 8 | (256 + (keys[first] & U(255)).astype(np.int64)) >> j
+                for total, v in zip(sums, values, strict=True):
+                    total += np.bincount(at, weights=v, minlength=1 << 16)
+        used = np.flatnonzero(sums[0] + sums[1])
+        yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(x[used]) for x in sums)], names=["at", "zeros", "ones", "weighted"])
+
+    return run
+
+
+def log_probabilities(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(key, value, blocks) of (key, n, blocks): each gram's log10 of its probability under the tree of all counts."""
     spark = counts.sparkSession
-    context = F.shiftright("key", 8 * (DEPTH + 1 - KEY_DEPTH))
+    context = F.shiftright("key", 8 * (depth + 1 - KEY_DEPTH))
     met = counts.repartition(context).sortWithinPartitions("key")
-    rows = met.select("key", "n").mapInArrow(_tops, "at long, zeros double, ones double, weighted double")
+    rows = met.select("key", "n").mapInArrow(_tops(depth), "at long, zeros double, ones double, weighted double")
     top = rows.groupBy("at").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("weighted")).toArrow()
     full = np.zeros((3, 1 << 16))
     full[:, top["at"].to_numpy()] = [top[c].to_numpy() for c in ("zeros", "ones", "weighted")]
@@ -247,19 +252,21 @@ def log_probabilities(counts: DataFrame) -> DataFrame:
 
     def run(batches):
         tree = Top(*(x.reshape(256, 256) for x in sent.value))
-        for chunk in _chunks(batches):
+        for chunk in _chunks(batches, depth):
             keys = chunk["key"].to_numpy().view(np.uint64)
-            value = tree.log10(keys, subtrees(keys, chunk["n"].to_numpy().astype(float))[0])
+            value = tree.log10(keys, subtrees(keys, chunk["n"].to_numpy().astype(float), depth)[0], depth)
             yield from pa.table({"key": chunk["key"], "value": value, "blocks": chunk["blocks"]}).to_batches()
 
     return met.mapInArrow(run, "key long, value double, blocks array<int>")
 
 
-def code_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", learns=None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def code_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", learns=None, block_bytes: int = BLOCK_BYTES, depth: int = DEPTH) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
-    learns: a condition on docs' columns, true for documents to learn from; all by default.
+    learns: a condition on docs' columns, true for documents to learn from; all by default. depth: bytes of context, from 2 to 7.
     """
+    if not KEY_DEPTH <= depth <= 7:
+        raise ValueError("the depth has to be from 2 to 7, so that a gram fits 64 bits")
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     held = ~F.coalesce(learns, F.lit(False)) if learns is not None else F.lit(False)
@@ -268,11 +275,11 @@ def code_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_blocks, train_docs = max(1, math.ceil((about["bytes"] or 0) / block_bytes)), about["docs"]
     keyed = keyed.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)).cast("int"))
     # A key's blocks are at most one per BLOCK_BYTES of input.
-    summed_up = written(_counts(keyed.select("block", "held", "text")).groupBy("kind", "key").agg(F.sum("n").alias("n"), F.collect_list("block").alias("blocks")))
+    summed_up = written(_counts(keyed.select("block", "held", "text"), depth).groupBy("kind", "key").agg(F.sum("n").alias("n"), F.collect_list("block").alias("blocks")))
     known = summed_up.where(f"kind = {WORD}")
     vocabulary = known.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     tokens, distinct = (vocabulary["n"] or 0) + train_docs, vocabulary["v"] + (train_docs > 0)
-    values = log_probabilities(summed_up.where(f"kind = {GRAM}").select("key", "n", "blocks")).withColumn("kind", F.lit(GRAM))
+    values = log_probabilities(summed_up.where(f"kind = {GRAM}").select("key", "n", "blocks"), depth).withColumn("kind", F.lit(GRAM))
     values = values.unionByName(known.select(F.lit(WORD).alias("kind"), "key", F.col("n").cast("double").alias("value"), "blocks"))
     values = values.select(F.explode(F.array_distinct("blocks")).alias("block"), "kind", "key", "value")
 
@@ -289,7 +296,7 @@ def code_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for i, j in slices(offsets):
                 part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 n = np.arange(j - i + 1)
-                score = summed(length[by_gram.find(grams(part, at))], at + n)
+                score = summed(length[by_gram.find(grams(part, at, depth))], at + n)
                 low = LOWER[part]
                 starts, ends, before = words(low, at)
                 place = by_word.find(word_hashes(low, starts, ends))

@@ -61,16 +61,16 @@ def unigrams(train, texts):
     return [(len(tokens(t)), sum(c[x] > 0 for x in tokens(t)), n, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in tokens(t))) for t in texts]
 
 
-@pytest.mark.parametrize("block", [1 << 12, 1 << 30])
-def test_query_against_the_tree_by_hand(spark, docs, block):
+@pytest.mark.parametrize(("block", "depth"), [(1 << 12, contexttree.DEPTH), (1 << 30, contexttree.DEPTH), (1 << 13, 2), (1 << 13, 7)])
+def test_query_against_the_tree_by_hand(spark, docs, block, depth):
     some = docs.where("length(text) < 900").orderBy("doc_id").limit(60).withColumn("held_out", F.lit(1)).withColumn("key", F.lit("x"))
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     learns = contexttree.remainder(F.col("doc_id"), 7) != 2
-    got = {r.doc_id: r for r in contexttree.code_lengths(some, learns=learns, block_bytes=block).collect()}
+    got = {r.doc_id: r for r in contexttree.code_lengths(some, learns=learns, block_bytes=block, depth=depth).collect()}
     rows = {r.doc_id: r.text for r in some.collect()}
     train = [t for i, t in rows.items() if not held(i)]
     assert {i for i, r in got.items() if r.held_out} == {i for i in rows if held(i)}
-    for i, score, (n, known, tokens, base) in zip(rows, brute(train, rows.values()), unigrams(train, rows.values()), strict=True):
+    for i, score, (n, known, tokens, base) in zip(rows, brute(train, rows.values(), depth), unigrams(train, rows.values()), strict=True):
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, tokens)
         assert math.isclose(r.base_score, base, rel_tol=1e-9)
