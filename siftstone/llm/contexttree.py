@@ -313,4 +313,5 @@ def code_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte of all of `documents`."""
     return code_lengths(table(spark, sf_dir, "documents"), learns=remainder(F.col("doc_id"), FOLDS) != HELD_OUT)

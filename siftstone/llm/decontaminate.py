@@ -20,8 +20,10 @@ The index goes to every task in parts of at most INDEX_BYTES of test items, one
 those of all items together. Texts are never moved.
 
 Defined cases: words are runs of letters and digits, in lower case (A-Z); a text or item that is null or without words
-matches nothing; items of fewer than SHINGLE words are compared as one sequence; repeated items are all found; repeated rows
-match alike; empty tables give no rows. Other columns pass by unread.
+matches nothing; texts and items of any length are read whole; items of fewer than SHINGLE words are compared as one
+sequence; items that share an id are all found, of those in one text the best overlap counts; items without an id are one
+item with a null id; items that tie are in order of ids; repeated rows match alike; empty tables give no rows. Other columns
+pass by unread, and one that has the name of the new column makes that get an underscore.
 """
 
 from __future__ import annotations
@@ -31,11 +33,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import free_name, per_batch, table, with_columns
+from .shared import MAX_ID, free_name, per_batch, table, with_columns
 from .textcols import LOWER, Lookup, Sequences, U, buffers, slices, word_hashes, words
 
 PASSAGE, STRIDE, SEGMENT = 128, 64, 60
@@ -66,24 +68,24 @@ def answer_begins(text: str) -> int:
 
 
 def segments(items: DataFrame) -> DataFrame:
-    """(item_id, part, number, term, tf, length): words of each segment of items (item_id, part, text)."""
+    """(item_id, part, number, term, tf, length): words of each segment of items (item_id, part, text, variant); segments are numbered within an item, apart for each of its texts."""
 
     def make():
         def work(batch):
             hashes, before = hashed(*buffers(batch.column(2)))
-            ids, parts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, parts, variants = (batch.column(i).to_pylist() for i in (0, 1, 3))
             rows = []
             for i, (s, e) in enumerate(zip(before[:-1].tolist(), before[1:].tolist(), strict=True)):
-                for number, at in enumerate(range(s, e, SEGMENT)):
+                for number, at in enumerate(range(s, e, SEGMENT), variants[i] << 24):
                     terms, tf = np.unique(hashes[at : min(e, at + SEGMENT)], return_counts=True)
                     rows += [(ids[i], parts[i], number, t, n, int(tf.sum())) for t, n in zip(terms.view(np.int64).tolist(), tf.tolist(), strict=True)]
             columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["item_id", "part", "number", "term", "tf", "length"])
 
         return work
 
-    return per_batch(items, make, "item_id long, part int, number int, term long, tf int, length int")
+    return per_batch(items, make, "item_id long, part int, number long, term long, tf int, length int")
 
 
 class Index:
@@ -180,11 +182,12 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text", index_bytes: int = INDEX_BYTES) -> list[Index]:
     """The index in parts; each holds at most about index_bytes of items, and one item at least."""
-    texts = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
+    texts = items.select(F.coalesce(F.col(id_col).cast("long"), F.lit(MAX_ID)).alias("item_id"), F.col(text_col).alias("text")).where("text IS NOT NULL").distinct()
     parts = max(1, math.ceil((texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / index_bytes))
     texts = texts.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(parts)).cast("int"))
-    # Rows that repeat an item add up to one of its segments.
-    postings = segments(texts.select("item_id", "part", "text").dropDuplicates(["item_id"]))
+    # Texts that share an id are all indexed, each once.
+    variant = F.row_number().over(Window.partitionBy("item_id").orderBy(F.xxhash64("text"), "text"))
+    postings = segments(texts.select("item_id", "part", "text", variant.cast("long").alias("variant")))
     lengths = postings.select("item_id", "number", "length").distinct().agg(F.count("*"), F.avg("length")).first()
     weighed = postings.join(postings.groupBy("term").agg(F.count("*").alias("df")), "term")
     out = []
@@ -229,7 +232,7 @@ def leaks(index: Index, texts: pa.Array) -> list[list[dict]]:
         for (d, item), s in sorted(best.items()):
             question, answer = index.verified(item, hashes[before[d] : before[d + 1]])
             if question >= QUESTION and answer >= ANSWER:
-                out[i + d].append({"item_id": item, "score": s, "question_overlap": question, "answer_overlap": answer})
+                out[i + d].append({"item_id": None if item == MAX_ID else item, "score": s, "question_overlap": question, "answer_overlap": answer})
     return out
 
 
@@ -257,11 +260,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", out: s
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, score, question_overlap, answer_overlap of all items of `benchmark` that documents contain."""
     found = find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.explode("leaks").alias("x")).select("doc_id", "x.*")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that contain a test item."""
+    """docs without those that contain a test item. A null text stays; repeated rows stay or go together; without items all stay; extra columns stay."""
     found = find_leaks(docs, table(spark, sf_dir, "benchmark"))
     return found.where(F.size(found.columns[-1]) == 0).select(docs.columns)

@@ -17,7 +17,8 @@ in CALIBRATE calibrates. All documents are read to draw it, and every whole text
 
 Defined cases: a text that is null or has no letter is `und`, with score 0, and rejected; ties go to the first language in
 order of names; one language alone scores 1; nothing to learn from gives `und` throughout; documents without language or
-letters aren't learned from; repeated rows score alike; an empty table gives no rows. Other columns pass by unread.
+letters aren't learned from; a text of any length is read whole; repeated rows score alike; an empty table gives no rows.
+Other columns pass by unread, and those that have the names of new ones make these get underscores.
 """
 
 from __future__ import annotations
@@ -287,6 +288,7 @@ def identify(docs: DataFrame, identifier: Identifier, text_col: str = "text") ->
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, bits_per_char, accepted of all of `documents`."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = remainder(F.col("doc_id"), FOLDS) == HELD_OUT
     found = identify(docs.select("doc_id", "text"), train(docs.where(~held)))

@@ -8,8 +8,8 @@ words first takes the complete source as often as it fits (whole epochs), and on
 Prefix sums never pass through one task: keys fall into KEY_BINS bins, the words of each bin are summed before the
 shuffle, and only the one bin per source in which the budget ends is put in order.
 
-Defined cases: a null or empty text has size 0 and is taken 0 words; a null source is a source of its own, last in
-order; a null id has the key of the empty text; repeated rows are drawn one by one; ties of keys go by id; a source
+Defined cases: a null or empty text has size 0 and is taken 0 words; a text of any length is counted whole; a null source is a source of its own, last in
+order; a null id has the key of the empty text; repeated rows are drawn one by one; ties of keys go by id, size and a hash of the text; a source
 without words has target 0; an empty table gives no rows. Columns other than id, text and source are not read.
 """
 
@@ -56,8 +56,8 @@ def source_targets(sized: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken."""
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    """One row per document: doc_id, source, size, sign (a hash of the text), source_size, target, copies, taken."""
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text_col).alias("sign"))
     if labels is None:
         weighed = sized.withColumn("weight", F.lit(1.0))
     else:
@@ -81,25 +81,33 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
     # The join follows the hot source unless the budgets are few enough to send; beyond that, skewed joins are split at run time.
     placed = keyed.join(F.broadcast(budgets) if budgets.count() <= MOST_SENT else budgets, F.col("source").eqNullSafe(F.col("of")))
     clear = placed.where(F.col("bin") != F.col("cut")).withColumn("chosen", (F.col("bin") < F.col("cut")).cast("int"))
-    ahead = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("key", "doc_id", "size", "sign").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     last = placed.where(F.col("bin") == F.col("cut")).withColumn("ahead", F.col("before") + ahead)
     last = last.withColumn("chosen", (F.col("ahead") + F.col("size") / 2 <= F.col("rest")).cast("int")).drop("ahead")
     copies = F.col("epochs") + F.col("chosen")
-    return clear.unionByName(last).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return clear.unionByName(last).select("doc_id", "source", "size", "sign", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken of all of `documents`."""
     mixed = mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with how often (`copies`): the last stage of a pipeline."""
-    chosen = mix(docs, table(spark, sf_dir, "labels")).where("copies > 0").select(F.col("doc_id").alias("taken_id"), "copies")
-    chosen = chosen.groupBy("taken_id").agg(F.max("copies").alias("copies"))
-    name = free_name(docs, "copies")
-    joined = docs.join(chosen.withColumnRenamed("copies", name), F.col("doc_id").eqNullSafe(F.col("taken_id")))
-    return joined.drop("taken_id")
+    """The documents that the mix takes, with how often (`copies`): the last stage of a pipeline.
+
+    Rows that repeat id, source and text become one, with the copies of all; rows that share an id alone are taken or left
+    each for itself. Null ids and texts are values like others; an empty table gives no rows; extra columns stay.
+    """
+    found = mix(docs, table(spark, sf_dir, "labels")).where("copies > 0").groupBy("doc_id", "source", "sign").agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("n"))
+    name, sign = free_name(docs, "copies"), free_name(docs, "sign")
+    of = [free_name(docs, f"_{c}") for c in ("doc_id", "source", "sign", "n")]
+    chosen = written(found.toDF(*of[:3], name, of[3]))
+    joined = docs.withColumn(sign, F.xxhash64("text")).join(chosen, F.col("doc_id").eqNullSafe(F.col(of[0])) & F.col("source").eqNullSafe(F.col(of[1])) & (F.col(sign) == F.col(of[2])))
+    if not chosen.where(F.col(of[3]) > 1).isEmpty():
+        joined = joined.where(F.col(of[3]) == 1).unionByName(joined.where(F.col(of[3]) > 1).dropDuplicates(["doc_id", "source", sign]))
+    return joined.select(*docs.columns, name)
 
 
 SQL = """

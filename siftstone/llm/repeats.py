@@ -11,7 +11,8 @@ Groups of any size cost one row per occurrence: each occurrence is compared with
 are aggregated before the shuffle. Rows carry hashes and places; texts are read again, partitioned by document, to compare
 windows and to cut words out.
 
-Earlier means a smaller id, or the same document and an earlier start. Defined cases: a null or empty text has no words; a
+Earlier means a smaller id, or the same document and an earlier start. Defined cases: a text of any length is cut and
+read whole; of stretches with equal hashes the later seed is chosen; a null or empty text has no words; a
 null id is later than all others; rows that repeat an id are ordered by a hash of their text, and rows that repeat both
 count as one document, as none is earlier than the other; an empty table gives no rows. Only id and text are read.
 """
@@ -179,6 +180,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of all of `documents`."""
     return without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 

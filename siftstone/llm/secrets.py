@@ -182,6 +182,7 @@ def redact(df: DataFrame, text_col: str = "text", mask: str = "<SECRET>") -> Dat
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of all of `documents`."""
     found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     base = F.filter("secrets", lambda x: x["kind"].isin(*(r.name for r in RULES if r.base)))
     count = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -190,6 +191,6 @@ def op10(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with secrets masked; n_chars, where there is one, follows the new text."""
+    """docs with secrets masked; n_chars, where there is one, follows the new text. Null texts and repeated rows stay as they are; an empty table gives no rows; extra columns stay."""
     out = redact(docs.select(docs.columns))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

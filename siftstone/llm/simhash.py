@@ -13,7 +13,7 @@ it as a spanning forest, never as all pairs. Keys with more than KEY_LIMIT finge
 fingerprint in them is joined on all points within half the radius of it, since two are within the radius exactly when
 they share such a point; each point links its fingerprints to the smallest.
 
-Defined cases: a null or empty text, and one without words, has fingerprint zero and links like any other; ties of a bit
+Defined cases: a text of any length is one fingerprint of all its words; a null or empty text, and one without words, has fingerprint zero and links like any other; ties of a bit
 (exactly half) give 0; null ids belong to classes but never name one that has another id; repeated rows are in one class;
 an empty table gives no rows. Columns other than id and text are not read.
 """
@@ -229,6 +229,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id of all of `documents`."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -462,7 +463,8 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     of 0.8 and more with those of an earlier document of its class that stays.
 
     Classes are components of links that connect every pair of that similarity (text_links); documents of a class that aren't
-    similar to any of its first ones are judged again among themselves until none is left. Of repeated rows, one stays.
+    similar to any of its first ones are judged again among themselves until none is left. Of repeated rows, one stays; null
+    texts are empty ones, null ids the last ones; an empty table gives no rows; extra columns stay.
     """
     number, sign = F.coalesce(F.col("doc_id"), F.lit(MAX_ID)), F.xxhash64(F.coalesce("text", F.lit("")))
     bodies = docs.select(number.alias("_sd"), sign.alias("_st"), "text")

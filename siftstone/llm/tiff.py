@@ -300,6 +300,7 @@ def describe(samples: bytes, width: int) -> str:
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of all of `documents`, from their stored pages."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     stored = encode_texts(docs, "text").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "media")
     stored = stored.withColumn("media_bytes", F.octet_length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256))

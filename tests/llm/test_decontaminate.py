@@ -111,3 +111,12 @@ def test_odd_rows(spark, odd, empty):
     assert {r.key for r in d.find_leaks(odd, items).collect() if r.leaks} == {"k1", "k7"}
     assert d.find_leaks(odd, items).count() == odd.count() and d.find_leaks(empty, items).count() == 0
     assert d.find_leaks(odd, items.limit(0)).where("size(leaks) > 0").count() == 0
+
+
+def test_items_that_share_an_id_or_have_none(spark):
+    words = [f"w{i}x" for i in range(400)]
+    cut = lambda a, n: " ".join(words[a : a + n])
+    items = spark.createDataFrame([(1, cut(0, 30)), (1, cut(100, 70)), (1, cut(0, 30)), (None, cut(200, 30)), (None, None), (2, "")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "see " + cut(0, 30)), (2, cut(100, 70) + " end"), (3, cut(200, 30)), (4, cut(300, 50)), (5, None)], "doc_id long, text string")
+    got = {r.doc_id: [x.item_id for x in r.leaks] for r in d.find_leaks(docs, items).collect()}
+    assert got == {1: [1], 2: [1], 3: [None], 4: [], 5: []}

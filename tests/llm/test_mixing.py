@@ -44,3 +44,14 @@ def test_odd_rows(spark, odd, empty):
     assert mixing.mix(odd).count() == odd.count() and mixing.mix(empty).count() == 0
     assert {r.taken for r in mixing.mix(odd).where("size = 0").collect()} == {0}
     assert mixing.mix(odd, spark.createDataFrame([(1, None, 1), (1, 1, None), (None, 0, 0)], "doc_id long, quality int, toxic int")).count() == odd.count()
+
+
+def test_rows_that_share_an_id_are_taken_each_for_itself(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = [(i // 3, f"text {i} " + "w " * (i % 5), "a", i) for i in range(300)] + [(None, "twice", "a", 1), (None, "twice", "a", 2), (None, None, None, 3)] + [(i, "other text here", "b", 0) for i in range(2000, 2400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int")
+    kept = mixing.stage(spark, docs, str(tmp_path)).collect()
+    mixed = mixing.mix(docs).where("copies > 0").collect()
+    assert sum(r.copies_ for r in kept) == sum(r.copies for r in mixed)
+    assert len(kept) == len({(r.doc_id, r.source, r.sign) for r in mixed}) and {r.text for r in kept} <= {r[1] for r in rows}
+    assert mixing.stage(spark, docs.limit(0), str(tmp_path)).count() == 0
