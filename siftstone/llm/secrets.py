@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .automata import BREAK, Automaton, Walker, backwards, compiled, parsed, reached
-from .shared import free_name, small_batches, table, with_columns
+from .shared import free_name, releasing, small_batches, table, with_columns
 from .textcols import SLICE, buffers, slices
 
 
@@ -178,7 +178,7 @@ def redact(df: DataFrame, text_col: str = "text", mask: str = "<SECRET>") -> Dat
             columns[at] = work(columns[at])
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return df.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields]))
+    return df.mapInArrow(releasing(run), T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields]))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -88,6 +89,26 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_SETTING, BATCH_ROWS)
 
 
+def released() -> None:
+    """Gives memory that is free again back to the system: Python workers stay for the tasks of later stages, with what they hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def releasing(run: Callable) -> Callable:
+    """run, a function of mapInArrow, that gives memory back when its task ends."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            released()
+
+    return task
+
+
 def per_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str | T.StructType) -> DataFrame:
     """df.mapInArrow; make() runs once in a task and returns what turns a batch into batches."""
 
@@ -99,7 +120,7 @@ def per_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
             if batch.num_rows:
                 yield from work(batch)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(releasing(run), schema)
 
 
 def with_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[], Callable[[pa.Array], list[pa.Array]]]) -> DataFrame:
@@ -113,4 +134,4 @@ def with_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Ca
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, *work(batch.column(at))], names=names)
 
-    return df.mapInArrow(run, T.StructType([*(T.StructField(f.name, f.dataType, True) for f in df.schema.fields), *fields]))
+    return df.mapInArrow(releasing(run), T.StructType([*(T.StructField(f.name, f.dataType, True) for f in df.schema.fields), *fields]))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components
-from .shared import MAX_ID, free_name, small_batches, table, with_columns, written
+from .shared import MAX_ID, free_name, releasing, small_batches, table, with_columns, written
 from .textcols import LOWER, Sequences, U, buffers, mixed, slices, word_hashes, words
 
 RADIUS, SHINGLE = 2, 3
@@ -204,7 +204,7 @@ def links(prints: DataFrame, radius: int = RADIUS, m: int = SEGMENTS, limit: int
     if radius % 2 or m <= radius or 2 * radius // m > 1:
         raise ValueError("the radius has to be even, the segments more than the radius")
     data, probes = _keys(prints, radius, m, False), _keys(prints, radius, m, True)
-    compare = lambda rows: rows.select("key", "fp", "other", "node").repartition("key").sortWithinPartitions("key").mapInArrow(_compared(radius, wide, m), "a long, b long")
+    compare = lambda rows: rows.select("key", "fp", "other", "node").repartition("key").sortWithinPartitions("key").mapInArrow(releasing(_compared(radius, wide, m)), "a long, b long")
     if wide < 64:
         return compare(probes)
     hot = written(data.groupBy("key").count().where(F.col("count") > limit).select("key"))
@@ -340,7 +340,7 @@ def common_shingles(bodies: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)), pa.array(sign)], names=["x", "st"])
 
     some = bodies.where(F.pmod("_st", F.lit(STAGE_SAMPLE)) == 0).select("_st", "text").dropDuplicates(["_st"])
-    counts = some.mapInArrow(run, "x long, st long").groupBy("x").count().where(F.col("count") >= STAGE_OFTEN)
+    counts = some.mapInArrow(releasing(run), "x long, st long").groupBy("x").count().where(F.col("count") >= STAGE_OFTEN)
     found = counts.orderBy(F.desc("count"), "x").limit(MOST_COMMON).toArrow()
     key, count = found["x"].to_numpy().view(np.uint64), found["count"].to_numpy()
     order = np.argsort(key)
@@ -448,13 +448,13 @@ def text_links(bodies: DataFrame) -> DataFrame:
     share one are held to what their places, sizes and sketches allow, none of which leaves out a similar pair.
     """
     small_batches(bodies.sparkSession)
-    posted = bodies.select("_st", "text").mapInArrow(_posted(common_shingles(bodies)), _ROWS)
-    found = written(posted.repartition("kind", "x").sortWithinPartitions("kind", "x", "y").mapInArrow(_paired, _ROWS))
+    posted = bodies.select("_st", "text").mapInArrow(releasing(_posted(common_shingles(bodies))), _ROWS)
+    found = written(posted.repartition("kind", "x").sortWithinPartitions("kind", "x", "y").mapInArrow(releasing(_paired), _ROWS))
     pairs = written(found.where(F.col("kind") == _PAIR).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
     # Copies of a text in several tasks have equal sketches.
     sketches = found.where(F.col("kind") == _SKETCH).groupBy("x").agg(F.first("y").alias("n"), F.first("sketch").alias("own"))
     rows = pairs.join(sketches.withColumnRenamed("x", "a"), "a").join(sketches.select(F.col("x").alias("b"), F.col("n").alias("m"), F.col("own").alias("other")), "b")
-    near = rows.mapInArrow(_verified, "a long, b long")
+    near = rows.mapInArrow(releasing(_verified), "a long, b long")
     return near.unionByName(found.where(F.col("kind") == _LINK).select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 

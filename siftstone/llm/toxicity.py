@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import free_name, per_batch, remainder, table, with_columns, written
+from .shared import free_name, per_batch, releasing, remainder, table, with_columns, written
 from .textcols import LOWER, U, buffers, mixed, slices, word_hashes, words
 
 BUCKETS = 1 << 18
@@ -152,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, limit_byt
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[0][used]), pa.array(sums[1][used])], names=["bucket", "seen", "bad"])
 
     totals = chosen.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
-    counts = chosen.mapInArrow(count, "bucket long, seen long, bad long").groupBy("bucket").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad")).toArrow()
+    counts = chosen.mapInArrow(releasing(count), "bucket long, seen long, bad long").groupBy("bucket").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad")).toArrow()
     seen, bad = np.zeros(BUCKETS), np.zeros(BUCKETS)
     seen[counts["bucket"].to_numpy()], bad[counts["bucket"].to_numpy()] = counts["seen"].to_numpy(), counts["bad"].to_numpy()
     screen = Screen(seen, bad, totals["n"], totals["toxic"])
