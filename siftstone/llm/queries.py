@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import contexttree, decontaminate, languages, mixing, quotes, repeats, secrets, simhash, tiff, toxicity
+from . import contexttree, decontaminate, languages, mixing, quotes, repeats, secrets, simhash, suffixes, tiff, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8,
     "op9_mixing": mixing.op9,
     "op10_secrets": secrets.op10,
+    "op12_suffixes": suffixes.op12,
 }
-ORACLE = {"op3_quotes": quotes.SQL, "op4_repeats": repeats.SQL, "op9_mixing": mixing.SQL}
+ORACLE = {"op3_quotes": quotes.SQL, "op4_repeats": repeats.SQL, "op9_mixing": mixing.SQL, "op12_suffixes": suffixes.SQL}

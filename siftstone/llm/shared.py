@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -97,6 +98,13 @@ def released() -> None:
         trim(0)
 
 
+def swept(spark: SparkSession) -> None:
+    """Has the driver let go of what nothing refers to any more, so that Spark's cleaner deletes shuffle files and broadcasts of finished steps now and not some time later."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    released()
+
+
 def releasing(run: Callable) -> Callable:
     """run, a function of mapInArrow, that gives memory back when its task ends."""
 

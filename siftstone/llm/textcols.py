@@ -6,7 +6,7 @@ taken of; two different values agree with a chance of 2**-64.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -95,12 +95,22 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None = Non
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def byte_hashes(data: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function that hashes any ranges of bytes, each from two differences."""
     up, down = _bytes.get(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_CODES[data] * up[: len(data)], out=sums[1:])
-        return mixed((sums[ends] - sums[starts]) * down[starts])
+
+    def of(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mixed((sums[end] - sums[begin]) * down[begin])
+
+    return of
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return byte_hashes(data)(starts, ends)
 
 
 class Sequences:
