@@ -44,6 +44,7 @@ SIGN_BITS, FIRST_BITS, MORE_BITS = 26, 31, 6
 
 #: Keys of a suffix in order: leading bytes, what follows in the seed, the whole string or stretch, id; and its place.
 COLUMNS = ["lead", "rest", "tail", "id", "place"]
+PACKED = ["lead", "rest", "tail", "number", "place", "ids", "signs"]
 GONE, DOUBT, PENDING, EDGE = range(4)
 
 
@@ -234,10 +235,14 @@ def _sorted(source: DataFrame, work, splitters: np.ndarray, several: bool) -> tu
             columns = [c[order] for c in columns]
             at = np.r_[0, _cuts(columns[:4], splitters), len(order)]
             for bucket in np.flatnonzero(at[1:] > at[:-1]).tolist():
-                yield bucket, *(_pack(c[at[bucket] : at[bucket + 1]]) for c in columns)
+                *keys, ids, place = (c[at[bucket] : at[bucket + 1]] for c in columns)
+                sign = place >> U(FIRST_BITS + MORE_BITS)
+                # Each document once, and its number with each suffix.
+                _, some, number = np.unique(mixed(ids) ^ sign, return_index=True, return_inverse=True)
+                yield bucket, *map(_pack, (*keys, number.astype(np.uint64), place & U((1 << FIRST_BITS + MORE_BITS) - 1), ids[some], sign[some]))
 
         def batch_of(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 5], strict=True)], names=["bucket", *COLUMNS])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * len(PACKED)], strict=True)], names=["bucket", *PACKED])
 
         for batch in batches:
             for columns in work(batch):
@@ -253,7 +258,9 @@ def _sorted(source: DataFrame, work, splitters: np.ndarray, several: bool) -> tu
         held: dict[int, list] = {}
         for batch in batches:
             for bucket, *raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault(bucket, []).append([_unpack(x) for x in raw])
+                *keys, number, place, ids, sign = (_unpack(x) for x in raw)
+                number = number.astype(np.int64)
+                held.setdefault(bucket, []).append([*keys, ids[number], sign[number] << U(FIRST_BITS + MORE_BITS) | place])
         for bucket in sorted(held):
             columns = [np.concatenate(c) for c in zip(*held.pop(bucket), strict=True)]
             below, above = splitters[bucket - 1] if bucket else None, splitters[bucket] if bucket < len(splitters) else None
@@ -265,7 +272,7 @@ def _sorted(source: DataFrame, work, splitters: np.ndarray, several: bool) -> tu
                         part[:3] = [pa.nulls(len(part[0]), pa.int64())] * 3
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), kind, np.int32)), *part], names=["kind", *COLUMNS])
 
-    packed = source.mapInArrow(releasing(cut), "bucket int, " + ", ".join(f"{c} binary" for c in COLUMNS))
+    packed = source.mapInArrow(releasing(cut), "bucket int, " + ", ".join(f"{c} binary" for c in PACKED))
     dealt = packed.repartitionById(len(splitters) + 1, F.col("bucket")) if len(splitters) else packed.coalesce(1)
     found = written(dealt.mapInArrow(releasing(judge), "kind int, " + ", ".join(f"{c} long" for c in COLUMNS)))
     swept(source.sparkSession)
