@@ -3,12 +3,13 @@
 Texts are split into pieces at punctuation and line ends, pieces into words at blanks. A phrase's count is the number of its
 contiguous occurrences within pieces, overlaps included; languages are counted apart.
 
-- Sketch: all phrases of one to four words fall into cells of a count-min sketch of one row, by their hash. Its width is eight
-  cells for each byte of the corpus, so bounds stay close at any size. Tasks send their cells as packed arrays, a row for each of
-  the buckets into which cells are dealt by their leading bits; a bucket adds them up. Cells below the least count are out: a
-  cell's sum is an upper bound of each of its phrases.
-- Candidates: a second reading takes the phrases of the other cells, each once. Cells go to the tasks in blocks of at most
-  CELLS.
+- Sketch: all phrases of one to four words fall into cells of a count-min sketch of one row, by a hash of 64 bits; it is kept
+  sparse, so bounds stay close at any size. Tasks send their cells as packed arrays, a row for each of the buckets into which
+  cells are dealt by their leading bits; a bucket adds them up. A cell's sum is an upper bound of each of its phrases: those
+  below the least count are out. Of the others the first task that sent the cell is noted.
+- Candidates: a second reading takes the phrases of those cells, each from the task that was noted, which reads what it read
+  before. Cells that no phrase came for, because tasks were cut otherwise, are looked for once more by all tasks. Cells go to the
+  tasks in blocks of at most CELLS.
 - Counting: candidates are cut into parts of one or several languages and at most PART_BYTES (one phrase at least). A part
   compiles to one pyahocorasick automaton for each language. Patterns begin and end with a blank, and so does each word of the
   texts, with a line end between pieces: a match is a run of whole words of one piece. Tasks scan the texts of a part's
@@ -34,6 +35,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +43,7 @@ from .shared import per_batch, released, releasing, small_batches, swept, table,
 from .textcols import LOWER, Lookup, Sequences, U, buffers, counted, merged, mixed, slices, word_hashes, words
 
 MOST_WORDS, LEAST, TOP, COVERED = 4, 30, 2000, 80
-#: Bytes of text for a bucket of the sketch, which has eight cells for each; phrases that a task holds before it sends them.
+#: Bytes of text for a bucket of the sketch; phrases that a task holds before it sends them.
 BUCKET_BYTES, HELD = 8 << 20, 4 << 20
 CELLS, PART_BYTES = 2 << 20, 4 << 20
 
@@ -96,38 +98,36 @@ def _grams(batch):
 
 
 def _planes(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+    """Numbers as planes of bytes: of sorted and of small ones, some planes shrink to nothing when they are shuffled."""
+    return np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
 def _numbers(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
-def sketch(texts: DataFrame, least: int, size: int) -> tuple[DataFrame, DataFrame, int]:
-    """(cell) of texts (lang, text), of size bytes, in which phrases can reach least; (lang, n) with the words of each language; and the bits of a cell."""
-    buckets = max(1, math.ceil(size / BUCKET_BYTES))
-    lead = (buckets - 1).bit_length()
-    inner = (8 * BUCKET_BYTES - 1).bit_length()
-    bits, low = lead + inner, U((1 << inner) - 1)
+def sketch(texts: DataFrame, least: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """(cell, task) of texts (lang, text), of size bytes, in which phrases can reach least, with the first task that has it; and (lang, n) with the words of each language."""
+    lead = (max(1, math.ceil(size / BUCKET_BYTES)) - 1).bit_length()
+    inner = U(64 - lead)
     small_batches(texts.sparkSession)
 
     def add(batches):
-        held, number, totals = [], 0, {}
+        task, held, number, totals = TaskContext.get().partitionId(), [], 0, {}
 
         def rows():
             keys, counts = merged(held)
-            at = np.searchsorted(keys >> U(inner), np.arange((1 << lead) + 1, dtype=np.uint64))
+            at = np.r_[np.searchsorted(keys, np.arange(1 << lead, dtype=np.uint64) << inner) if lead else 0, len(keys)]
             some = np.flatnonzero(at[1:] > at[:-1]).tolist()
-            # Counts beyond 32 bits never come from HELD phrases.
-            blobs = [(b, _planes(keys[at[b] : at[b + 1]] & low), _planes(counts[at[b] : at[b + 1]])) for b in some]
-            columns = [pa.array(c, k) for c, k in zip(zip(*blobs, strict=True), [pa.int32(), pa.binary(), pa.binary()], strict=True)]
-            return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(some), pa.string()), pa.nulls(len(some), pa.int64())], names=["bucket", "cells", "counts", "lang", "n"])
+            blobs = [(b, task, _planes(keys[at[b] : at[b + 1]]), _planes(counts[at[b] : at[b + 1]])) for b in some]
+            columns = [pa.array(c, k) for c, k in zip(zip(*blobs, strict=True), [pa.int32(), pa.int32(), pa.binary(), pa.binary()], strict=True)]
+            return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(some), pa.string()), pa.nulls(len(some), pa.int64())], names=["bucket", "task", "cells", "counts", "lang", "n"])
 
         for batch in batches:
             for langs, grams in _grams(batch):
                 for lang, n in zip(langs, np.diff(grams.before).tolist(), strict=True):
                     totals[lang] = totals.get(lang, 0) + n
-                held.append(counted(grams.keys >> U(64 - bits)))
+                held.append(counted(grams.keys))
                 number += len(held[-1][0])
                 if number >= HELD:
                     yield rows()
@@ -136,68 +136,82 @@ def sketch(texts: DataFrame, least: int, size: int) -> tuple[DataFrame, DataFram
             yield rows()
         if totals:
             names, n = list(totals), len(totals)
-            yield pa.RecordBatch.from_arrays([pa.array([_language(x) % (1 << lead) for x in names], pa.int32()), *[pa.nulls(n, pa.binary())] * 2, pa.array(names), pa.array(list(totals.values()), pa.int64())], names=["bucket", "cells", "counts", "lang", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([_language(x) % (1 << lead) for x in names], pa.int32()), pa.array([task] * n, pa.int32()), *[pa.nulls(n, pa.binary())] * 2, pa.array(names), pa.array(list(totals.values()), pa.int64())], names=["bucket", "task", "cells", "counts", "lang", "n"])
 
     def hot(batches):
         held: dict[int, list] = {}
         for batch in batches:
-            for bucket, cells, counts, lang, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for bucket, task, cells, counts, lang, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if cells is None:
-                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([lang]), pa.array([n], pa.int64())], names=["cell", "lang", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([lang]), pa.array([n], pa.int64())], names=["cell", "task", "lang", "n"])
                 else:
-                    held.setdefault(bucket, []).append((_numbers(cells), _numbers(counts).astype(np.int64)))
+                    held.setdefault(bucket, []).append((task, _numbers(cells), _numbers(counts).astype(np.int64)))
         for bucket in sorted(held):
-            cells, counts = merged(held.pop(bucket))
-            found = cells[counts >= least].astype(np.int64) | bucket << inner
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.nulls(len(found), pa.string()), pa.nulls(len(found), pa.int64())], names=["cell", "lang", "n"])
-
-    packed = texts.mapInArrow(releasing(add), "bucket int, cells binary, counts binary, lang string, n long")
-    found = written(packed.repartitionById(1 << lead, F.col("bucket")).mapInArrow(releasing(hot), "cell long, lang string, n long"))
+            parts = sorted(held.pop(bucket), key=itemgetter(0))
+            cells, counts, tasks = np.concatenate([c for _, c, _ in parts]), np.concatenate([n for _, _, n in parts]), np.repeat(np.array([t for t, _, _ in parts], np.int32), [len(c) for _, c, _ in parts])
+            order = np.argsort(cells, kind="stable")
+            cells = cells[order]
+            at = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+            some = np.add.reduceat(counts[order], at) >= least
+            found, first = cells[at[some]].view(np.int64), tasks[order[at[some]]]
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(first), pa.nulls(len(found), pa.string()), pa.nulls(len(found), pa.int64())], names=["cell", "task", "lang", "n"])
+
+    packed = texts.mapInArrow(releasing(add), "bucket int, task int, cells binary, counts binary, lang string, n long")
+    found = written(packed.repartitionById(1 << lead, F.col("bucket")).mapInArrow(releasing(hot), "cell long, task int, lang string, n long"))
     swept(texts.sparkSession)
-    return found.where("cell IS NOT NULL").select("cell"), found.where("lang IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n")), bits
+    return found.where("cell IS NOT NULL").select("cell", "task"), found.where("lang IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
-def candidates(texts: DataFrame, cells: DataFrame, bits: int, most_cells: int = CELLS) -> DataFrame:
-    """(key, lang, phrase) of texts (lang, text): the distinct phrases of the given cells."""
+def _phrases(texts: DataFrame, cells: DataFrame, noted: bool, most_cells: int) -> DataFrame:
+    """(key, lang, phrase) of texts (lang, text): phrases of cells (cell, task), each task's once; if noted, only those of the task that is noted."""
     blocks = max(1, math.ceil(cells.count() / most_cells))
-    parts = []
+    out = None
     for block in range(blocks):
-        own = cells.where(F.pmod(F.xxhash64("cell"), F.lit(blocks)) == block).toArrow().column("cell").to_numpy().view(np.uint64)
-        sent = texts.sparkSession.sparkContext.broadcast(own)
+        own = cells.where(F.pmod(F.xxhash64("cell"), F.lit(blocks)) == block).toArrow()
+        sent = texts.sparkSession.sparkContext.broadcast((own.column("cell").to_numpy().view(np.uint64), own.column("task").to_numpy()))
 
         def make(sent=sent):
-            lookup, seen = Lookup(sent.value), [np.zeros(0, np.uint64)]
+            keys, tasks = sent.value
+            lookup = Lookup(keys[tasks == TaskContext.get().partitionId()] if noted else keys)
+            seen = np.zeros(len(lookup.keys), bool)
 
             def work(batch):
                 for langs, grams in _grams(batch):
-                    at = np.flatnonzero(lookup.find(grams.keys >> U(64 - bits)) >= 0)
-                    keys, place = np.unique(grams.keys[at], return_index=True)
-                    known = seen[0][np.minimum(np.searchsorted(seen[0], keys), max(0, len(seen[0]) - 1))] == keys if len(seen[0]) else np.zeros(len(keys), bool)
-                    keys, at = keys[~known], at[place[~known]]
-                    if not len(keys):
+                    place = lookup.find(grams.keys)
+                    at = np.flatnonzero((place >= 0) & ~seen[place])
+                    _, first = np.unique(place[at], return_index=True)
+                    at = at[first]
+                    if not len(at):
                         continue
-                    seen[0] = np.sort(np.r_[seen[0], keys])
+                    seen[place[at]] = True
                     text = np.searchsorted(grams.before, grams.first[at], "right") - 1
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array([langs[t] for t in text.tolist()]), pa.array([grams.phrase(i).decode() for i in at.tolist()])], names=["key", "lang", "phrase"])
+                    yield pa.RecordBatch.from_arrays([pa.array(grams.keys[at].view(np.int64)), pa.array([langs[t] for t in text.tolist()]), pa.array([grams.phrase(i).decode() for i in at.tolist()])], names=["key", "lang", "phrase"])
 
             return work
 
-        parts.append(per_batch(texts, make, "key long, lang string, phrase string"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.dropDuplicates(["key"])
+        part = per_batch(texts, make, "key long, lang string, phrase string")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def candidates(texts: DataFrame, cells: DataFrame, most_cells: int = CELLS) -> DataFrame:
+    """(key, lang, phrase) of texts (lang, text): the phrases of cells (cell, task)."""
+    found = written(_phrases(texts, cells, True, most_cells))
+    lost = cells.join(found.select(F.col("key").alias("cell")), "cell", "left_anti")
+    if lost.isEmpty():
+        return found
+    return written(found.unionByName(_phrases(texts, lost, False, most_cells)).dropDuplicates(["key"]))
 
 
 _compiled: list = []  # what this worker compiled last: the name of the part, automata by language
 
 
-def _automata(name: str, patterns: list[tuple[str, str]]) -> dict:
+def _automata(name: str, langs: pa.Array, phrases: pa.Array) -> dict:
     if not _compiled or _compiled[0] != name:
         _compiled.clear()
         out: dict = {}
-        for n, (lang, phrase) in enumerate(patterns):
-            out.setdefault(lang, ahocorasick.Automaton(ahocorasick.STORE_INTS)).add_word(f" {phrase} ", n)
+        for n, (lang, phrase) in enumerate(zip(langs, phrases, strict=True)):
+            out.setdefault(lang.as_py(), ahocorasick.Automaton(ahocorasick.STORE_INTS)).add_word(f" {phrase} ", n)
         for automaton in out.values():
             automaton.make_automaton()
         _compiled.extend((name, out))
@@ -210,17 +224,17 @@ def guarded(texts: list[bytes]) -> str:
     return re.sub(r" {2,}", " ", (b" " + plain.replace(b"\n", b" \n ") + b" ").decode())
 
 
-def counts(texts: DataFrame, patterns: list, langs: list[str]) -> DataFrame:
+def counts(texts: DataFrame, patterns: pa.Table, langs: list[str]) -> DataFrame:
     """(key, n): how often each of the patterns (key, lang, phrase) occurs in texts (lang, text) of these languages; a row for each task that has it."""
     spark = texts.sparkSession
     name = uuid.uuid4().hex
-    sent = spark.sparkContext.broadcast([(r.lang, r.phrase) for r in patterns])
-    keys = spark.sparkContext.broadcast(np.array([r.key for r in patterns], np.int64))
+    sent = spark.sparkContext.broadcast((patterns["lang"].combine_chunks().dictionary_encode(), patterns["phrase"].combine_chunks(), patterns["key"].to_numpy()))
     small_batches(spark)
 
     def scan(batches):
-        automata = _automata(name, sent.value)
-        total = np.zeros(len(keys.value), np.int64)
+        langs, phrases, keys = sent.value
+        automata = _automata(name, langs, phrases)
+        total = np.zeros(len(keys), np.int64)
         for batch in batches:
             data, offsets = buffers(batch.column(1))
             raw, of = data.tobytes(), batch.column(0).to_pylist()
@@ -233,7 +247,7 @@ def counts(texts: DataFrame, patterns: list, langs: list[str]) -> DataFrame:
                         found = np.fromiter(map(itemgetter(1), automata[lang].iter(guarded(own))), np.int64)
                         total += np.bincount(found, minlength=len(total))
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.value[some]), pa.array(total[some])], names=["key", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(total[some])], names=["key", "n"])
 
     return texts.where(F.col("lang").isin(langs)).mapInArrow(releasing(scan), "key long, n long")
 
@@ -258,12 +272,12 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     """(lang, phrase, f): all phrases of one to MOST_WORDS words that occur least times, with their exact counts; and (lang, n), all words of each language."""
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NONE)).alias("lang"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    cells, totals, bits = sketch(texts, least, size)
-    found = written(candidates(texts, cells, bits, most_cells))
+    cells, totals = sketch(texts, least, size)
+    found = candidates(texts, cells, most_cells)
     swept(docs.sparkSession)
     summed = None
     for langs, part in _parts(found, part_bytes):
-        own = counts(texts, part.collect(), langs)
+        own = counts(texts, part.toArrow(), langs)
         summed = own if summed is None else summed.unionByName(own)
     if summed is None:
         return found.select("lang", "phrase", F.col("key").alias("f")), totals
