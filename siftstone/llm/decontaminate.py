@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import MAX_ID, free_name, per_batch, table, with_columns
+from .shared import MAX_ID, free_name, per_batch, swept, table, with_columns
 from .textcols import LOWER, Lookup, Sequences, U, buffers, slices, word_hashes, words
 
 PASSAGE, STRIDE, SEGMENT = 128, 64, 60
@@ -180,8 +181,8 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(begin - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(size) else np.zeros(0, np.int64)
 
 
-def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text", index_bytes: int = INDEX_BYTES) -> list[Index]:
-    """The index in parts; each holds at most about index_bytes of items, and one item at least."""
+def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text", index_bytes: int = INDEX_BYTES) -> Iterator[Index]:
+    """The index in parts, made one after another; each holds at most about index_bytes of items, and one item at least."""
     texts = items.select(F.coalesce(F.col(id_col).cast("long"), F.lit(MAX_ID)).alias("item_id"), F.col(text_col).alias("text")).where("text IS NOT NULL").distinct()
     parts = max(1, math.ceil((texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / index_bytes))
     texts = texts.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(parts)).cast("int"))
@@ -190,13 +191,11 @@ def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text", i
     postings = segments(texts.select("item_id", "part", "text", variant.cast("long").alias("variant")))
     lengths = postings.select("item_id", "number", "length").distinct().agg(F.count("*"), F.avg("length")).first()
     weighed = postings.join(postings.groupBy("term").agg(F.count("*").alias("df")), "term")
-    out = []
     for part in range(parts):
         rows = weighed.where(F.col("part") == part).select("item_id", "number", "term", "tf", "length", "df").toArrow()
         own = [(r.item_id, r.text) for r in texts.where(F.col("part") == part).select("item_id", "text").distinct().collect()]
         if rows.num_rows:
-            out.append(Index(rows, own, lengths[0], lengths[1]))
-    return out
+            yield Index(rows, own, lengths[0], lengths[1])
 
 
 def leaks(index: Index, texts: pa.Array) -> list[list[dict]]:
@@ -243,11 +242,11 @@ _ARROW = pa.list_(pa.struct([("item_id", pa.int64()), *((n, pa.float64()) for n
 def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", out: str = "leaks", index_bytes: int = INDEX_BYTES) -> DataFrame:
     """docs with an array of the test items that each text contains: item_id, score (largest share of a segment's weight), question_overlap, answer_overlap."""
     name = free_name(docs, out)
-    found = indexes(items, index_bytes=index_bytes)
-    if not found:
-        return docs.withColumn(name, F.array().cast(LEAKS))
-    for k, index in enumerate(found):
+    k = 0
+    # The driver holds one part at a time; what it sent is on its disk and with the tasks.
+    for index in indexes(items, index_bytes=index_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(index)
+        del index
 
         def make(sent=sent):
             return lambda texts: [pa.array(leaks(sent.value, texts), _ARROW)]
@@ -256,7 +255,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", out: s
         docs = with_columns(docs, text_col, [T.StructField(part if k else name, LEAKS)], make)
         if k:
             docs = docs.withColumn(name, F.array_sort(F.concat(name, part))).drop(part)
-    return docs
+        k += 1
+    swept(docs.sparkSession)
+    return docs if k else docs.withColumn(name, F.array().cast(LEAKS))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
@@ -267,5 +268,6 @@ def op8(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that contain a test item. A null text stays; repeated rows stay or go together; without items all stay; extra columns stay."""
+    swept(spark)
     found = find_leaks(docs, table(spark, sf_dir, "benchmark"))
     return found.where(F.size(found.columns[-1]) == 0).select(docs.columns)

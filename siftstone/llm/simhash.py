@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components
-from .shared import MAX_ID, free_name, releasing, small_batches, table, with_columns, written
+from .shared import MAX_ID, free_name, releasing, small_batches, swept, table, with_columns, written
 from .textcols import LOWER, Sequences, U, buffers, mixed, slices, word_hashes, words
 
 RADIUS, SHINGLE = 2, 3
@@ -107,18 +107,18 @@ def _segment(fp, bounds: tuple[int, int]):
 
 
 def _keys(fps: DataFrame, radius: int, m: int, probes: bool) -> DataFrame:
-    """(key, fp, other, node) for each start of a chain; with probes also for the second segments that differ in as many bits as the chain allows."""
+    """(key, fp, node) for each start of a chain; with probes also for the second segments that differ in as many bits as the chain allows."""
     bounds = _bounds(m)
     rows = []
     for i, own in enumerate(bounds):
         nxt = bounds[(i + 1) % m]
         for flip in [0, *(1 << b for b in range(nxt[1] - nxt[0]))] if probes and 2 * radius // m else [0]:
             rows.append(F.shiftleft(_segment(F.col("fp"), own), 24).bitwiseOR(_segment(F.col("fp"), nxt).bitwiseXOR(F.lit(flip))).bitwiseOR(F.lit(i << 56)))
-    return fps.select(F.explode(F.array(*rows)).alias("key"), "fp", "other", "node")
+    return fps.select(F.explode(F.array(*rows)).alias("key"), "fp", "node")
 
 
-def _near(fp: np.ndarray, other: np.ndarray, start: int, radius: int, wide: int, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of positions whose fingerprints, sharing the key of this start, are within radius, and whose others are within wide."""
+def _near(fp: np.ndarray, start: int, radius: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions whose fingerprints, sharing the key of this start, are within radius."""
     bounds, n = _bounds(m), len(fp)
     a, b = [], []
     block = max(1, (1 << 21) // n)
@@ -132,7 +132,7 @@ def _near(fp: np.ndarray, other: np.ndarray, start: int, radius: int, wide: int,
             ok = spent <= length * radius // m
             if not ok.all():
                 x, y, differ, spent = x[ok], y[ok], differ[ok], spent[ok]
-        ok = (np.bitwise_count(differ) <= radius) & (np.bitwise_count(other[x] ^ other[y]) <= wide)
+        ok = np.bitwise_count(differ) <= radius
         a.append(x[ok])
         b.append(y[ok])
     return np.concatenate(a), np.concatenate(b)
@@ -153,11 +153,11 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return low[moved], moved
 
 
-def _compared(radius: int, wide: int, m: int):
-    """Rows (key, fp, other, node), sorted by key, into links (a, b) of nodes."""
+def _compared(radius: int, m: int):
+    """Rows (key, fp, node), sorted by key, into links (a, b) of nodes."""
 
     def run(batches):
-        held = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        held = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
         for batch in batches:
             cols = [c.to_numpy() for c in batch.columns]
             cols = [np.concatenate([h, c.view(h.dtype)]) for h, c in zip(held, cols, strict=True)]
@@ -166,14 +166,14 @@ def _compared(radius: int, wide: int, m: int):
             yield from found(*(c[:last] for c in cols))
         yield from found(*held)
 
-    def found(key, fp, other, node):
+    def found(key, fp, node):
         at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.r_[at, len(key)])
         two = at[size == 2]
-        pair = (np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius) & (np.bitwise_count(other[two] ^ other[two + 1]) <= wide)
+        pair = np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius
         a, b = [node[two[pair]]], [node[two[pair] + 1]]
         for s, n in zip(at[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            x, y = _near(fp[s : s + n], other[s : s + n], int(key[s]) >> 56, radius, wide, m)
+            x, y = _near(fp[s : s + n], int(key[s]) >> 56, radius, m)
             if len(x):
                 x, y = _forest(n, x, y)
                 a.append(node[s + x])
@@ -195,18 +195,12 @@ def star_links(fps: DataFrame, radius: int) -> DataFrame:
     return points.join(lowest, "point").where("a <> node").select("a", F.col("node").alias("b")).distinct()
 
 
-def links(prints: DataFrame, radius: int = RADIUS, m: int = SEGMENTS, limit: int = KEY_LIMIT, wide: int = 64) -> DataFrame:
-    """Links (a, b) of nodes that connect the rows (fp, other, node) as all pairs do that are within radius in fp and within wide in other.
-
-    Where a key has more than limit rows, wide has to be 64 (no condition) for the other exact way; else its rows are
-    compared in blocks, in bounded memory.
-    """
+def links(prints: DataFrame, radius: int = RADIUS, m: int = SEGMENTS, limit: int = KEY_LIMIT) -> DataFrame:
+    """Links (a, b) of nodes that connect the rows (fp, node) as all pairs do that are within radius. Keys with more than limit rows go the other exact way."""
     if radius % 2 or m <= radius or 2 * radius // m > 1:
         raise ValueError("the radius has to be even, the segments more than the radius")
     data, probes = _keys(prints, radius, m, False), _keys(prints, radius, m, True)
-    compare = lambda rows: rows.select("key", "fp", "other", "node").repartition("key").sortWithinPartitions("key").mapInArrow(releasing(_compared(radius, wide, m)), "a long, b long")
-    if wide < 64:
-        return compare(probes)
+    compare = lambda rows: rows.select("key", "fp", "node").repartition("key").sortWithinPartitions("key").mapInArrow(releasing(_compared(radius, m)), "a long, b long")
     hot = written(data.groupBy("key").count().where(F.col("count") > limit).select("key"))
     if hot.isEmpty():
         return compare(probes)
@@ -216,7 +210,7 @@ def links(prints: DataFrame, radius: int = RADIUS, m: int = SEGMENTS, limit: int
 def classes(prints: DataFrame, radius: int = RADIUS, m: int = SEGMENTS, limit: int = KEY_LIMIT) -> DataFrame:
     """(fp, first, component_id) of each distinct fingerprint of (doc_id, fp): the smallest id with it, and of its class."""
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(distinct.select("fp", F.lit(0).cast("long").alias("other"), F.col("fp").alias("node")), radius, m, limit)).select(F.col("node").alias("fp"), "root")
+    roots = components(links(distinct.select("fp", F.col("fp").alias("node")), radius, m, limit)).select(F.col("node").alias("fp"), "root")
     labelled = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
     return labelled.join(names, "root").select("fp", "first", "component_id")
@@ -462,16 +456,22 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with one of each group of near copies: in order of ids, a document goes if its five-word shingles have a similarity
     of 0.8 and more with those of an earlier document of its class that stays.
 
-    Classes are components of links that connect every pair of that similarity (text_links); documents of a class that aren't
+    Classes are components of links: those of near fingerprints (links, by pigeonring), and those that connect every pair of that
+    similarity, whatever its fingerprints (text_links, by an exact prefix filter). Documents of a class that aren't
     similar to any of its first ones are judged again among themselves until none is left. Of repeated rows, one stays; null
     texts are empty ones, null ids the last ones; an empty table gives no rows; extra columns stay.
     """
+    swept(spark)
     number, sign = F.coalesce(F.col("doc_id"), F.lit(MAX_ID)), F.xxhash64(F.coalesce("text", F.lit("")))
     bodies = docs.select(number.alias("_sd"), sign.alias("_st"), "text")
     prints = bodies.select("_sd", "_st")
     # One row per text: all its further documents are copies.
     texts = written(prints.groupBy("_st").agg(F.min("_sd").alias("_sd")))
-    roots = components(text_links(bodies.withColumn("text", F.coalesce("text", F.lit("")))))
+    # Candidates: links of the operator's fingerprints, and of the pairs that are similar enough though their fingerprints are farther apart.
+    fps = written(fingerprints(bodies, "text", fp=shingle_fingerprints).select("_st", "fp").distinct())
+    firsts = written(fps.groupBy("fp").agg(F.min("_st").alias("node")))
+    close = links(firsts).unionByName(fps.join(firsts, "fp").where("_st <> node").select(F.col("node").alias("a"), F.col("_st").alias("b")))
+    roots = components(close.unionByName(text_links(bodies.withColumn("text", F.coalesce("text", F.lit(""))))))
     open_ = written(texts.join(roots.select(F.col("node").alias("_st"), F.col("root").alias("class")), "_st").select("class", "_sd", "_st"))
     dropped = []
     if not open_.isEmpty():

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import free_name, per_batch, releasing, remainder, table, with_columns, written
+from .shared import free_name, per_batch, releasing, remainder, swept, table, with_columns, written
 from .textcols import LOWER, U, buffers, mixed, slices, word_hashes, words
 
 BUCKETS = 1 << 18
@@ -175,14 +175,17 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, limit_byt
 
         return work
 
-    rows = per_batch(chosen, make, "doc_id long, toxic int, at array<int>, sent array<int>, sentences int").orderBy("doc_id").toArrow()
+    rows = per_batch(chosen, make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int, at array<int>, sent array<int>, sentences int").orderBy("doc_id").toArrow()
     toxic, size = rows["toxic"].to_numpy().astype(float), rows["sentences"].to_numpy()
     column = lambda name: np.concatenate([np.zeros(0, np.int32), *(x.flatten().to_numpy() for x in rows[name].chunks)])
     at, sent = column("at"), column("sent")
     number = np.concatenate([np.zeros(0, np.int64), *(x.value_lengths().to_numpy() for x in rows["at"].chunks)])
     del rows
     sent += np.repeat((np.cumsum(size) - size).astype(np.int32), number)
-    return fit(at, sent, np.repeat(np.arange(len(toxic), dtype=np.int32), size), toxic, screen)
+    model = fit(at, sent, np.repeat(np.arange(len(toxic), dtype=np.int32), size), toxic, screen)
+    del at, sent, number
+    swept(docs.sparkSession)
+    return model
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())]))
@@ -228,5 +231,6 @@ def op1(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those whose score is 0.5 and more. A null or empty text has the base score; repeated rows stay or go together; an empty table gives no rows; extra columns stay."""
+    swept(spark)
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")), located=False)
     return scored.where(F.col(scored.columns[-2]) < 0.5).select(docs.columns)

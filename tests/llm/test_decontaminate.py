@@ -75,7 +75,7 @@ def test_retrieval_is_whole_and_parts_agree(spark, docs, index_bytes):
 def test_bounds_leave_nothing_out(spark):
     rng = np.random.default_rng(5)
     items = [(i, " ".join(f"w{x}" for x in rng.zipf(1.4, 20) % 300)) for i in range(400)]
-    index = d.indexes(spark.createDataFrame(items, "item_id long, text string"))[0]
+    index = next(d.indexes(spark.createDataFrame(items, "item_id long, text string")))
     texts = [" ".join(f"w{x}" for x in rng.zipf(1.4, 128) % 300) for _ in range(60)]
     hashes = [np.unique(index.lookup.find(d.hashed(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0])) for t in texts]
     pairs = [(p, int(x)) for p, h in enumerate(hashes) for x in h if x >= 0]
