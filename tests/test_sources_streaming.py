@@ -135,3 +135,72 @@ def test_profiles(spark):
         for r in own:
             lo, hi, d = bounds[r.key]
             assert (lo <= r.value <= hi) != r.abnormal and not (r.abnormal and (d == "low_is_bad") and r.value > hi) and not (r.abnormal and (d == "high_is_bad") and r.value < lo)
+
+
+def _leased(spark, where, batches, lease_seconds=60, keep_seconds=3600):
+    """The rows of jobs.leases after each of some batches of events, each read by a query that starts anew from the checkpoint."""
+    schema = "job_id string, ts timestamp, event string, worker string"
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for events in batches:
+            rows = spark.createDataFrame(events, "job_id string, s long, event string, worker string").select("job_id", (F.lit(1704067200) + F.col("s")).cast("timestamp").alias("ts"), "event", "worker")
+            rows.coalesce(1).write.mode("append").parquet(f"{where}/in")
+            found = jobs.leases(spark.readStream.schema(schema).parquet(f"{where}/in"), lease_seconds, "10 seconds", keep_seconds)
+            q = found.writeStream.format("parquet").option("path", f"{where}/out").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{where}/cp").start()
+            q.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    out = spark.read.parquet(f"{where}/out").select("job_id", "event", (F.col("ts").cast("long") - 1704067200).alias("s"), "status", "worker", (F.col("lease_until").cast("long") - 1704067200).alias("until"), "problem")
+    by: dict = {}
+    for r in sorted(out.collect(), key=lambda r: (r.job_id, r.s, r.event != "lease_expired", jobs.EVENTS.get(r.event, 9))):
+        by.setdefault(r.job_id, []).append(tuple(r)[1:])
+    return by
+
+
+def test_leases_owners_and_ends(spark, tmp_path):
+    far = [("z", 10_000, "create", None), ("z", 10_001, "claim", "w")]
+    got = _leased(spark, str(tmp_path), [[
+        ("new", 0, "create", None), ("new", 5, "create", None),
+        ("run", 0, "create", None), ("run", 10, "claim", "w1"), ("run", 20, "claim", "w2"), ("run", 30, "heartbeat", "w2"), ("run", 40, "complete", "w2"), ("run", 50, "complete", "w1"), ("run", 55, "heartbeat", "w1"), ("run", 56, "fail", "w1"),
+        ("none", 3, "heartbeat", "w1"),
+        ("back", 0, "create", None), ("back", 1, "claim", "w1"), ("back", 2, "release", "w1"), ("back", 3, "claim", "w2"), ("back", 4, "fail", "w2"), ("back", 5, "dance", "w2"),
+    ], far])
+    assert got["new"] == [("create", 0, "queued", None, None, None), ("create", 5, "queued", None, None, "exists")]
+    assert [r[0] + ":" + str(r[5]) for r in got["run"]] == ["create:None", "claim:None", "claim:state", "heartbeat:worker", "complete:worker", "complete:None", "heartbeat:state", "fail:state"]
+    assert got["run"][1] == ("claim", 10, "running", "w1", 70, None) and got["run"][5][2:4] == ("completed", "w1")
+    assert got["none"] == [("heartbeat", 3, None, None, None, "missing")]
+    assert [(r[0], r[2], r[3], r[5]) for r in got["back"]] == [("create", "queued", None, None), ("claim", "running", "w1", None), ("release", "queued", None, None), ("claim", "running", "w2", None), ("fail", "failed", "w2", None), ("dance", "failed", "w2", "state")]
+
+
+def test_heartbeats_extend_a_lease_over_restarts(spark, tmp_path):
+    got = _leased(spark, str(tmp_path), [
+        [("a", 0, "create", None), ("a", 1, "claim", "w1"), ("b", 0, "create", None), ("b", 1, "claim", "w1")],
+        [("a", 41, "heartbeat", "w1")],
+        [("a", 81, "heartbeat", "w1"), ("c", 82, "create", None)],
+        [("c", 120, "claim", "w2")],
+        [("c", 400, "heartbeat", "w2"), ("a", 401, "claim", "w3")],
+        [("d", 9000, "create", None)],
+        [("b", 9001, "complete", "w1"), ("a", 9002, "create", None)],
+        [("d", 20_000, "claim", "w1")],
+    ])
+    assert got["b"] == [("create", 0, "queued", None, None, None), ("claim", 1, "running", "w1", 61, None), ("lease_expired", 61, "queued", None, None, None), ("complete", 9001, "queued", None, None, "state")]
+    assert [(r[0], r[1], r[4]) for r in got["a"]] == [("create", 0, None), ("claim", 1, 61), ("heartbeat", 41, 101), ("heartbeat", 81, 141), ("lease_expired", 141, None), ("claim", 401, 461), ("lease_expired", 461, None), ("create", 9002, None)]
+    assert [(r[0], r[1], r[2], r[5]) for r in got["c"]] == [("create", 82, "queued", None), ("claim", 120, "running", None), ("lease_expired", 180, "queued", None), ("heartbeat", 400, "queued", "state")]
+
+
+def test_finished_jobs_are_forgotten_in_time(spark, tmp_path):
+    got = _leased(spark, str(tmp_path), [[("a", 0, "create", None), ("a", 1, "claim", "w"), ("a", 2, "complete", "w"), ("q", 0, "create", None)], [("x", 3000, "create", None)], [("a", 3001, "create", None)], [("x", 9000, "claim", "w")], [("a", 9001, "create", None), ("q", 9002, "claim", "w")]])
+    assert [(r[0], r[1], r[2], r[5]) for r in got["a"]][2:] == [("complete", 2, "completed", None), ("create", 3001, "completed", "exists"), ("create", 9001, "queued", None)]
+    assert [(r[0], r[2], r[5]) for r in got["q"]] == [("create", "queued", None), ("claim", "running", None)]
+
+
+def test_news_of_a_running_job_keeps_it_running(spark, tmp_path):
+    steps = [("a", 0, "queued"), ("a", 1, "running"), ("a", 41, "running"), ("a", 81, "running"), ("a", 120, "completed"), ("b", 0, "queued"), ("b", 1, "running"), ("b", 100, "completed")]
+    events = spark.createDataFrame(steps, "job_id string, s long, status string").select("job_id", (F.lit(1704067200) + F.col("s")).cast("timestamp").alias("ts"), "status")
+    events.write.parquet(str(tmp_path / "in"))
+    q = jobs.lifecycle(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("news").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.awaitTermination()
+    got = rows(spark.table("news"), "job_id", "status", "lawful")
+    assert [r for r in got if r[0] == "a"] == [("a", "completed", True), ("a", "queued", True)] + [("a", "running", True)] * 3
+    assert ("b", "completed", False) in got and got.count(("b", "queued", True)) == 2
