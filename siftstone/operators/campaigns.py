@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .scoring import graded
+
 #: Metrics of which less is better.
 LOWER_IS_BETTER = ("avg_latency", "p95_latency", "api_failure_rate", "hallucination_rate")
 #: From what on a case has which bottleneck.
@@ -86,8 +88,9 @@ def pareto(runs: DataFrame, x: str, y: str) -> DataFrame:
     best = runs.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("_x")).agg(F.max(y).alias("_best"))
     # One row of two numbers.
     bounds = F.broadcast(best.agg(F.min("_x").cast("double").alias("_lo"), F.max("_x").cast("double").alias("_hi")))
-    share = (F.col("_x").cast("double") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    placed = best.crossJoin(bounds).select("_x", "_best", F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor(share * BINS), F.lit(BINS - 1))).otherwise(0).alias("_bin"))
+    low, high = graded(F.col("_lo")), graded(F.col("_hi"))
+    share = (graded(F.col("_x").cast("double")) - low) / (high - low)
+    placed = best.crossJoin(bounds).select("_x", "_best", F.when(high > low, F.least(F.floor(share * BINS), F.lit(BINS - 1))).otherwise(0).alias("_bin"))
     earlier = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     carried = placed.groupBy("_bin").agg(F.max("_best").alias("_top")).withColumn("_carried", F.max("_top").over(earlier)).select("_bin", "_carried")
     inside = F.max("_best").over(Window.partitionBy("_bin").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1))

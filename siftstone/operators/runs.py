@@ -171,3 +171,100 @@ def reused(wanted: DataFrame, registry: DataFrame, key: str = "fingerprint") ->
     """Wanted runs that the registry (key, status) has completed, and those that have to be done."""
     done = registry.where("status = 'completed'").select(key).distinct()
     return wanted.join(done, key, "left_semi"), wanted.join(done, key, "left_anti")
+
+
+# Columns of runs and of cases, their kinds, and where a record has them; of several places the first that has a value other than nothing, 0 and the empty text.
+_CONFIG = lambda part, name: [f"config_overview.{part}.{name}", f"config.{part}.{name}"]
+RUN_COLUMNS = {
+    "text": {
+        "label": ["label"], "datetime": ["datetime"], "dataset_version": ["dataset_version"], "documents_version": ["documents_version"], "artifact_type": ["artifact_type"],
+        "chunking_strategy": _CONFIG("ingestion", "chunking_strategy"), "retrieval_mode": _CONFIG("inference", "retrieval_mode"), "llm_model": _CONFIG("inference", "llm_model"), "prompt_label": _CONFIG("inference", "prompt_engineering_label"),
+    },
+    "flag": {
+        "query_rewriting": _CONFIG("inference", "enable_query_rewriting"), "verification": _CONFIG("inference", "enable_response_verification"),
+        "graph_augmentation": _CONFIG("inference", "use_graph_augmentation"), "second_pass_mapping": _CONFIG("source_mapping", "llm_second_pass_enabled"),
+    },
+    "number": {
+        "hit@1": ["retrieval_summary.hit_at_1"], "hit@3": ["retrieval_summary.hit_at_3"], "hit@5": ["retrieval_summary.hit_at_5"], "mrr": ["retrieval_summary.mrr"],
+        "weighted_relevance": ["retrieval_summary.weighted_relevance_score"], "lenient_success_score": ["retrieval_summary.lenient_success_score"], "duplicate_chunk_rate": ["retrieval_summary.duplicate_chunk_rate"],
+        "context_diversity_score": ["retrieval_summary.context_diversity_score"], "soft_ndcg": ["retrieval_summary.soft_ndcg"],
+        "avg_answer_similarity": ["generation_summary.average_answer_similarity"], "avg_answer_quality": ["generation_summary.average_answer_quality_score"],
+        "avg_deterministic_rubric": ["generation_summary.average_deterministic_rubric_score", "generation_summary.average_answer_quality_score"],
+        "avg_judge_score": ["generation_summary.average_judge_score"], "avg_llm_judge_score": ["generation_summary.average_llm_judge_score", "generation_summary.average_judge_score"],
+        "avg_fact_recall": ["generation_summary.average_required_fact_recall"], "avg_faithfulness": ["generation_summary.average_faithfulness_score", "generation_summary.average_faithfulness_to_context"],
+        "exact_pass_rate": ["generation_summary.exact_pass_rate"], "verification_pass_rate": ["generation_summary.verification_pass_rate"],
+        "forbidden_violation_rate": ["generation_summary.forbidden_fact_violation_rate"], "hallucination_rate": ["generation_summary.hallucination_rate"],
+        "queue_delay_avg": ["telemetry_summary.queue_delay.average"], "execution_duration_avg": ["telemetry_summary.execution_duration.average"],
+        "chunks_created": ["ingestion_summary.chunks_created"], "vectors_upserted": ["ingestion_summary.vectors_upserted"],
+        "avg_chunk_length": ["ingestion_summary.ingestion_metrics.average_chunk_length"], "page_coverage_ratio": ["ingestion_summary.ingestion_metrics.page_coverage_ratio"],
+        "normalized.strict_success_rate": ["normalized_metrics/retrieval.strict_success_rate"], "normalized.avg_answer_similarity": ["normalized_metrics/generation.average_answer_similarity"],
+        "normalized.avg_answer_quality": ["normalized_metrics/generation.average_answer_quality_score"], "normalized.avg_deterministic_rubric": ["normalized_metrics/generation.average_deterministic_rubric_score"],
+        "normalized.avg_judge_score": ["normalized_metrics/generation.average_judge_score"], "normalized.avg_llm_judge_score": ["normalized_metrics/generation.average_llm_judge_score"],
+        "normalized.avg_latency": ["normalized_metrics/latency.average_ms"],
+    },
+    "whole": {"source_map_cases": ["source_mapping_summary.case_count"], "direct_evidence_total": ["source_mapping_summary.label_totals.direct_evidence"]},
+}
+API_COLUMNS = {"avg_latency": "average", "p50_latency": "p50", "p95_latency": "p95", "p99_latency": "p99", "api_failure_rate": "failure_rate", "api_timeout_rate": "timeout_rate", "api_completion_rate": "completion_rate"}
+CASE_COLUMNS = {
+    "text": {"case_id": ["case_id"], "question": ["question"], "answerability": ["answerability"], "api_failure_category": ["raw_endpoint_result.error"], "generated_answer": ["generated_answer"]},
+    "number": {
+        "retrieval_hit@1": ["retrieval_scores.hit_at_1"], "retrieval_hit@3": ["retrieval_scores.hit_at_3"], "mrr": ["retrieval_scores.mrr"], "weighted_relevance_score": ["retrieval_scores.weighted_relevance_score"],
+        "lenient_success_score": ["retrieval_scores.lenient_success_score"], "duplicate_chunk_rate": ["retrieval_scores.duplicate_chunk_rate"], "answer_similarity": ["generation_scores.answer_similarity"],
+        "answer_quality_score": ["generation_scores.answer_quality_score"], "judge_score": ["generation_scores.judge_score"], "fact_recall": ["generation_scores.required_fact_recall"],
+        "faithfulness": ["generation_scores.faithfulness_score", "generation_scores.faithfulness_to_context"], "hallucination_rate": ["generation_scores.hallucination_rate"], "exact_pass": ["generation_scores.exact_pass"],
+        "total_latency_ms": ["timings.total_latency_ms", "telemetry.derived.total_duration_ms"], "queue_delay_ms": ["telemetry.derived.queue_delay_ms"], "execution_duration_ms": ["telemetry.derived.execution_duration_ms"],
+    },
+}
+#: Columns that take another place only if the first one is missing, and numbers of entries of lists.
+CASE_NESTED = {"deterministic_rubric_score": ["generation_scores.deterministic_rubric.score", "generation_scores.answer_quality_score"], "llm_judge_score": ["generation_scores.llm_judge.score", "generation_scores.judge_score"]}
+CASE_COUNTS = {"warning_count": "warnings", "retrieved_chunk_count": "retrieved_chunks", "direct_evidence_count": "source_list.direct_evidence", "supporting_count": "source_list.supporting"}
+
+
+def names(place: str) -> tuple[str, ...]:
+    """The names that lead to a place; a slash stands before one that has dots of its own."""
+    dotted, *rest = place.split("/")
+    return *dotted.split("."), *rest
+
+
+def _path(place: str) -> str:
+    return "$" + "".join(f'["{n}"]' for n in names(place))
+
+
+def _picked(record: Column, columns: dict[str, dict[str, list[str]]]) -> list[Column]:
+    get = lambda place, kind: F.try_variant_get(record, _path(place), kind)
+    number = lambda place: F.coalesce(get(place, "double"), get(place, "boolean").cast("double"))
+    how = {
+        "text": lambda ps: F.coalesce(*(F.nullif(get(p, "string"), F.lit("")) for p in ps), F.lit("")),
+        "flag": lambda ps: F.coalesce(*(F.nullif(F.coalesce(get(p, "boolean"), get(p, "double") != 0), F.lit(False)) for p in ps), F.lit(False)),
+        "number": lambda ps: F.coalesce(*(F.nullif(number(p), F.lit(0.0)) for p in ps), F.lit(0.0)),
+        "whole": lambda ps: F.coalesce(*(number(p).cast("long") for p in ps), F.lit(0)),
+    }
+    return [how[kind](places).alias(name) for kind, own in columns.items() for name, places in own.items()]
+
+
+def run_rows(runs: DataFrame, payload: str = "payload") -> DataFrame:
+    """A wide row for each run's JSON record: run_id, at, case_count, RUN_COLUMNS and API_COLUMNS, and what else runs has.
+
+    A record is read once, to a VARIANT. What it lacks, or has as something that is no number where one is meant, is 0, false or the empty
+    text. API columns are those of the guidance endpoint, or of the whole summary if it has none. A record that isn't JSON is an empty one.
+    """
+    rest = [c for c in runs.columns if c not in (payload, "run_id")]
+    known = "run_id" in runs.columns
+    read = runs.withColumn("_r", F.coalesce(F.try_parse_json(payload), F.parse_json(F.lit("{}"))))
+    get = lambda place, kind: F.try_variant_get("_r", _path(place), kind)
+    endpoint = F.coalesce(get("api_summary.endpoint_summaries.guidance_endpoint", "string"), F.lit("{}")) != "{}"
+    api = [F.coalesce(F.when(endpoint, get(f"api_summary.endpoint_summaries.guidance_endpoint.{p}", "double")).otherwise(get(f"api_summary.{p}", "double")), F.lit(0.0)).alias(c) for c, p in API_COLUMNS.items()]
+    name = F.coalesce(F.nullif(get("run_id", "string"), F.lit("")), *([F.col("run_id")] if known else []), F.lit(""))
+    count = F.coalesce(F.nullif(get("case_count", "double").cast("int"), F.lit(0)), F.size(get("per_case_results", "array<variant>")), F.lit(0))
+    return read.select(name.alias("run_id"), F.try_to_timestamp(get("datetime", "string")).alias("at"), count.alias("case_count"), *rest, *_picked(F.col("_r"), RUN_COLUMNS), *api)
+
+
+def case_rows(runs: DataFrame, payload: str = "payload", run: str = "run_id") -> DataFrame:
+    """A wide row for each case in runs' JSON records: the run, CASE_COLUMNS, CASE_NESTED and CASE_COUNTS. A case without status is completed."""
+    cases = F.explode(F.try_variant_get(F.try_parse_json(payload), "$.per_case_results", "array<variant>"))
+    read = runs.select(run, cases.alias("_c"))
+    get = lambda place, kind: F.try_variant_get("_c", _path(place), kind)
+    nested = [F.coalesce(*(get(p, "double") for p in places), F.lit(0.0)).alias(c) for c, places in CASE_NESTED.items()]
+    counts = [F.coalesce(F.size(get(p, "array<variant>")), F.lit(0)).alias(c) for c, p in CASE_COUNTS.items()]
+    status = F.coalesce(F.nullif(get("status", "string"), F.lit("")), F.lit("completed")).alias("status")
+    return read.select(run, status, *_picked(F.col("_c"), CASE_COLUMNS), *nested, *counts)

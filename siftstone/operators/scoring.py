@@ -149,15 +149,20 @@ def _half_even(x: Column) -> Column:
     return F.bround(x, 0).cast("int")
 
 
-#: Ranges of equal width into which a key's values are counted before any are put in order.
+#: Ranges into which a key's values are counted before any are put in order.
 BINS = 4096
 
 
+def graded(value: Column) -> Column:
+    """A scale in the order of the values on which a few huge ones leave room for the others."""
+    return F.signum(value) * F.log1p(F.abs(value))
+
+
 def latency_summary(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
     """average, min, max, p50, p95, p99 and count of the values that aren't null, per key; percentiles are those of the nearest rank, at (n - 1) * p rounded half to even. Without values all are 0.
 
-    Equal values count as one row. A key's values are counted in BINS ranges first; only those of the ranges in which the
-    three ranks lie are put in order, so a key with most rows is no single task's.
+    Equal values count as one row. A key's values are counted in BINS ranges of a graded scale first, as latencies have long
+    tails; only those of the ranges in which the three ranks lie are put in order, so a key with most rows is no single task's.
     """
     # Keys may be null: within a struct null equals null.
     kept = df.select((F.struct(*keys) if keys else F.lit(0)).alias("_k"), value.cast("double").alias("v"))
@@ -165,8 +170,9 @@ def latency_summary(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
     per = counted.groupBy("_k").agg((F.sum(F.col("v") * F.col("m")) / F.sum("m")).alias("average"), F.min("v").alias("min"), F.max("v").alias("max"), F.sum("m").alias("count"))
     rank = lambda p: _half_even((F.col("count") - 1) * p)
     ranks = per.select("_k", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), rank(p).alias("rank")) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))))).alias("x")).select("_k", "x.*")
-    share = (F.col("v") - F.col("min")) / (F.col("max") - F.col("min"))
-    binned = counted.join(per.select("_k", "min", "max"), "_k").select("_k", "v", "m", F.when(F.col("max") > F.col("min"), F.least(F.floor(share * BINS), F.lit(BINS - 1))).otherwise(0).alias("bin"))
+    low, high = graded(F.col("min")), graded(F.col("max"))
+    share = (graded(F.col("v")) - low) / (high - low)
+    binned = counted.join(per.select("_k", "min", "max"), "_k").select("_k", "v", "m", F.when(high > low, F.least(F.floor(share * BINS), F.lit(BINS - 1))).otherwise(0).alias("bin"))
     upto = binned.groupBy("_k", "bin").agg(F.sum("m").alias("c")).withColumn("upto", F.sum("c").over(Window.partitionBy("_k").orderBy("bin")))
     wanted = ranks.join(upto, "_k").where((F.col("upto") - F.col("c") <= F.col("rank")) & (F.col("rank") < F.col("upto"))).select("_k", "name", "bin", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"))
     inside = wanted.join(binned, ["_k", "bin"]).withColumn("upto", F.sum("m").over(Window.partitionBy("_k", "name").orderBy("v")))

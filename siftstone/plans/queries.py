@@ -397,9 +397,10 @@ def _(t):
 # --- Campaigns and analytics ---
 
 
-@query("cmp01_grid", "WITH g AS (SELECT s, k, m FROM (VALUES (1, 'naive'), (2, 'late'), (3, 'page_indexed')) a(i, s), (VALUES (1, 3), (2, 5)) b(j, k), (VALUES (1, 'dense'), (2, 'hybrid')) c(l, m) ORDER BY i, j, l), n AS (SELECT *, row_number() OVER () AS idx FROM g) SELECT CAST(idx AS INT) AS index, s AS strategy, CAST(k AS VARCHAR) AS top_k, m AS mode FROM n WHERE NOT (s = 'late' AND m = 'dense')")
+@query("cmp01_grid", "WITH a AS (SELECT s, row_number() OVER (ORDER BY s) AS i FROM (SELECT DISTINCT p_brand AS s FROM part)), g AS (SELECT * FROM a, (VALUES (1, 3), (2, 5)) b(j, k), (VALUES (1, 'dense'), (2, 'hybrid')) c(l, m)), n AS (SELECT *, row_number() OVER (ORDER BY i, j, l) AS idx FROM g) SELECT CAST(idx AS INT) AS index, s AS strategy, CAST(k AS VARCHAR) AS top_k, m AS mode FROM n WHERE NOT (i = 2 AND m = 'dense')")
 def _(t):
-    runs = campaigns.grid(t.spark, {"chunking.strategy": ["naive", "late", "page_indexed"], "retrieval.top_k": [3, 5], "retrieval.mode": ["dense", "hybrid"]}, include=[{"chunking.strategy": "naive", "retrieval.top_k": 3, "retrieval.mode": "dense"}], exclude=[{"chunking.strategy": "late", "retrieval.mode": "dense"}])
+    brands = sorted(r[0] for r in t("part").select("p_brand").distinct().collect())
+    runs = campaigns.grid(t.spark, {"chunking.strategy": brands, "retrieval.top_k": [3, 5], "retrieval.mode": ["dense", "hybrid"]}, include=[{"chunking.strategy": brands[0], "retrieval.top_k": 3, "retrieval.mode": "dense"}], exclude=[{"chunking.strategy": brands[1], "retrieval.mode": "dense"}])
     bare = lambda k: F.replace(F.col("settings")[k], F.lit('"'), F.lit(""))
     return runs.select("index", bare("chunking.strategy").alias("strategy"), bare("retrieval.top_k").alias("top_k"), bare("retrieval.mode").alias("mode"))
 
@@ -918,9 +919,10 @@ def _(t):
     return datasets.spread(t("documents").select("doc_id", "source"), "source", 50, F.struct(F.md5(F.col("doc_id").cast("string")), "doc_id"))
 
 
-@query("ds03_quotas", "SELECT * FROM (VALUES ('factoid', 49::BIGINT), ('list', 36), ('table', 24), ('other', 11), ('rare', 0)) v(name, n)")
+@query("ds03_quotas", "WITH c AS (SELECT coalesce(lang, 'und') AS name, count(*)::DOUBLE AS w FROM documents GROUP BY 1), p AS (SELECT name, w, floor(w / sum(w) OVER () * 120) AS n FROM c), q AS (SELECT *, 120 - sum(n) OVER () AS l, count(*) OVER () AS k, row_number() OVER (ORDER BY w DESC, name) AS place FROM p) SELECT name, CAST(n + floor(l / k) + (place <= l % k)::INT AS BIGINT) AS n FROM q")
 def _(t):
-    return datasets.quotas(t.spark, {"factoid": 0.4, "list": 0.3, "table": 0.2, "other": 0.0917, "rare": 0.0083}, 120)
+    mix = {r["name"]: float(r["count"]) for r in t("documents").groupBy(F.coalesce("lang", F.lit("und")).alias("name")).count().orderBy("name").collect()}
+    return datasets.quotas(t.spark, mix, 120)
 
 
 @query("ds05_anchors", f"SELECT item_id, array_to_string(string_split(f, ' ')[1:8], ' ') AS start_words, array_to_string(string_split(f, ' ')[-8:], ' ') AS end_words, sha256(lower(f)) AS digest FROM (SELECT item_id, {_flat('text')} AS f FROM benchmark)")
@@ -1063,16 +1065,88 @@ def _(t):
     return runs.overview(_artifacts(t)).select("run_id", "label", "case_count", "chunking_strategy", "mrr", "avg_answer_quality", "avg_latency", "avg_deterministic_rubric")
 
 
+def _leaves(columns: dict) -> list[str]:
+    """All places of columns, in order."""
+    return list(dict.fromkeys(p for own in columns.values() for places in own.values() for p in places))
+
+
+def _value(kind: str, j: int, k: str) -> str:
+    """What record k has at place j, in both languages: nothing for one in five."""
+    what = {"text": f"concat('t', ({k} * 7 + {j * 13}) % 97)", "flag": f"({k} + {j}) % 3 = 0"}.get(kind, f"(({k} * 7 + {j * 13}) % 97) / 10.0D")
+    return f"CASE WHEN ({k} + {j}) % 5 > 0 THEN {what} END"
+
+
+def _nested(leaves: dict[tuple[str, ...], str]) -> str:
+    """Places, as the names that lead to them, and their values as nested structs."""
+    below: dict[str, dict[tuple[str, ...], str]] = {}
+    for (head, *rest), value in leaves.items():
+        below.setdefault(head, {})[tuple(rest)] = value
+    return "named_struct(" + ", ".join(f"'{n}', {own[()] if () in own else _nested(own)}" for n, own in below.items()) + ")"
+
+
+def _kinds(columns: dict) -> dict[str, str]:
+    return {p: kind for kind, own in columns.items() for places in own.values() for p in places}
+
+
+_RUN_LEAVES, _CASE_LEAVES = _leaves(runs.RUN_COLUMNS), [*_leaves(runs.CASE_COLUMNS), "generation_scores.deterministic_rubric.score", "generation_scores.llm_judge.score"]
+
+
+def _wide_sql(columns: dict, leaves: list[str], k: str) -> list[str]:
+    """The columns by their definition."""
+    kinds, out = _kinds(columns), []
+    for kind, own in columns.items():
+        none = {"text": "''", "flag": "false", "number": "0.0", "whole": "0"}[kind]
+        for name, places in own.items():
+            values = [_value(kinds[p], leaves.index(p), k).replace("10.0D", "10.0::DOUBLE") for p in places]
+            values = [f"nullif({v}, {none})" if kind != "whole" else f"CAST(trunc({v}) AS BIGINT)" for v in values]
+            out.append(f"""coalesce({", ".join(values)}, {none}) AS "{name}\"""")
+    return out
+
+
+_API = {c: f"coalesce(CASE WHEN c_custkey % 3 = 0 THEN (c_custkey % 17 + {i})::DOUBLE WHEN c_custkey % 3 = 1 THEN {i}::DOUBLE END, 0.0) AS {c}" for i, c in enumerate(runs.API_COLUMNS)}
+
+
+@query("ana02_run_rows", f"SELECT 'r' || c_custkey AS run_id, CAST(c_custkey % 4 AS INT) AS case_count, {', '.join(_wide_sql(runs.RUN_COLUMNS, _RUN_LEAVES, 'c_custkey'))}, {', '.join(_API.values())} FROM customer")
+def _(t):
+    kinds = _kinds(runs.RUN_COLUMNS)
+    body = _nested({runs.names(p): _value(kinds[p], j, "c_custkey") for j, p in enumerate(_RUN_LEAVES)})
+    own = ", ".join(f"'{p}', c_custkey % 17 + {i}" for i, p in enumerate(runs.API_COLUMNS.values()))
+    whole = ", ".join(f"'{p}', CAST({i} AS BIGINT)" for i, p in enumerate(runs.API_COLUMNS.values()))
+    api = f"CASE WHEN c_custkey % 3 < 2 THEN named_struct({whole}, 'endpoint_summaries', CASE WHEN c_custkey % 3 = 0 THEN named_struct('guidance_endpoint', named_struct({own})) END) END"
+    records = t("customer").select("c_custkey", F.expr(f"to_json({body})").alias("body"), F.expr(f"to_json(named_struct('run_id', concat('r', c_custkey), 'api_summary', {api}, 'per_case_results', slice(array(1, 2, 3), 1, CAST(c_custkey % 4 AS INT))))").alias("head"))
+    joined = records.select(F.concat(F.expr("substr(head, 1, length(head) - 1)"), F.lit(","), F.expr("substr(body, 2)")).alias("payload"))
+    return runs.run_rows(joined).drop("at")
+
+
+@query(
+    "ana02_case_rows",
+    f"""WITH c AS (SELECT c_custkey, i, c_custkey * 3 + i AS k FROM customer, range(1, 4) AS x(i) WHERE i <= c_custkey % 4)
+SELECT 'r' || c_custkey AS run_id, CASE WHEN k % 2 = 0 THEN 'failed' ELSE 'completed' END AS status, {', '.join(_wide_sql(runs.CASE_COLUMNS, _CASE_LEAVES, 'k'))},
+{', '.join(f"coalesce({', '.join(_value('number', _CASE_LEAVES.index(p), 'k').replace('10.0D', '10.0::DOUBLE') for p in places)}, 0.0) AS {c}" for c, places in runs.CASE_NESTED.items())},
+CAST(k % 3 AS INT) AS warning_count, CAST(k % 4 AS INT) AS retrieved_chunk_count, CAST(k % 2 AS INT) AS direct_evidence_count, 0 AS supporting_count FROM c""",
+)
+def _(t):
+    kinds = _kinds(runs.CASE_COLUMNS)
+    body = _nested({runs.names(p): _value(kinds.get(p, "number"), j, "k") for j, p in enumerate(_CASE_LEAVES)})
+    few = lambda n: f"slice(array('a', 'b', 'c'), 1, CAST(k % {n} AS INT))"
+    head = f"named_struct('status', CASE WHEN k % 2 = 0 THEN 'failed' END, 'warnings', {few(3)}, 'retrieved_chunks', {few(4)}, 'source_list', named_struct('direct_evidence', {few(2)}))"
+    each = t("customer").select("c_custkey", F.explode(F.expr("CASE WHEN c_custkey % 4 > 0 THEN sequence(1L, c_custkey % 4) END")).alias("i")).withColumn("k", F.expr("c_custkey * 3 + i"))
+    each = each.select("c_custkey", F.expr(f"to_json({head})").alias("head"), F.expr(f"to_json({body})").alias("body"))
+    case = F.concat(F.expr("substr(head, 1, length(head) - 1)"), F.lit(","), F.expr("substr(body, 2)"))
+    records = each.groupBy("c_custkey").agg(F.concat(F.lit('{"per_case_results":['), F.array_join(F.collect_list(case), ","), F.lit("]}")).alias("payload"))
+    return runs.case_rows(records.select(F.concat(F.lit("r"), "c_custkey").alias("run_id"), "payload"))
+
+
 @query("ana06_cards", f"WITH {_OVERVIEW} SELECT count(*) AS runs, max(mrr) AS best_mrr, max(avg_answer_quality) AS best_quality, min(nullif(avg_latency, 0)) AS least_latency FROM o WHERE chunking_strategy = 'late'")
 def _(t):
     return runs.overview_cards(runs.overview(_artifacts(t)), {"chunking_strategy": ["late"], "label": []})
 
 
-_METRIC_ROWS = "m AS (SELECT 'r' || o_custkey % 4 AS run_id, o_orderpriority || o_orderstatus AS metric, round(avg(o_totalprice), 4) AS value FROM orders WHERE o_custkey % 4 < 3 GROUP BY ALL)"
+_METRIC_ROWS = "m AS (SELECT 'r' || o_custkey % 4 AS run_id, o_orderpriority || o_orderstatus AS metric, round(avg(o_totalprice), 4) AS value FROM orders GROUP BY ALL)"
 
 
 def _metric_rows(t) -> DataFrame:
-    return t("orders").where("o_custkey % 4 < 3").groupBy(F.concat(F.lit("r"), (F.col("o_custkey") % 4).cast("string")).alias("run_id"), F.concat("o_orderpriority", "o_orderstatus").alias("metric")).agg(F.round(F.avg("o_totalprice"), 4).alias("value"))
+    return t("orders").groupBy(F.concat(F.lit("r"), (F.col("o_custkey") % 4).cast("string")).alias("run_id"), F.concat("o_orderpriority", "o_orderstatus").alias("metric")).agg(F.round(F.avg("o_totalprice"), 4).alias("value"))
 
 
 @query("ana10_compared", f"""WITH {_METRIC_ROWS} SELECT metric, max(CASE WHEN run_id = 'r0' THEN value END) AS r0, max(CASE WHEN run_id = 'r1' THEN value END) AS r1, round(max(CASE WHEN run_id = 'r1' THEN value END) - max(CASE WHEN run_id = 'r0' THEN value END), 4) AS "r1 delta" FROM m WHERE run_id IN ('r0', 'r1') GROUP BY 1""")

@@ -204,3 +204,44 @@ def test_news_of_a_running_job_keeps_it_running(spark, tmp_path):
     got = rows(spark.table("news"), "job_id", "status", "lawful")
     assert [r for r in got if r[0] == "a"] == [("a", "completed", True), ("a", "queued", True)] + [("a", "running", True)] * 3
     assert ("b", "completed", False) in got and got.count(("b", "queued", True)) == 2
+
+
+def test_ingestion_follows_a_folder(spark, tmp_path):
+    from siftstone.sources import tables
+    from siftstone.streaming import ingestion
+
+    folder, state = tmp_path / "in", str(tmp_path / "state")
+    (folder / "sub").mkdir(parents=True)
+    put = lambda name, text: (folder / name).write_text(text)
+    texts = lambda: {(r.path.rsplit("/", 1)[1], r.text) for r in tables.table(spark, f"{state}/chunks").collect()}
+    run = lambda **how: ingestion.ingest(spark, str(folder), state, **how)
+    assert run() == {"read": 0, "gone": 0}
+    put("a.txt", "first text")
+    put("sub/b.txt", "long words here " * 40)
+    put("c.txt", "")
+    assert run() == {"read": 2, "gone": 0} and {n for n, _ in texts()} == {"a.txt", "b.txt"} and len(texts()) > 2
+    before = texts()
+    assert run() == {"read": 0, "gone": 0} and texts() == before
+    put("sub/b.txt", "short now")
+    (folder / "a.txt").unlink()
+    put("d.txt", "new one")
+
+    def die():
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        run(before_objects=die)
+    assert run(block=2) == {"read": 2, "gone": 1} and texts() == {("b.txt", "short now"), ("d.txt", "new one")}
+    put("d.txt", "")
+    (folder / "sub/b.txt").unlink()
+    assert run() == {"read": 0, "gone": 2} and texts() == set()
+
+
+def test_one_huge_value_leaves_the_ranges_apart(spark):
+    from siftstone.operators import scoring
+
+    rows = spark.range(1000).select((F.col("id") % 200).cast("double").alias("v")).unionByName(spark.createDataFrame([(1e9,)], "v double"))
+    low, high = scoring.graded(F.lit(0.0)), scoring.graded(F.lit(1e9))
+    bins = rows.select(F.floor((scoring.graded(F.col("v")) - low) / (high - low) * scoring.BINS).alias("b")).distinct().count()
+    found = scoring.latency_summary(rows, [], F.col("v")).first()
+    assert bins > 150 and (found["p50"], found["p95"], found["max"]) == (100.0, 190.0, 1e9)
