@@ -197,10 +197,10 @@ RUN_COLUMNS = {
         "queue_delay_avg": ["telemetry_summary.queue_delay.average"], "execution_duration_avg": ["telemetry_summary.execution_duration.average"],
         "chunks_created": ["ingestion_summary.chunks_created"], "vectors_upserted": ["ingestion_summary.vectors_upserted"],
         "avg_chunk_length": ["ingestion_summary.ingestion_metrics.average_chunk_length"], "page_coverage_ratio": ["ingestion_summary.ingestion_metrics.page_coverage_ratio"],
-        "normalized.strict_success_rate": ["normalized_metrics/retrieval.strict_success_rate"], "normalized.avg_answer_similarity": ["normalized_metrics/generation.average_answer_similarity"],
-        "normalized.avg_answer_quality": ["normalized_metrics/generation.average_answer_quality_score"], "normalized.avg_deterministic_rubric": ["normalized_metrics/generation.average_deterministic_rubric_score"],
-        "normalized.avg_judge_score": ["normalized_metrics/generation.average_judge_score"], "normalized.avg_llm_judge_score": ["normalized_metrics/generation.average_llm_judge_score"],
-        "normalized.avg_latency": ["normalized_metrics/latency.average_ms"],
+        "normalized_strict_success_rate": ["normalized_metrics/retrieval.strict_success_rate"], "normalized_avg_answer_similarity": ["normalized_metrics/generation.average_answer_similarity"],
+        "normalized_avg_answer_quality": ["normalized_metrics/generation.average_answer_quality_score"], "normalized_avg_deterministic_rubric": ["normalized_metrics/generation.average_deterministic_rubric_score"],
+        "normalized_avg_judge_score": ["normalized_metrics/generation.average_judge_score"], "normalized_avg_llm_judge_score": ["normalized_metrics/generation.average_llm_judge_score"],
+        "normalized_avg_latency": ["normalized_metrics/latency.average_ms"],
     },
     "whole": {"source_map_cases": ["source_mapping_summary.case_count"], "direct_evidence_total": ["source_mapping_summary.label_totals.direct_evidence"]},
 }
