@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftstone.functions.text import ANSWER_STOPWORDS, GUIDANCE_STOPWORDS, SEARCH_STOPWORDS, tokens
-from siftstone.operators import answers, campaigns, cells, chunking, cleaning, clinical, datasets, dosing, guidance, indexing, mapping, matching, planning, postings, retrieval, runs, scoring, telemetry
+from siftstone.operators import answers, campaigns, cells, chunking, cleaning, clinical, datasets, dosing, guidance, indexing, mapping, matching, planning, postings, retrieval, rounds, runs, scoring, telemetry
 from siftstone.session import scratch
 from siftstone.sources import documents, stores, tables, vectors
 from siftstone.streaming import jobs
@@ -719,6 +719,40 @@ def _(t):
     return guidance.ranked_contexts(_asked(t), _contexts(t, 5), 3).select("query_id", "ord", "score", "rank")
 
 
+_OPENED = r"""asks AS (SELECT item_id, text, unnest([1, 2, 3]) AS round, unnest([left(text, 40), text, right(text, 60)]) AS q FROM benchmark), """ + _BM25.replace(f"SELECT item_id, unnest({_tok('text')}) AS term FROM benchmark", f"SELECT item_id * 4 + round AS item_id, unnest({_tok('q')}) AS term FROM asks")
+_ROUNDS = rf"""{_OPENED},
+found AS (SELECT query_id // 4 AS query_id, query_id % 4 AS round, rank, id FROM ranked WHERE rank <= 3 UNION ALL SELECT item_id, 0, 1, doc_id FROM benchmark JOIN documents ON doc_id = item_id WHERE item_id % 4 = 0),
+told AS (SELECT query_id, id, pos, pos // 100 AS round, lang AS title, text || CASE id % 4 WHEN 0 THEN '; Potassium high' WHEN 1 THEN '; haemoglobin falls.' WHEN 2 THEN ' in heart failure' ELSE '' END AS snippet FROM (SELECT query_id, id, min(round * 100 + rank) AS pos FROM found GROUP BY 1, 2) JOIN documents ON doc_id = id),
+per AS (SELECT item_id, a.round, count(s.pos) AS n, count(*) FILTER (s.pos IS NOT NULL AND (len(list_intersect({_gt("q")}, {_gt("m")})) > 0 OR (item_id % 7 > 0 AND contains(m, lower(substring(text, 1, 6)))))) AS hits,
+ count(*) FILTER (contains(m, 'hb') OR contains(m, 'haemoglobin')) AS n_hb, count(*) FILTER (contains(m, 'potassium') OR {_any("m", ["renal function", "hyperkalaemia", "hyperkalemia", "hyponatraemia", "hyponatremia"])}) AS n_k
+ FROM asks a LEFT JOIN (SELECT *, lower(coalesce(title, '') || ' ' || coalesce(snippet, '')) AS m FROM told) s ON s.query_id = a.item_id AND s.round <= a.round GROUP BY 1, 2),
+stop AS (SELECT item_id AS query_id, coalesce(min(round) FILTER (n >= 4 AND hits > 0 AND NOT ((item_id % 2 = 0 OR item_id % 3 = 0) AND item_id % 7 = 0) AND NOT (item_id % 2 = 0 AND n_hb = 0) AND NOT (item_id % 3 = 0 AND n_k = 0)), 3) AS attempts FROM per GROUP BY 1),
+said AS (SELECT query_id, pos AS ord, id, attempts, lower(coalesce(title, '') || ' ' || coalesce(snippet, '')) AS m FROM told JOIN stop USING (query_id) WHERE round <= attempts),
+{_JUDGED},
+s AS (SELECT query_id, ord, c_hb, c_k, len(list_intersect(q, words)) + 1.5 * CASE WHEN len(p) > 0 AND contains(m, p[1]) THEN 1 ELSE 0 END + c_hb::INT + c_k::INT + 1.25 * CASE WHEN heart AND {_any("m", guidance._HEART)} THEN 1 ELSE 0 END AS score FROM speaks JOIN heart USING (query_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) AS place FROM s),
+f AS (SELECT *, coalesce((c_hb AND place = min(CASE WHEN c_hb THEN place END) OVER w) OR (c_k AND place = min(CASE WHEN c_k THEN place END) OVER w), false) AS first FROM o WINDOW w AS (PARTITION BY query_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first DESC, place) AS rank FROM f WHERE first OR score > 0 OR place = 1)"""
+
+
+def _rounds(t) -> tuple[DataFrame, DataFrame]:
+    """Benchmark items as requests of three queries each, over a stored index of the documents; every fourth brings a context along."""
+    docs, path = t("documents"), scratch(t.spark)
+    word = F.when(F.col("doc_id") % 4 == 0, "; Potassium high").when(F.col("doc_id") % 4 == 1, "; haemoglobin falls.").when(F.col("doc_id") % 4 == 2, " in heart failure").otherwise("")
+    said = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("source_id"), F.col("doc_id").alias("chunk_id"), F.col("lang").alias("title"), F.concat("text", word).alias("snippet"))
+    postings.refreshed(docs.select("doc_id", "text"), path, "doc_id", "text")
+    requests = _asked(t)
+    queries = requests.select("query_id", F.posexplode(F.array(F.left("text", F.lit(40)), "text", F.right("text", F.lit(60)))).alias("query_index", "text"))
+    brought = requests.where("query_id % 4 = 0").select("query_id", F.col("query_id").alias("id"), F.lit(1).alias("ord")).join(said, "id").drop("id")
+    return rounds.answered(requests, queries, rounds.by_index(path, said, 3), brought, least=4, k=3)
+
+
+@query("ret15_rounds", f"WITH {_ROUNDS} SELECT query_id, id AS chunk_id, CAST(score AS DOUBLE) AS score, CAST(rank AS INT) AS rank, CAST(attempts AS INT) AS attempts FROM r JOIN said USING (query_id, ord) WHERE rank <= 4 AND (first OR score > 0 OR rank = 1)")
+def _(t):
+    found, requests = _rounds(t)
+    return found.join(requests.select("query_id", "attempts"), "query_id").select("query_id", "chunk_id", "score", "rank", "attempts")
+
+
 _MODE = f"trim(q) <> '' AND NOT ({_any('lower(q)', planning.PATIENT_WORDS)}) AND (NOT p OR {_any('lower(q)', planning.LITERAL_WORDS)}) AS literal, trim(q) <> '' AND NOT p AS explicit"
 _ASKS = "lower(coalesce(text, '')) || CASE conv_id % 5 WHEN 0 THEN ' as listed in Table 2 of NYHA/ESC' WHEN 1 THEN ' which dose' WHEN 2 THEN ' what are the types of LVEF and CRT-D' ELSE '' END"
 
