@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from siftstone.functions.text import ANSWER_STOPWORDS, GUIDANCE_STOPWORDS, SEARCH_STOPWORDS, tokens
 from siftstone.operators import answers, campaigns, cells, chunking, cleaning, clinical, datasets, dosing, guidance, indexing, mapping, matching, planning, postings, retrieval, rounds, runs, scoring, telemetry
 from siftstone.session import scratch
-from siftstone.sources import documents, stores, tables, vectors
+from siftstone.sources import documents, lines, stores, tables, vectors
 from siftstone.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -908,6 +908,29 @@ def _(t):
     return retrieval.until_sufficient(hits, judged, ["chunk_id"]).select("request_id", "query_index", "chunk_id")
 
 
+# --- Sources ---
+
+
+def _json_lines(t) -> tuple[DataFrame, DataFrame]:
+    """Documents as JSON lines in a folder, two lines each, of which the second one is newer, broken, of another type, without id, with a field too many, or blank."""
+    i, path = F.col("doc_id"), scratch(t.spark)
+    line = lambda n, *more: F.to_json(F.struct(i.alias("id"), F.lit(n).alias("n"), F.col("text").alias("text"), *more))
+    second = F.when(i % 6 == 1, F.concat(F.lit("{"), line(2))).when(i % 6 == 2, F.regexp_replace(line(2), '"n":2', '"n":"two"')).when(i % 6 == 3, F.to_json(F.struct(F.lit(2).alias("n")))).when(i % 6 == 4, line(2, i.alias("more"))).when(i % 6 == 5, "  ").otherwise(line(2))
+    t("documents").select(F.concat_ws("\n", line(1), second).alias("value")).write.text(path)
+    return lines.lenient(t.spark, path, "id long, n int, text string", "id", closed=True)
+
+
+@query("src14_last_line", "SELECT doc_id AS id, CASE WHEN doc_id % 6 = 0 THEN 2 ELSE 1 END::INT AS n, md5(text) AS text_md5 FROM documents")
+def _(t):
+    return _json_lines(t)[0].select("id", "n", F.md5("text").alias("text_md5"))
+
+
+@query("src15_dead_letters", "WITH d AS (SELECT CASE doc_id % 6 WHEN 1 THEN 'no JSON object' WHEN 2 THEN 'not of the schema' WHEN 3 THEN 'missing: id' WHEN 4 THEN 'unknown: more' END AS reason FROM documents) SELECT reason, count(*) AS n, count(*) AS on_even_lines FROM d WHERE reason IS NOT NULL GROUP BY 1")
+def _(t):
+    # The second line of a document has an even number in its file.
+    return _json_lines(t)[1].groupBy("reason").agg(F.count("*").alias("n"), F.count_if(F.col("line") % 2 == 0).alias("on_even_lines"))
+
+
 # --- Datasets and mapping ---
 
 
