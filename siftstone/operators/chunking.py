@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,29 +16,57 @@ DEFAULTS = {"naive": (300, 100), "late": (300, 100), "page_indexed": (1200, 150)
 
 
 def windows(text: Column, size: int, overlap: int) -> Column:
-    """Array of (start, part): windows of size characters that share overlap, over the text with single blanks. The last one ends with the text."""
+    """Array of (start, part): windows of size characters that share overlap, over the text with single blanks. The last one ends with the text.
+
+    The text is cut once into pieces as long as a step, and a window is put together from those that it spans: looking up each
+    window's place from the beginning of the text would take quadratic time.
+    """
     size = max(1, size)
     step = size - max(0, min(overlap, size - 1))
 
     def cut(flat: Column) -> Column:
         last = F.greatest(F.lit(0), F.ceil((F.length(flat) - size) / step).cast("int"))
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct((i * step).alias("start"), F.trim(F.substring(flat, i * step + 1, size)).alias("part")))
+        part = lambda pieces, i: F.trim(F.substring(F.array_join(F.slice(pieces, i + 1, -(-size // step)), ""), 1, size))
+        pieces = F.regexp_extract_all(flat, F.lit(f"(?s).{{1,{step}}}+"), F.lit(0))
+        return let(pieces, lambda x: F.transform(F.sequence(F.lit(0), last), lambda i: F.struct((i * step).alias("start"), part(x, i).alias("part"))))
 
     return F.filter(let(squeezed(text), cut), lambda x: x["part"] != "")
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _ends(lengths: pd.Series) -> pd.Series:
+    return lengths.map(lambda n: None if n is None else np.cumsum(np.asarray(n, dtype="int64") + 1) - 1)
+
+
 def page_ranges(pages: Column) -> Column:
-    """Array of (page_number, start, end) of the pages that aren't blank, as they follow each other with one blank between; numbers count blank pages."""
+    """Array of (page_number, start, end) of the pages that aren't blank, as they follow each other with one blank between; numbers count blank pages. Only lengths leave the JVM, for their prefix sums."""
     flat = F.filter(F.transform(pages, lambda p, i: F.struct((i + 1).alias("page_number"), F.length(squeezed(p)).alias("n"))), lambda x: x["n"] > 0)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<page_number:int,start:int,end:int>>").alias("out"))
-    placed = F.aggregate(flat, start, lambda s, x: F.struct((s["at"] + x["n"] + 1).alias("at"), F.concat(s["out"], F.array(F.struct(x["page_number"].alias("page_number"), s["at"].alias("start"), (s["at"] + x["n"]).alias("end")))).alias("out")))
-    return placed["out"]
+    ends = _ends(F.transform(flat, lambda x: x["n"]))
+    return F.zip_with(flat, ends, lambda x, end: F.struct(x["page_number"].alias("page_number"), (end - x["n"]).alias("start"), end.alias("end")))
+
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _found(numbers: pd.Series, lengths: pd.Series, middles: pd.Series) -> pd.Series:
+    def found(number, length, middle):
+        if middle is None:
+            return None
+        if number is None or not len(number):
+            return [None] * len(middle)
+        ends = np.cumsum(np.asarray(length, dtype="int64") + 1) - 1
+        # A middle without a place is null, which arrives as NaN beside numbers.
+        at = np.asarray([-1 if m is None or m != m else m for m in middle], dtype="int64")
+        i = np.searchsorted(ends, at, side="right")
+        inside = np.minimum(i, len(ends) - 1)
+        inside = np.where((i < len(ends)) & (at >= ends[inside] - np.asarray(length)[inside]), inside, len(ends) - 1)
+        return [None if m < 0 else int(number[j]) for m, j in zip(at, inside, strict=True)]
 
-def page_of(ranges: Column, start: Column, part: Column) -> Column:
-    """The page in which the middle of a part lies, or the last one; null without ranges or start."""
-    inside = let(start + F.floor(F.length(squeezed(part)) / 2), lambda middle: F.filter(ranges, lambda r: (r["start"] <= middle) & (middle < r["end"])))
-    return F.when((start >= 0) & (F.size(ranges) > 0), F.coalesce(F.get(inside, F.lit(0))["page_number"], F.element_at(ranges, F.lit(-1))["page_number"]))
+    return pd.Series([found(*x) for x in zip(numbers, lengths, middles, strict=True)], dtype=object)
+
+
+def pages_at(pages: Column, middles: Column) -> Column:
+    """The page of each place in the text that the pages make with single blanks between them: that which has the place, or the last one; null for null places, and without pages that aren't blank. By binary search among prefix sums."""
+    flat = F.filter(F.transform(pages, lambda p, i: F.struct((i + 1).alias("number"), F.length(squeezed(p)).alias("n"))), lambda x: x["n"] > 0)
+    return _found(F.transform(flat, lambda x: x["number"]), F.transform(flat, lambda x: x["n"]), middles)
 
 
 def paragraphs(text: Column) -> Column:
@@ -47,25 +74,29 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n\n", -1), lambda p: squeezed(p) != "")
 
 
-def _page_at(marked: Column, start: Column, part: Column) -> Column:
-    """The page in which the middle of a part lies, or the last one; null without pages. marked: the pages with single blanks, a mark between them in place of a blank."""
-    middle = start + F.floor(F.length(part) / 2)
-    pages = lambda x: (F.length(x) - F.length(F.replace(x, F.lit(_MARK), F.lit(""))) + 1).cast("int")
-    inside = (F.substring(marked, middle + 1, F.lit(1)) != _MARK) & (middle < F.length(marked))
-    return F.when((start >= 0) & (marked != ""), F.when(inside, pages(F.substring(marked, F.lit(1), middle.cast("int")))).otherwise(pages(marked)))
+def _pages_of(docs: DataFrame) -> Column:
+    """The raw pages of a document where it brings any, else its paragraphs."""
+    own = paragraphs(F.col("text"))
+    return F.when(F.size("raw_page_texts") > 0, F.col("raw_page_texts")).otherwise(own) if "raw_page_texts" in docs.columns else own
 
 
-#: Stands between pages where they are counted.
-_MARK = "\x01"
+def _paged(docs: DataFrame, middles: Column) -> Column:
+    """The page of each chunk: the document's own number if it has one (null if that is no number), or that of the chunk's middle."""
+    found = pages_at(_pages_of(docs), middles)
+    if "page_number" not in docs.columns:
+        return found
+    return F.when(F.col("page_number").isNotNull(), F.transform(middles, lambda _: F.col("page_number").try_cast("int"))).otherwise(found)
 
 
 def naive(docs: DataFrame, size: int = 300, overlap: int = 100) -> DataFrame:
-    """(source_id, chunk_id, chunk_index, start, text, page_number) of docs (source_id, text, optional page_number); pages are paragraphs where none is given."""
-    marked = F.array_join(F.transform(paragraphs(F.replace("text", F.lit(_MARK), F.lit("?"))), squeezed), _MARK)
-    cut = docs.withColumns({"_w": windows(F.col("text"), size, overlap), "_m": marked}).select("*", F.posexplode("_w").alias("chunk_index", "_x"))
-    found = _page_at(F.col("_m"), F.col("_x.start"), F.col("_x.part"))
-    page = F.coalesce(F.col("page_number").cast("int"), found) if "page_number" in docs.columns else found
-    return cut.select("source_id", F.concat(F.col("source_id"), F.lit("-chunk-"), F.col("chunk_index")).alias("chunk_id"), "chunk_index", F.col("_x.start").alias("start"), F.col("_x.part").alias("text"), page.alias("page_number"))
+    """(source_id, chunk_id, chunk_index, start, text, page_number) of docs (source_id, text, optional page_number, optional raw_page_texts).
+
+    A document's own page number comes first, then its raw pages, then its paragraphs as pages.
+    """
+    cut = docs.withColumn("_w", windows(F.col("text"), size, overlap))
+    middles = F.transform("_w", lambda x: x["start"] + F.floor(F.length(x["part"]) / 2).cast("int"))
+    cut = cut.withColumn("_p", _paged(docs, middles)).select("source_id", F.posexplode(F.zip_with("_w", "_p", lambda w, p: F.struct(w["start"].alias("start"), w["part"].alias("text"), p.alias("page_number")))).alias("chunk_index", "_x"))
+    return cut.select("source_id", F.concat(F.col("source_id"), F.lit("-chunk-"), F.col("chunk_index")).alias("chunk_id"), "chunk_index", "_x.*")
 
 
 def page_indexed(pages: DataFrame, size: int = 1200, overlap: int = 150) -> DataFrame:
@@ -100,32 +131,28 @@ def _packed(text: str, size: int, overlap: int) -> Iterator[tuple[str, bool]]:
 
 
 def _placed(text: str, size: int, overlap: int) -> list[dict]:
-    """Chunks with where they are looked up (a packed one where the last found chunk ended, part of a long paragraph where it is found), and the paragraph that has the middle of that, or the last one."""
+    """Chunks with the middles of where they are looked up: a packed one where the last found chunk ended, part of a long paragraph where it is found, if it is."""
     flat, at, out = " ".join(text.split()), 0, []
-    ends = list(accumulate(len(p) + 1 for p in (" ".join(x.split()) for x in text.split("\n\n")) if p))
     for chunk, part in _packed(text, size, overlap):
         wanted = " ".join(chunk.split())
         found = flat.find(wanted, at)
         found = found if found >= 0 else flat.find(wanted)
         start = found if part else at
-        middle = start + len(wanted) // 2
-        page = bisect_right(ends, middle) + 1
-        # The blank behind a paragraph is in none, as what is behind the text.
-        page = len(ends) if page > len(ends) or middle == ends[page - 1] - 1 else page
-        out.append({"text": chunk, "start": start, "page": page if start >= 0 and ends else None})
+        out.append({"text": chunk, "middle": start + len(wanted) // 2 if start >= 0 else None})
         at = found + len(wanted) if found >= 0 else at
     return out
 
 
 def late(docs: DataFrame, size: int = 300, overlap: int = 100) -> DataFrame:
-    """(source_id, chunk_id, chunk_index, text, page_number) of docs (source_id, text). How paragraphs pack goes by what was packed before, so it runs in Arrow batches, which also find the pages."""
+    """(source_id, chunk_id, chunk_index, text, page_number) of docs (source_id, text, optional page_number, optional raw_page_texts). How paragraphs pack goes by what was packed before, so it runs in Arrow batches. Pages are found as those of naive()."""
 
-    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("page", T.IntegerType())])))
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("middle", T.IntegerType())])))
     def packed(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: _placed(t or "", size, overlap))
 
-    cut = docs.select("source_id", F.posexplode(packed("text")).alias("chunk_index", "_x"))
-    return cut.select("source_id", F.concat(F.col("source_id"), F.lit("-chunk-"), F.col("chunk_index")).alias("chunk_id"), "chunk_index", F.col("_x.text").alias("text"), F.col("_x.page").alias("page_number"))
+    cut = docs.withColumn("_w", packed("text"))
+    cut = cut.withColumn("_p", _paged(docs, F.transform("_w", lambda x: x["middle"]))).select("source_id", F.posexplode(F.zip_with("_w", "_p", lambda w, p: F.struct(w["text"].alias("text"), p.alias("page_number")))).alias("chunk_index", "_x"))
+    return cut.select("source_id", F.concat(F.col("source_id"), F.lit("-chunk-"), F.col("chunk_index")).alias("chunk_id"), "chunk_index", "_x.*")
 
 
 def chunked(docs: DataFrame, strategy: str, size: int | None = None, overlap: int | None = None) -> DataFrame:

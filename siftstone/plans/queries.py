@@ -221,7 +221,11 @@ def _sources(t) -> DataFrame:
     return t("documents").select(F.col("doc_id").cast("string").alias("source_id"), "text")
 
 
-@query("chk03_naive")
+_CHUNK_PAGES = f"""g AS (SELECT doc_id, generate_subscripts(ps, 1) AS k, unnest(ps) AS x FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10) || chr(10)) AS ps FROM documents)),
+n AS (SELECT doc_id, k, len({_flat('x')}) AS n FROM g WHERE {_flat('x')} <> ''), e AS (SELECT doc_id, n, row_number() OVER w AS page, sum(n + 1) OVER w - 1 AS upto FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY k))"""
+
+
+@query("chk03_naive", f"WITH f AS (SELECT doc_id, {_flat('text')} AS t FROM documents), s AS (SELECT doc_id, t, unnest(range(0, greatest(0, CAST(ceil((len(t) - 300) / 200.0) AS INT)) + 1)) AS i FROM f), p AS (SELECT doc_id, i, trim(substring(t, i * 200 + 1, 300)) AS part FROM s), c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_index, i * 200 AS start, part, i * 200 + len(part) // 2 AS middle FROM p WHERE part <> ''), {_CHUNK_PAGES}, l AS (SELECT c.doc_id, chunk_index, start, part, coalesce(min(page) FILTER (middle >= upto - n AND middle < upto), max(page)) AS page FROM c LEFT JOIN e USING (doc_id) GROUP BY ALL) SELECT CAST(doc_id AS VARCHAR) AS source_id, doc_id || '-chunk-' || chunk_index AS chunk_id, CAST(chunk_index AS INT) AS chunk_index, CAST(start AS INT) AS start, part AS text, CAST(page AS INT) AS page_number FROM l")
 def _(t):
     return chunking.naive(_sources(t))
 

@@ -80,12 +80,45 @@ def test_windows(spark, t, size, overlap):
     assert windows(spark, t, size, overlap) == out
 
 
+def test_long_text_takes_linear_time(spark):
+    """5 MB of short paragraphs; each chunk's page by plain search among the ends of paragraphs."""
+    import bisect
+    import time
+
+    parts = [f"paragraph {i} {'x' * (i % 60)}é" for i in range(100_000)]
+    docs = spark.createDataFrame([("d", "\n\n".join(parts))], "source_id string, text string")
+    began = time.time()
+    got = chunking.naive(docs, 300, 100).orderBy("chunk_index").collect()
+    pages = docs.select(F.inline(chunking.page_ranges(F.split("text", "\n\n")))).collect()
+    assert time.time() - began < 60
+    flat, ends = " ".join(parts), []
+    for p in parts:
+        ends.append((ends[-1] + 1 if ends else 0) + len(p))
+    assert [(r.start, r.end) for r in pages] == [(e - len(p), e) for p, e in zip(parts, ends, strict=True)]
+    for r in got:
+        assert r.text == flat[r.start : r.start + 300].strip()
+        middle = r.start + len(r.text) // 2
+        i = bisect.bisect_right(ends, middle)
+        assert r.page_number == (i + 1 if i < len(ends) and flat_inside(ends, parts, i, middle) else len(parts))
+    assert len(got) == -(-(len(flat) - 300) // 200) + 1
+
+
+def flat_inside(ends, parts, i, middle):
+    return ends[i] - len(parts[i]) <= middle
+
+
 def test_pages_and_strategies(spark):
     docs = spark.createDataFrame([("d", "First page here.\n\n  \n\nSecond  page is longer than that.\n\nThird."), ("e", None), ("f", " ")], "source_id string, text string")
     ranges = docs.where("source_id = 'd'").select(F.inline(chunking.page_ranges(F.split("text", "\n\n")))).collect()
     assert [tuple(r) for r in ranges] == [(1, 0, 16), (3, 17, 49), (4, 50, 56)]
     got = chunking.naive(docs, 20, 5).orderBy("chunk_index").collect()
     assert [r.chunk_id for r in got] == [f"d-chunk-{i}" for i in range(len(got))] and [r.page_number for r in got] == [1, 2, 2, 3]
+    raw = docs.withColumn("raw_page_texts", F.when(F.col("source_id") == "d", F.array(F.lit("First page here."), F.lit(" "), F.lit("Second page"), F.lit("is longer than that. Third."))))
+    assert [r.page_number for r in chunking.naive(raw, 20, 5).orderBy("chunk_index").collect()] == [1, 3, 4, 4]
+    assert [r.page_number for r in chunking.late(raw, 30, 20).orderBy("chunk_index").collect()] == [1, 4, 4, 4]
+    assert {r.page_number for r in chunking.naive(raw.withColumn("page_number", F.lit("7")), 20, 5).collect()} == {7}
+    assert {r.page_number for r in chunking.naive(raw.withColumn("page_number", F.lit("vii")), 20, 5).collect()} == {None}
+    assert {r.page_number for r in chunking.naive(raw.withColumn("raw_page_texts", F.array(F.lit(" "))), 20, 5).collect()} == {None}
     late = chunking.late(docs, 30, 20).orderBy("chunk_index").collect()
     assert [r.text for r in late] == ["First page here.", "Second page is longer than tha", "e is longer than that.", "Third."]
     assert chunking.chunked(docs, "late").count() == 1
