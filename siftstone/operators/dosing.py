@@ -446,3 +446,84 @@ def verdicts(recommendations: DataFrame, shown: DataFrame) -> DataFrame:
     fails = F.coalesce(F.size("bare"), F.lit(0)) > 0
     reasons = F.when(fails, F.col("bare")).when(F.col("n") > 0, F.array(F.lit("grounded_recommendations_with_evidence"))).when(F.col("careful"), F.array(F.lit("grounded_safety_cautions_without_visible_uptitration"))).otherwise(F.array(F.lit("no_grounded_recommendation")))
     return x.select("request_id", F.when(fails, "fail").otherwise("pass").alias("verdict"), reasons.alias("reasons"), F.when((F.col("n") == 0) & ~F.col("careful"), "medium").otherwise("high").alias("confidence"))
+
+
+# What an answer says without a recommendation, and the warnings that go with answers.
+NO_DOSE = "No grounded drug dose recommendation could be made from the retrieved guideline context."
+WARNINGS = [
+    "Drug-dosing mode now requires retrieved guideline evidence before a dose recommendation is surfaced.",
+    "The answer field is intentionally short; full evidence rows and safety trade-offs are stored in metadata.drug_dosing_payload.",
+]
+NO_EVIDENCE = "No drug-specific evidence rows were extracted from retrieved context."
+NOTHING_SHOWN = "No visible recommendation met both grounding and safety checks."
+ASSUMED = "Some drug families used assumed agents because no explicit agent was supplied: "
+
+
+def reports(patients: DataFrame, known: DataFrame, recommendations: DataFrame, shown: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """One row per request of recommended(): answer, warnings, tradeoffs, safety_cautions, and the whole payload as JSON.
+
+    known: rows of evidence(); shown: rows of visible(); queries: rows of family_queries(). An answer has a line per shown
+    recommendation, its drug (or family) and dose. A trade-off is the note of a decision that needs care or is contraindicated;
+    a caution is such a decision if it is grounded, too. In the payload, families stand in their order; what is null is null there as well. A
+    request has at most one row per family in any of the tables, so its lists are short.
+    """
+    c = F.col
+    place = F.array_position(F.array(*map(F.lit, FAMILIES)), c("family"))
+    careful = lambda x: x["grounded"] & x["status"].isin("caution", "contraindicated")
+    note = lambda x: F.nullif(x["note"], F.lit(""))
+    fields = ["drug", "action", "dose", "status", "note", "assumed", "grounded", "chunk_ids", "pages"]
+    every = recommendations.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct(place.alias("at"), "family", *fields))).alias("every"))
+    seen = shown.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("rank", "family", "drug", "dose", "action", "status", "grounded", "chunk_ids", "pages"))).alias("seen"))
+    own = [f for f in known.columns if f not in ("request_id", "family")]
+    used = known.where(F.size("chunk_ids") > 0).groupBy("request_id").agg(F.map_from_entries(F.transform(F.sort_array(F.collect_list(F.struct(place.alias("at"), "family", *own))), lambda x: F.struct(x["family"].alias("k"), F.struct(*(x[f].alias(f) for f in own)).alias("v")))).alias("used"))
+    inputs = patients.select("request_id", F.struct(*(f for f in patients.columns if f != "request_id")).alias("inputs"))
+    rows = every.join(seen, "request_id", "left").join(used, "request_id", "left").join(inputs, "request_id", "left")
+    asked = F.array().cast("array<string>")
+    if queries is not None:
+        rows = rows.join(queries.groupBy("request_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "query"))), lambda x: x["query"]).alias("asked")), "request_id", "left")
+        asked = F.coalesce("asked", asked)
+    selected = F.coalesce("seen", F.array().cast(seen.schema["seen"].dataType))
+    line = lambda x: F.concat(F.coalesce(F.nullif(x["drug"], F.lit("")), x["family"]), F.coalesce(F.concat(F.lit(": "), F.nullif(x["dose"], F.lit(""))), F.lit("")))
+    agents = F.array_sort(F.array_distinct(F.transform(F.filter("every", lambda x: x["assumed"] & x["drug"].isNotNull()), lambda x: x["drug"])))
+    rows = rows.withColumns({
+        "answer": F.when(F.size(selected) > 0, F.array_join(F.transform(selected, line), "\n")).otherwise(NO_DOSE),
+        "tradeoffs": F.transform(F.filter("every", lambda x: careful(x) & note(x).isNotNull()), lambda x: F.concat(x["family"], F.lit(": "), x["note"])),
+        "safety_cautions": F.transform(F.filter("every", careful), lambda x: F.struct(*(x[f].alias(f) for f in ("family", "drug", "action", "status", "note")), x["chunk_ids"].alias("evidence_chunk_ids"))),
+        "warnings": F.array_compact(F.array(*map(F.lit, WARNINGS), F.when(c("used").isNull(), NO_EVIDENCE), F.when(F.size(selected) == 0, NOTHING_SHOWN), F.when(F.size(agents) > 0, F.concat(F.lit(ASSUMED), F.array_join(agents, ", "))))),
+    })
+    named = lambda x, first, *more: F.struct(*(x[f].alias(f) for f in first), *(x[f].alias(n) for f, n in more))
+    evidence_of = (("chunk_ids", "evidence_chunk_ids"), ("pages", "evidence_pages"))
+    told = F.map_from_entries(F.transform("every", lambda x: F.struct(x["family"].alias("k"), named(x, ("family", "drug", "action"), ("dose", "recommended_dose"), ("status", "status"), ("note", "note"), ("assumed", "assumed_agent"), ("grounded", "grounded"), *evidence_of).withField("tradeoff", F.when(careful(x), x["note"])).alias("v"))))
+    payload = F.struct(
+        F.lit("drug_dosing_grounded").alias("mode"), told.alias("recommendations"), F.transform(selected, lambda x: named(x, ("family", "drug", "dose", "action", "status", "grounded"), *evidence_of)).alias("selected_recommendations"),
+        F.coalesce("used", F.create_map().cast(used.schema["used"].dataType)).alias("evidence_rows_used"), "tradeoffs", "safety_cautions", c("inputs").alias("inputs_used"), asked.alias("retrieval_queries"),
+    )
+    return rows.select("request_id", "answer", "warnings", "tradeoffs", "safety_cautions", F.to_json(payload, {"ignoreNullFields": "false"}).alias("payload"))
+
+
+#: What makes contexts the same; null equals null.
+_CONTEXT = ["source_id", "chunk_id", "snippet"]
+
+
+def retrieved(hits: DataFrame, brought: DataFrame | None = None, top_k: int = 3, per_query: int = 3, most: int = 18) -> tuple[DataFrame, DataFrame]:
+    """Contexts per family, and those of the request as a whole.
+
+    hits (request_id, family, query_index, rank, source_id, chunk_id, title, snippet): what each family's query found, of which the first
+    per_query count; brought (request_id, ord, source_id, chunk_id, title, snippet): what a request had before. A family
+    has each context once (request_id, family, ord, ...). The whole is what was brought, as it is, and then what queries found in
+    their order and isn't there yet, cut to the larger of top_k and most (request_id, ord, ...).
+    """
+    own = ["source_id", "chunk_id", "title", "snippet"]
+    first = hits.where(F.col("rank") <= per_query)
+    order = [F.col("query_index"), F.col("rank")]
+    families = top(first_of(first, ["request_id", "family", *own], order), ["request_id", "family"], order, _NO_LIMIT, "ord").select("request_id", "family", "ord", *own)
+    rows = first.select("request_id", F.struct(F.lit(1).alias("found"), F.col("query_index").cast("long").alias("a"), F.col("rank").cast("long").alias("b")).alias("place"), *own)
+    if brought is not None:
+        rows = rows.unionByName(brought.select("request_id", F.struct(F.lit(0).alias("found"), F.col("ord").cast("long").alias("a"), F.lit(0).cast("long").alias("b")).alias("place"), *own))
+    # What was brought comes first, so a found context is the first of its kind only if none of those is the same.
+    at = F.row_number().over(Window.partitionBy("request_id", *_CONTEXT).orderBy("place"))
+    kept = rows.withColumn("_at", at).where("_at = 1 OR place.found = 0").drop("_at")
+    return families, top(kept, ["request_id"], [F.col("place")], max(top_k, most), "ord").select("request_id", "ord", *own)
+
+
+_NO_LIMIT = (1 << 31) - 1

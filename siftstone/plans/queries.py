@@ -617,7 +617,7 @@ _SAID = {
 }
 
 
-def _dosed(t) -> tuple[DataFrame, DataFrame]:
+def _dosed(t, evidence: bool = False) -> tuple[DataFrame, ...]:
     k = F.col("c_custkey")
     d = lambda x: F.when(x != 0, x.cast("string"))
     patients = t("customer").select(
@@ -627,7 +627,8 @@ def _dosed(t) -> tuple[DataFrame, DataFrame]:
     )
     items = F.array(*(F.struct(F.lit(f).alias("family"), F.lit(i).alias("ord"), F.lit(s).alias("snippet")) for i, (f, s) in enumerate(_SAID.items())))
     contexts = t("customer").where("c_custkey % 19 <> 0").select(k.alias("request_id"), F.explode(items).alias("x")).select("request_id", "x.*", F.concat(F.lit("chunk-"), F.col("x.family")).alias("chunk_id"), F.col("x.ord").alias("page_number"), F.lit("Table").alias("title"))
-    return patients, dosing.recommended(patients, dosing.evidence(patients, contexts))
+    known = dosing.evidence(patients, contexts)
+    return (patients, known, dosing.recommended(patients, known)) if evidence else (patients, dosing.recommended(patients, known))
 
 
 _DOSED = """p AS (SELECT c_custkey AS request_id, c_custkey % 19 <> 0 AS known, (3.5 + c_custkey % 29 / 10)::DOUBLE AS k, (1 + c_custkey % 31 / 10)::DOUBLE AS c, 15 + c_custkey % 60 AS e, 80 + c_custkey % 43 AS s, 40 + c_custkey % 37 AS h, c_custkey % 4 = 0 AS wet, c_custkey % 17 = 0 AS dry,
@@ -661,6 +662,25 @@ def _(t):
     return dosing.verdicts(out, shown).withColumn("reasons", F.array_join("reasons", "|"))
 
 
+_REPORTED = f"""WITH {_DOSED}, d AS (SELECT request_id, known, wants, family, v[1] AS action, regexp_replace(v[2], '\\.0 ', ' ') AS dose, v[3] AS status, list_position({_list(dosing.FAMILIES)}, family) AS place,
+ CASE family {" ".join(f"WHEN '{f}' THEN '{a}'" for f, a in dosing.AGENTS.items())} END AS drug, CASE family {" ".join(f"WHEN '{f}' THEN {p}" for f, p in dosing.PRIORITY.items())} END AS priority FROM r),
+s AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY list_position({_list(dosing.SHOWN)}, action), priority) AS rank FROM d WHERE status = 'eligible' AND action IN ('switch', 'start', 'increase') AND (family <> 'arni' OR wants OR action = 'start')),
+a AS (SELECT request_id, string_agg(drug || coalesce(': ' || dose, ''), chr(10) ORDER BY rank) AS answer FROM s WHERE rank <= 3 GROUP BY 1),
+w AS (SELECT request_id, coalesce(string_agg(family || '=' || action, '|' ORDER BY place) FILTER (status IN ('caution', 'contraindicated')), '') AS cautions, CAST(count(*) FILTER (status IN ('caution', 'contraindicated')) AS INT) AS n_tradeoffs, bool_or(known) AS known, max(CASE WHEN family = 'mra' THEN action END) AS mra_action,
+ string_agg(drug, ', ' ORDER BY drug) FILTER (NOT (family = 'ras' AND wants)) AS agents FROM d GROUP BY 1)"""
+
+
+@query("dos15_reports", f"""{_REPORTED} SELECT request_id, coalesce(answer, '{dosing.NO_DOSE}') AS answer, cautions, n_tradeoffs, mra_action, CAST(CASE WHEN known THEN 6 ELSE 0 END AS INT) AS n_evidence,
+ '{dosing.WARNINGS[0]}|{dosing.WARNINGS[1]}' || CASE WHEN known THEN '' ELSE '|{dosing.NO_EVIDENCE}' END || CASE WHEN answer IS NULL THEN '|{dosing.NOTHING_SHOWN}' ELSE '' END || '|{dosing.ASSUMED}' || agents AS warnings FROM w LEFT JOIN a USING (request_id)""")
+def _(t):
+    patients, known, out = _dosed(t, True)
+    shown = dosing.visible(out, t.spark.createDataFrame(list(dosing.PRIORITY.items()), "family string, priority int"))
+    rows = dosing.reports(patients, known, out, shown)
+    cautions = F.array_join(F.transform("safety_cautions", lambda x: F.concat(x["family"], F.lit("="), x["action"])), "|")
+    used = F.size(F.json_object_keys(F.get_json_object("payload", "$.evidence_rows_used")))
+    return rows.select("request_id", "answer", cautions.alias("cautions"), F.size("tradeoffs").alias("n_tradeoffs"), F.get_json_object("payload", "$.recommendations.mra.action").alias("mra_action"), used.alias("n_evidence"), F.array_join("warnings", "|").alias("warnings"))
+
+
 @query("dos04_family_queries", "SELECT c_custkey AS request_id, unnest(['mra', 'arni']) AS family, unnest([CASE c_custkey % 3 WHEN 0 THEN 'eplerenone' ELSE 'spironolactone' END || ' dose', 'sacubitril valsartan']) AS query FROM customer")
 def _(t):
     k = F.col("c_custkey")
@@ -757,6 +777,24 @@ def _(t):
     return found.join(requests.select("query_id", "attempts"), "query_id").select("query_id", "chunk_id", "score", "rank", "attempts")
 
 
+@query(
+    "dos05_retrieved",
+    f"""WITH {_OPENED}, hit AS (SELECT query_id // 4 AS request_id, query_id % 4 AS place, rank, id FROM ranked WHERE rank <= 3 UNION ALL SELECT item_id, 0, 1, doc_id FROM benchmark JOIN documents ON doc_id = item_id WHERE item_id % 4 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY request_id, id ORDER BY place, rank) AS nth FROM hit), o AS (SELECT request_id, id, row_number() OVER (PARTITION BY request_id ORDER BY place, rank) AS ord FROM k WHERE nth = 1)
+SELECT request_id, CASE place WHEN 1 THEN 'begin' WHEN 2 THEN 'all' ELSE 'end' END AS family, CAST(rank AS INT) AS ord, id AS chunk_id FROM hit WHERE place > 0 UNION ALL SELECT request_id, 'request', CAST(ord AS INT), id FROM o WHERE ord <= 5""",
+)
+def _(t):
+    """The queries of three families, the beginning, all and the end of a benchmark item, by one search."""
+    parts = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(n).alias("family"), x.alias("q")) for i, (n, x) in enumerate((("begin", F.left("text", F.lit(40))), ("all", F.col("text")), ("end", F.right("text", F.lit(60)))), 1)))
+    asked = t("benchmark").select(F.col("item_id").alias("request_id"), F.inline(parts)).withColumn("query_id", F.col("request_id") * 4 + F.col("place"))
+    docs = t("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("source_id"), F.col("doc_id").alias("chunk_id"), F.col("lang").alias("title"), F.col("text").alias("snippet"))
+    found = retrieval.bm25(asked, t("documents"), "query_id", "q", "doc_id", "text", 5).join(asked.select("query_id", "request_id", "family", F.col("place").alias("query_index")), "query_id").join(docs, "id")
+    brought = t("benchmark").where("item_id % 4 = 0").select(F.col("item_id").alias("request_id"), F.col("item_id").alias("id"), F.lit(1).alias("ord")).join(docs, "id")
+    families, whole = dosing.retrieved(found, brought, top_k=4, most=5)
+    columns = ["request_id", "family", "ord", "chunk_id"]
+    return families.select(*columns).unionByName(whole.withColumn("family", F.lit("request")).select(*columns))
+
+
 _MODE = f"trim(q) <> '' AND NOT ({_any('lower(q)', planning.PATIENT_WORDS)}) AND (NOT p OR {_any('lower(q)', planning.LITERAL_WORDS)}) AS literal, trim(q) <> '' AND NOT p AS explicit"
 _ASKS = "lower(coalesce(text, '')) || CASE conv_id % 5 WHEN 0 THEN ' as listed in Table 2 of NYHA/ESC' WHEN 1 THEN ' which dose' WHEN 2 THEN ' what are the types of LVEF and CRT-D' ELSE '' END"
 
