@@ -120,6 +120,29 @@ def dimension_means(runs: DataFrame, dimension: str, metrics: list[str]) -> Data
     return runs.groupBy(dimension).agg(*(F.avg(m).alias(m) for m in metrics))
 
 
+def leaders(runs: DataFrame, best: dict[str, Column], shown: list[str], run: str = "run_id") -> DataFrame:
+    """(finding, run, metrics that are shown): for each finding the run whose value is largest; null is last, of equal values the smallest run counts. Of a single run there is only the first finding. One pass, of which each task keeps a row per finding."""
+    at = lambda value: F.min(F.struct(value.isNull().alias("none"), (-value).alias("value"), F.col(run).alias(run), *shown))
+    rows = runs.agg(F.count("*").alias("_n"), *(at(value).alias(f"_{i}") for i, value in enumerate(best.values())))
+    told = F.array(*(F.struct(F.lit(i).alias("_i"), F.lit(name).alias("finding"), F.col(f"_{i}").alias("_x")) for i, name in enumerate(best)))
+    out = rows.where("_n > 0").select("_n", F.inline(told)).where("_i = 0 OR _n > 1")
+    return out.select("finding", *(F.col("_x")[c].alias(c) for c in (run, *shown)))
+
+
+def leading_groups(runs: DataFrame, dimensions: list[str], metrics: list[str]) -> DataFrame:
+    """(dimension, value, means of metrics): for each dimension with more than one value the group whose mean of the first metric is largest; a null value is a group but not a value, ties go to the smallest. All dimensions in one shuffle."""
+    each = F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dimensions))
+    means = runs.select(F.explode(each).alias("_x"), *metrics).groupBy("_x.dimension", "_x.value").agg(*(F.avg(m).alias(m) for m in metrics))
+    # As many rows as there are groups.
+    per = means.groupBy("dimension").agg(F.count("value").alias("_n"), F.min(F.struct(F.col(metrics[0]).isNull().alias("none"), (-F.col(metrics[0])).alias("mean"), F.col("value").isNull().alias("no"), "value", *[F.col(m).alias(f"m{i}") for i, m in enumerate(metrics)])).alias("_x"))
+    return per.where("_n > 1").select("dimension", F.col("_x.value").alias("value"), *(F.col("_x")[f"m{i}"].alias(m) for i, m in enumerate(metrics)))
+
+
+def hardest(cases: DataFrame, measures: list[str], key: str, k: int = 10) -> DataFrame:
+    """The k cases with the lowest measures, compared one after another; null is last, ties go by key."""
+    return cases.orderBy(*(F.col(m).asc_nulls_last() for m in measures), key).limit(k)
+
+
 def bottleneck(hit_at_3: Column, quality: Column, recall: Column, ungrounded: Column, total_ms: Column) -> Column:
     return (
         F.when(hit_at_3 < HITS, "Retrieval bottleneck")

@@ -103,6 +103,15 @@ def counts(rows: DataFrame, dimensions: list[str]) -> DataFrame:
     return rows.select(*(F.col(d).cast("string").alias(d) for d in dimensions)).unpivot([], dimensions, "dimension", "value").groupBy("dimension", "value").agg(F.count("*").alias("n"))
 
 
+def summary(cases: DataFrame, dimensions: list[str], words: str) -> DataFrame:
+    """(dimension, value, n, average): counts as counts() gives them, beside the mean number of words of all cases, missing ones as 0, to one decimal. One pass over the cases."""
+    each = F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dimensions))
+    per = cases.select(F.explode(each).alias("_x"), F.coalesce(words, F.lit(0)).alias("_w")).groupBy("_x.dimension", "_x.value").agg(F.count("*").alias("n"), F.sum("_w").alias("_w"))
+    # As many rows as there are values.
+    mean = per.groupBy("dimension").agg(F.bround(F.sum("_w") / F.sum("n"), 1).alias("average"))
+    return per.select("dimension", "value", "n").join(mean, "dimension")
+
+
 def problems(cases: DataFrame, required: list[str], key: str = "case_id", answerable: str | None = None, gold: str | None = None, size: int | None = None) -> DataFrame:
     """(case, problem): empty required fields, repeated ids, answerable cases without a gold passage, and a wrong number of cases."""
     one = lambda cond, text: cases.where(cond).select(F.col(key).cast("string").alias("case"), F.lit(text).alias("problem"))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftstone.functions.text import ANSWER_STOPWORDS, GUIDANCE_STOPWORDS, SEARCH_STOPWORDS, tokens
+from siftstone.functions.text import ANSWER_STOPWORDS, GUIDANCE_STOPWORDS, SEARCH_STOPWORDS, squeezed, tokens
 from siftstone.operators import answers, campaigns, cells, chunking, cleaning, clinical, datasets, dosing, guidance, indexing, mapping, matching, planning, postings, retrieval, rounds, runs, scoring, telemetry
 from siftstone.session import scratch
 from siftstone.sources import documents, lines, stores, tables, vectors
@@ -950,6 +950,42 @@ def _(t):
     return retrieval.until_sufficient(hits, judged, ["chunk_id"]).select("request_id", "query_index", "chunk_id")
 
 
+_AS_RUNS = "r AS (SELECT o_orderkey AS run_id, o_totalprice AS composite_score, (o_custkey % 10) / 10 AS hit_at_3, (o_orderkey % 7) / 7 AS quality, CASE WHEN o_orderkey % 11 > 0 THEN (o_custkey % 1000)::DOUBLE END AS p95, o_orderpriority AS strategy, CASE WHEN o_orderkey % 5 > 0 THEN o_orderstatus END AS mode, 'one' AS model FROM orders)"
+
+
+def _as_runs(t) -> DataFrame:
+    """Orders as runs with a score, three metrics and three settings."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return t("orders").select(
+        k.alias("run_id"), F.col("o_totalprice").cast("double").alias("composite_score"), (c % 10 / 10).alias("hit_at_3"), (k % 7 / 7).alias("quality"), F.when(k % 11 > 0, (c % 1000).cast("double")).alias("p95"),
+        F.col("o_orderpriority").alias("strategy"), F.when(k % 5 > 0, F.col("o_orderstatus")).alias("mode"), F.lit("one").alias("model"),
+    )
+
+
+@query("ana05_leaders", f"WITH {_AS_RUNS}, w AS (SELECT 'overall' AS finding, row_number() OVER (ORDER BY composite_score DESC, run_id) AS place, * FROM r UNION ALL SELECT 'fastest', row_number() OVER (ORDER BY p95 NULLS LAST, run_id), * FROM r UNION ALL SELECT 'retrieval', row_number() OVER (ORDER BY hit_at_3 DESC, run_id), * FROM r UNION ALL SELECT 'generation', row_number() OVER (ORDER BY quality DESC, run_id), * FROM r) SELECT finding, run_id, round(composite_score, 2)::DOUBLE AS composite_score, hit_at_3, round(quality, 6) AS quality, p95 FROM w WHERE place = 1")
+def _(t):
+    c = F.col
+    out = campaigns.leaders(_as_runs(t), {"overall": c("composite_score"), "fastest": -c("p95"), "retrieval": c("hit_at_3"), "generation": c("quality")}, ["composite_score", "hit_at_3", "quality", "p95"])
+    return out.withColumns({"quality": F.round("quality", 6), "composite_score": F.round("composite_score", 2)})
+
+
+@query("ana05_leading_groups", f"WITH {_AS_RUNS}, d AS (SELECT 'strategy' AS dimension, strategy AS value, * FROM r UNION ALL SELECT 'mode', mode, * FROM r UNION ALL SELECT 'model', model, * FROM r), m AS (SELECT dimension, value, avg(composite_score) AS composite_score, avg(hit_at_3) AS hit_at_3, avg(p95) AS p95 FROM d GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY composite_score DESC) AS place, count(value) OVER (PARTITION BY dimension) AS n FROM m) SELECT dimension, value, round(composite_score, 2)::DOUBLE AS composite_score, round(hit_at_3, 6) AS hit_at_3, round(p95, 6) AS p95 FROM p WHERE place = 1 AND n > 1")
+def _(t):
+    out = campaigns.leading_groups(_as_runs(t), ["strategy", "mode", "model"], ["composite_score", "hit_at_3", "p95"])
+    return out.select("dimension", "value", F.round("composite_score", 2).alias("composite_score"), F.round("hit_at_3", 6).alias("hit_at_3"), F.round("p95", 6).alias("p95"))
+
+
+@query("ana09_hardest", f"WITH {_AS_RUNS} SELECT run_id, round(quality, 6) AS quality, hit_at_3, p95 FROM (SELECT * FROM r ORDER BY quality, hit_at_3, p95 NULLS LAST, run_id LIMIT 10)")
+def _(t):
+    return campaigns.hardest(_as_runs(t), ["quality", "hit_at_3", "p95"], "run_id").select("run_id", F.round("quality", 6).alias("quality"), "hit_at_3", "p95")
+
+
+@query("ds06_summary", f"WITH d AS (SELECT lang, source, CASE WHEN doc_id % 4 > 0 THEN len(string_split({_flat('text')}, ' ')) END AS w FROM documents), a AS (SELECT round_even(sum(coalesce(w, 0)) / count(*), 1) AS average FROM d) SELECT dimension, value, count(*) AS n, any_value(average) AS average FROM (SELECT 'lang' AS dimension, lang AS value FROM d UNION ALL SELECT 'source', source FROM d), a GROUP BY 1, 2")
+def _(t):
+    words = F.when(F.col("doc_id") % 4 > 0, F.size(F.split(squeezed(F.col("text")), " ", -1)))
+    return datasets.summary(t("documents").withColumn("w", words), ["lang", "source"], "w")
+
+
 # --- Sources ---
 
 
