@@ -144,7 +144,9 @@ def normalised_answer(answer: Column, contexts: Column, potassium: Column) -> Co
     for old, new in HEADINGS.items():
         out = F.regexp_replace(out, rf"(?i)\b{old}\b", new)
     names = F.filter(F.flatten(F.transform(contexts, lambda c: F.array(c["source_id"], c["title"]))), lambda x: F.coalesce(x, F.lit("")) != "")
-    out = F.aggregate(F.array_distinct(names), out, lambda text, name: F.regexp_replace(text, F.concat(F.lit(r"(?i)\Q"), name, F.lit(r"\E")), F.lit("the available evidence")))
+    # A name may have what ends a quotation in an expression.
+    quoted = lambda name: F.concat(F.lit(r"(?iu)\Q"), F.replace(name, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    out = F.aggregate(F.array_distinct(names), out, lambda text, name: F.regexp_replace(text, quoted(name), F.lit("the available evidence")))
     for pattern in CLEANUP:
         out = F.regexp_replace(out, f"(?i){pattern}", "")
     out = F.when(potassium >= 5.0, F.regexp_replace(out, r"(?i)[^.\n]*hypokalemia[^.\n]*[.\n]?", "")).otherwise(out)

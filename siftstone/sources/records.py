@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,8 +34,7 @@ def split_failed(rows: DataFrame, error: str = "error") -> tuple[DataFrame, Data
 def first_object(text: Column) -> Column:
     """The first balanced JSON object in an answer, fences around it removed; null if there is none that parses."""
 
-    @F.udf("string")
-    def found(value):
+    def parsed(value: str | None) -> str | None:
         value = re.sub(r"```(?:json)?", "", value or "")
         for start in (m.start() for m in re.finditer(r"\{", value)):
             try:
@@ -43,6 +43,10 @@ def first_object(text: Column) -> Column:
                 continue
         return None
 
+    @F.pandas_udf(T.StringType())
+    def found(values: pd.Series) -> pd.Series:
+        return values.map(parsed)
+
     return found(text)
 
 

@@ -45,3 +45,14 @@ def test_contexts_per_family_and_request(spark):
     assert sorted(((r.family, r.ord, r.snippet) for r in families.collect())) == [("mra", 1, "A"), ("mra", 2, "N"), ("ras", 1, "A"), ("ras", 2, "N"), ("ras", 3, "G")]
     assert sorted((r.request_id, r.ord, r.snippet) for r in whole.collect()) == [(1, 1, "G"), (1, 2, "G"), (1, 3, "A"), (1, 4, "N"), (2, 1, "A")]
     assert [r.snippet for r in dosing.retrieved(hits, None, top_k=1, most=2)[1].orderBy("ord").collect()] == ["A", "N"]
+
+
+def test_names_with_marks_of_expressions(spark):
+    """Titles that end a quotation in an expression, or have letters outside of ASCII, are taken out like others."""
+    from pyspark.sql import functions as F
+
+    from siftstone.operators import answers
+
+    contexts = F.array(F.struct(F.lit("a.b*").alias("source_id"), F.lit(r"x\Ey").alias("title")), F.struct(F.lit("").alias("source_id"), F.lit("ÄRZTE $1").alias("title")))
+    said = spark.createDataFrame([(r"See x\Ey and axb* and a.b* and ärzte $1.",)], "t string")
+    assert said.select(answers.normalised_answer(F.col("t"), contexts, F.lit(None).cast("double")).alias("t")).first().t == "See the available evidence and axb* and the available evidence and the available evidence."
