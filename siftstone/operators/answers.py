@@ -79,7 +79,7 @@ def _anchors(n: Column, least: int, each: int | None) -> Column:
 
 def addresses_literal() -> Column:
     """Does an answer of prepared() rows answer a question about the wording?"""
-    lines = F.size(F.filter(F.transform(F.split("block", "\n", -1), F.trim), lambda x: x.rlike(r"^(-|[1-5]\.)")))
+    lines = F.size(F.filter(F.transform(F.split("block", "\n", -1), lambda x: F.trim(x)), lambda x: x.rlike(r"^(-|[1-5]\.)")))
     few = F.col("expected").isNotNull() & (F.size("items") > 0) & (lines < F.least("expected", F.lit(3)))
     found = _contains(F.col("in_contexts"), F.col("block")) >= 2
     anchored = _contains(_anchors(F.greatest(F.coalesce("expected", F.lit(0)), F.lit(3)), 5, 2), F.col("block")) > 0

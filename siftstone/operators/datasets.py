@@ -31,7 +31,8 @@ def references_page(text: Column) -> Column:
 
 def line_blocks(text: Column, most: int) -> Column:
     """The lines of a page without paragraphs as blocks: a heading begins one, and so does the line after `most` words. Page numbers and running heads go."""
-    lines = F.transform(F.split(text, "\n", -1), F.trim)
+    # Not F.trim itself: it has a second parameter, for which transform would pass each line's place.
+    lines = F.transform(F.split(text, "\n", -1), lambda x: F.trim(x))
     kept = F.filter(lines, lambda x: (x != "") & ~x.rlike(r"^\d+$") & ~F.startswith(F.lower(x), F.lit(RUNNING_HEAD)))
     heading = lambda x: ((F.upper(x) == x) & (F.lower(x) != x)) | F.array_contains(F.transform(F.array(*map(F.lit, SECTIONS)), lambda h: F.startswith(x, h)), True)
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("words"))

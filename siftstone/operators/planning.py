@@ -41,7 +41,7 @@ def question_queries(question: Column) -> Column:
     focus = F.coalesce(F.get(acronyms, F.lit(0)), topic)
     first = F.array(F.when(some, join(topic, " guidance")), F.when(some, join(topic, " definition glossary abbreviation")))
     last = F.array(F.when(has_any(low, TABLE_WORDS) & (focus != ""), join(focus, " exact wording glossary table definition")), F.when(has_any(low, LIST_WORDS) & some, join(topic, " categories list configurations")))
-    return F.array_remove(F.array_distinct(F.array_compact(F.transform(F.concat(first, per, last), F.trim))), F.trim(question))
+    return F.array_remove(F.array_distinct(F.array_compact(F.transform(F.concat(first, per, last), lambda x: F.trim(x)))), F.trim(question))
 
 
 def patient_question(relevant_terms: Column) -> Column:
