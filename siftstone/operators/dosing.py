@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .retrieval import first_of, top
+from .retrieval import dealt, first_of, top
 
 #: How near to a threshold a value counts as near.
 MARGINS = {"potassium": 0.2, "creatinine": 0.3, "egfr": 5.0, "sbp": 0.0}
@@ -25,9 +25,9 @@ def snapshot(variables: DataFrame, aliases: DataFrame) -> DataFrame:
     """One row per patient with a column per field: the value of its first alias that the patient has.
 
     variables (patient_id, key, value), aliases (alias, field, priority): keys are compared without case. A first alias whose
-    value is null leaves the field null.
+    value is null leaves the field null. Aliases are a list of names, which goes to all tasks, whatever size Spark takes it for.
     """
-    joined = variables.withColumn("alias", F.lower(F.trim("key"))).join(aliases.withColumn("alias", F.lower("alias")), "alias")
+    joined = variables.withColumn("alias", F.lower(F.trim("key"))).join(F.broadcast(aliases.withColumn("alias", F.lower("alias"))), "alias")
     chosen = first_of(joined, ["patient_id", "field"], [F.col("priority"), F.col("key")])
     return chosen.groupBy("patient_id").pivot("field").agg(F.first("value"))
 
@@ -49,7 +49,7 @@ def visible(recommendations: DataFrame, priorities: DataFrame, limit: int = 3) -
     an ARNI is shown only as a start. A loop diuretic that may be shown is among these anyway, so there is nothing to fall back on.
     """
     action = F.array_position(F.array(*map(F.lit, SHOWN)), F.col("action"))
-    kept = recommendations.where(F.col("eligible") & F.col("grounded") & F.col("action").isin(*SHOWN)).join(priorities, "family", "left")
+    kept = recommendations.where(F.col("eligible") & F.col("grounded") & F.col("action").isin(*SHOWN)).join(F.broadcast(priorities), "family", "left")
     if "wants_arni" in recommendations.columns:
         wants = F.coalesce("wants_arni", F.lit(False))
         kept = kept.where(~((F.col("family") == "ras") & wants) & ((F.col("family") != "arni") | wants | (F.col("action") == "start")))
@@ -62,10 +62,10 @@ _NUMBER = r"(\d+(?:\.\d+)?)"
 def agent_line(contexts: DataFrame, agents: DataFrame) -> DataFrame:
     """(request_id, agent, line): the first line of a request's contexts (request_id, ord, snippet) that names the agent; if none does, all snippets."""
     cut = contexts.select("request_id", "ord", F.posexplode(F.split("snippet", r"\r?\n", -1)).alias("at", "line"))
-    met = cut.join(agents, "request_id").where(F.contains(F.lower("line"), F.replace(F.lower("agent"), F.lit("_"), F.lit(" "))))
+    met = cut.join(dealt(agents), "request_id").where(F.contains(F.lower("line"), F.replace(F.lower("agent"), F.lit("_"), F.lit(" "))))
     first = met.groupBy("request_id", "agent").agg(F.trim(F.min_by("line", F.struct("ord", "at"))).alias("line"))
     every = contexts.groupBy("request_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "snippet"))), lambda x: x["snippet"]), "\n").alias("all"))
-    return agents.join(first, ["request_id", "agent"], "left").join(every, "request_id", "left").select("request_id", "agent", F.coalesce("line", "all", F.lit("")).alias("line"))
+    return agents.join(dealt(first), ["request_id", "agent"], "left").join(dealt(every), "request_id", "left").select("request_id", "agent", F.coalesce("line", "all", F.lit("")).alias("line"))
 
 
 def shown_number(value: Column) -> Column:
@@ -157,7 +157,7 @@ def cautions(recommendations: DataFrame) -> DataFrame:
 def grounded_contexts(contexts: DataFrame, evidence: DataFrame, most: int = 12) -> DataFrame:
     """The contexts (request_id, ord, chunk_id) that evidence (request_id, at, chunk_id) names, in its order, at most `most`; for a request without any, its first ones."""
     at = evidence.groupBy("request_id", "chunk_id").agg(F.min("at").alias("_at"))
-    marked = contexts.join(at, ["request_id", "chunk_id"], "left")
+    marked = contexts.join(dealt(at), ["request_id", "chunk_id"], "left")
     named = F.max(F.col("_at").isNotNull()).over(Window.partitionBy("request_id"))
     kept = marked.withColumn("_named", named).where(F.col("_at").isNotNull() | ~F.col("_named"))
     return top(kept, ["request_id"], [F.col("_at").asc_nulls_last(), F.col("ord")], most).drop("_at", "_named")
@@ -246,7 +246,7 @@ def evidence(patients: DataFrame, contexts: DataFrame) -> DataFrame:
     agents = F.array(*(F.struct(F.lit(f).alias("family"), agent(F.col(f"{f}_agent") if f"{f}_agent" in patients.columns else F.lit(None).cast("string"), F.lit(f)).alias("agent")) for f in FAMILIES))
     rows = patients.select("request_id", F.explode(agents).alias("x")).select("request_id", "x.family", F.col("x.agent.name").alias("drug"), F.col("x.agent.assumed").alias("assumed"))
     item = F.struct("ord", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("snippet", F.lit("")).alias("snippet"), F.col("chunk_id").cast("string").alias("chunk_id"), "page_number")
-    rows = rows.join(contexts.groupBy("request_id", "family").agg(F.sort_array(F.collect_list(item)).alias("items")), ["request_id", "family"], "left")
+    rows = rows.join(dealt(contexts.groupBy("request_id", "family").agg(F.sort_array(F.collect_list(item)).alias("items"))), ["request_id", "family"], "left")
     rows = rows.withColumn("text", F.coalesce(F.array_join(F.transform("items", lambda x: F.lower(F.concat(x["title"], F.lit(" "), x["snippet"]))), "\n"), F.lit("")))
     wanted = F.replace(F.lower("drug"), F.lit("_"), F.lit(" "))
     lines = F.flatten(F.transform("items", lambda x: F.split(x["snippet"], r"\r?\n", -1)))
@@ -330,7 +330,7 @@ def recommended(patients: DataFrame, known: DataFrame) -> DataFrame:
     which the first that holds decides; missing values and thresholds hold in none.
     """
     yes = lambda c: F.coalesce(c, F.lit(False))
-    r = known.join(patients, "request_id")
+    r = known.join(dealt(patients), "request_id")
     c = F.col
     previous = F.element_at(F.create_map(*(x for f, d in DOSES.items() for x in (F.lit(f), c(d).cast("string")))), c("family"))
     r = r.withColumn("taken", number(previous))
@@ -442,7 +442,7 @@ def verdicts(recommendations: DataFrame, shown: DataFrame) -> DataFrame:
     per = recommendations.groupBy("request_id").agg((careful > 0).alias("careful"))
     bare = F.array_sort(F.collect_list(F.when(~F.coalesce("grounded", F.lit(False)) | (F.size("chunk_ids") == 0), F.concat(F.lit("ungrounded_recommendation:"), F.col("family")))))
     seen = shown.groupBy("request_id").agg(F.count("*").alias("n"), bare.alias("bare"))
-    x = per.join(seen, "request_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    x = per.join(dealt(seen), "request_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     fails = F.coalesce(F.size("bare"), F.lit(0)) > 0
     reasons = F.when(fails, F.col("bare")).when(F.col("n") > 0, F.array(F.lit("grounded_recommendations_with_evidence"))).when(F.col("careful"), F.array(F.lit("grounded_safety_cautions_without_visible_uptitration"))).otherwise(F.array(F.lit("no_grounded_recommendation")))
     return x.select("request_id", F.when(fails, "fail").otherwise("pass").alias("verdict"), reasons.alias("reasons"), F.when((F.col("n") == 0) & ~F.col("careful"), "medium").otherwise("high").alias("confidence"))
@@ -477,10 +477,10 @@ def reports(patients: DataFrame, known: DataFrame, recommendations: DataFrame, s
     own = [f for f in known.columns if f not in ("request_id", "family")]
     used = known.where(F.size("chunk_ids") > 0).groupBy("request_id").agg(F.map_from_entries(F.transform(F.sort_array(F.collect_list(F.struct(place.alias("at"), "family", *own))), lambda x: F.struct(x["family"].alias("k"), F.struct(*(x[f].alias(f) for f in own)).alias("v")))).alias("used"))
     inputs = patients.select("request_id", F.struct(*(f for f in patients.columns if f != "request_id")).alias("inputs"))
-    rows = every.join(seen, "request_id", "left").join(used, "request_id", "left").join(inputs, "request_id", "left")
+    rows = every.join(dealt(seen), "request_id", "left").join(dealt(used), "request_id", "left").join(dealt(inputs), "request_id", "left")
     asked = F.array().cast("array<string>")
     if queries is not None:
-        rows = rows.join(queries.groupBy("request_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "query"))), lambda x: x["query"]).alias("asked")), "request_id", "left")
+        rows = rows.join(dealt(queries.groupBy("request_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "query"))), lambda x: x["query"]).alias("asked"))), "request_id", "left")
         asked = F.coalesce("asked", asked)
     selected = F.coalesce("seen", F.array().cast(seen.schema["seen"].dataType))
     line = lambda x: F.concat(F.coalesce(F.nullif(x["drug"], F.lit("")), x["family"]), F.coalesce(F.concat(F.lit(": "), F.nullif(x["dose"], F.lit(""))), F.lit("")))

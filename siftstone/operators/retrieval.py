@@ -26,6 +26,14 @@ def top(df: DataFrame, keys: list[str], order: list, k: int, rank: str = "rank")
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= k)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df as a side of a join that grows with the input: joined by a shuffle on both sides, never sent through the driver.
+
+    Spark guesses a side's size by that of the files that it is made of; exploded and computed columns can be many times that.
+    """
+    return df.hint("merge")
+
+
 def postings(corpus: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, term, tf, length) of the documents that have tokens."""
     read = corpus.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("tokens")).where(F.size("tokens") > 0)
