@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftstone.functions.text import let, tokens
+from siftstone.session import written
 
 K1, B = 1.5, 0.75
 
@@ -46,19 +47,29 @@ def statistics(corpus: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return corpus.select(size.alias("n")).where("n > 0").agg(F.count("*").alias("n_docs"), F.greatest(F.coalesce(F.avg("n"), F.lit(0.0)), F.lit(1.0)).alias("mean_length"))
 
 
+#: Words of queries that are sent to all tasks; more are joined as Spark likes.
+QUERY_WORDS = 1_000_000
+
+
+def _few(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """rows, one per word of a query, sent to all tasks if there are few of them, whatever size Spark takes them for."""
+    return F.broadcast(rows) if asked.limit(QUERY_WORDS + 1).count() <= QUERY_WORDS else rows
+
+
 def bm25(queries: DataFrame, corpus: DataFrame, query_id: str, query_text: str, id_col: str, text_col: str, k: int = 3) -> DataFrame:
     """(query_id, id, score, rank): the k best documents of each query by BM25; repeated query terms count again, scores of 0 don't.
 
     Texts are read and cut once. Besides its words each document that has any counts as a posting of the empty word, so one
     aggregate over terms gives document frequencies, the number of documents and their mean length. Only postings of words
-    that some query has are shuffled; queries are expected to be far fewer than documents, and Spark sends them to all tasks
-    if they are small enough.
+    that some query has are shuffled and kept; queries are expected to be far fewer than documents, and Spark sends them to all
+    tasks if they are small enough.
     """
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    wanted = asked.select("term").distinct().unionByName(queries.sparkSession.createDataFrame([("",)], "term string"))
+    # A range is a table whose size Spark knows; rows from Python would count as huge, and all words of the corpus be shuffled to meet them.
+    wanted = asked.select("term").distinct().unionByName(queries.sparkSession.range(1).select(F.lit("").alias("term")))
     read = corpus.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("tokens")).select("id", F.size("tokens").alias("length"), F.explode(F.when(F.size("tokens") > 0, F.array_append("tokens", F.lit("")))).alias("term"))
-    found = read.join(wanted, "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    # All columns of the postings are used, so this and the scores share their shuffle.
+    # Kept as a table: filters on words would go down to the texts otherwise, and each of the three uses read and cut them for itself.
+    found = written(read.join(wanted, "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length")))
     per = found.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.sum("length").alias("total"))
     # One row of two numbers.
     all_ = F.broadcast(per.where("term = '' AND cf > 0").select(F.col("df").alias("n_docs"), F.greatest(F.col("total") / F.col("df"), F.lit(1.0)).alias("mean_length")))
@@ -66,7 +77,9 @@ def bm25(queries: DataFrame, corpus: DataFrame, query_id: str, query_text: str,
     weighed = weighed.select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight"), "mean_length")
     tf = F.col("tf")
     part = F.col("weight") * tf * (K1 + 1) / F.greatest(tf + K1 * (1 - B + B * F.col("length") / F.col("mean_length")), F.lit(1e-9))
-    scored = found.join(weighed, "term").groupBy("query_id", "id").agg(F.sum(part).alias("score")).where("score > 0")
+    # Dealt by document, the postings meet the queries' words where their sums are made: what doesn't move are the scores of all pairs.
+    meets = found.where("term <> ''").repartition("id").join(_few(weighed, asked), "term")
+    scored = meets.groupBy("query_id", "id").agg(F.sum(part).alias("score")).where("score > 0")
     return top(scored, ["query_id"], [F.round("score", 9).desc(), F.col("id")], k).select("query_id", "id", "score", "rank")
 
 

@@ -23,3 +23,12 @@ def test_aliases_are_sent_instead_of_patients(spark):
     variables = spark.range(9).select(F.col("id").alias("patient_id"), F.lit("K").alias("key"), F.lit("1").alias("value"))
     aliases = spark.createDataFrame([("k", "potassium", 0)], "alias string, field string, priority int")
     assert "BuildRight" in plan(dosing.snapshot(variables, aliases)) and "BuildLeft" not in plan(dosing.snapshot(variables, aliases))
+
+
+def test_texts_are_read_once_for_a_search(spark):
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+    found = plan(retrieval.bm25(read("benchmark"), read("documents"), "item_id", "text", "doc_id", "text"))
+    # Postings are kept before their uses; what reads texts afterwards are queries.
+    assert "documents.parquet" not in found
+    # Scores of all pairs of queries and documents aren't shuffled to be summed.
+    assert "Exchange hashpartitioning(query_id#" in found and not [x for x in found.splitlines() if "Exchange hashpartitioning(query_id#" in x and ", id#" in x]
