@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftstone.functions.text import squeezed
+from siftstone.functions.text import let, squeezed
 
 
 def padded(n: Column) -> Column:
@@ -163,10 +163,12 @@ def refined(cases: DataFrame) -> DataFrame:
     words, size = F.coalesce("words", F.lit(0)), F.size(F.filter(F.split(squeezed(q), " "), lambda x: x != ""))
     hard = F.when(~F.col("answerable"), F.when(words < 120, "medium").otherwise("hard")).when((words < 70) & (size < 14), "easy").when(words < 120, "medium").otherwise("hard")
     own = F.filter(F.regexp_extract_all(q, F.lit("([a-z0-9]+)")), lambda t: ~t.isin(TERM_STOPWORDS))
-    there = lambda least: F.filter(own, lambda t: (F.length(t) > least) & F.contains(passage, t))
+    # The passage's plain form is made once per row, not for each word.
+    met = let(passage, lambda p: F.filter(own, lambda t: (F.length(t) > 2) & F.contains(p, t)))
+    cases = cases.select("*", F.inline(F.array(F.struct(met.alias("_met")))))
     asked = F.filter(own, lambda t: F.length(t) > 3)
-    odd = ~F.col("answerable") & (F.size(there(3)) >= F.greatest(F.lit(3), F.floor(F.size(asked) / 2))) & F.exists(F.array(*map(F.lit, ASKING)), lambda w: F.contains(q, w))
-    return cases.withColumns({"reasoning_type": kind.otherwise("single-hop"), "difficulty": hard, "key_terms": F.slice(F.array_distinct(there(2)), 1, 6), "review_status": F.when(odd, "flagged_suspicious_answerability").otherwise("auto_generated_unreviewed")})
+    odd = ~F.col("answerable") & (F.size(F.filter("_met", lambda t: F.length(t) > 3)) >= F.greatest(F.lit(3), F.floor(F.size(asked) / 2))) & F.exists(F.array(*map(F.lit, ASKING)), lambda w: F.contains(q, w))
+    return cases.withColumns({"reasoning_type": kind.otherwise("single-hop"), "difficulty": hard, "key_terms": F.slice(F.array_distinct("_met"), 1, 6), "review_status": F.when(odd, "flagged_suspicious_answerability").otherwise("auto_generated_unreviewed")}).drop("_met")
 
 
 def synthetic_profiles(patients: DataFrame, markers: list[tuple[str, float | None, float | None, str]], seed: int = 42) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from siftstone.operators import dosing, retrieval
+from siftstone.operators import datasets, dosing, retrieval
 from siftstone.plans import queries
 
 
@@ -32,3 +32,10 @@ def test_texts_are_read_once_for_a_search(spark):
     assert "documents.parquet" not in found
     # Scores of all pairs of queries and documents aren't shuffled to be summed.
     assert "Exchange hashpartitioning(query_id#" in found and not [x for x in found.splitlines() if "Exchange hashpartitioning(query_id#" in x and ", id#" in x]
+
+
+def test_a_passage_is_cleaned_once_per_case(spark):
+    cases = spark.range(1).select(F.lit("What is the dose of alpha beta gamma").alias("question"), F.lit("Alpha, beta.").alias("passage"), F.lit(True).alias("answerable"), F.lit(9).alias("words"))
+    refined = datasets.refined(cases)
+    assert refined.select("key_terms").first().key_terms == ["alpha", "beta"]
+    assert plan(refined.select("key_terms", "review_status")).count("[^a-z0-9") == 1
