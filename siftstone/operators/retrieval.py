@@ -7,8 +7,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftstone.functions.text import let, tokens
 from siftstone.session import written
@@ -102,7 +106,7 @@ def dense(queries: DataFrame, corpus: DataFrame, query_id: str, query_vector: st
     """(query_id, id, score, rank): the k nearest vectors of each query by cosine.
 
     A stated set of queries against all rows: vectors are brought to length 1 once, each task meets a block of queries of at
-    most about QUERY_BYTES, and only k rows per query leave it. More queries go in several blocks, whose results are joined.
+    most about QUERY_BYTES as products of matrices (where ids are whole numbers), and only k rows per query leave it. More queries go in several blocks, whose results are joined.
     """
     unit = lambda v: let(F.sqrt(dot(v, v)), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0)))
     asked = queries.select(F.col(query_id).alias("query_id"), unit(F.col(query_vector)).alias("q"))
@@ -110,14 +114,74 @@ def dense(queries: DataFrame, corpus: DataFrame, query_id: str, query_vector: st
     size = queries.agg(F.sum(8 * F.size(query_vector)).alias("n")).first()["n"] or 0
     blocks = max(1, -(-size // QUERY_BYTES))
 
+    whole = all(isinstance(df.schema[0].dataType, T.IntegralType) for df in (asked, rows))
+
     def block(i: int) -> DataFrame:
         own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else asked
-        scored = rows.join(F.broadcast(own), F.size("q") == F.size("v")).select("query_id", "id", F.coalesce(F.nanvl(dot(F.col("q"), F.col("v")), F.lit(0.0)), F.lit(0.0)).alias("score"))
+        if whole:
+            scored = rows.where("v IS NOT NULL").mapInArrow(_nearest(own.where("q IS NOT NULL").toArrow(), k), T.StructType([asked.schema["query_id"], rows.schema["id"], T.StructField("score", T.DoubleType())]))
+        else:
+            scored = rows.join(F.broadcast(own), F.size("q") == F.size("v")).select("query_id", "id", F.coalesce(F.nanvl(dot(F.col("q"), F.col("v")), F.lit(0.0)), F.lit(0.0)).alias("score"))
         return top(scored, ["query_id"], [F.round("score", 9).desc(), F.col("id")], k)
 
     return reduce(DataFrame.unionByName, map(block, range(blocks)))
 
 
+#: Rows and queries whose products a task holds at a time.
+DENSE_ROWS, DENSE_QUERIES = 4096, 1024
+_NONE = np.iinfo(np.int64).min
+
+
+def _by_size(vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each length of vectors their places and a matrix of them."""
+    size, flat = pc.list_value_length(vectors).to_numpy(zero_copy_only=False), pc.fill_null(vectors.flatten(), 0.0).to_numpy(zero_copy_only=False)
+    start = np.r_[0, np.cumsum(size)[:-1]].astype(np.int64)
+    at = {int(n): np.flatnonzero(size == n) for n in np.unique(size)}
+    return {n: (places, flat[start[places][:, None] + np.arange(n)].reshape(len(places), n)) for n, places in at.items()}
+
+
+def _nearest(asked: pa.Table, k: int):
+    """Batches (id, v) into the k nearest rows of each query (query_id, q) that the task has: products of matrices, ties to the smallest id. Ids are whole numbers; a null one comes first."""
+    asked = asked.combine_chunks()
+    names, sizes = asked["query_id"], _by_size(asked["q"].combine_chunks()) if asked.num_rows else {}
+
+    def run(batches):
+        best = {n: (np.full((len(at), k), -np.inf), np.zeros((len(at), k), np.int64)) for n, (at, _) in sizes.items()}
+        kind = pa.int64()
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            ids = pc.fill_null(batch.column(0).cast(pa.int64()), _NONE).to_numpy(zero_copy_only=False)
+            for n, (place, rows) in _by_size(batch.column(1)).items():
+                if n not in sizes:
+                    continue
+                order = np.argsort(ids[place], kind="stable")
+                rows, own, queries = rows[order], ids[place][order], sizes[n][1]
+                score, kept = best[n]
+                for r in range(0, len(rows), DENSE_ROWS):
+                    for q in range(0, len(queries), DENSE_QUERIES):
+                        near = np.nan_to_num(queries[q : q + DENSE_QUERIES] @ rows[r : r + DENSE_ROWS].T, nan=0.0, posinf=np.inf, neginf=-np.inf)
+                        place_ = np.arange(len(near))
+                        shown, found, ours = np.round(near, 9), [], min(k, near.shape[1])
+                        for _ in range(ours):
+                            # The first of equal ones has the smallest id.
+                            top_ = shown.argmax(axis=1)
+                            found.append((near[place_, top_], own[r + top_]))
+                            shown[place_, top_] = -np.inf
+                        both = np.c_[score[q : q + len(near)], np.stack([x for x, _ in found], axis=1)]
+                        which = np.c_[kept[q : q + len(near)], np.stack([x for _, x in found], axis=1)]
+                        first = np.lexsort((which, -np.round(both, 9)), axis=1)[:, :k]
+                        score[q : q + len(near)], kept[q : q + len(near)] = np.take_along_axis(both, first, 1), np.take_along_axis(which, first, 1)
+        for n, (at, _) in sizes.items():
+            score, kept = best[n]
+            for q in range(0, len(at), DENSE_ROWS):
+                there = np.isfinite(score[q : q + DENSE_ROWS]) | (score[q : q + DENSE_ROWS] == np.inf)
+                query, values, found = np.repeat(at[q : q + DENSE_ROWS], there.sum(axis=1)), score[q : q + DENSE_ROWS][there], kept[q : q + DENSE_ROWS][there]
+                if len(query):
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(query)).combine_chunks(), pa.array(found, mask=found == _NONE).cast(kind), pa.array(values)], names=["query_id", "id", "score"])
+
+    return run
+
+
 def normalised(hits: DataFrame) -> DataFrame:
     """Hits (query_id, id, score, ...) with scores from 0 to 1 per query; if all are equal, 1. A largest score of exactly 0 counts as 1. Of repeated ids the last one counts, by `rank`."""
     per = Window.partitionBy("query_id")
