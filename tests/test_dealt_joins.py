@@ -35,7 +35,13 @@ def test_texts_are_read_once_for_a_search(spark):
 
 
 def test_a_passage_is_cleaned_once_per_case(spark):
-    cases = spark.range(1).select(F.lit("What is the dose of alpha beta gamma").alias("question"), F.lit("Alpha, beta.").alias("passage"), F.lit(True).alias("answerable"), F.lit(9).alias("words"))
+    cases = spark.range(1).select(F.concat(F.lit("What is the dose of alpha beta gamma"), "id").alias("question"), F.concat(F.lit("Alpha, beta."), "id").alias("passage"), F.lit(True).alias("answerable"), F.lit(9).alias("words"))
     refined = datasets.refined(cases)
     assert refined.select("key_terms").first().key_terms == ["alpha", "beta"]
     assert plan(refined.select("key_terms", "review_status")).count("[^a-z0-9") == 1
+
+
+def test_long_records_are_made_in_many_tasks(spark):
+    for name in ("ana02_run_rows", "ana02_case_rows"):
+        rows = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert "REPARTITION_BY_NUM" in plan(rows) and rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
