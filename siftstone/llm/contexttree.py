@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import remainder, small_batches, table, written
+from .shared import released, releasing, remainder, small_batches, table, written
 from .textcols import LOWER, Lookup, U, buffers, counted, merged, slices, summed, word_hashes, words
 
 DEPTH = 5
@@ -40,7 +40,7 @@ KEY_DEPTH = 2
 BLOCK_BYTES = 32 << 20
 FOLDS, HELD_OUT = 7, 2
 #: Entries that a task counts before it adds equal ones up, and grams of which a task makes subtrees at a time.
-HELD_ENTRIES, CHUNK = 4 << 20, 1 << 20
+HELD_ENTRIES, CHUNK = 2 << 20, 1 << 17
 #: Bytes that are counted at a time: larger pieces repeat more.
 PIECE = 1 << 20
 #: Never part of UTF-8.
@@ -198,19 +198,19 @@ def _counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                     entries = 0
         yield from flush()
 
-    return docs.repartition("block").mapInArrow(run, "block int, kind int, key long, n long")
+    return docs.repartition("block").mapInArrow(releasing(run), "block int, kind int, key long, n long")
 
 
 def _chunks(batches, depth: int):
     """Batches of (key, n, blocks) in order of keys, as tables in which every key context is complete."""
     kept: list[pa.RecordBatch] = []
-    size = 0
+    size, enough = 0, CHUNK
     for batch in batches:
         if not batch.num_rows:
             continue
         kept.append(batch)
         size += batch.num_rows
-        if size >= CHUNK:
+        if size >= enough:
             whole = pa.Table.from_batches(kept)
             context = whole["key"].to_numpy() >> 8 * (depth + 1 - KEY_DEPTH)
             cut = int(np.searchsorted(context, context[-1]))
@@ -218,6 +218,7 @@ def _chunks(batches, depth: int):
                 yield whole.slice(0, cut)
             kept = whole.slice(cut).combine_chunks().to_batches()
             size -= cut
+            enough = max(CHUNK, 2 * size)  # a context that is larger is put together a few times only
     if size:
         yield pa.Table.from_batches(kept)
 
@@ -244,7 +245,7 @@ def log_probabilities(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     spark = counts.sparkSession
     context = F.shiftright("key", 8 * (depth + 1 - KEY_DEPTH))
     met = counts.repartition(context).sortWithinPartitions("key")
-    rows = met.select("key", "n").mapInArrow(_tops(depth), "at long, zeros double, ones double, weighted double")
+    rows = met.select("key", "n").mapInArrow(releasing(_tops(depth)), "at long, zeros double, ones double, weighted double")
     top = rows.groupBy("at").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("weighted")).toArrow()
     full = np.zeros((3, 1 << 16))
     full[:, top["at"].to_numpy()] = [top[c].to_numpy() for c in ("zeros", "ones", "weighted")]
@@ -257,7 +258,7 @@ def log_probabilities(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
             value = tree.log10(keys, subtrees(keys, chunk["n"].to_numpy().astype(float), depth)[0], depth)
             yield from pa.table({"key": chunk["key"], "value": value, "blocks": chunk["blocks"]}).to_batches()
 
-    return met.mapInArrow(run, "key long, value double, blocks array<int>")
+    return met.mapInArrow(releasing(run), "key long, value double, blocks array<int>")
 
 
 def code_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", learns=None, block_bytes: int = BLOCK_BYTES, depth: int = DEPTH) -> DataFrame:
@@ -304,6 +305,8 @@ def code_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 seen = summed((count[place] > 0).astype(np.int64), before) + int(train_docs > 0)
                 out.append((np.diff(before) + 1, seen, np.full(j - i, tokens), base, score, np.diff(at), score / -math.log10(2) / (np.diff(at) + 1)))
         columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0)] * 7
+        del by_gram, by_word, keys, value, kind, length, count, logs
+        released()
         names = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"]
         return pa.table({"id": texts["id"], "held_out": texts["held"], **{k: pa.array(c, pa.float64() if k in ("base_score", "score", "bits_per_byte") else pa.int64()) for k, c in zip(names, columns, strict=True)}})
 

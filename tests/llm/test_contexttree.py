@@ -1,9 +1,11 @@
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +110,21 @@ def test_odd_rows(spark, odd, empty):
     assert contexttree.code_lengths(empty).count() == 0
     nothing = contexttree.code_lengths(odd, learns=F.lit(False)).where("doc_id = 9").first()
     assert math.isclose(nothing.score, 4 * 8 * math.log10(0.5)) and nothing.train_tokens == 0
+
+
+def test_memory_of_a_task_is_bounded():
+    keys = np.unique(np.random.default_rng(0).integers(0, 1 << 48, 1 << 20).astype(np.int64))
+    batches = pa.table({"key": keys, "n": np.ones(len(keys), np.int64)}).to_batches(2000)
+    tracemalloc.start()
+    rows = sum(batch.num_rows for batch in contexttree._tops(contexttree.DEPTH)(batches))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows and peak < 256 << 20
+
+
+def test_chunks_hold_whole_contexts():
+    keys = np.sort(np.r_[np.arange(3 * contexttree.CHUNK), np.arange(9) << 40])
+    chunks = list(contexttree._chunks(pa.table({"key": keys}).to_batches(2000), contexttree.DEPTH))
+    contexts = [set((chunk["key"].to_numpy() >> 32).tolist()) for chunk in chunks]
+    assert np.array_equal(np.concatenate([chunk["key"].to_numpy() for chunk in chunks]), keys)
+    assert len(set.union(*contexts)) == sum(map(len, contexts))
