@@ -456,9 +456,9 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with one of each group of near copies: in order of ids, a document goes if its five-word shingles have a similarity
     of 0.8 and more with those of an earlier document of its class that stays.
 
-    Classes are components of links: those of near fingerprints (links, by pigeonring), and those that connect every pair of that
-    similarity, whatever its fingerprints (text_links, by an exact prefix filter). Documents of a class that aren't
-    similar to any of its first ones are judged again among themselves until none is left. Of repeated rows, one stays; null
+    Classes are components of links that connect every pair of that similarity, whatever its fingerprints (text_links, by an exact
+    prefix filter); links of near fingerprints would only join classes that have no such pair between them. Documents of a class
+    that aren't similar to any of its first ones are judged again among themselves until none is left. Of repeated rows, one stays; null
     texts are empty ones, null ids the last ones; an empty table gives no rows; extra columns stay.
     """
     swept(spark)
@@ -467,11 +467,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     prints = bodies.select("_sd", "_st")
     # One row per text: all its further documents are copies.
     texts = written(prints.groupBy("_st").agg(F.min("_sd").alias("_sd")))
-    # Candidates: links of the operator's fingerprints, and of the pairs that are similar enough though their fingerprints are farther apart.
-    fps = written(fingerprints(bodies, "text", fp=shingle_fingerprints).select("_st", "fp").distinct())
-    firsts = written(fps.groupBy("fp").agg(F.min("_st").alias("node")))
-    close = links(firsts).unionByName(fps.join(firsts, "fp").where("_st <> node").select(F.col("node").alias("a"), F.col("_st").alias("b")))
-    roots = components(close.unionByName(text_links(bodies.withColumn("text", F.coalesce("text", F.lit(""))))))
+    roots = components(text_links(bodies.withColumn("text", F.coalesce("text", F.lit("")))))
     open_ = written(texts.join(roots.select(F.col("node").alias("_st"), F.col("root").alias("class")), "_st").select("class", "_sd", "_st"))
     dropped = []
     if not open_.isEmpty():

@@ -169,3 +169,10 @@ def test_sketches_differ_in_no_more_bits_than_sets():
         for new in (0, 1, n // 8, n // 2):
             b = np.unique(np.r_[a[new:], rng.integers(0, 2**63, new + n // 20).astype(np.uint64)])
             assert simhash._apart(simhash._sketch(a), simhash._sketch(b)) <= len(np.setxor1d(a, b))
+
+
+def test_stage_takes_no_step_without_effect(spark, docs, monkeypatch):
+    want = sorted(r.doc_id for r in simhash.stage(spark, docs, "").select("doc_id").collect())
+    monkeypatch.setattr(simhash, "links", None)
+    monkeypatch.setattr(simhash, "fingerprints", None)
+    assert sorted(r.doc_id for r in simhash.stage(spark, docs, "").select("doc_id").collect()) == want and len(want) < docs.count()
