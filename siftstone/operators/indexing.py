@@ -4,21 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from siftstone.functions.text import let, tokens
+from siftstone.functions.text import tokens
 
 from .chunking import chunked
 from .cleaning import cleaned
 
 
 def hashed_vector(text: Column, size: int = 256) -> Column:
-    """A vector of length 1 by hashed tokens, signs included: an embedding that needs no model, for tests and as a fallback. Zero without tokens."""
-    places = F.transform(tokens(text), lambda t: F.struct(F.pmod(F.xxhash64(t), F.lit(size)).cast("int").alias("at"), F.when(F.pmod(F.hash(t), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("sign")))
-    sums = let(places, lambda ps: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.aggregate(F.filter(ps, lambda p: p["at"] == i), F.lit(0.0), lambda s, p: s + p["sign"])))
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return let(sums, lambda v: let(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0))))
+    """A vector of length 1 by hashed tokens, signs included: an embedding that needs no model, for tests and as a fallback. Zero without tokens. In time that grows with the tokens and with size, not with both at once."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def unit(places: pd.Series) -> pd.Series:
+        out = []
+        for place in places:
+            at = np.asarray(place, dtype=np.int64)
+            # Whole numbers, so neither sums nor squares are rounded.
+            sums = np.bincount(at >> 1, weights=1.0 - 2.0 * (at & 1), minlength=size)
+            n = np.sqrt(np.dot(sums, sums))
+            out.append(sums / n if n > 0 else np.zeros(size))
+        return pd.Series(out, dtype=object)
+
+    # A token's place, with its sign as the last bit.
+    return unit(F.transform(tokens(text), lambda t: (2 * F.pmod(F.xxhash64(t), F.lit(size)) + F.when(F.pmod(F.hash(t), F.lit(2)) == 0, 0).otherwise(1)).cast("int")))
 
 
 def prepared(docs: DataFrame, cleaning: str = "basic", chunking: str = "naive", size: int | None = None, overlap: int | None = None) -> DataFrame:
