@@ -15,14 +15,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftstone.functions.text import tokens
 from siftstone.sources import versions
 
-from .retrieval import K1, B, first_of, top
+from .retrieval import K1, B, top
 
 BLOCK, BUCKETS = 128, 32
 
@@ -62,7 +62,8 @@ def refreshed(corpus: DataFrame, path: str, id_col: str, text_col: str) -> int:
     name = f"s{uuid.uuid4().hex}"
     here = f"{path}/data/segment={name}"
     if live is None:
-        fresh, gone = now, None
+        now.write.parquet(f"{here}/kind=changes")
+        fresh, gone = spark.read.schema(now.schema).parquet(f"{here}/kind=changes"), None
     else:
         old = live.select(F.col("id").alias("_id"), F.col("sign").alias("_sign"), "length", "segment")
         met = now.join(old, now["id"].eqNullSafe(old["_id"]), "full_outer")
@@ -73,23 +74,31 @@ def refreshed(corpus: DataFrame, path: str, id_col: str, text_col: str) -> int:
             return number
         fresh = changes.where("sign IS NOT NULL").select("id", "sign")
         gone = changes.where("_sign IS NOT NULL").select(F.col("_id").alias("id"), F.col("segment").alias("of"), "length")
-    fresh = fresh.withColumnsRenamed({"id": "_id", "sign": "_sign"})
-    added = rows.join(fresh, rows["id"].eqNullSafe(fresh["_id"]) & (rows["sign"] == fresh["_sign"]), "left_semi")
-    added = first_of(added, ["id"], [F.col("sign").desc()]).select("id", "sign", tokens(F.col("text")).alias("tokens"))
-    added.write.parquet(f"{here}/kind=tokens")
+    # Each id that is fresh has one document.
+    blocks = max(1, -(-fresh.count() // BLOCK))
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
+    marks = fresh.select("id", "sign", F.lit(None).cast("string").alias("text"))
+    both = rows.select("id", "sign", "text") if live is None else rows.select("id", "sign", "text").unionByName(marks)
+    # Texts move once, to their block; which of them are taken, and their words, is found where they lie.
+    dealt = both.repartition(block).withColumn("block", block)
+    per_id = Window.partitionBy("block", "id")
+    added = dealt.withColumn("_at", F.row_number().over(per_id.orderBy(F.col("text").isNull(), F.col("sign").desc())))
+    if live is not None:
+        added = added.withColumn("_fresh", F.max(F.col("text").isNull()).over(per_id)).where("_fresh AND text IS NOT NULL")
+    added = added.where("_at = 1").select("block", "id", "sign", tokens(F.col("text")).alias("tokens"))
+    added.select("block", "id", "sign", F.size("tokens").alias("length"), "tokens").write.parquet(f"{here}/kind=tokens")
     cut = spark.read.parquet(f"{here}/kind=tokens")
-    cut.select("id", "sign", F.size("tokens").alias("length")).write.parquet(f"{here}/kind=documents")
+    cut.select("id", "sign", "length").write.parquet(f"{here}/kind=documents")
     total = spark.read.parquet(f"{here}/kind=documents").agg(F.count("*").alias("rows"), F.count_if(F.col("length") > 0).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).first()
     if gone is not None:
         gone.write.parquet(f"{here}/kind=dead")
         lost = spark.read.parquet(f"{here}/kind=dead").agg(F.count("*").alias("rows"), F.count_if(F.col("length") > 0).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).first()
-    blocks = max(1, -(-total["rows"] // BLOCK))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
-    per = cut.where(F.size("tokens") > 0).select("id", block, F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy("block", "term", "id").agg(F.count("*").cast("int").alias("tf"), F.first("length").alias("length"))
-    lists = per.groupBy("term", "block").agg(F.collect_list(F.struct("id", "tf", "length")).alias("postings"), F.max("tf").alias("most"), F.min("length").alias("shortest"))
-    lists = lists.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
-    lists.repartition("bucket", "block").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{here}/kind=postings")
-    schemas = {"postings": lists.drop("bucket").schema.jsonValue(), "documents": cut.select("id", "sign", F.size("tokens").alias("length")).schema.jsonValue()}
+    # Words move once more, by whole documents; a block's meet in one task, so neither counts nor lists move again.
+    per = cut.where("length > 0").repartition("block").select("block", "id", "length", F.explode("tokens").alias("term")).groupBy("block", "term", "id").agg(F.count("*").cast("int").alias("tf"), F.first("length").alias("length"))
+    lists = per.groupBy("block", "term").agg(F.collect_list(F.struct("id", "tf", "length")).alias("postings"), F.max("tf").alias("most"), F.min("length").alias("shortest"))
+    lists = lists.select("term", "block", "postings", "most", "shortest", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket"))
+    lists.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{here}/kind=postings")
+    schemas = {"postings": lists.drop("bucket").schema.jsonValue(), "documents": cut.select("id", "sign", "length").schema.jsonValue()}
     schemas["dead"] = T.StructType([cut.schema["id"], T.StructField("of", T.StringType())]).jsonValue()
     segment = {"name": name, "postings": total["n"] > 0, "documents": total["rows"] > 0, "dead": gone is not None and lost["rows"] > 0}
     n, length = (content.get("n", 0), content.get("length", 0)) if gone is None else (content["n"] - lost["n"], content["length"] - lost["length"])
