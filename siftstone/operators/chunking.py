@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,30 +46,35 @@ def page_ranges(pages: Column) -> Column:
     return F.zip_with(flat, ends, lambda x, end: F.struct(x["page_number"].alias("page_number"), (end - x["n"]).alias("start"), end.alias("end")))
 
 
+def _page_at(number, length, middle) -> list[int | None]:
+    """The pages of places: that which has the place, or the last one."""
+    if number is None or not len(number):
+        return [None] * len(middle)
+    ends = np.cumsum(np.asarray(length, dtype="int64") + 1) - 1
+    # A middle without a place is null, which arrives as NaN beside numbers.
+    at = np.asarray([-1 if m is None or m != m else m for m in middle], dtype="int64")
+    i = np.searchsorted(ends, at, side="right")
+    inside = np.minimum(i, len(ends) - 1)
+    inside = np.where((i < len(ends)) & (at >= ends[inside] - np.asarray(length)[inside]), inside, len(ends) - 1)
+    return [None if m < 0 else int(number[j]) for m, j in zip(at, inside, strict=True)]
+
+
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _found(numbers: pd.Series, lengths: pd.Series, middles: pd.Series) -> pd.Series:
-    def found(number, length, middle):
-        if middle is None:
-            return None
-        if number is None or not len(number):
-            return [None] * len(middle)
-        ends = np.cumsum(np.asarray(length, dtype="int64") + 1) - 1
-        # A middle without a place is null, which arrives as NaN beside numbers.
-        at = np.asarray([-1 if m is None or m != m else m for m in middle], dtype="int64")
-        i = np.searchsorted(ends, at, side="right")
-        inside = np.minimum(i, len(ends) - 1)
-        inside = np.where((i < len(ends)) & (at >= ends[inside] - np.asarray(length)[inside]), inside, len(ends) - 1)
-        return [None if m < 0 else int(number[j]) for m, j in zip(at, inside, strict=True)]
-
-    return pd.Series([found(*x) for x in zip(numbers, lengths, middles, strict=True)], dtype=object)
+    return pd.Series([None if m is None else _page_at(n, s, m) for n, s, m in zip(numbers, lengths, middles, strict=True)], dtype=object)
 
 
 def pages_at(pages: Column, middles: Column) -> Column:
     """The page of each place in the text that the pages make with single blanks between them: that which has the place, or the last one; null for null places, and without pages that aren't blank. By binary search among prefix sums."""
-    flat = F.filter(F.transform(pages, lambda p, i: F.struct((i + 1).alias("number"), F.length(squeezed(p)).alias("n"))), lambda x: x["n"] > 0)
+    flat = _numbered(pages)
     return _found(F.transform(flat, lambda x: x["number"]), F.transform(flat, lambda x: x["n"]), middles)
 
 
+def _numbered(pages: Column) -> Column:
+    """Array of (number, n) of the pages that aren't blank: their lengths with single blanks."""
+    return F.filter(F.transform(pages, lambda p, i: F.struct((i + 1).alias("number"), F.length(squeezed(p)).alias("n"))), lambda x: x["n"] > 0)
+
+
 def paragraphs(text: Column) -> Column:
     """What stands between empty lines."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n\n", -1), lambda p: squeezed(p) != "")
@@ -143,16 +149,40 @@ def _placed(text: str, size: int, overlap: int) -> list[dict]:
     return out
 
 
-def late(docs: DataFrame, size: int = 300, overlap: int = 100) -> DataFrame:
-    """(source_id, chunk_id, chunk_index, text, page_number) of docs (source_id, text, optional page_number, optional raw_page_texts). How paragraphs pack goes by what was packed before, so it runs in Arrow batches. Pages are found as those of naive()."""
+#: Characters of texts whose chunks a task holds at a time.
+LATE_CHARS = 1 << 20
 
-    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("middle", T.IntegerType())])))
-    def packed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _placed(t or "", size, overlap))
 
-    cut = docs.withColumn("_w", packed("text"))
-    cut = cut.withColumn("_p", _paged(docs, F.transform("_w", lambda x: x["middle"]))).select("source_id", F.posexplode(F.zip_with("_w", "_p", lambda w, p: F.struct(w["text"].alias("text"), p.alias("page_number")))).alias("chunk_index", "_x"))
-    return cut.select("source_id", F.concat(F.col("source_id"), F.lit("-chunk-"), F.col("chunk_index")).alias("chunk_id"), "chunk_index", "_x.*")
+def late(docs: DataFrame, size: int = 300, overlap: int = 100) -> DataFrame:
+    """(source_id, chunk_id, chunk_index, text, page_number) of docs (source_id, text, optional page_number, optional raw_page_texts). How paragraphs pack goes by what was packed before, so it runs in Arrow batches, which leave a task as soon as they have the chunks of LATE_CHARS characters. Pages are found as those of naive()."""
+    flat = _numbered(_pages_of(docs))
+    given = "page_number" in docs.columns
+    rows = docs.select("source_id", "text", F.transform(flat, lambda x: x["number"]).alias("numbers"), F.transform(flat, lambda x: x["n"]).alias("lengths"), (F.col("page_number").isNotNull() if given else F.lit(False)).alias("given"), (F.col("page_number").try_cast("int") if given else F.lit(None).cast("int")).alias("page"))
+    kind = T.StructType([docs.schema["source_id"], T.StructField("chunk_index", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("page_number", T.IntegerType())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            source, own, at, texts, numbers, held = batch.column(0), [], [], [], [], 0
+            names = [f.name for f in kind]
+
+            def done():
+                return pa.RecordBatch.from_arrays([source.take(pa.array(own, pa.int64())), pa.array(at, pa.int32()), pa.array(texts, pa.string()), pa.array(numbers, pa.int32())], names=names)  # noqa: B023
+
+            for i in range(len(batch)):
+                text = batch.column(1)[i].as_py() or ""
+                placed = _placed(text, size, overlap)
+                own += [i] * len(placed)
+                at += range(len(placed))
+                texts += [x["text"] for x in placed]
+                numbers += [batch.column(5)[i].as_py()] * len(placed) if batch.column(4)[i].as_py() else _page_at(batch.column(2)[i].as_py(), batch.column(3)[i].as_py(), [x["middle"] for x in placed])
+                held += len(text)
+                if held >= LATE_CHARS:
+                    yield done()
+                    own, at, texts, numbers, held = [], [], [], [], 0
+            if own:
+                yield done()
+
+    return rows.mapInArrow(cut, kind).select("source_id", F.concat(F.col("source_id"), F.lit("-chunk-"), F.col("chunk_index")).alias("chunk_id"), "chunk_index", "text", "page_number")
 
 
 def chunked(docs: DataFrame, strategy: str, size: int | None = None, overlap: int | None = None) -> DataFrame:
