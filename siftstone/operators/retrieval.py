@@ -60,6 +60,12 @@ def _few(rows: DataFrame, asked: DataFrame) -> DataFrame:
     return F.broadcast(rows) if asked.limit(QUERY_WORDS + 1).count() <= QUERY_WORDS else rows
 
 
+def with_rows(hits: DataFrame, corpus: DataFrame, key: str = "id") -> DataFrame:
+    """hits with their rows of the corpus: hits are found once and, if they are few, sent to all tasks, so that texts are neither moved nor sorted to meet them."""
+    kept = written(hits)
+    return corpus.join(_few(kept, kept), key)
+
+
 def bm25(queries: DataFrame, corpus: DataFrame, query_id: str, query_text: str, id_col: str, text_col: str, k: int = 3) -> DataFrame:
     """(query_id, id, score, rank): the k best documents of each query by BM25; repeated query terms count again, scores of 0 don't.
 
