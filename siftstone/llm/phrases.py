@@ -3,21 +3,21 @@
 Texts are split into pieces at punctuation and line ends, pieces into words at blanks. A phrase's count is the number of its
 contiguous occurrences within pieces, overlaps included; languages are counted apart.
 
-- Sketch: all phrases of one to four words fall into cells of a count-min sketch of one row, by a hash of 64 bits; it is kept
-  sparse, so bounds stay close at any size. Tasks send their cells as packed arrays, a row for each of the buckets into which
-  cells are dealt by their leading bits; a bucket adds them up. A cell's sum is an upper bound of each of its phrases: those
-  below the least count are out. Of the others the first task that sent the cell is noted.
-- Candidates: a second reading takes the phrases of those cells, each from the task that was noted, which reads what it read
-  before. Cells that no phrase came for, because tasks were cut otherwise, are looked for once more by all tasks. Cells go to the
-  tasks in blocks of at most CELLS.
-- Counting: candidates are cut into parts of one or several languages and at most PART_BYTES (one phrase at least). A part
-  compiles to one pyahocorasick automaton for each language. Patterns begin and end with a blank, and so does each word of the
-  texts, with a line end between pieces: a match is a run of whole words of one piece. Tasks scan the texts of a part's
-  languages, count all overlapping matches and send one sum for each pattern.
-- Thresholds, cuts, scores and ranks are joins on phrases with these sums. A part of a candidate is as frequent as it at
-  least, so it was counted too. Scores are exact: the product is a decimal.
-
-Parts and blocks are read one after another, so the readings grow with the number of phrases that are frequent.
+- Sketch: all phrases of one to four words fall into cells of a count-min sketch of one row, by 48 bits of a hash of 64; it is kept
+  sparse, so bounds stay close at any size. Tasks send their cells and counts as packed arrays, a row for each of the buckets into
+  which cells are dealt by their leading bits; a bucket adds them up. A cell's sum is an upper bound of each of its phrases: those
+  below the least count are out.
+- Filter: the other cells go to all tasks as a Bloom filter of 64-bit words, four bits of one word for each cell. It has 32 bits or more
+  for a cell up to FILTER_BYTES in all; what it lets through in error is counted with the candidates, exactly, and dropped.
+- Counting: a second reading takes the phrases that pass. A task gathers those of its own texts until they are PART_BYTES, or
+  the texts TEXT_BYTES; they compile to one pyahocorasick automaton for each language, which scans just these texts. Counts go packed to
+  buckets, as cells do, where they are added up by phrase. Patterns begin and end with a blank, and so does each word of the texts,
+  with a line end between pieces: a match is a run of whole words of one piece. Words that are in no candidate are left out of the
+  scanned text, with a line end in their place; single words, which are no candidates, are counted without an automaton.
+- Thresholds, cuts, scores and ranks are sums and joins on phrases. A part of a candidate is as frequent as it at least, so it was
+  counted too. Scores are exact: the product is a decimal.
+
+Texts are read twice, however many phrases are frequent, until there are more than CELLS cells: each further CELLS take one more reading.
 
 Defined cases: A-Z are lower-cased, nothing else; a null or empty text has no words; texts and words of any length are taken
 whole; a null language is `und`, also for texts that say so; ties of scores go by count, then by the phrase's bytes; rows that
@@ -27,33 +27,34 @@ repeat an id or a text count each; an empty table gives no rows. Only text and l
 from __future__ import annotations
 
 import math
-import re
-import uuid
 from operator import itemgetter
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import per_batch, released, releasing, small_batches, swept, table, written
-from .textcols import LOWER, Lookup, Sequences, U, buffers, counted, merged, mixed, slices, word_hashes, words
+from .shared import released, releasing, small_batches, swept, table, written
+from .textcols import LOWER, Sequences, U, buffers, mixed, slices, word_hashes, words
 
 MOST_WORDS, LEAST, TOP, COVERED = 4, 30, 2000, 80
 #: Bytes of text for a bucket of the sketch; phrases that a task holds before it sends them.
 BUCKET_BYTES, HELD = 8 << 20, 4 << 20
-CELLS, PART_BYTES = 2 << 20, 4 << 20
+#: Bits of a packed cell that hold its count; the others are the cell.
+COUNT_BITS = 16
+MOST_COUNT = (1 << COUNT_BITS) - 1
+#: Bytes of a word from which a key stands for it in patterns. Cells of a reading; bytes of the filter; bytes of the patterns, and of the texts, that a task scans at a time.
+LONG = 256
+CELLS, FILTER_BYTES, PART_BYTES, TEXT_BYTES = 32 << 20, 64 << 20, 8 << 20, 32 << 20
 
 PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 ENDS = np.zeros(256, dtype=bool)
 ENDS[list(PIECE_ENDS)] = True
 INSIDE = ~ENDS
 INSIDE[[0x20, 9]] = False
-#: Lower case, one kind of blank, one kind of piece end.
-PLAIN = bytes.maketrans(b"\t" + PIECE_ENDS, b" " + b"\n" * len(PIECE_ENDS))
 NONE = "und"
 
 
@@ -81,10 +82,10 @@ class Grams:
             size.append(np.full(len(at), n, np.int8))
         self.keys, self.first, self.size = np.concatenate(keys), np.concatenate(first), np.concatenate(size)
 
-    def phrase(self, i: int) -> bytes:
+    def phrase(self, i: int) -> str:
         at, n = int(self.first[i]), int(self.size[i])
         raw = self.low.data
-        return b" ".join(raw[s:e].tobytes() for s, e in zip(self.starts[at : at + n].tolist(), self.ends[at : at + n].tolist(), strict=True))
+        return b" ".join(raw[s:e].tobytes() for s, e in zip(self.starts[at : at + n].tolist(), self.ends[at : at + n].tolist(), strict=True)).decode()
 
 
 def _grams(batch):
@@ -106,29 +107,38 @@ def _numbers(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
-def sketch(texts: DataFrame, least: int, size: int) -> tuple[DataFrame, DataFrame]:
-    """(cell, task) of texts (lang, text), of size bytes, in which phrases can reach least, with the first task that has it; and (lang, n) with the words of each language."""
-    lead = (max(1, math.ceil(size / BUCKET_BYTES)) - 1).bit_length()
+def _packed(keys: np.ndarray) -> np.ndarray:
+    """The cells of some phrases in order, with how many fall into each; a cell of more than MOST_COUNT comes several times."""
+    keys = np.sort(keys) >> U(COUNT_BITS)
+    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    number = np.diff(np.r_[at, len(keys)])
+    times = -(-number // MOST_COUNT)
+    out = np.repeat(keys[at] << U(COUNT_BITS) | U(MOST_COUNT), times)
+    out[np.cumsum(times) - 1] -= (times * MOST_COUNT - number).astype(np.uint64)
+    return out
+
+
+def sketch(texts: DataFrame, least: int, lead: int) -> tuple[DataFrame, DataFrame]:
+    """(bucket, cells, number) of texts (lang, text): the cells in which phrases can reach least, for each bucket packed, and how many there are; and (lang, n) with the words of each language. A bucket is the lead leading bits of a cell."""
     inner = U(64 - lead)
     small_batches(texts.sparkSession)
 
     def add(batches):
-        task, held, number, totals = TaskContext.get().partitionId(), [], 0, {}
+        held, number, totals = [], 0, {}
 
         def rows():
-            keys, counts = merged(held)
-            at = np.r_[np.searchsorted(keys, np.arange(1 << lead, dtype=np.uint64) << inner) if lead else 0, len(keys)]
+            cells = _packed(np.concatenate(held))
+            at = np.r_[np.searchsorted(cells, np.arange(1 << lead, dtype=np.uint64) << inner) if lead else 0, len(cells)]
             some = np.flatnonzero(at[1:] > at[:-1]).tolist()
-            blobs = [(b, task, _planes(keys[at[b] : at[b + 1]]), _planes(counts[at[b] : at[b + 1]])) for b in some]
-            columns = [pa.array(c, k) for c, k in zip(zip(*blobs, strict=True), [pa.int32(), pa.int32(), pa.binary(), pa.binary()], strict=True)]
-            return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(some), pa.string()), pa.nulls(len(some), pa.int64())], names=["bucket", "task", "cells", "counts", "lang", "n"])
+            blobs = [_planes(cells[at[b] : at[b + 1]]) for b in some]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(len(some), pa.string()), pa.nulls(len(some), pa.int64())], names=["bucket", "cells", "lang", "n"])
 
         for batch in batches:
             for langs, grams in _grams(batch):
                 for lang, n in zip(langs, np.diff(grams.before).tolist(), strict=True):
                     totals[lang] = totals.get(lang, 0) + n
-                held.append(counted(grams.keys))
-                number += len(held[-1][0])
+                held.append(grams.keys)
+                number += len(grams.keys)
                 if number >= HELD:
                     yield rows()
                     held, number = [], 0
@@ -136,153 +146,273 @@ def sketch(texts: DataFrame, least: int, size: int) -> tuple[DataFrame, DataFram
             yield rows()
         if totals:
             names, n = list(totals), len(totals)
-            yield pa.RecordBatch.from_arrays([pa.array([_language(x) % (1 << lead) for x in names], pa.int32()), pa.array([task] * n, pa.int32()), *[pa.nulls(n, pa.binary())] * 2, pa.array(names), pa.array(list(totals.values()), pa.int64())], names=["bucket", "task", "cells", "counts", "lang", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([_language(x) % (1 << lead) for x in names], pa.int32()), pa.nulls(n, pa.binary()), pa.array(names), pa.array(list(totals.values()), pa.int64())], names=["bucket", "cells", "lang", "n"])
 
     def hot(batches):
         held: dict[int, list] = {}
         for batch in batches:
-            for bucket, task, cells, counts, lang, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for bucket, cells, lang, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if cells is None:
-                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([lang]), pa.array([n], pa.int64())], names=["cell", "task", "lang", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.nulls(1, pa.binary()), pa.array([lang]), pa.array([n], pa.int64())], names=["bucket", "cells", "lang", "n"])
                 else:
-                    held.setdefault(bucket, []).append((task, _numbers(cells), _numbers(counts).astype(np.int64)))
+                    held.setdefault(bucket, []).append(_numbers(cells))
         for bucket in sorted(held):
-            parts = sorted(held.pop(bucket), key=itemgetter(0))
-            cells, counts, tasks = np.concatenate([c for _, c, _ in parts]), np.concatenate([n for _, _, n in parts]), np.repeat(np.array([t for t, _, _ in parts], np.int32), [len(c) for _, c, _ in parts])
-            order = np.argsort(cells, kind="stable")
-            cells = cells[order]
+            cells = np.sort(np.concatenate(held.pop(bucket)))
+            number, cells = (cells & U(MOST_COUNT)).astype(np.int64), cells >> U(COUNT_BITS)
             at = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
-            some = np.add.reduceat(counts[order], at) >= least
-            found, first = cells[at[some]].view(np.int64), tasks[order[at[some]]]
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(first), pa.nulls(len(found), pa.string()), pa.nulls(len(found), pa.int64())], names=["cell", "task", "lang", "n"])
+            found = cells[at[np.add.reduceat(number, at) >= least]] << U(COUNT_BITS)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([_planes(found)], pa.binary()), pa.nulls(1, pa.string()), pa.array([len(found)], pa.int64())], names=["bucket", "cells", "lang", "n"])
 
-    packed = texts.mapInArrow(releasing(add), "bucket int, task int, cells binary, counts binary, lang string, n long")
-    found = written(packed.repartitionById(1 << lead, F.col("bucket")).mapInArrow(releasing(hot), "cell long, task int, lang string, n long"))
+    schema = "bucket int, cells binary, lang string, n long"
+    found = written(texts.mapInArrow(releasing(add), schema).repartitionById(1 << lead, F.col("bucket")).mapInArrow(releasing(hot), schema))
     swept(texts.sparkSession)
-    return found.where("cell IS NOT NULL").select("cell", "task"), found.where("lang IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n"))
+    return found.where("cells IS NOT NULL").select("bucket", "cells", F.col("n").alias("number")), found.where("lang IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
-def _phrases(texts: DataFrame, cells: DataFrame, noted: bool, most_cells: int) -> DataFrame:
-    """(key, lang, phrase) of texts (lang, text): phrases of cells (cell, task), each task's once; if noted, only those of the task that is noted."""
-    blocks = max(1, math.ceil(cells.count() / most_cells))
-    out = None
-    for block in range(blocks):
-        own = cells.where(F.pmod(F.xxhash64("cell"), F.lit(blocks)) == block).toArrow()
-        sent = texts.sparkSession.sparkContext.broadcast((own.column("cell").to_numpy().view(np.uint64), own.column("task").to_numpy()))
-
-        def make(sent=sent):
-            keys, tasks = sent.value
-            lookup = Lookup(keys[tasks == TaskContext.get().partitionId()] if noted else keys)
-            seen = np.zeros(len(lookup.keys), bool)
-
-            def work(batch):
-                for langs, grams in _grams(batch):
-                    place = lookup.find(grams.keys)
-                    at = np.flatnonzero((place >= 0) & ~seen[place])
-                    _, first = np.unique(place[at], return_index=True)
-                    at = at[first]
-                    if not len(at):
-                        continue
-                    seen[place[at]] = True
-                    text = np.searchsorted(grams.before, grams.first[at], "right") - 1
-                    yield pa.RecordBatch.from_arrays([pa.array(grams.keys[at].view(np.int64)), pa.array([langs[t] for t in text.tolist()]), pa.array([grams.phrase(i).decode() for i in at.tolist()])], names=["key", "lang", "phrase"])
-
-            return work
-
-        part = per_batch(texts, make, "key long, lang string, phrase string")
-        out = part if out is None else out.unionByName(part)
+def _bits(keys: np.ndarray) -> np.ndarray:
+    """The bits that a key's cell has in its word of the filter: four, of bits that don't choose the word."""
+    one = U(1)
+    out = one << (keys >> U(COUNT_BITS) & U(63))
+    for i in (6, 12, 18):
+        out |= one << (keys >> U(COUNT_BITS + i) & U(63))
     return out
 
 
-def candidates(texts: DataFrame, cells: DataFrame, most_cells: int = CELLS) -> DataFrame:
-    """(key, lang, phrase) of texts (lang, text): the phrases of cells (cell, task)."""
-    found = written(_phrases(texts, cells, True, most_cells))
-    lost = cells.join(found.select(F.col("key").alias("cell")), "cell", "left_anti")
-    if lost.isEmpty():
-        return found
-    return written(found.unionByName(_phrases(texts, lost, False, most_cells)).dropDuplicates(["key"]))
+def _of_block(keys: np.ndarray, block: int, blocks: int) -> np.ndarray:
+    return mixed(keys >> U(COUNT_BITS)) % U(blocks) == U(block)
 
 
-_compiled: list = []  # what this worker compiled last: the name of the part, automata by language
+def passing(keys: np.ndarray, sent: np.ndarray, block: int, blocks: int) -> np.ndarray:
+    """Where the keys are that a filter lets through: all of its own cells, and few others."""
+    bits = _bits(keys)
+    # One word at least: a shift by all 64 bits isn't defined.
+    at = (keys >> U(65 - len(sent).bit_length())).astype(np.int64) if len(sent) > 1 else np.zeros(len(keys), np.int64)
+    found = np.flatnonzero(sent[at] & bits == bits)
+    return found[_of_block(keys[found], block, blocks)] if blocks > 1 else found
 
 
-def _automata(name: str, langs: pa.Array, phrases: pa.Array) -> dict:
-    if not _compiled or _compiled[0] != name:
-        _compiled.clear()
-        out: dict = {}
-        for n, (lang, phrase) in enumerate(zip(langs, phrases, strict=True)):
-            out.setdefault(lang.as_py(), ahocorasick.Automaton(ahocorasick.STORE_INTS)).add_word(f" {phrase} ", n)
-        for automaton in out.values():
-            automaton.make_automaton()
-        _compiled.extend((name, out))
-    return _compiled[1]
-
+def filters(cells: DataFrame, lead: int, most_cells: int):
+    """(block, blocks, filter) for cells (bucket, cells, number) in blocks of about most_cells. A word of the filter is chosen by a cell's leading bits, so each bucket has words of its own."""
+    number = cells.agg(F.sum("number")).first()[0] or 0
+    blocks = max(1, math.ceil(number / most_cells))
+    wide = min(max(1, math.ceil(number / blocks) // 2).bit_length(), (FILTER_BYTES // 8).bit_length() - 1)
+    wide = max(wide, lead)
+    for block in range(blocks):
 
-def guarded(texts: list[bytes]) -> str:
-    """Texts as words between single blanks, and a line end between pieces."""
-    plain = b"\n".join(texts).lower().translate(PLAIN)
-    return re.sub(r" {2,}", " ", (b" " + plain.replace(b"\n", b" \n ") + b" ").decode())
+        def fill(batches, block=block):
+            for batch in batches:
+                for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    own = _numbers(packed)
+                    own = own[_of_block(own, block, blocks)]
+                    out = np.zeros(1 << (wide - lead), np.uint64)
+                    if len(own):
+                        at = (own >> U(64 - wide)).astype(np.int64) - (bucket << (wide - lead)) if wide else np.zeros(len(own), np.int64)
+                        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                        out[at[first]] = np.bitwise_or.reduceat(_bits(own), first)
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["bucket", "words"])
+
+        parts = cells.select("bucket", "cells").mapInArrow(releasing(fill), "bucket int, words binary").toArrow()
+        sent = np.zeros((1 << lead, 1 << (wide - lead)), np.uint64)
+        for bucket, raw in zip(parts["bucket"].to_pylist(), parts["words"], strict=True):
+            sent[bucket] = np.frombuffer(raw.as_buffer(), np.uint64)
+        yield block, blocks, sent.ravel()
+
+
+class Numbered:
+    """Numbers of 64-bit keys in the order in which they came."""
+
+    def __init__(self):
+        self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of sorted distinct keys, and where those are that are new."""
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inner = at < len(self.keys)
+        known[inner] = self.keys[at[inner]] == keys[inner]
+        new = np.flatnonzero(~known)
+        out = np.empty(len(keys), np.int64)
+        out[known] = self.numbers[at[known]]
+        out[new] = len(self.keys) + np.arange(len(new))
+        self.keys, self.numbers = np.insert(self.keys, at[new], keys[new]), np.insert(self.numbers, at[new], out[new])
+        return out, new
+
+
+def _copied(out: np.ndarray, to: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+    """Copies ranges of bytes from data to their places in out."""
+    inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(to, size) + inside] = data[np.repeat(begin, size) + inside]
+
+
+def _strings(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[str]:
+    """The words in these ranges of bytes."""
+    size = end - begin
+    out = np.full(int(size.sum()) + len(size), 0x20, np.uint8)
+    _copied(out, np.cumsum(size + 1) - size - 1, data, begin, size)
+    return out.tobytes().decode().split(" ")[:-1]
+
+
+def _guarded(grams: Grams, longer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words that are in phrases `longer` as bytes, each between single blanks, with a line end before a word that isn't in a phrase with the one before; these words, and where each begins and ends there. A tab, which no word has, and its key stand for a word of more than LONG bytes: automata are as deep as their longest pattern."""
+    linked = np.zeros(len(grams.starts) + 1, bool)  # a word with the one before it
+    for n in range(2, MOST_WORDS + 1):
+        first = grams.first[longer[grams.size[longer] == n]]
+        for i in range(1, n):
+            linked[first + i] = True
+    own = np.flatnonzero(linked[:-1] | linked[1:])
+    opens = ~linked[own]
+    size = grams.ends[own] - grams.starts[own]
+    long = np.flatnonzero(size > LONG)
+    size[long] = 17
+    ends = np.cumsum(size + 1 + 2 * opens) - 1
+    begins = ends - size
+    out = np.full(int(ends[-1]) + 1 if len(ends) else 0, 0x20, np.uint8)
+    out[begins[opens] - 2] = 0x0A
+    _copied(out, begins, grams.low, grams.starts[own], size)
+    for i in long.tolist():
+        out[begins[i] : ends[i]] = np.frombuffer(b"\t%016x" % int(grams.keys[own[i]]), np.uint8)
+    return out, own, begins, ends
+
+
+class Part:
+    """What a task counts at a time: texts and candidates of each language, and how often each word occurs."""
+
+    def __init__(self):
+        self.words, self.phrases = Numbered(), Numbered()
+        self.names: list[tuple[list, list]] = [([], []), ([], [])]  # languages and strings by number, of words and of phrases
+        self.times: list[tuple[np.ndarray, np.ndarray]] = []  # numbers of words, and how often each occurs
+        self.texts: dict[str, list[str]] = {}
+        self.whole: dict[str, str] = {}  # phrases of patterns in which a key stands for a long word
+        self.pattern_bytes = self.text_bytes = 0
+
+    def add(self, langs: list[str], grams: Grams, found: np.ndarray) -> None:
+        """Adds the phrases `found` of texts that are in order of their languages."""
+        single, longer = found[grams.size[found] == 1], found[grams.size[found] > 1]
+        text_of = lambda word: np.searchsorted(grams.before, word, "right") - 1
+        keys, first, times = np.unique(grams.keys[single], return_index=True, return_counts=True)
+        numbers, new = self.words.add(keys)
+        self.times.append((numbers, times))
+        at = grams.first[single[first[new]]]
+        self.text_bytes += numbers.nbytes + times.nbytes + int((grams.ends[at] - grams.starts[at]).sum())
+        self.names[0][0].extend(langs[t] for t in text_of(at).tolist())
+        self.names[0][1].extend(_strings(grams.low, grams.starts[at], grams.ends[at]))
+        if not len(longer):
+            return
+        data, own, begins, ends = _guarded(grams, longer)
+        plain = data.tobytes().decode()
+        if len(plain) != len(data):
+            character = np.cumsum((data & 0xC0) != 0x80) - 1
+            begins, ends = character[begins], character[ends]
+        keys, first = np.unique(grams.keys[longer], return_index=True)
+        _, new = self.phrases.add(keys)
+        at = longer[first[new]]
+        begin = np.searchsorted(own, grams.first[at])
+        start, end = begins[begin] - 1, ends[begin + grams.size[at] - 1] + 1
+        self.names[1][0].extend(langs[t] for t in text_of(grams.first[at]).tolist())
+        patterns = [plain[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)]
+        self.names[1][1].extend(patterns)
+        if (grams.ends[own] - grams.starts[own] > LONG).any():
+            self.whole.update((p, grams.phrase(i)) for p, i in zip(patterns, at.tolist(), strict=True) if "\t" in p)
+        self.pattern_bytes += int((end - start).sum())
+        self.text_bytes += len(plain)
+        # Where the language changes, the text is cut; a run of words has one language.
+        text = text_of(own)
+        opens = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+        names = [langs[t] for t in text[opens].tolist()]
+        cuts = [(begin - 2, lang) for i, (begin, lang) in enumerate(zip(begins[opens].tolist(), names, strict=True)) if not i or lang != names[i - 1]]
+        for (i, lang), (j, _) in zip(cuts, [*cuts[1:], (len(plain), "")], strict=True):
+            self.texts.setdefault(lang, []).append(plain[i:j])
+
+    def _sent(self, kind: int, seen: Numbered, n: np.ndarray, lead: int) -> pa.RecordBatch:
+        """(bucket, lang, phrases, counts) of all words or all candidates."""
+        langs, strings = self.names[kind]
+        names = sorted(set(langs))
+        code = {lang: i for i, lang in enumerate(names)}
+        group = (seen.keys >> U(64 - lead)).astype(np.int64) * len(names) if lead else np.zeros(len(seen.keys), np.int64)
+        group += np.fromiter(map(code.__getitem__, langs), np.int64, len(langs))[seen.numbers]
+        order = np.argsort(group, kind="stable")
+        group, order = group[order], seen.numbers[order]
+        at = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        ends, group = [*at[1:].tolist(), len(order)], group[at]
+        strings, n = list(map(strings.__getitem__, order.tolist())), n[order]
+        phrases = ["\n".join(strings[i:j]) for i, j in zip(at.tolist(), ends, strict=True)]
+        blobs = [_planes(n[i:j]) for i, j in zip(at.tolist(), ends, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(group // len(names), pa.int32()), pa.array([names[g % len(names)] for g in group.tolist()], pa.string()), pa.array(phrases, pa.string()), pa.array(blobs, pa.binary())], names=["bucket", "lang", "phrases", "counts"])
+
+    def counted(self, lead: int):
+        """How often each word and candidate occurs: a row for each language and bucket of lead bits, packed."""
+        times = np.zeros(len(self.words.keys), np.int64)
+        for numbers, n in self.times:
+            times[numbers] += n
+        if len(times):
+            yield self._sent(0, self.words, times, lead)
+        langs, patterns = self.names[1]
+        if not patterns:
+            return
+        own: dict[str, list[int]] = {}
+        for number, lang in enumerate(langs):
+            own.setdefault(lang, []).append(number)
+        times = np.zeros(len(patterns), np.int64)
+        for lang, numbers in own.items():
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            for number in numbers:
+                automaton.add_word(patterns[number], number)
+            automaton.make_automaton()
+            for plain in self.texts[lang]:
+                times += np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(plain)), np.int64), minlength=len(times))
+        self.names[1] = langs, [self.whole.get(p) or p[1:-1] for p in patterns] if self.whole else [p[1:-1] for p in patterns]
+        yield self._sent(1, self.phrases, times, lead)
 
 
-def counts(texts: DataFrame, patterns: pa.Table, langs: list[str]) -> DataFrame:
-    """(key, n): how often each of the patterns (key, lang, phrase) occurs in texts (lang, text) of these languages; a row for each task that has it."""
+def counts(texts: DataFrame, filtered: np.ndarray, block: int, blocks: int, part_bytes: int, lead: int) -> DataFrame:
+    """(bucket, lang, phrases, counts): how often the phrases that pass a filter occur in texts (lang, text), packed; a phrase comes from each part of a task that has it."""
     spark = texts.sparkSession
-    name = uuid.uuid4().hex
-    sent = spark.sparkContext.broadcast((patterns["lang"].combine_chunks().dictionary_encode(), patterns["phrase"].combine_chunks(), patterns["key"].to_numpy()))
+    sent = spark.sparkContext.broadcast(filtered)
     small_batches(spark)
 
     def scan(batches):
-        langs, phrases, keys = sent.value
-        automata = _automata(name, langs, phrases)
-        total = np.zeros(len(keys), np.int64)
+        part = Part()
         for batch in batches:
-            data, offsets = buffers(batch.column(1))
-            raw, of = data.tobytes(), batch.column(0).to_pylist()
-            for i, j in slices(offsets):
-                by: dict = {}
-                for k in range(i, j):
-                    by.setdefault(of[k], []).append(raw[offsets[k] : offsets[k + 1]])
-                for lang, own in by.items():
-                    if lang in automata:
-                        found = np.fromiter(map(itemgetter(1), automata[lang].iter(guarded(own))), np.int64)
-                        total += np.bincount(found, minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(total[some])], names=["key", "n"])
-
-    return texts.where(F.col("lang").isin(langs)).mapInArrow(releasing(scan), "key long, n long")
-
-
-def _parts(found: DataFrame, part_bytes: int) -> list[tuple[list[str], DataFrame]]:
-    """Candidates in parts of bounded size: large languages alone and cut by key, small ones together."""
-    sizes = found.groupBy("lang").agg(F.sum(F.octet_length("phrase") + 2).alias("size")).orderBy("size", "lang").collect()
-    out, some, full = [], [], 0
-    for r in sizes:
-        if r["size"] > part_bytes:
-            n = math.ceil(r["size"] / part_bytes)
-            out += [([r["lang"]], found.where((F.col("lang") == r["lang"]) & (F.pmod(F.xxhash64("key"), F.lit(n)) == k))) for k in range(n)]
-            continue
-        if some and full + r["size"] > part_bytes:
-            out.append((some, found.where(F.col("lang").isin(some))))
-            some, full = [], 0
-        some, full = [*some, r["lang"]], full + r["size"]
-    return [*out, *([(some, found.where(F.col("lang").isin(some)))] if some else [])]
+            for langs, grams in _grams(batch.sort_by("lang")):
+                part.add(langs, grams, passing(grams.keys, sent.value, block, blocks))
+                if part.pattern_bytes >= part_bytes or part.text_bytes >= TEXT_BYTES:
+                    yield from part.counted(lead)
+                    part = Part()
+        yield from part.counted(lead)
+
+    return texts.mapInArrow(releasing(scan), "bucket int, lang string, phrases string, counts binary")
+
+
+def summed(packed: DataFrame, lead: int, least: int) -> DataFrame:
+    """(lang, phrase, f) of packed counts: phrases that occur least times."""
+
+    def add(batches):
+        held: dict[str, list] = {}
+        for batch in batches:
+            for lang, phrases, n in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                own = pc.split_pattern(pa.array([phrases]), "\n").flatten()
+                held.setdefault(lang, []).append(pa.table({"phrase": own, "n": _numbers(n).view(np.int64)}))
+        for lang in sorted(held):
+            total = pa.concat_tables(held.pop(lang)).group_by("phrase", use_threads=False).aggregate([("n", "sum")])
+            total = total.filter(pc.greater_equal(total["n_sum"], least))
+            for batch in total.select(["phrase", "n_sum"]).to_batches():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * batch.num_rows, pa.string()), *batch.columns], names=["lang", "phrase", "f"])
+
+    return packed.repartitionById(1 << lead, F.col("bucket")).mapInArrow(releasing(add), "lang string, phrase string, f long")
 
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, most_cells: int = CELLS, part_bytes: int = PART_BYTES) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, f): all phrases of one to MOST_WORDS words that occur least times, with their exact counts; and (lang, n), all words of each language."""
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NONE)).alias("lang"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    cells, totals = sketch(texts, least, size)
-    found = candidates(texts, cells, most_cells)
-    swept(docs.sparkSession)
-    summed = None
-    for langs, part in _parts(found, part_bytes):
-        own = counts(texts, part.toArrow(), langs)
-        summed = own if summed is None else summed.unionByName(own)
-    if summed is None:
-        return found.select("lang", "phrase", F.col("key").alias("f")), totals
-    exact = summed.groupBy("key").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    out = written(found.join(exact, "key").select("lang", "phrase", "f"))
+    lead = (max(1, math.ceil(size / BUCKET_BYTES)) - 1).bit_length()
+    cells, totals = sketch(texts, least, lead)
+    packed, fewer = None, max(0, lead - 2)
+    for block, blocks, own in filters(cells, lead, most_cells):
+        part = counts(texts, own, block, blocks, part_bytes, fewer)
+        packed = part if packed is None else packed.unionByName(part)
+    out = written(summed(packed, fewer, least))
     swept(docs.sparkSession)
     released()
     return out, totals

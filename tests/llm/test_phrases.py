@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from siftstone.llm import phrases
@@ -64,3 +65,42 @@ def test_long_text_and_word(spark):
     rows = [("en", "ping pong " * 150_000 + "z" * 700_000 + " end"), ("en", "z" * 700_000 + " end")]
     got = phrases.collocations(spark.createDataFrame(rows, "lang string, text string"), least=2).collect()
     assert sorted(tuple(r) for r in got) == brute(rows, 2)
+
+
+def test_readings_do_not_grow_with_the_frequent_phrases(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["en", "fr"]), " ".join(f"w{rng.randrange(12)}" for _ in range(40))) for _ in range(60)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(2).mapInArrow(counting, "lang string, text string")
+    got = phrases.collocations(docs, least=4, part_bytes=200).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows, 4)
+    # Their size, the sketch and one count.
+    assert read.value <= 3 * len(rows)
+
+
+def test_cells_and_their_filter():
+    keys = np.random.default_rng(1).integers(0, 2**64, 40_000, np.uint64)
+    few, counts = keys[:3], [1, 65_535, 140_000]
+    packed = phrases._packed(np.repeat(few, counts))
+    cells = (packed >> np.uint64(16)).tolist()
+    assert sum((packed & np.uint64(65_535)).tolist()) == sum(counts)
+    assert {c: sum(int(p) & 65_535 for p in packed.tolist() if p >> 16 == c) for c in cells} == dict(zip((few >> np.uint64(16)).tolist(), counts, strict=True))
+    own = keys[:10_000]
+    sent = np.zeros(1 << 13, np.uint64)
+    np.bitwise_or.at(sent, (own >> np.uint64(51)).astype(np.int64), phrases._bits(own))
+    assert len(phrases.passing(own, sent, 0, 1)) == len(own)
+    assert len(phrases.passing(keys[10_000:], sent, 0, 1)) < 30
+    assert sorted(np.concatenate([phrases.passing(own, sent, b, 3) for b in range(3)]).tolist()) == list(range(len(own)))
+
+
+def test_long_words_in_candidates(spark):
+    long = ["é" * 200, "z" * 257, "z" * 256, "Y" * 1000]
+    rows = [(lang, f"{w} a {v}, {v} {v} b. \t{w}\ta") for lang in ("en", "fr") for w in long for v in long]
+    got = phrases.collocations(spark.createDataFrame(rows, "lang string, text string"), least=3).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows, 3)
