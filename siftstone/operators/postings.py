@@ -14,6 +14,7 @@ query together aren't opened.
 from __future__ import annotations
 
 import uuid
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,9 +23,13 @@ from pyspark.sql import types as T
 from siftstone.functions.text import tokens
 from siftstone.sources import versions
 
-from .retrieval import K1, B, top
+from .retrieval import QUERY_WORDS, K1, B, dealt, top
 
 BLOCK, BUCKETS = 128, 32
+#: Blocks whose lists a task makes, so that they fit into its memory.
+TASK_BLOCKS = 64
+#: The folder of a segment's documents while it is made.
+_DOCUMENTS = -1
 
 
 def _tables(spark: SparkSession, path: str, content: dict, kind: str) -> DataFrame | None:
@@ -47,6 +52,20 @@ def _live(spark: SparkSession, path: str, content: dict) -> DataFrame | None:
     return there.join(gone, there["id"].eqNullSafe(gone["_id"]) & (there["segment"] == gone["_of"]), "left_anti")
 
 
+def _block(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("id"), blocks).cast("int")
+
+
+def _dead(spark: SparkSession, path: str, content: dict) -> DataFrame | None:
+    """(segment, block, gone, none): the ids of each block that no longer count, and whether null is one of them."""
+    dead = _tables(spark, path, content, "dead")
+    if dead is None:
+        return None
+    blocks = F.create_map(*chain.from_iterable((F.lit(s["name"]), F.lit(s["blocks"])) for s in content["segments"]))
+    by_block = dead.select("id", F.col("of").alias("segment"), _block(F.element_at(blocks, F.col("of"))).alias("block"))
+    return by_block.groupBy("segment", "block").agg(F.collect_list("id").alias("gone"), (F.count_if(F.col("id").isNull()) > 0).alias("none"), F.count("*").alias("n"))
+
+
 def refreshed(corpus: DataFrame, path: str, id_col: str, text_col: str) -> int:
     """The index at path brought to the state of corpus, as the version that has it; without a change that is the one there was.
 
@@ -76,34 +95,41 @@ def refreshed(corpus: DataFrame, path: str, id_col: str, text_col: str) -> int:
         gone = changes.where("_sign IS NOT NULL").select(F.col("_id").alias("id"), F.col("segment").alias("of"), "length")
     # Each id that is fresh has one document.
     blocks = max(1, -(-fresh.count() // BLOCK))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
-    marks = fresh.select("id", "sign", F.lit(None).cast("string").alias("text"))
-    both = rows.select("id", "sign", "text") if live is None else rows.select("id", "sign", "text").unionByName(marks)
-    # Texts move once, to their block; which of them are taken, and their words, is found where they lie.
-    dealt = both.repartition(block).withColumn("block", block)
+    block = _block(F.lit(blocks)).alias("block")
+    own = rows.select("id", "sign", "text")
+    if live is not None:
+        key = F.xxhash64("id", "sign").alias("_key")
+        if fresh.limit(QUERY_WORDS + 1).count() <= QUERY_WORDS:
+            # Few enough to be sent to the texts: all others stay where they are.
+            own = own.withColumn("_key", key).join(F.broadcast(fresh.select(key).distinct()), "_key", "left_semi").drop("_key")
+        own = own.unionByName(fresh.select("id", "sign", F.lit(None).cast("string").alias("text")))
+    # Texts move once, to their block; which of them are taken, their words and the lists of these are found where they lie.
+    there = own.withColumn("block", block).repartition(max(spark.sparkContext.defaultParallelism, -(-blocks // TASK_BLOCKS)), "block")
     per_id = Window.partitionBy("block", "id")
-    added = dealt.withColumn("_at", F.row_number().over(per_id.orderBy(F.col("text").isNull(), F.col("sign").desc())))
+    added = there.withColumn("_at", F.row_number().over(per_id.orderBy(F.col("text").isNull(), F.col("sign").desc())))
     if live is not None:
         added = added.withColumn("_fresh", F.max(F.col("text").isNull()).over(per_id)).where("_fresh AND text IS NOT NULL")
     added = added.where("_at = 1").select("block", "id", "sign", tokens(F.col("text")).alias("tokens"))
-    added.select("block", "id", "sign", F.size("tokens").alias("length"), "tokens").write.parquet(f"{here}/kind=tokens")
-    cut = spark.read.parquet(f"{here}/kind=tokens")
-    cut.select("id", "sign", "length").write.parquet(f"{here}/kind=documents")
+    # Each document counts as a posting of no word, too; their list is the block's documents.
+    words = added.select("block", "id", "sign", F.size("tokens").alias("length"), F.explode(F.concat("tokens", F.array(F.lit(None).cast("string")))).alias("term"))
+    per = words.groupBy("block", "term", "id").agg(F.count("*").cast("int").alias("tf"), F.first("length").alias("length"), F.first("sign").alias("sign"))
+    lists = per.groupBy("block", "term").agg(F.collect_list(F.struct("id", "tf", "length")).alias("postings"), F.max("tf").alias("most"), F.min("length").alias("shortest"), F.collect_list(F.when(F.col("term").isNull(), F.col("sign"))).alias("signs"))
+    bucket = F.when(F.col("term").isNull(), _DOCUMENTS).otherwise(F.pmod(F.xxhash64("term"), F.lit(BUCKETS))).cast("int")
+    lists = lists.select("term", "block", "postings", "most", "shortest", "signs", bucket.alias("bucket"))
+    lists.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{here}/kind=postings")
+    each = spark.read.schema(lists.drop("bucket").schema).parquet(f"{here}/kind=postings/bucket={_DOCUMENTS}") if fresh.limit(1).count() else lists.where("false")
+    each = each.select(F.explode(F.arrays_zip(F.col("postings"), F.col("signs"))).alias("x")).select("x.postings.id", F.col("x.signs").alias("sign"), "x.postings.length")
+    each.write.parquet(f"{here}/kind=documents")
     total = spark.read.parquet(f"{here}/kind=documents").agg(F.count("*").alias("rows"), F.count_if(F.col("length") > 0).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).first()
     if gone is not None:
         gone.write.parquet(f"{here}/kind=dead")
         lost = spark.read.parquet(f"{here}/kind=dead").agg(F.count("*").alias("rows"), F.count_if(F.col("length") > 0).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).first()
-    # Words move once more, by whole documents; a block's meet in one task, so neither counts nor lists move again.
-    per = cut.where("length > 0").repartition("block").select("block", "id", "length", F.explode("tokens").alias("term")).groupBy("block", "term", "id").agg(F.count("*").cast("int").alias("tf"), F.first("length").alias("length"))
-    lists = per.groupBy("block", "term").agg(F.collect_list(F.struct("id", "tf", "length")).alias("postings"), F.max("tf").alias("most"), F.min("length").alias("shortest"))
-    lists = lists.select("term", "block", "postings", "most", "shortest", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket"))
-    lists.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{here}/kind=postings")
-    schemas = {"postings": lists.drop("bucket").schema.jsonValue(), "documents": cut.select("id", "sign", "length").schema.jsonValue()}
-    schemas["dead"] = T.StructType([cut.schema["id"], T.StructField("of", T.StringType())]).jsonValue()
-    segment = {"name": name, "postings": total["n"] > 0, "documents": total["rows"] > 0, "dead": gone is not None and lost["rows"] > 0}
+    schemas = {"postings": lists.drop("bucket", "signs").schema.jsonValue(), "documents": each.schema.jsonValue()}
+    schemas["dead"] = T.StructType([each.schema["id"], T.StructField("of", T.StringType())]).jsonValue()
+    segment = {"name": name, "blocks": blocks, "postings": total["n"] > 0, "documents": total["rows"] > 0, "dead": gone is not None and lost["rows"] > 0}
     n, length = (content.get("n", 0), content.get("length", 0)) if gone is None else (content["n"] - lost["n"], content["length"] - lost["length"])
     out = {"segments": [*content.get("segments", []), segment], "schemas": schemas, "n": n + total["n"], "length": length + total["length"]}
-    for left in ("tokens", "changes"):
+    for left in (f"postings/bucket={_DOCUMENTS}", "changes"):
         where, files = versions._files(spark, f"{here}/kind={left}")
         files.delete(where, True)
     return versions.commit(spark, path, number, out)
@@ -121,42 +147,42 @@ def search(queries: DataFrame, path: str, query_id: str, query_text: str, k: int
         raise ValueError(f"no index at {path}")
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     asked = asked.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
-    stored, dead = _tables(spark, path, content, "postings"), _tables(spark, path, content, "dead")
+    stored, dead = _tables(spark, path, content, "postings"), _dead(spark, path, content)
     if stored is None:
         kind = T.StructType.fromJson(content["schemas"]["documents"])["id"].dataType.simpleString() if content["schemas"] else "long"
         return asked.select("query_id", F.lit(None).cast(kind).alias("id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).where("false")
     mean = max(content["length"] / max(1, content["n"]), 1.0)
-    wanted = asked.select("bucket", "term").distinct()
+    sent = F.broadcast if asked.limit(QUERY_WORDS + 1).count() <= QUERY_WORDS else lambda rows: rows
+    lists = stored.join(sent(asked.select("bucket", "term").distinct()), ["bucket", "term"], "left_semi")
+    if dead is not None:
+        # Documents that are gone still stand in the lists of their segments; what is gone meets whole lists by their block, never single postings.
+        few = (dead.agg(F.sum("n")).first()[0] or 0) <= QUERY_WORDS
+        lists = (lists if few else dealt(lists)).join(F.broadcast(dead.drop("n")) if few else dealt(dead.drop("n")), ["segment", "block"], "left")
+        alive = F.filter("postings", lambda p: F.when(p["id"].isNull(), ~F.col("none")).otherwise(~F.array_contains("gone", p["id"])))
+        lists = lists.withColumn("postings", F.when(F.col("none").isNull(), F.col("postings")).otherwise(alive)).drop("gone", "none").where(F.size("postings") > 0)
     # Blocks with one or more of the words; the lists are opened later, for those that can matter.
-    heads = stored.select("segment", "block", "bucket", "term", F.size("postings").alias("df"), "most", "shortest").join(wanted, ["bucket", "term"], "left_semi")
+    heads = lists.select("segment", "block", "bucket", "term", F.size("postings").alias("df"), "most", "shortest")
     df = heads.groupBy("term").agg(F.sum("df").alias("df"))
-    if dead is not None:
-        # Documents that are gone still count in the lists of their segments; only those of the wanted words are subtracted.
-        lists = stored.join(wanted, ["bucket", "term"], "left_semi").select("segment", "term", F.explode("postings").alias("p"))
-        gone = dead.select(F.col("id").alias("_id"), F.col("of").alias("_of"))
-        lost = lists.join(gone, lists["p.id"].eqNullSafe(gone["_id"]) & (lists["segment"] == gone["_of"]), "left_semi").groupBy("term").agg(F.count("*").alias("lost"))
-        df = df.join(lost, "term", "left").select("term", (F.col("df") - F.coalesce("lost", F.lit(0))).alias("df")).where("df > 0")
     idf = F.log(1 + (F.lit(content["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = asked.join(df, "term").select("query_id", "bucket", "term", (F.col("times") * idf).alias("weight"))
 
     rarest = top(weighed, ["query_id"], [F.col("weight").desc(), F.col("term")], 1).drop("rank")
-    parts = _parts(stored.join(rarest, ["bucket", "term"]), dead, mean)
+    parts = _parts(lists.join(sent(rarest), ["bucket", "term"]), mean)
     sure = top(parts, ["query_id"], [F.col("part").desc()], k).where(F.col("rank") == k).select("query_id", F.col("part").alias("least"))
-    bounds = heads.join(weighed, ["bucket", "term"]).withColumn("part", _part(F.col("weight"), F.col("most"), F.col("shortest"), mean))
+    bounds = heads.join(sent(weighed), ["bucket", "term"]).withColumn("part", _part(F.col("weight"), F.col("most"), F.col("shortest"), mean))
     able = bounds.groupBy("query_id", "segment", "block").agg(F.sum("part").alias("bound")).join(sure, "query_id", "left")
-    able = able.where(F.col("least").isNull() | (F.col("bound") >= F.col("least") * (1 - 1e-9))).select("query_id", "segment", "block")
-    opened = stored.join(weighed, ["bucket", "term"]).join(able, ["query_id", "segment", "block"], "left_semi")
-    scored = _parts(opened, dead, mean).groupBy("query_id", "id").agg(F.sum("part").alias("score")).where("score > 0")
+    able = able.where(F.col("least").isNull() | (F.col("bound") >= F.col("least") * (1 - 1e-9))).groupBy("segment", "block").agg(F.collect_list("query_id").alias("able"))
+    # Lists move once, whole, to their block: all of a document's postings meet there, so its scores needn't move.
+    opened = dealt(lists.select("segment", "block", "bucket", "term", "postings")).join(dealt(able), ["segment", "block"])
+    opened = opened.join(sent(weighed), ["bucket", "term"]).where(F.array_contains("able", F.col("query_id")))
+    scored = _parts(opened, mean).groupBy("query_id", "segment", "block", "id").agg(F.sum("part").alias("score")).where("score > 0")
     return top(scored, ["query_id"], [F.round("score", 9).desc(), F.col("id")], k).select("query_id", "id", "score", "rank")
 
 
-def _parts(lists: DataFrame, dead: DataFrame | None, mean: float) -> DataFrame:
-    """(query_id, id, part): what each posting of lists (query_id, weight, segment, postings) that is alive adds to a score."""
-    each = lists.select("query_id", "segment", "weight", F.explode("postings").alias("p")).select("query_id", "segment", "weight", "p.*")
-    if dead is not None:
-        gone = dead.select(F.col("id").alias("_id"), F.col("of").alias("_of"))
-        each = each.join(gone, each["id"].eqNullSafe(gone["_id"]) & (each["segment"] == gone["_of"]), "left_anti")
-    return each.select("query_id", "id", _part(F.col("weight"), F.col("tf"), F.col("length"), mean).alias("part"))
+def _parts(lists: DataFrame, mean: float) -> DataFrame:
+    """(query_id, segment, block, id, part): what each posting of lists (query_id, weight, segment, block, postings) adds to a score."""
+    each = lists.select("query_id", "segment", "block", "weight", F.explode("postings").alias("p")).select("query_id", "segment", "block", "weight", "p.*")
+    return each.select("query_id", "segment", "block", "id", _part(F.col("weight"), F.col("tf"), F.col("length"), mean).alias("part"))
 
 
 def swept(spark: SparkSession, path: str, keep: int = 2) -> int:
