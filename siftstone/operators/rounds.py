@@ -12,7 +12,7 @@ from siftstone.session import written
 
 from . import postings
 from .guidance import judged_contexts, ranked_contexts
-from .retrieval import first_of
+from .retrieval import first_of, with_rows
 
 #: What makes a context the same as another one of its request; null equals null.
 KEY = ["source_id", "chunk_id", "snippet"]
@@ -87,6 +87,6 @@ def by_index(path: str, corpus: DataFrame, k: int = 3) -> Search:
 
     def search(asked: DataFrame) -> DataFrame:
         hits = postings.search(asked, path, "query_id", "text", k, number)
-        return hits.join(corpus, "id").select("query_id", "rank", "source_id", "chunk_id", "title", "snippet")
+        return with_rows(hits, corpus).select("query_id", "rank", "source_id", "chunk_id", "title", "snippet")
 
     return search
